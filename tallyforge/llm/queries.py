@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sharding
+from . import packing, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_sharding": sharding.op8_sharding,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     }
 
 
