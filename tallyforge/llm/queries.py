@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sharding, suffix_dedup
+from . import jaccard_join, packing, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": packing.op2_packing,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_sharding": sharding.op8_sharding,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
