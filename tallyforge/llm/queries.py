@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, quality_rules, sharding, suffix_dedup
+from . import decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_packing": packing.op2_packing,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_sharding": sharding.op8_sharding,
