@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import compact_windows, decontamination, html_text, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_html_text": html_text.op7_html_text,
         "op8_sharding": sharding.op8_sharding,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_compact_windows": compact_windows.op10_compact_windows,
