@@ -31,7 +31,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of save() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -74,29 +84,83 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for the words seen last (bounded)."""
-
-    def __init__(self, most: int = 400_000):
-        from xxhash import xxh3_64_intdigest
-
-        self.most, self.known, self._hash = most, {}, xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, digest = self.known, self._hash
-        if len(known) > self.most:
-            known.clear()
-        get = known.get
-        out = [get(w) for w in words]
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    w = words[i]
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = digest(w)
-                    out[i] = h
-        return np.array(out, dtype=np.uint64)
+class Rolling:
+    """Polynomial hashes (mod 2^64) of any substring of a buffer, from prefix sums."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        rng = np.random.default_rng(200)
+        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.power = self.inverse = np.ones(1, dtype=np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) <= n:
+            size = 1 << int(n + 1).bit_length()
+            for name, base in (("power", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
+                steps = np.full(size, base, dtype=np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def prefix(self, buffer: np.ndarray) -> np.ndarray:
+        self._grow(len(buffer))
+        out = np.zeros(len(buffer) + 1, dtype=np.uint64)
+        np.cumsum(self.value[buffer] * self.power[: len(buffer)], out=out[1:])
+        return out
+
+    def of(self, prefix: np.ndarray, start: np.ndarray, length) -> np.ndarray:
+        return (prefix[start + length] - prefix[start]) * self.inverse[start]
+
+    def all(self, prefix: np.ndarray, length: int) -> np.ndarray:
+        """Of every substring of this length, in order."""
+        n = len(prefix) - length
+        return (prefix[length:] - prefix[:n]) * self.inverse[:n]
+
+
+_rolling: list[Rolling] = []
+
+
+def rolling() -> Rolling:
+    if not _rolling:
+        _rolling.append(Rolling())
+    return _rolling[0]
+
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def batch_shingles(texts: list[bytes], n: int = 5, most: int = 8 << 20) -> list[np.ndarray]:
+    """Hashes of all runs of n words (A-Z lower-cased) of each text, in order; a shorter text is one run, one
+    without words none. Texts are hashed together, about `most` bytes at a time."""
+    out: list[np.ndarray] = []
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size >= most:
+            out += _shingles_of(held, n)
+            held, size = [], 0
+    return out + (_shingles_of(held, n) if held else [])
+
+
+def _shingles_of(texts: list[bytes], n: int) -> list[np.ndarray]:
+    joined = b" ".join(texts).translate(_LOWER)
+    if not joined:
+        return [np.zeros(0, dtype=np.uint64) for _ in texts]
+    buffer = np.frombuffer(joined, dtype=np.uint8)
+    apart = np.concatenate([[True], _BREAK[buffer], [True]])
+    starts = np.flatnonzero(apart[:-1] & ~apart[1:])
+    ends = np.flatnonzero(~apart[:-1] & apart[1:])
+    roll = rolling()
+    words = mix64(roll.of(roll.prefix(buffer), starts, ends - starts) + (ends - starts).astype(np.uint64))
+    lengths = np.array([len(t) for t in texts]) + 1
+    firsts = np.searchsorted(starts, np.append(0, np.cumsum(lengths)))
+    whole = shingle_hashes(words, n)
+    return [
+        whole[a : b - n + 1] if b - a >= n else shingle_hashes(words[a:b], n) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)
+    ]
 
 
 def shingle_hashes(word_hashes: np.ndarray, n: int = 5) -> np.ndarray:

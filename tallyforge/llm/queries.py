@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, decontamination, html_text, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import compact_windows, decontamination, html_text, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, suffix_tree_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_packing": packing.op2_packing,
+        "op3_lm_scoring": suffix_tree_lm.op3_lm_scoring,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
