@@ -35,8 +35,14 @@ def _word_stats(passage: bytes) -> tuple[float, ...]:
     return (1.0, len(set(words)) / n, len(passage) / n / 16, sum(map(bytes.istitle, words)) / n, sum(map(bytes.isupper, words)) / n, min(n, 8) / 8)
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list[bytes], at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages, and the first passage of each text."""
+    done = [_encode(texts[i : i + at_once]) for i in range(0, len(texts), at_once)]
+    before = np.cumsum([0] + [len(x) for x, _ in done])
+    return np.concatenate([x for x, _ in done]), np.concatenate([first + n for (_, first), n in zip(done, before[:-1], strict=True)])
+
+
+def _encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bags = [passages(t) for t in texts]
     flat = [p for bag in bags for p in bag]
     sizes = np.array([len(p) for p in flat])
@@ -161,6 +167,18 @@ def score_documents(docs: DataFrame, model: GatedAttention, threshold: float = 0
     return rows.mapInArrow(run, rows.select(*names).schema.add("score", "double")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_quality(docs: DataFrame, model: GatedAttention, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is at least threshold, with all columns; one scan, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            if batch.num_rows:
+                yield batch.filter(pa.array(shared.value.score(text_bytes(batch.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
