@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import reduce
 from operator import itemgetter
 
 import numpy as np
@@ -218,39 +219,63 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, mi
     match nothing; a pair has one row for each row of the document, with its best passage (the first of
     equal ones); repeated item ids count by themselves; empty tables give no rows.
     """
-    spark = docs.sparkSession
     schema = pa.schema(
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("passage_start", pa.int64())]
     )
     ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def scan_with(shared):
         def scan(batches):
-            index = shared.value
             for batch in slices(batches, 256):
                 ids = batch.column("doc_id").to_pylist()
-                best: dict[tuple[int, int], tuple] = {}
-                for row, item, score, start, passage in search(index, [words_of(t) for t in text_bytes(batch.column("text"))], threshold):
-                    shingles = _shingles(passage)
-                    q, a = (overlap(p, shingles, passage) for p in index.parts[item])
-                    if min(q, a) >= min_overlap - 1e-9 and ((row, item) not in best or score > best[row, item][0] + 1e-12):
-                        best[row, item] = (float(score), q, a, start)
-                out = [(ids[row], index.ids[item], *found) for (row, item), found in best.items()]
+                found = _leaks(shared.value, text_bytes(batch.column("text")), threshold, min_overlap)
+                out = [(ids[row], shared.value.ids[item], *x) for (row, item), x in found.items()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
         return scan
 
-    found = None
+    parts = [rows.mapInArrow(scan_with(index), ddl) for index in _indexes(benchmark, block_items)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_overlap: float = 0.75, block_items: int = 20_000) -> DataFrame:
+    """The rows of docs in which find_leaks() finds nothing, with all columns; no shuffle."""
+
+    def keep_with(shared):
+        def keep(batches):
+            for batch in slices(batches, 256):
+                hit = np.zeros(batch.num_rows, dtype=bool)
+                for row, _ in _leaks(shared.value, text_bytes(batch.column("text")), threshold, min_overlap):
+                    hit[row] = True
+                yield batch.filter(pa.array(~hit))
+
+        return keep
+
+    for index in _indexes(benchmark, block_items):
+        docs = docs.mapInArrow(keep_with(index), docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, block_items: int):
+    """Broadcast indexes of at most about block_items items each."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, -(-items.count() // block_items))
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toPandas()
-        index = build_index(list(zip(own["item_id"].tolist(), own["text"].tolist(), strict=True)))
-        one = rows.mapInArrow(scan_with(spark.sparkContext.broadcast(index)), ddl)
-        found = one if found is None else found.unionByName(one)
-    return found
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index(list(zip(own["item_id"].tolist(), own["text"].tolist(), strict=True))))
+
+
+def _leaks(index: Index, texts: list[bytes], threshold: float, min_overlap: float) -> dict[tuple[int, int], tuple]:
+    """(text, item): score, question overlap, answer overlap and start of the best passage that is verified."""
+    best: dict[tuple[int, int], tuple] = {}
+    for row, item, score, start, passage in search(index, [words_of(t) for t in texts], threshold):
+        shingles = _shingles(passage)
+        q, a = (overlap(p, shingles, passage) for p in index.parts[item])
+        if min(q, a) >= min_overlap - 1e-9 and ((row, item) not in best or score > best[row, item][0] + 1e-12):
+            best[row, item] = (float(score), q, a, start)
+    return best
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
