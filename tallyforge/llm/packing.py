@@ -8,6 +8,7 @@ with what the bin has left (both as shares of the limits).
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -23,6 +24,9 @@ from .common import save, slices, table, text_bytes
 
 END_ID = 2
 ID_BYTES = 4
+#: Byte-level vocabularies write bytes that are no visible characters as those from U+0100 on, in order.
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -37,69 +41,80 @@ class Limits:
         return np.array([self.tokens, self.segments, self.loss], dtype=np.float64)
 
 
+class _Pool:
+    """Waiting items by demand, in columns that grow by doubling."""
+
+    def __init__(self, cap: np.ndarray):
+        self.cap, self.n, self.total = cap, 0, 0
+        self.kinds: dict[tuple, int] = {}
+        self.waiting: list[list] = []
+        self.left = np.zeros(64, dtype=np.int64)
+        self.demand = np.zeros((3, 64))
+        self.share = np.zeros((3, 64))
+
+    def put(self, demand: tuple, item: tuple) -> None:
+        k = self.kinds.get(demand)
+        if k is None:
+            if self.n == len(self.left):
+                self.left = np.concatenate([self.left, np.zeros_like(self.left)])
+                self.demand = np.concatenate([self.demand, np.zeros_like(self.demand)], axis=1)
+                self.share = np.concatenate([self.share, np.zeros_like(self.share)], axis=1)
+            k = self.kinds[demand] = self.n
+            self.demand[:, k] = demand
+            self.share[:, k] = demand / self.cap / self.cap
+            self.waiting.append([])
+            self.n += 1
+        self.waiting[k].append(item)
+        self.left[k] += 1
+        self.total += 1
+
+    def take(self, k: int) -> tuple:
+        self.left[k] -= 1
+        self.total -= 1
+        return self.waiting[k].pop()
+
+    def best(self, room: np.ndarray) -> int:
+        """The kind that fits with the largest dot product of demand and room; -1 if none fits."""
+        n = self.n
+        tokens, segments, loss = self.demand[:, :n]
+        fits = np.flatnonzero((self.left[:n] > 0) & (tokens <= room[0]) & (segments <= room[1]) & (loss <= room[2]))
+        return int(fits[(room @ self.share[:, fits]).argmax()]) if len(fits) else -1
+
+    def longest(self) -> int:
+        return int(np.where(self.left[: self.n] > 0, self.demand[0, : self.n], -1.0).argmax())
+
+
 def fill_bins(demands: np.ndarray, limits: Limits, cut=None):
     """Yields bins as lists of (item, start, length of the cut or None).
 
     demands: rows of (tokens, segments, loss). Items beyond the limits must have been cut before.
     cut: a function (tokens of a piece) -> its demand; given it, an item that does not fit whole is cut
-    to fill the bin, and its rest waits for the next bins. Equal demands are taken in order.
+    to fill the bin, and its rest waits for the next bins. Equal demands are taken last in, first out.
     """
     cap = limits.vector()
-    kinds: dict[tuple, int] = {}
-    waiting: list[list] = []
-    rows: list[tuple] = []
-
-    def put(demand: tuple, item: tuple) -> None:
-        k = kinds.get(demand)
-        if k is None:
-            k = kinds[demand] = len(rows)
-            rows.append(demand)
-            waiting.append([])
-            grow.append(demand)
-        waiting[k].append(item)
-
-    grow: list[tuple] = []
+    pool = _Pool(cap)
     for i, d in enumerate(demands.tolist()):
-        put(tuple(d), (i, 0))
-    table_ = np.array(rows, dtype=np.float64).reshape(-1, 3)
-    left = np.array([len(w) for w in waiting])
-    grow.clear()
-    for w in waiting:
-        w.reverse()
-    share = table_ / cap / cap
-    total = int(left.sum())
-    while total:
+        pool.put(tuple(d), (i, 0))
+    while pool.total:
         room, members = cap.copy(), []
-        while total:
-            fits = (left > 0) & (table_ <= room).all(axis=1)
-            if fits.any():
-                k = int(np.where(fits, share @ room, -1.0).argmax())
-                item, start = waiting[k].pop()
-                left[k] -= 1
-                total -= 1
-                members.append((item, start, None))
-                room -= table_[k]
+        while pool.total:
+            k = pool.best(room)
+            if k >= 0:
+                members.append((*pool.take(k), None))
+                room -= pool.demand[:, k]
                 continue
             if cut is None or room[0] < 1 or room[1] < 1:
                 break
-            k = int(np.where(left > 0, table_[:, 0], -1.0).argmax())
-            head = int(min(room[0], table_[k, 0] - 1))
+            k = pool.longest()
+            whole = int(pool.demand[0, k])
+            head = int(min(room[0], whole - 1))
             need = np.array(cut(head), dtype=np.float64)
             if head < 1 or (need > room).any():
                 break
-            item, start = waiting[k].pop()
-            left[k] -= 1
+            item, start = pool.take(k)
             members.append((item, start, head))
             room -= need
-            rest = tuple(float(x) for x in cut(int(table_[k, 0]) - head))
-            put(rest, (item, start + head))
-            if grow:
-                table_ = np.vstack([table_, grow])
-                share = table_ / cap / cap
-                left = np.append(left, [1] * len(grow))
-                grow.clear()
-            else:
-                left[kinds[rest]] += 1
+            pool.put(tuple(float(x) for x in cut(whole - head)), (item, start + head))
         yield members
 
 
@@ -108,34 +123,46 @@ def piece_demand(tokens: int) -> tuple[int, int, int]:
     return tokens, 1, tokens - 1
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of words as bytes. The tokenizer drops white space and never merges across it, so that a
     text's ids are those of its words in order; words seen before come from a bounded table."""
 
-    def __init__(self, file: str, most: int = 600_000):
+    def __init__(self, file: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(file), most, {}
-        self.marks = {m: self._encode([m])[0] for m in (b".", b",")}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        super().__init__()
+        self.tokenizer, self.most = Tokenizer.from_file(file), most
+        self.model = self.tokenizer.model
+
+    def _learn(self, words: set[bytes]) -> None:
+        # the tokenizer parts letters from marks: "thing." is "thing" and "."
+        marked = {w: s for w in words if (s := w.rstrip(_MARKS)) and s != w and s.decode()[-1].isalpha()}
+        plain = (words - marked.keys()) | ({x for w, s in marked.items() for x in (s, w[len(s) :])} - self.keys())
+        hard = []
+        for w in plain:
+            text = w.decode()
+            # what normalisers and pre-tokenizers leave as it is goes to the model directly
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                self[w] = np.array([t.id for t in self.model.tokenize(text if text.isascii() else w.decode("latin-1").translate(_BYTE_CHARS))], dtype="<u4").tobytes()
+            else:
+                hard.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)
+        self.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(hard, found, strict=True))
+        self.update((w, self[s] + self[w[len(s) :]]) for w, s in marked.items())
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        known, marks = self.known, self.marks
-        if len(known) > self.most:
-            known.clear()
-        split = [t.lower().split() for t in texts]  # lower-cases A-Z, which the tokenizer does itself
-        new = {w for words in split for w in words if w not in known}
-        # "thing." is "thing" and "."; so fewer words need the tokenizer
-        marked = {w for w in new if w[-1:] in marks and w[-2:-1].isalpha()}
-        plain = list((new - marked) | {s for w in marked if (s := w[:-1]) not in known})
-        known.update(zip(plain, self._encode(plain), strict=True))
-        known.update((w, known[w[:-1]] + marks[w[-1:]]) for w in marked)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self) > self.most:
+            self.clear()
+        get = self.get
+        split = [t.lower().split() for t in texts]  # lower-cases A-Z, as the tokenizer does
+        ids = [list(map(get, words)) for words in split]
+        short = [k for k, x in enumerate(ids) if None in x]
+        if short:
+            self._learn({w for k in short for w, x in zip(split[k], ids[k], strict=True) if x is None})
+            for k in short:
+                ids[k] = map(get, split[k])
+        return [b"".join(x) for x in ids]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -217,8 +244,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, limits: Limits = Limits
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FIRST.types, strict=True)], schema=_FIRST)
 
         for batch in slices(batches):
-            ids = words(text_bytes(batch.column("text")))
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), words(text_bytes(batch.column("text"))), strict=True):
                 x += end
                 n = len(x) // ID_BYTES
                 pool.append((doc_id, 0, x, n))
