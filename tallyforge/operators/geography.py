@@ -54,6 +54,26 @@ def dedupe_associations(rows: DataFrame, existing: DataFrame, left: str, right:
     return good.join(existing.where("is_active").select(left, right, "dataset_id"), [left, right, "dataset_id"], "left_anti")
 
 
+def resolve_alias_targets(rows: DataFrame, counties: DataFrame, places: DataFrame, postals: DataFrame) -> DataFrame:
+    """Rows (alias, target_type, target, state_code) with the id of their county, place or postal area; others go.
+
+    counties, places: (id, state_code, name); postals: (postal_id, postal_code). The lowest id stands for equal names."""
+    name = canonical_name(F.col("target"), "place")
+    rows = rows.withColumn("_name", F.when(F.col("target_type") == "COUNTY", canonical_name(F.col("target"), "county")).otherwise(name))
+    for kind, table, to in (("COUNTY", counties, "county_id"), ("PLACE", places, "place_id")):
+        ids = table.groupBy("state_code", F.col("name").alias("_name")).agg(F.min("id").alias(to)).withColumn("target_type", F.lit(kind))
+        rows = rows.join(ids, ["state_code", "_name", "target_type"], "left")
+    zips = postals.groupBy(F.col("postal_code").alias("_name")).agg(F.min("postal_id").alias("postal_id")).withColumn("target_type", F.lit("POSTAL"))
+    rows = rows.join(zips, ["_name", "target_type"], "left").drop("_name")
+    return rows.where(F.coalesce("county_id", "place_id", "postal_id").isNotNull())
+
+
+def flip_reference(rows: DataFrame, batch_ids: DataFrame, active: bool) -> DataFrame:
+    """Rollback (active False) or restore of everything that came with the batches."""
+    hit = batch_ids.select("import_batch_id").distinct().withColumn("_hit", F.lit(True))
+    return rows.join(hit, "import_batch_id", "left").withColumn("is_active", F.when(F.col("_hit"), F.lit(active)).otherwise(F.col("is_active"))).select(rows.columns)
+
+
 def activate_dataset(datasets: DataFrame, dataset_id) -> DataFrame:
     """The dataset is active, other active ones of its type are superseded."""
     kind = datasets.where(F.col("dataset_id") == dataset_id).select(F.col("dataset_type").alias("_type"))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import normalize_name
+
 LEVELS = ["LOW", "MEDIUM", "HIGH"]
 EVIDENCE = ["suffix", "middle", "employer", "occupation"]
 
@@ -198,3 +200,19 @@ def apply_verifications(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rows = decisions.withColumn("reason", reason)
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
+def reclassify_entities(entities: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, rejected decisions) of type corrections (entity_id, new_type, reason).
+
+    A person gets name parts from display_name; anything else loses them, and membership_status becomes UNKNOWN.
+    A decision without a reason is rejected."""
+    good = F.coalesce(F.trim("reason"), F.lit("")) != ""
+    d = decisions.where(good).groupBy("entity_id").agg(F.max("new_type").alias("_type"))
+    rows = entities.join(d, "entity_id", "left").withColumn("_p", normalize_name(F.col("display_name")))
+    person = F.col("_type") == "INDIVIDUAL"
+    none = F.lit(None).cast("string")
+    parts = {f"{c}_name": F.when(person, F.col(f"_p.{c}")).when(F.col("_type").isNotNull(), none).otherwise(F.col(f"{c}_name")) for c in ("first", "middle", "last")}
+    status = F.when(F.col("_type").isNotNull() & ~person, "UNKNOWN").otherwise(F.col("membership_status"))
+    out = rows.withColumns(parts | {"membership_status": status, "entity_type": F.coalesce("_type", "entity_type")})
+    return out.select(entities.columns), decisions.where(~good)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,6 +228,23 @@ def audit_matrix(states: DataFrame) -> DataFrame:
     return met.groupBy("entity_id").agg(F.coalesce(F.min("matrix_id"), F.lit("UNMATCHED")).alias("matrix_id"))
 
 
+# Combinations that no state may have: field -> values.
+REJECTED = {
+    "R01": {"calculated_status": ["ACTIVE"], "membership_authority": ["PROVISIONAL", "INELIGIBLE"]},
+    "R02": {"calculated_status": ["ACTIVE"], "recurrence_pattern_status": ["INSUFFICIENT_HISTORY"]},
+    "R03": {"calculated_status": ["PROVISIONAL"], "membership_authority": ["AUTHORITATIVE"]},
+    "R04": {"entity_type": ["ORGANIZATION", "JOINT", "UNKNOWN"], "membership_authority": ["AUTHORITATIVE", "PROVISIONAL"]},
+    "R05": {"verification_status": ["UNVERIFIED"], "membership_authority": ["AUTHORITATIVE"]},
+    "R06": {"calculated_status": ["ACTIVE", "PREVIOUSLY_RECURRING", "LAPSED"], "recurrence_pattern_status": ["INSUFFICIENT_HISTORY"]},
+}
+
+
+def rejected_combinations(states: DataFrame) -> DataFrame:
+    """(entity_id, rule_id) for every rule that a state breaks."""
+    hit = [F.when(reduce(lambda a, b: a & b, [F.col(f).isin(v) for f, v in fields.items()]), F.lit(k)) for k, fields in REJECTED.items()]
+    return states.select("entity_id", F.explode(F.array_compact(F.array(*hit))).alias("rule_id"))
+
+
 DIFF_FIELDS = ["calculated_status", "recurrence_pattern_status", "membership_authority", "recurring_amount", "payment_interval", "verification_status"]
 
 

@@ -347,6 +347,52 @@ def membership_audit_matrix(entities, payments):
     return membership.audit_matrix(_states(entities, payments))
 
 
+@query(
+    "assessments",
+    "entities",
+    oracle="""with x as (select assessment_id as entity_id, entity_type, verification_status, calculated_status, case a.assessment_id % 2 when 0 then 'INSUFFICIENT_HISTORY' else 'RECURRING_PATTERN' end as p,
+      case a.assessment_id % 3 when 1 then 'AUTHORITATIVE' else 'PROVISIONAL' end as u from assessments a join entities e on a.entity_id = e.entity_id)
+     select entity_id, 'R01' as rule_id from x where calculated_status = 'ACTIVE' and u = 'PROVISIONAL' union all select entity_id, 'R02' from x where calculated_status = 'ACTIVE' and p = 'INSUFFICIENT_HISTORY'
+     union all select entity_id, 'R03' from x where calculated_status = 'PROVISIONAL' and u = 'AUTHORITATIVE' union all select entity_id, 'R04' from x where entity_type <> 'INDIVIDUAL'
+     union all select entity_id, 'R05' from x where verification_status = 'UNVERIFIED' and u = 'AUTHORITATIVE' union all select entity_id, 'R06' from x where calculated_status in ('ACTIVE', 'LAPSED') and p = 'INSUFFICIENT_HISTORY'""",
+)
+def membership_rejected(assessments, entities):
+    """Over stored rows with patterns and authorities by id; each row counts as an entity of its own."""
+    rows = assessments.join(entities.select("entity_id", "entity_type", "verification_status"), "entity_id").withColumns(
+        {
+            "entity_id": F.col("assessment_id"),
+            "recurrence_pattern_status": F.when(F.col("assessment_id") % 2 == 0, "INSUFFICIENT_HISTORY").otherwise("RECURRING_PATTERN"),
+            "membership_authority": F.when(F.col("assessment_id") % 3 == 1, "AUTHORITATIVE").otherwise("PROVISIONAL"),
+        }
+    )
+    return membership.rejected_combinations(rows)
+
+
+@query(
+    "entities",
+    oracle="""select entity_id, case when entity_id % 6 = 1 then 'ORGANIZATION' else entity_type end as entity_type, case when entity_id % 6 = 1 then null else 'x' end as first_name,
+     case when entity_id % 6 = 1 then 'UNKNOWN' else 'ACTIVE' end as membership_status from entities""",
+)
+def identity_reclassify(entities):
+    """A sixth of the entities are corrected to organisations."""
+    own = entities.withColumns({c: F.lit("x") for c in ("first_name", "middle_name", "last_name")} | {"membership_status": F.lit("ACTIVE")})
+    decisions = entities.where("entity_id % 6 = 1").select("entity_id", F.lit("ORGANIZATION").alias("new_type"), F.lit("named like one").alias("reason"))
+    return identity.reclassify_entities(own, decisions)[0].select("entity_id", "entity_type", "first_name", "membership_status")
+
+
+@query(
+    "aliases",
+    "places",
+    "postal",
+    oracle="select a.alias, p.place_id from aliases a join places p on a.place_id = p.place_id",
+)
+def geography_alias_targets(aliases, places, postal):
+    """Aliases by the names of their places."""
+    named = places.select(F.col("place_id").alias("id"), "state_code", "name")
+    wanted = aliases.select("alias", F.lit("PLACE").alias("target_type"), F.concat(F.lit("nation_"), F.col("place_id")).alias("target"), F.lit("CA").alias("state_code"))
+    return geography.resolve_alias_targets(wanted, named.where("false"), named, postal).select("alias", "place_id")
+
+
 _LATEST = "latest as (select * exclude (rk) from (select *, row_number() over (partition by entity_id order by calculation_date desc, assessment_id desc) as rk from assessments) as x where rk = 1)"
 
 
