@@ -22,57 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, release, save, slices, table, text_bytes
+from .common import drop, mix64, release, rolling, save, slices, table, text_bytes
 
 GRAM = 64
 _STEP = 1 << 20
 _MOST = 4 << 20
 _POSITION = np.uint64((1 << 24) - 1)
-_BASE = 0x9E3779B97F4A7C15
 #: Segments of one gram compared in one task; more of them go through a shuffle of window hashes.
 _TOGETHER = 2000
 
 
-class Rolling:
-    """Polynomial hashes (mod 2^64) of any substring of a buffer, from prefix sums."""
-
-    def __init__(self):
-        rng = np.random.default_rng(200)
-        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.power = self.inverse = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) <= n:
-            size = 1 << int(n + 1).bit_length()
-            for name, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def prefix(self, buffer: np.ndarray) -> np.ndarray:
-        self._grow(len(buffer))
-        out = np.zeros(len(buffer) + 1, dtype=np.uint64)
-        np.cumsum(self.value[buffer] * self.power[: len(buffer)], out=out[1:])
-        return out
-
-    def of(self, prefix: np.ndarray, start: np.ndarray, length) -> np.ndarray:
-        return (prefix[start + length] - prefix[start]) * self.inverse[start]
-
-    def all(self, prefix: np.ndarray, length: int) -> np.ndarray:
-        """Of every substring of this length, in order."""
-        n = len(prefix) - length
-        return (prefix[length:] - prefix[:n]) * self.inverse[:n]
-
-
-_rolling: list[Rolling] = []
-
-
-def rolling() -> Rolling:
-    if not _rolling:
-        _rolling.append(Rolling())
-    return _rolling[0]
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of width values, from block-wise running minima."""
     n = len(x)
@@ -232,7 +191,10 @@ def repeated_spans(rows: DataFrame, width: int = 200) -> DataFrame:
     spark = rows.sparkSession
     all_ = save(find_segments(rows, width), "segments")
     grams = all_.groupBy("key").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1")
-    met = save(all_.join(grams.select("key", (F.col("a") != F.col("b")).alias("mixed")), "key"), "segments-met")
+    grams = save(grams.select("key", (F.col("a") != F.col("b")).alias("mixed")), "grams-met")
+    release(spark)
+    met = save(all_.join(grams, "key"), "segments-met")
+    drop(all_, grams)
     release(spark)
     kinds = save(
         met.groupBy("key", "seg").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("rid", "lo", "hi")).alias("one")), "segment-kinds"
@@ -246,15 +208,16 @@ def repeated_spans(rows: DataFrame, width: int = 200) -> DataFrame:
     few = cut.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     hot = cut.join(many, "key", "left_semi")
     spans = save(whole.unionByName(_compare_sorted(few, width)).unionByName(_compare_shuffled(hot, width)), "repeated-spans")
+    drop(met, kinds, cut)
     release(spark)
     return spans
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Removes from each text the bytes of all strings of `width` bytes that also start anywhere else.
 
     Returns the columns of docs (but the text) and n_bytes, n_removed, n_spans (maximal removed runs)
-    and kept (the remaining bytes). Strings are judged on the input, within and across documents, and
+    and kept: the remaining bytes, or with as_text the text they spell, less characters cut in two. Strings are judged on the input, within and across documents, and
     never across a document's end. Null text is empty; texts under `width` bytes stay; equal rows count
     as two places, so both lose what they share; ids may repeat or be null; an empty table gives no rows.
     """
@@ -265,7 +228,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     joined = rows.join(of_row, rows[rid] == of_row["rid"], "left").drop("rid", rid)
     names = [c for c in joined.columns if c not in ("_text", "_spans")]
     ddl = joined.select(*names).schema
-    out_schema = ddl.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    out_schema = ddl.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
 
     def apply(batches):
         for batch in slices(batches):
@@ -280,11 +243,11 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
                     end = at = max(end, e)
                 parts.append(text[at:])
                 x = b"".join(parts)
-                kept.append(x)
+                kept.append(x.decode("utf-8", "ignore") if as_text else x)
                 runs.append(k)
                 sizes.append(len(text))
                 removed.append(len(text) - len(x))
-            cols = [batch.column(c) for c in names] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
+            cols = [batch.column(c) for c in names] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(apply, out_schema)
