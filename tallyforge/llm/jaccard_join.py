@@ -25,22 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from xxhash import xxh3_64_intdigest
 
-from .common import WordHashes, release, save, shingle_hashes, slices, table, text_bytes
+from .common import batch_shingles, drop, release, save, slices, table, text_bytes
 from .components import components
 
 _CHUNK = 4_000_000
-_words: list[WordHashes] = []
-
-
-def _word_hashes() -> WordHashes:
-    if not _words:
-        _words.append(WordHashes())
-    return _words[0]
-
-
-def text_set(text: bytes, n: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(_word_hashes()(text.lower().split()), n))
+def text_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    return [np.unique(s) for s in batch_shingles(texts, n)]
 
 
 def _node(shingles: np.ndarray) -> int | None:
@@ -51,11 +42,11 @@ _DOC = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document, and rows (shingle, times) of those that a task found in three nodes or more."""
+    """A row for each document, and rows (shingle, times) of those that a task found in several nodes."""
 
     def frequent(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        found, times = found[times > 2].view(np.int64), times[times > 2]
+        found, times = found[times > 1].view(np.int64), times[times > 1]
         none = pa.nulls(len(found), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(found), pa.array(times)], schema=_DOC)
 
@@ -63,8 +54,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
         sets, held = {}, 0
         for batch in slices(batches):
             sizes, nodes = [], []
-            for text in text_bytes(batch.column("text")):
-                s = text_set(text, n)
+            for s in text_sets(text_bytes(batch.column("text")), n):
                 node = _node(s)
                 sizes.append(len(s))
                 nodes.append(node)
@@ -83,17 +73,17 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """Rows (pivot, node) of each node's first shingles; common ones are last in the order."""
-    schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64())])
+    """Rows (pivot, node) of each node's first shingles, common ones last; and a row (node, size, last, bits) of
+    each node: its size, its last pivot, and a bitmap of its pivots."""
+    schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("last", pa.int64()), ("bits", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast((common, levels))  # at most COMMON_MOST entries
 
     def scan(batches):
         common_, levels_ = shared.value
         seen: set[int] = set()
         for batch in slices(batches):
-            pivots, nodes = [], []
-            for text in text_bytes(batch.column("text")):
-                s = text_set(text, n)
+            pivots, nodes, about = [], [], []
+            for s in text_sets(text_bytes(batch.column("text")), n):
                 node = _node(s)
                 if node is None or node in seen:
                     continue
@@ -104,27 +94,74 @@ def _prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray, levels:
                     at = np.minimum(np.searchsorted(common_, s), len(common_) - 1)
                     order = order | (np.where(common_[at] == s, levels_[at], 0).astype(np.uint64) << np.uint64(58))
                 k = len(s) - -(-percent * len(s) // 100) + 1
-                pivots.append(s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s)
-                nodes.append(np.full(len(pivots[-1]), node, dtype=np.int64))
+                own = np.sort(np.partition(order, k - 1)[:k] if k < len(s) else order)
+                bits = np.zeros(64 << int(len(own) // 8).bit_length(), dtype=bool)  # over 8 bits a pivot
+                bits[own & np.uint64(len(bits) - 1)] = True
+                pivots.append(own)
+                nodes.append(np.full(len(own), node, dtype=np.int64))
+                about.append((node, len(s), int(own[-1]), np.packbits(bits).tobytes()))
             if pivots:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.concatenate(nodes))], schema=schema)
+                pivots, nodes = np.concatenate(pivots).view(np.int64), np.concatenate(nodes)
+                none = [pa.nulls(len(nodes), t) for t in schema.types[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(pivots), pa.array(nodes), *none], schema=schema)
+                cols = list(zip(*about, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(about), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True))], schema=schema)
 
-    return docs.mapInArrow(scan, "pivot long, node long")
+    return docs.mapInArrow(scan, "pivot long, node long, size int, last long, bits binary")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def scan(batches):
         for batch in slices(batches):
-            sets = [text_set(t, n).view(np.int64) for t in text_bytes(batch.column("text"))]
+            sets = [s.view(np.int64) for s in text_sets(text_bytes(batch.column("text")), n)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return docs.mapInArrow(scan, "node long, set array<long>")
 
 
+def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) less those that cannot be linked, as their first shingles prove.
+
+    Of the node whose pivots end first, all shingles up to there are known; the two share no more of these than
+    their bitmaps (and the pivots lost in one) allow, and no more of the others than that node has.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    cols = ("size", "last", "bits")
+    both = pairs.join(about.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in cols)), "a")
+    both = both.join(about.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in cols)), "b")
+    both = both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+
+    def bound(a: bytes, b: bytes, k_a: int, k_b: int) -> int:
+        """How many pivots two nodes share at most."""
+        x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+        # places are low bits of the pivot, so that halves of the longer map lie on the shorter one
+        while len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+        lost = min(k_a - int(np.bitwise_count(x).sum()), k_b - int(np.bitwise_count(y).sum()))
+        return int(np.bitwise_count(x & y).sum()) + lost
+
+    def test(batches):
+        for batch in batches:
+            size, last = ([batch.column(f"{c}_{x}").to_pylist() for x in "ab"] for c in ("size", "last"))
+            bits = [batch.column(f"bits_{x}").to_pylist() for x in "ab"]
+            fine = []
+            for n_a, n_b, l_a, l_b, b_a, b_b in zip(*size, *last, *bits, strict=True):
+                k_a, k_b = (n - -(-percent * n // 100) + 1 for n in (n_a, n_b))
+                rest = n_a - k_a if l_a <= l_b else n_b - k_b
+                need = percent * (n_a + n_b) / (100 + percent)
+                fine.append(min(k_a, k_b) + rest >= need and (rest >= need or bound(b_a, b_b, k_a, k_b) + rest >= need))
+            fine = pa.array(fine, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(fine), batch.column("b").filter(fine)], schema=schema)
+
+    return both.select("a", "b", *(f"{c}_{x}" for c in cols for x in "ab")).mapInArrow(test, "a long, b long")
+
+
 #: Length of the list of common shingles that tasks get; it only orders them, so results don't depend on it.
 COMMON_MOST = 1 << 18
 #: Comparisons of one region in one round, about.
-_ROUND = 4000
+_ROUND = 2_000_000
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -139,10 +176,19 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _join_regions(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) that connect all nodes which chains of links inside regions (region, node) connect."""
+def _join_regions(regions: DataFrame, about: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links (a, b) that connect all nodes which chains of links inside regions (region, node) connect.
+
+    sets_of: a function (nodes) -> their shingle sets (node, set).
+    """
     radius = 1 - percent / 100
+    # of a node's first shingles only those of a region can be among another node's that end later
+    first = F.col("size") - F.ceil(percent * F.col("size") / 100) + 1
+    met = regions.groupBy("node").agg(F.count("*").alias("_met"))
+    about = save(about.join(met, "node").withColumns({"n": F.col("size"), "cap": F.col("_met") + F.col("size") - first}).drop("_met"), "nodes")
+    regions = regions.join(about.select("node", "n", "last", "cap"), "node")
     tested: DataFrame | None = None
+    sets: DataFrame | None = None
     labels: DataFrame | None = None
     turn = 0
     while True:
@@ -154,49 +200,65 @@ def _join_regions(regions: DataFrame, sets: DataFrame, percent: int) -> DataFram
         open_ = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first")).where("lo != hi")
         rows = rows.join(open_.select("region", "size", "first"), "region")
         if turn == 1:
-            pivots = open_.select("region", F.col("first").alias("pivot"), F.col("first").alias("pivot_comp"), F.lit(1).alias("rank"), F.lit(False).alias("last"))
+            pivots = open_.select("region", F.col("first").alias("pivot"), F.col("first").alias("pivot_comp"), F.lit(1).alias("rank"), F.lit(False).alias("final"))
         else:
             counts = rows.groupBy("region", "comp").agg(F.count("*").alias("k"))
             largest = counts.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("big"))
             outside = rows.join(counts, ["region", "comp"]).join(largest, "region").where("comp != big.comp")
             ranked = outside.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy("k", F.xxhash64("node"), "node")))
-            most = F.greatest(F.lit(16), (F.lit(_ROUND) / F.col("size")).cast("int"))
+            # a large group mostly falls together around a few pivots, so that their number grows from turn to turn
+            most = F.when(F.col("size") <= 64, 64).otherwise(F.least(F.lit(4 ** (2 * turn - 3)), F.greatest(F.lit(16), (F.lit(_ROUND) / F.col("size")).cast("int"))))
             left_over = F.count("*").over(Window.partitionBy("region"))
             pivots = (
                 ranked.withColumns({"most": most, "outside": left_over})
                 .where("rank <= most")
-                .select("region", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), "rank", (F.col("outside") <= F.col("most")).alias("last"))
+                .select("region", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), "rank", (F.col("outside") <= F.col("most")).alias("final"))
             )
+        pivots = pivots.join(about.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in ("n", "last", "cap"))), "pivot")
         rows, pivots = save(rows, "region-rows"), save(pivots, "region-pivots")
+        # of the node whose pivots end first, no more than cap shingles are in the other
+        cap = F.when(F.col("last") <= F.col("pivot_last"), F.col("cap")).otherwise(F.col("pivot_cap"))
+        near_enough = (100 + percent) * cap >= percent * (F.col("n") + F.col("pivot_n"))
         pairs = (
             rows.join(pivots, "region")
             .where("comp != pivot_comp")
+            .where(near_enough & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
             .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
             .distinct()
         )
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = save(_possible(pairs, about, percent), "possible-pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            nodes = save(nodes.join(sets.select("node"), "node", "left_anti"), "set-nodes")
+        if sets is None or nodes.take(1):
+            more = save(sets_of(nodes), "sets")
+            sets = more if sets is None else sets.unionByName(more)
+            release(regions.sparkSession)
         new = save(_compare(pairs, sets, percent), "pairs")
-        tested = new if tested is None else save(tested.unionByName(new), "pairs")
+        tested = new if tested is None else tested.unionByName(new)
         links = tested.where("linked").select("a", "b")
         if not pivots.take(1):
             return links
         labels = components(links)
         if turn == 1:
-            regions = rows.select("region", "node")
+            regions = rows.select("region", "node", "n", "last", "cap")
             continue
         # pivots are done; what is left of large regions falls into two cells around the first pivot
-        going = pivots.where("rank = 1 and not last").select("region", F.col("pivot").alias("center"))
+        going = pivots.where("rank = 1 and not final").select("region", F.col("pivot").alias("center"))
         done = pivots.select("region", F.col("pivot").alias("node"))
-        rest = rows.select("region", "node").join(going, "region").join(done, ["region", "node"], "left_anti")
+        rest = rows.select("region", "node", "n", "last", "cap").join(going, "region").join(done, ["region", "node"], "left_anti")
         near = rest.withColumns({"a": F.least("center", "node"), "b": F.greatest("center", "node")}).join(tested.select("a", "b", "distance"), ["a", "b"], "left")
+        # a distance that was proven too large, and not computed, is somewhere over the radius
+        near = near.withColumn("split", 2 * F.count("distance").over(Window.partitionBy("region")) > F.count("*").over(Window.partitionBy("region")))
         cells = F.array_compact(
             F.array(
-                F.when(F.coalesce(F.col("distance") <= 0.5 + radius / 2 + 1e-9, F.lit(True)), F.lit(0)),
-                F.when(F.coalesce(F.col("distance") >= 0.5 - radius / 2 - 1e-9, F.lit(True)), F.lit(1)),
+                F.when(~F.col("split") | F.coalesce(F.col("distance") <= 0.5 + radius / 2 + 1e-9, F.lit(True)), F.lit(0)),
+                F.when(F.col("split") & F.coalesce(F.col("distance") >= 0.5 - radius / 2 - 1e-9, F.lit(True)), F.lit(1)),
             )
         )
-        regions = save(near.select("region", "node", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "node"), "regions")
+        regions = save(near.select("region", "node", "n", "last", "cap", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "node", "n", "last", "cap"), "regions")
         release(regions.sparkSession)
 
 
@@ -211,25 +273,45 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = save(_scan(rows, n), "shingle-sets")
     nodes = scanned.where("times is null").select("rid", "doc_id", "n_shingles", "node")
-    ranked = scanned.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(COMMON_MOST).toPandas()
+    times = save(scanned.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times")), "common-shingles")
+    # one row for each number of times, from which the smallest follows that leaves COMMON_MOST shingles
+    kinds = sorted(((r["times"], r["n"]) for r in times.groupBy("times").agg(F.count("*").alias("n")).collect()), reverse=True)
+    most = np.cumsum([n for _, n in kinds])
+    enough = int(np.searchsorted(most, COMMON_MOST, "right"))
+    least = kinds[enough - 1][0] if enough else (kinds[0][0] + 1 if kinds else 0)
+    ranked = times.where(F.col("times") >= least).toPandas()
+    drop(times)
     ranked = ranked.assign(shingle=ranked["shingle"].to_numpy(dtype=np.int64).view(np.uint64)).sort_values("shingle")
-    levels = np.minimum(np.log2(np.maximum(ranked["times"].to_numpy(dtype=np.float64), 1)).astype(np.int64), 63)
+    levels = np.minimum(np.log2(np.maximum(ranked["times"].to_numpy(dtype=np.float64), 1)).astype(np.int64), 31)
     prefixes = save(_prefixes(rows, n, percent, ranked["shingle"].to_numpy(dtype=np.uint64), levels), "prefixes")
-    shared = save(prefixes.groupBy("pivot").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("pivot"), "shared-pivots")
+    pivots = prefixes.where("pivot is not null").select("pivot", "node")
+    shared = save(pivots.groupBy("pivot").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("pivot"), "shared-pivots")
     release(spark)
-    regions = save(prefixes.join(shared, "pivot", "left_semi").select(F.col("pivot").alias("region"), "node").distinct(), "regions")
+    regions = save(pivots.join(shared, "pivot", "left_semi").select(F.col("pivot").alias("region"), "node").distinct(), "regions")
     release(spark)
-    active = regions.select("node").distinct()
-    owners = nodes.join(active, "node").groupBy("node").agg(F.min("rid").alias("rid"))
-    sets = save(_sets(rows.select("rid", "text").join(owners, "rid").select("node", "text"), n), "sets")
+    about = save(
+        prefixes.where("pivot is null").join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(*(F.min(c).alias(c) for c in ("size", "last", "bits"))), "nodes"
+    )
+    drop(prefixes, shared)
     release(spark)
-    links = _join_regions(regions, sets, percent)
+    owners = save(nodes.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid")), "owners")
+    links = _join_regions(regions, about, lambda own: _sets(rows.select("rid", "text").join(owners.join(own, "node"), "rid").select("node", "text"), n), percent)
     labels = components(links).withColumnRenamed("comp", "root")
     rooted = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(smallest, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """docs without the documents that are linked, directly or by others, with one of a smaller id.
+
+    Documents without words stay. Rows of one id stay or go together; rows with a null id stay.
+    """
+    found = jaccard_components(docs, n, percent)
+    gone = save(found.where("doc_id != component_id").select("doc_id").distinct(), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 75 % of five-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
