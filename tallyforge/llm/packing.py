@@ -125,7 +125,8 @@ def piece_demand(tokens: int) -> tuple[int, int, int]:
 
 class WordIds(dict):
     """Ids of words as bytes. The tokenizer drops white space and never merges across it, so that a
-    text's ids are those of its words in order; words seen before come from a bounded table."""
+    text's ids are those of its words in order; words seen before come from a bounded table. Added tokens are
+    matched before words are parted: texts that may hold one are encoded whole, as they are."""
 
     def __init__(self, file: str, most: int = 800_000):
         from tokenizers import Tokenizer
@@ -134,6 +135,9 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(file), most
         self.model = self.tokenizer.model
+        # the marks that an added token begins with, which no normaliser changes; or all of it in lower case
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = sorted({x[: len(x) - len(x.lstrip(_MARKS))] or x.lower() for x in added})
 
     def _learn(self, words: set[bytes]) -> None:
         # the tokenizer parts letters from marks: "thing." is "thing" and "."
@@ -155,14 +159,22 @@ class WordIds(dict):
         if len(self) > self.most:
             self.clear()
         get = self.get
-        split = [t.lower().split() for t in texts]  # lower-cases A-Z, as the tokenizer does
+        lower = [t.lower() for t in texts]  # A-Z, as the tokenizer does
+        split = [t.split() for t in lower]
+        whole = [k for k, t in enumerate(lower) if any(x in t for x in self.added)]
+        for k in whole:
+            split[k] = []
         ids = [list(map(get, words)) for words in split]
         short = [k for k, x in enumerate(ids) if None in x]
         if short:
             self._learn({w for k in short for w, x in zip(split[k], ids[k], strict=True) if x is None})
             for k in short:
                 ids[k] = map(get, split[k])
-        return [b"".join(x) for x in ids]
+        out = [b"".join(x) for x in ids]
+        found = self.tokenizer.encode_batch_fast([texts[k].decode() for k in whole], add_special_tokens=False)
+        for k, e in zip(whole, found, strict=True):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
 
 _word_ids: dict[str, WordIds] = {}

@@ -107,6 +107,20 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing, file).count() == 0
 
 
+def test_words_with_added_tokens_get_the_tokenizers_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(file)
+    end = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    texts = [f(x) for t in end for x in (t, t.upper(), t.title()) for f in (str, "x.{}".format, "{}y".format, "One {} two".format, "a{0}{0} é {0}.".format, " \n{}\t".format)]
+    texts += ["x <| y |> z", "plain words.", "", "<", "|"]
+    got = packing.WordIds(file)([t.encode() for t in texts])
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_of_examples_keeps_all_limits(spark):
     rng = random.Random(1)
     rows = [(str(i), rng.randint(1, 900), rng.randint(1, 6), rng.randint(0, 400)) for i in range(300)] + [("huge", 5000, 1, 1), ("null", None, None, None)]
