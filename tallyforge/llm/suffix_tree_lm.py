@@ -1,7 +1,7 @@
 """Operator 3, LM scoring: a probabilistic suffix tree over the bytes of a text.
 
 A text is its words, each followed by a space, then one end symbol. Contexts are the last bytes, up to DEPTH. A
-context stays in the tree if it is frequent enough and its next-symbol distribution diverges from that of its own
+context stays in the tree if it occurs LEAST times and its next-symbol distribution diverges from that of its own
 suffix by more than the description of its parameters costs. Distributions are smoothed down the tree; the state at
 each symbol is the longest suffix in the tree.
 
@@ -10,6 +10,7 @@ Beside the score there is that of a unigram model of whole words; its counts cov
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_shingles, drop, fold, release, save, slices, table, text_bytes
+from .common import batch_shingles, drop, fold, mix64, release, save, slices, table, text_bytes
 
-DEPTH = 5
+DEPTH = 7
+#: Shorter contexts all stay; longer ones need this many occurrences, whatever the size of the corpus.
+SURE, LEAST = 3, 8
 END = 0x0A
 _PAD = bytes([END]) * DEPTH
-_BYTES = 2 << 20
+_BYTES = 4 << 20
 
 
 def symbols(text: bytes) -> bytes:
@@ -115,40 +118,46 @@ class SuffixTree:
         return np.add.reduceat(self.log10(codes), first)
 
 
-def grow_tree(texts: DataFrame, share: float = 2.0**-20) -> SuffixTree:
-    """The tree of texts (text); a context stays only with at least `share` of all symbols, so that there are at
-    most DEPTH / share contexts whatever the size of the corpus. Null texts are empty; without any row the tree
-    is empty and symbols are equally likely."""
-    deep = save(count_contexts(texts), "contexts")
-    total = deep.agg(F.sum("n")).first()[0] or 0
-    masks = [(1 << 8 * (k + 1)) - 1 for k in range(DEPTH + 1)]
-    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(m)).alias("pair")) for k, m in enumerate(masks)]))
-    pairs = save(deep.select(level.alias("x"), "n").groupBy("x.k", "x.pair").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("pair", 8)), "context-levels")
-    contexts = save(pairs.groupBy("k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "context-totals")
-    shorter = F.expr("cast(case k " + " ".join(f"when {k} then {masks[k - 1]}L" for k in range(1, DEPTH + 1)) + " else 0L end as bigint)")
-    own = pairs.join(contexts.where((F.col("k") > 0) & (F.col("total") >= max(share * total, 8))), ["k", "context"])
-    own = own.withColumns({"up": F.col("k") - 1, "up_pair": F.col("pair").bitwiseAND(shorter)})
-    above = pairs.join(contexts.select("k", "context", F.col("total").alias("up_total")), ["k", "context"]).select(F.col("k").alias("up"), F.col("pair").alias("up_pair"), F.col("n").alias("up_n"), "up_total")
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up_n") / F.col("up_total"))))
-    tested = own.join(above, ["up", "up_pair"]).groupBy("k", "context", "total", "kinds").agg(gain.alias("gain"))
-    kept = tested.where(F.col("gain") > 0.5 * F.col("kinds") * F.log("total")).select("k", "context")
-    # all suffixes of a context that stays, stay
-    suffixes = F.explode(F.expr("transform(sequence(0, k), j -> struct(j as k, case when j = 0 then 0L else context & (shiftleft(1L, 8 * j) - 1) end as context))"))
-    kept = save(kept.select(suffixes.alias("x")).select("x.*").union(contexts.where("k = 0").select("k", "context")).distinct(), "contexts-kept")
-    ctx = save(contexts.join(kept, ["k", "context"]), "tree-contexts")
-    nxt = save(pairs.join(kept, ["k", "context"]).select("k", "pair", "n"), "tree-pairs")
-    drop(deep, pairs, contexts, kept)
-    out = SuffixTree([], [], [], [], [])
-    for k in range(DEPTH + 1):
-        release(texts.sparkSession)  # a depth at a time, so that the driver holds little beside the tree
-        c = ctx.where(F.col("k") == k).select("context", "total", "kinds").toArrow()
-        x = nxt.where(F.col("k") == k).select("pair", "n").toArrow()
-        for table_, names, lists, kinds in ((c, ("context", "total", "kinds"), (out.contexts, out.totals, out.kinds), ("u8", "f4", "f4")), (x, ("pair", "n"), (out.pairs, out.counts), ("u8", "f4"))):
-            order = np.argsort(table_.column(names[0]).to_numpy(), kind="stable")
-            for name, to, kind in zip(names, lists, kinds, strict=True):
-                to.append(table_.column(name).to_numpy()[order].astype(kind))
-    drop(ctx, nxt)
-    return out
+def _level(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts, totals, kinds, pairs and counts of one depth, of pairs that may repeat."""
+    pairs, at = np.unique(pairs, return_inverse=True)
+    counts = np.bincount(at, weights=counts, minlength=len(pairs))
+    own = pairs >> np.uint64(8)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, dtype=np.int64)
+    totals = np.add.reduceat(counts, first) if len(own) else counts
+    return own[first], totals, np.diff(np.append(first, len(own))).astype(np.float64), pairs, counts
+
+
+def grow(codes: np.ndarray, counts: np.ndarray, low: SuffixTree | None = None) -> SuffixTree:
+    """The tree of codes; given the whole depths below SURE as `low`, codes need only be all those of some contexts of
+    SURE bytes, since deeper contexts are tested against their own suffixes alone."""
+    levels = list(zip(low.contexts, low.totals, low.kinds, low.pairs, low.counts, strict=True)) if low else []
+    start, deep = len(levels), {}
+    pairs, n = codes, counts
+    for k in range(DEPTH, start - 1, -1):
+        deep[k] = _level(pairs & np.uint64((1 << 8 * (k + 1)) - 1), n)
+        pairs, n = deep[k][3:]
+    levels += [deep[k] for k in range(start, DEPTH + 1)]
+    longer = np.zeros(0, dtype=np.uint64)
+    for k in range(DEPTH, max(start, SURE) - 1, -1):
+        contexts, totals, kinds, pairs, n = levels[k]
+        up_contexts, up_totals, _, up_pairs, up_n = levels[k - 1]
+        own = np.searchsorted(contexts, pairs >> np.uint64(8))
+        up_pair = pairs & np.uint64((1 << 8 * k) - 1)
+        above = up_n[np.searchsorted(up_pairs, up_pair)] / up_totals[np.searchsorted(up_contexts, up_pair >> np.uint64(8))]
+        gain = np.bincount(own, weights=n * np.log(n / totals[own] / above), minlength=len(contexts))
+        stays = (totals >= LEAST) & (gain > 0.5 * kinds * np.log(totals))
+        stays |= np.isin(contexts, longer & np.uint64((1 << 8 * k) - 1))  # all suffixes of a context that stays, stay
+        longer = contexts[stays]
+        levels[k] = (longer, totals[stays], kinds[stays], pairs[stays[own]], n[stays[own]])
+    return SuffixTree(*(list(x) for x in zip(*levels, strict=True)))
+
+
+def grow_tree(texts: DataFrame) -> SuffixTree:
+    """The tree of a table of texts (text) that one machine can hold, to look at; tree_scores() grows the same one in
+    parts. Null texts are empty; without any row the tree is empty and symbols are equally likely."""
+    counted = count_contexts(texts).toArrow()
+    return grow(counted.column("code").to_numpy().view(np.uint64), counted.column("n").to_numpy())
 
 
 _END_WORD = np.uint64(0x656E64)
@@ -242,19 +251,136 @@ def unigram_scores(rows: DataFrame, words_at_once: int = 1_000_000) -> DataFrame
     return joined.mapInArrow(finish, "rid long, n_known long, train_tokens long, base_score double").dropDuplicates(["rid"])
 
 
-def tree_scores(rows: DataFrame, tree: SuffixTree) -> DataFrame:
-    """The columns of rows but the text, with n_tokens and score."""
-    names = [c for c in rows.columns if c != "text"]
-    shared = rows.sparkSession.sparkContext.broadcast(tree)  # bounded by grow_tree's share
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: all first bytes, then all second ones; such text compresses well."""
+    return zlib.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+
+
+def _numbers(packed: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+_STREAMS = pa.schema([("unit", pa.int64()), ("rids", pa.binary()), ("trains", pa.binary()), ("streams", pa.binary()), ("symbols", pa.int64())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
+_SCORES = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+_LOW = np.uint64((1 << 8 * SURE) - 1)
+
+
+def _streams(rows: DataFrame) -> DataFrame:
+    """Rows of a few MB of symbols each, with their number."""
+
+    def scan(batches):
+        base, made = TaskContext.get().partitionId() << 32, 0
+        rids, trains, streams, held = [], [], [], 0
+
+        def unit():
+            lengths = np.array([len(s) for s in streams], dtype=np.int64).tobytes()
+            packed = len(streams).to_bytes(8, "little") + lengths + b"".join(streams)
+            row = [base + made, np.array(rids, dtype=np.int64).tobytes(), np.array(trains, dtype=np.int8).tobytes(), zlib.compress(packed, 1), sum(map(len, streams))]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _STREAMS.types, strict=True)], schema=_STREAMS)
+
+        for batch in slices(batches):
+            for rid, train, text in zip(batch.column("rid").to_pylist(), batch.column("train").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                rids.append(rid)
+                trains.append(train)
+                streams.append(symbols(text))
+                held += len(streams[-1])
+                if held >= _BYTES:
+                    yield unit()
+                    made, rids, trains, streams, held = made + 1, [], [], [], 0
+        if rids:
+            yield unit()
+
+    return rows.select("rid", "train", "text").mapInArrow(scan, "unit long, rids binary, trains binary, streams binary, symbols long")
+
+
+def _opened(packed: bytes) -> list[bytes]:
+    data = zlib.decompress(packed)
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 + 8 * n + np.cumsum(np.frombuffer(data, dtype=np.int64, count=n, offset=8))
+    return [data[s:e] for s, e in zip([8 + 8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
 
-    def run(batches):
-        for whole in slices(batches, 2000):
-            for begin, end, streams in _batches(whole):
-                batch = whole.slice(begin, end - begin)
-                tokens = np.array([s.count(b" ") + 1 for s in streams], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(shared.value.score(streams))], names=[*names, "n_tokens", "score"])
+def _found(streams: list[bytes], buckets: int):
+    """Different codes, dealt to buckets by their last SURE context bytes: codes in order of buckets, the buckets'
+    edges, each symbol's place in that order, and the first place of each stream."""
+    codes, first = _codes(streams)
+    found, at = np.unique(codes, return_inverse=True)
+    bucket = (mix64((found >> np.uint64(8)) & _LOW) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    edges = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+    return found[order], edges, place[at], first
 
-    return rows.mapInArrow(run, rows.select(*names).schema.add("n_tokens", "long").add("score", "double"))
+
+def tree_scores(rows: DataFrame, symbols_at_once: int = 3_000_000) -> DataFrame:
+    """(rid, n_tokens, score) of rows (rid, train, text); one row for each different rid.
+
+    Contexts that end alike meet in one task, with training counts and with the codes to be scored, so that each task
+    grows and asks its own part of the tree. Only the contexts below SURE bytes go to all tasks: at most 2^24 pairs,
+    whatever the size of the corpus.
+    """
+    units = save(_streams(rows), "symbol-units")
+    total = units.agg(F.sum("symbols")).first()[0] or 0
+    buckets = max(1, int(-(-total // symbols_at_once)))
+
+    def lows(batches):
+        for batch in batches:
+            for trains, packed in zip(batch.column("trains").to_pylist(), batch.column("streams").to_pylist(), strict=True):
+                streams = [s for s, t in zip(_opened(packed), np.frombuffer(trains, dtype=np.int8).tolist(), strict=True) if t]
+                if streams:
+                    found, n = np.unique(_codes(streams)[0] & _LOW, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["code", "n"])
+
+    counted = units.select("trains", "streams").mapInArrow(lows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    pairs, n, levels = counted.column("code").to_numpy().astype(np.uint64), counted.column("n").to_numpy(), []
+    for k in range(SURE - 1, -1, -1):
+        levels.insert(0, _level(pairs & np.uint64((1 << 8 * (k + 1)) - 1), n))
+    low = rows.sparkSession.sparkContext.broadcast(SuffixTree(*(list(x) for x in zip(*levels, strict=True))))
+
+    def deal(batches):
+        for batch in batches:
+            for unit, trains, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "trains", "streams")), strict=True):
+                streams = _opened(packed)
+                found, edges, place, _ = _found(streams, buckets)
+                weights = np.repeat(np.frombuffer(trains, dtype=np.int8), [len(s) for s in streams])
+                counts = np.bincount(place, weights=weights, minlength=len(found)).astype(np.int32)
+                for at in range(0, buckets, 64):
+                    parts = [(b, unit, _planes(found[s:e]), _planes(counts[s:e])) for b in range(at, min(at + 64, buckets)) if (e := edges[b + 1]) > (s := edges[b])]
+                    if parts:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), _DEALT.types, strict=True)], schema=_DEALT)
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_numbers(x, "u8") for x in pdf["codes"]]
+        ends = np.cumsum([len(x) for x in parts])
+        codes, at = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([_numbers(x, "i4") for x in pdf["counts"]]), minlength=len(codes))
+        seen = counts > 0
+        p = grow(codes[seen], counts[seen], low.value).log10(codes).astype(np.float32)
+        replies = [_planes(x) for x in np.split(p[at], ends[:-1])]
+        return pd.DataFrame({"unit": pdf["unit"], "bucket": pdf["bucket"], "p": replies})
+
+    def finish(batches):
+        for batch in batches:
+            for rids, packed, parts in zip(*(batch.column(c).to_pylist() for c in ("rids", "streams", "parts")), strict=True):
+                streams = _opened(packed)
+                _, _, place, first = _found(streams, buckets)
+                p = np.concatenate([_numbers(x["p"], "f4") for x in parts]).astype(np.float64)
+                tokens = [s.count(b" ") + 1 for s in streams]
+                cols = (np.frombuffer(rids, dtype=np.int64), tokens, np.add.reduceat(p[place], first))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _SCORES.types, strict=True)], schema=_SCORES)
+
+    dealt = units.select("unit", "trains", "streams").mapInArrow(deal, "bucket int, unit long, codes binary, counts binary")
+    asked = dealt.groupBy("bucket").applyInPandas(ask, "unit long, bucket int, p binary")
+    replies = asked.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "p"))).alias("parts"))
+    joined = units.select("unit", "rids", "streams").join(replies, "unit").select("rids", "streams", "parts")
+    out = save(joined.mapInArrow(finish, "rid long, n_tokens long, score double").dropDuplicates(["rid"]), "tree-scores")
+    drop(units)
+    del dealt, asked, replies, joined  # with them go their shuffle files
+    release(rows.sparkSession)
+    return out
 
 
 def score_texts(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
@@ -269,11 +395,10 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
         (fold(F.col("doc_id").cast("long")) != held_out_fold).alias("train"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    tree = grow_tree(rows.where("train").select("text"))
-    release(docs.sparkSession)
+    scores = tree_scores(rows)
     base = save(unigram_scores(rows.select("rid", "train", "text")), "unigram-scores")
     release(docs.sparkSession)
-    return tree_scores(rows, tree).join(base, "rid").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return rows.drop("text").join(base, "rid").join(scores, "rid").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

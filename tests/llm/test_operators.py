@@ -354,6 +354,23 @@ def test_suffix_tree_distributions_sum_to_one(docs):
     assert max(len(c) for c in tree.contexts) > 1
 
 
+def test_parts_of_the_suffix_tree_score_as_the_whole(docs):
+    rows = docs.selectExpr("xxhash64(doc_id, text) as rid", "coalesce(doc_id, 0) % 5 != 1 as train", "coalesce(text, '') as text")
+    tree = suffix_tree_lm.grow_tree(rows.where("train").select("text"))
+    got = {r["rid"]: r["score"] for r in suffix_tree_lm.tree_scores(rows, symbols_at_once=10_000).collect()}
+    source = rows.collect()
+    assert got.keys() == {r["rid"] for r in source}
+    for r, want in zip(source, tree.score([suffix_tree_lm.symbols(r["text"].encode()) for r in source]), strict=True):
+        assert abs(got[r["rid"]] - want) < 1e-5 * abs(want) + 1e-5
+
+
+def test_rare_long_contexts_stay_in_a_tree_of_many_symbols(spark):
+    rows = [("e " * 550_000,)] * 10 + [(x + "bcdef" + y,) for x, y in ("pq", "rs", "tu", "vw") for _ in range(10)]
+    tree = suffix_tree_lm.grow_tree(spark.createDataFrame(rows, "text string").repartition(4))
+    assert int.from_bytes(b"pbcdef", "big") in tree.contexts[6].tolist()
+    assert 10 ** tree.log10(np.array([int.from_bytes(b"\npbcdefq", "big")], dtype=np.uint64))[0] > 0.7
+
+
 PAGES = [
     ("<p>One<p>Two <b>bold</b>  x", "One\n\nTwo bold x"),
     ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>", "- a\n- b\n  3. c\n  4. d"),
