@@ -182,6 +182,22 @@ def apply_unverification(entities: DataFrame, ids: DataFrame) -> DataFrame:
     ).select(entities.columns)
 
 
+def apply_verification_rollback(entities: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Entities with the verification of the manifest (entity_id, verification_status, verification_method,
+    verified_by, verified_at; one row for an entity); VERIFIED without a method is LEGACY_REVIEWED, without a time of
+    2026-01-01. Entities get the fields that they have."""
+    verified, method = F.coalesce("verification_status", F.lit("UNVERIFIED")) == "VERIFIED", F.coalesce("verification_method", F.lit("NONE"))
+    values = {
+        "verification_status": F.coalesce("verification_status", F.lit("UNVERIFIED")),
+        "verification_method": F.when(verified & (method == "NONE"), "LEGACY_REVIEWED").otherwise(method),
+        "verified_by": F.col("verified_by"),
+        "verified_at": F.when(verified, F.coalesce(F.col("verified_at").cast("timestamp"), F.lit("2026-01-01T00:00:00Z").cast("timestamp"))).otherwise(F.col("verified_at").cast("timestamp")),
+    }
+    restored = manifest.select("entity_id", F.struct(*[v.alias(c) for c, v in values.items()]).alias("_to"))
+    rows = entities.join(restored, "entity_id", "left")
+    return rows.withColumns({c: F.when(F.col("_to").isNotNull(), F.col(f"_to.{c}")).otherwise(F.col(c)) for c in values if c in entities.columns}).select(entities.columns)
+
+
 # Methods of verification, and evidence keys that name a person.
 METHODS = ["MANUAL_REVIEW", "VOTER_FILE", "EXTERNAL_MATCH", "LEGACY_REVIEWED"]
 PERSONAL_KEYS = ["name", "address", "street", "email", "phone", "ssn", "dob", "birth_date"]

@@ -181,10 +181,23 @@ def flip_batches(assignments: DataFrame, batch_ids: DataFrame, active: bool) ->
     return out, flagged.where("_hit").select("cluster_id").distinct()
 
 
-def purge_plan(assignments: DataFrame, decisions: DataFrame, batch_ids: DataFrame) -> DataFrame:
-    """Clusters that go with the batches: none of their assignments survives and no decision names them."""
+def purge_plan(assignments: DataFrame, decisions: DataFrame, batch_ids: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Clusters that go with the batches: none of their assignments survives and no decision (merge, or match with
+    cluster_id) names them."""
     ids = batch_ids.select("import_batch_id").distinct()
     touched = assignments.join(ids, "import_batch_id", "left_semi").select("cluster_id").distinct()
     survive = assignments.join(ids, "import_batch_id", "left_anti").select("cluster_id").distinct()
-    named = decisions.select(F.col("source_cluster_id").alias("cluster_id")).union(decisions.select("target_cluster_id")).distinct()
+    named = decisions.select(F.col("source_cluster_id").alias("cluster_id")).union(decisions.select("target_cluster_id"))
+    named = (named if matches is None else named.union(matches.select("cluster_id"))).distinct()
     return touched.join(survive, "cluster_id", "left_anti").join(named, "cluster_id", "left_anti")
+
+
+def purge_entities(assignments: DataFrame, batch_ids: DataFrame, clusters: DataFrame, gone: DataFrame, entities: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Entities that go with the clusters of purge_plan(): of those with a cluster (cluster_id, entity_id) in the
+    batches, the ones without a cluster that stays, a manual assessment or a verification."""
+    touched = assignments.join(batch_ids.select("import_batch_id").distinct(), "import_batch_id", "left_semi").select("cluster_id").distinct()
+    owners = clusters.join(touched, "cluster_id", "left_semi").select("entity_id").distinct()
+    stay = clusters.join(gone, "cluster_id", "left_anti").select("entity_id")
+    manual = assessments.where("manual_override").select("entity_id")
+    verified = entities.where("verification_status = 'VERIFIED'").select("entity_id")
+    return entities.select("entity_id").join(owners, "entity_id", "left_semi").join(stay.union(manual).union(verified).distinct(), "entity_id", "left_anti")

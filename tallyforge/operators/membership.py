@@ -228,6 +228,19 @@ def audit_matrix(states: DataFrame) -> DataFrame:
     return met.groupBy("entity_id").agg(F.coalesce(F.min("matrix_id"), F.lit("UNMATCHED")).alias("matrix_id"))
 
 
+# Least and largest number of positive contributions of a state; S11 has no bounds.
+COUNTS = {"S01": (2, None), "S02": (2, None), "S03": (2, None), "S04": (1, 1), "S05": (1, 1), "S06": (2, None), "S07": (2, None), "S08": (2, None), "S09": (1, 1), "S10": (0, 0)}
+
+
+def evidence_violations(matched: DataFrame, positives: DataFrame) -> DataFrame:
+    """Rows of audit_matrix() whose entity has too few or too many positive contributions (entity_id,
+    positive_count, of all its contributions) for the state; an entity without a row has none."""
+    met = matched.join(positives, "entity_id", "left").withColumn("positive_count", F.coalesce("positive_count", F.lit(0)))
+    n, state = F.col("positive_count"), F.col("matrix_id")
+    out = [(state == k) & ((n < low) if high is None else ~n.between(low, high)) for k, (low, high) in COUNTS.items()]
+    return met.where(reduce(lambda a, b: a | b, out)).select("entity_id", "matrix_id", "positive_count")
+
+
 # Combinations that no state may have: field -> values.
 REJECTED = {
     "R01": {"calculated_status": ["ACTIVE"], "membership_authority": ["PROVISIONAL", "INELIGIBLE"]},

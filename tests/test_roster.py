@@ -276,3 +276,28 @@ def test_entry_has_a_query_for_each_oracle():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_purge_takes_entities_without_other_ties(spark):
+    make = spark.createDataFrame
+    assignments = make([(1, "a", 7), (2, "b", 7), (3, "c", 7), (4, "d", 7), (5, "e", 7), (6, "f", 8)], "contribution_id int, cluster_id string, import_batch_id int")
+    batch, merges, matches = make([(7,)], "import_batch_id int"), make([], "source_cluster_id string, target_cluster_id string"), make([("e",)], "cluster_id string")
+    gone = ingest.purge_plan(assignments, merges, batch, matches)
+    assert {r[0] for r in gone.collect()} == {"a", "b", "c", "d"}
+    clusters = make([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("f", 4), ("e", 5)], "cluster_id string, entity_id int")
+    entities = make([(1, "UNVERIFIED"), (2, "VERIFIED"), (3, "UNVERIFIED"), (4, None), (5, None), (6, None)], "entity_id int, verification_status string")
+    manual = make([(3, True), (1, False)], "entity_id int, manual_override boolean")
+    assert [r[0] for r in ingest.purge_entities(assignments, batch, clusters, gone, entities, manual).collect()] == [1]
+
+
+def test_matrix_bounds_on_positive_counts(spark):
+    matched = spark.createDataFrame([(1, "S01"), (2, "S01"), (3, "S04"), (4, "S10"), (5, "S10"), (6, "S11"), (7, "UNMATCHED")], "entity_id int, matrix_id string")
+    positives = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 1), (6, 9)], "entity_id int, positive_count int")
+    assert {tuple(r) for r in membership.evidence_violations(matched, positives).collect()} == {(2, "S01", 1), (3, "S04", 2), (4, "S10", 1)}
+
+
+def test_verification_rollback(spark):
+    entities = spark.createDataFrame([(k, "UNVERIFIED", None, None) for k in (1, 2, 3)], "entity_id int, verification_status string, verification_method string, verified_by string")
+    manifest = spark.createDataFrame([(1, "VERIFIED", "NONE", "x", None), (2, "VERIFIED", "VOTER_FILE", None, "2025-01-01"), (9, "VERIFIED", None, None, None)], "entity_id int, verification_status string, verification_method string, verified_by string, verified_at string")
+    got = {tuple(r) for r in identity.apply_verification_rollback(entities, manifest).collect()}
+    assert got == {(1, "VERIFIED", "LEGACY_REVIEWED", "x"), (2, "VERIFIED", "VOTER_FILE", None), (3, "UNVERIFIED", None, None)}
