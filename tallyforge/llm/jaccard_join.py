@@ -3,17 +3,22 @@
 Jaccard distance is a metric, so distances to pivots bound the distance of two documents.
 
 1. Equal sets are one node.
-2. Single shingles are the first pivots. A set's nearest ones are its own shingles; two sets within the
-   radius share one of the first |X| - ceil(t |X|) + 1 of them in any order of all shingles. The region of
-   a shingle holds the nodes that have it there. Shingles of many documents come last in the order.
-3. Regions join recursively. A node of the region becomes pivot, its distance to the others is computed
-   exactly, and nodes within the radius are linked. A region whose nodes are all connected is done. Else
-   nodes outside its largest component become pivots in turn; what then remains is split by the distance to
-   the first of them into two cells, and nodes whose distance lies within the triangle inequality's window
-   around the border go to both. No pair of different components is left untested.
-
-Pairs inside one component are never compared, so a group of copies costs as many comparisons as it has
-nodes, not their square.
+2. Distances between unrelated documents are all 1, where no pivot tells anything apart. So the join starts from
+   the regions of single shingles: in any order of all shingles, two sets within the radius share one of the
+   first |X| - ceil(t |X|) + 1 of each. The region of a shingle holds the nodes that have it there, each with the
+   largest partner that its place allows if the shingle is the first one shared. Shingles of many documents come
+   last in the order, so that nodes with many shingles of their own never enter the regions of common ones.
+3. Regions join recursively. In the first turn, one document of each region is the pivot: the one whose place
+   leaves the most room, which is the original among its copies. Nodes within the radius of it are linked.
+4. A region whose nodes are all connected is done. Where few nodes are outside the largest component, all of them
+   become pivots, and nothing is left. In others, several documents become pivots, and their distances to all nodes
+   make Voronoi cells: a node belongs to the cell of its nearest pivot, and visits the cells of a smaller number
+   whose pivot is no more than twice the radius farther (by the triangle inequality, a link between two cells
+   joins a node to a visitor of its own cell). Two visitors need no test. Cells are regions of the next turn; where
+   cells would hardly be smaller than their region, the region stays whole and takes more pivots.
+
+Pairs inside one component are never compared, so a group of copies costs as many comparisons as it has nodes,
+not their square.
 """
 
 from __future__ import annotations
@@ -22,16 +27,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from xxhash import xxh3_64_intdigest
 
 from .common import batch_shingles, drop, release, save, slices, table, text_bytes
 from .components import components
 
 _CHUNK = 4_000_000
+
+
 def text_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    return [np.unique(s) for s in batch_shingles(texts, n)]
+    out = []
+    for s in batch_shingles(texts, n):
+        s = np.sort(s)
+        out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+    return out
 
 
 def _node(shingles: np.ndarray) -> int | None:
@@ -73,16 +83,16 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """Rows (pivot, node) of each node's first shingles, common ones last; and a row (node, size, last, bits) of
-    each node: its size, its last pivot, and a bitmap of its pivots."""
-    schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("last", pa.int64()), ("bits", pa.binary())])
+    """Rows (pivot, node, place) of each node's first shingles, common ones last; and a row (node, size, last, bits)
+    of each node: its size, its last pivot, and a bitmap of its pivots."""
+    schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("last", pa.int64()), ("bits", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast((common, levels))  # at most COMMON_MOST entries
 
     def scan(batches):
         common_, levels_ = shared.value
         seen: set[int] = set()
         for batch in slices(batches):
-            pivots, nodes, about = [], [], []
+            pivots, nodes, places, about = [], [], [], []
             for s in text_sets(text_bytes(batch.column("text")), n):
                 node = _node(s)
                 if node is None or node in seen:
@@ -99,15 +109,17 @@ def _prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray, levels:
                 bits[own & np.uint64(len(bits) - 1)] = True
                 pivots.append(own)
                 nodes.append(np.full(len(own), node, dtype=np.int64))
+                places.append(np.arange(1, len(own) + 1, dtype=np.int32))
                 about.append((node, len(s), int(own[-1]), np.packbits(bits).tobytes()))
             if pivots:
                 pivots, nodes = np.concatenate(pivots).view(np.int64), np.concatenate(nodes)
-                none = [pa.nulls(len(nodes), t) for t in schema.types[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(pivots), pa.array(nodes), *none], schema=schema)
-                cols = list(zip(*about, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(about), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True))], schema=schema)
+                none = [pa.nulls(len(nodes), t) for t in schema.types[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(pivots), pa.array(nodes), pa.array(np.concatenate(places)), *none], schema=schema)
+                node, *rest = zip(*about, strict=True)
+                cols = [pa.nulls(len(about), pa.int64()), pa.array(node), pa.nulls(len(about), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, t) for c, t in zip(rest, schema.types[3:], strict=True))], schema=schema)
 
-    return docs.mapInArrow(scan, "pivot long, node long, size int, last long, bits binary")
+    return docs.mapInArrow(scan, "pivot long, node long, place int, size int, last long, bits binary")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -160,8 +172,10 @@ def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
 
 #: Length of the list of common shingles that tasks get; it only orders them, so results don't depend on it.
 COMMON_MOST = 1 << 18
-#: Comparisons of one region in one round, about.
-_ROUND = 2_000_000
+#: Regions with so many nodes outside their largest component are compared as a whole; others first take so many pivots.
+_FEW, _CELLS = 128, 16
+#: Comparisons of one large region in one turn, about; and rows of a region that meet its pivots in one task.
+_TURN, _PIECE = 2_000_000, 1024
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,90 +190,115 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _open(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of regions that still have work, with comp (of labels, else the node itself) and size of the region.
+
+    A node goes where nobody in its region is small enough for it, or it is too large for everybody.
+    """
+    rows = regions.withColumn("comp", F.col("node"))
+    if labels is not None:
+        rows = regions.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    limits = rows.groupBy("region").agg(F.min("n").alias("least"), F.max("most").alias("roof"))
+    rows = rows.join(limits, "region").where("most >= least and n <= roof").drop("least", "roof")
+    sizes = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("any_own"))
+    return rows.join(sizes.where("lo != hi and any_own").select("region", "size"), "region")
+
+
+def _pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """(region, pivot, pivot_comp, pivot_n, pivot_most, size, wide) of open rows; each is compared with its region.
+
+    Large groups mostly fall together around a few pivots, so the number of those in wide regions grows from turn to
+    turn. They are the first by hash of as many parts of the region, so that no region is sorted or gathered.
+    """
+    if turn == 1:
+        # the node whose place leaves the most room has the fewest shingles of its own
+        first = F.min(F.struct((F.col("n") / F.col("most")).alias("room"), F.xxhash64("node").alias("h"), "node", "comp", "n", "most"))
+        found = rows.groupBy("region").agg(first.alias("p"), F.first("size").alias("size")).select("region", "p.node", "p.comp", "p.n", "p.most", "size", F.lit(False))
+    else:
+        counts = rows.groupBy("region", "comp").agg(F.count("*").alias("k"))
+        largest = counts.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("big"))
+        outside = rows.join(largest, "region").where("comp != big.comp")
+        outside = outside.select("region", "node", "comp", "n", "most", "size", (F.col("size") - F.col("big.k") > _FEW).alias("wide"))
+        parts = F.least(F.lit(_CELLS * 4 ** (turn - 2)), F.greatest(F.lit(_CELLS), (F.lit(_TURN) / F.col("size")).cast("long")))
+        some = (
+            outside.where("wide")
+            .groupBy("region", F.pmod(F.xxhash64("node"), parts).alias("part"))
+            .agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), "node", "comp", "n", "most")).alias("p"), F.first("size").alias("size"))
+        )
+        found = outside.where("not wide").unionByName(some.select("region", "p.node", "p.comp", "p.n", "p.most", "size", F.lit(True).alias("wide")))
+    return found.toDF("region", "pivot", "pivot_comp", "pivot_n", "pivot_most", "size", "wide")
+
+
+def _meet(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Rows of regions beside each pivot of their region; a large region meets copies of its pivots in many pieces."""
+    pieces = lambda size: F.ceil(size / _PIECE).cast("long")
+    dealt = rows.withColumn("piece", F.pmod(F.xxhash64("node"), pieces(F.col("size"))))
+    copied = pivots.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces(F.col("size")) - 1))).drop("size")
+    return dealt.join(copied, ["region", "piece"]).drop("piece")
+
+
+def _cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, radius: float, turn: int) -> DataFrame:
+    """Regions of the next turn: Voronoi cells of the pivots in wide regions, less the pivots, which are done."""
+    pivots = pivots.where("wide")
+    done = pivots.select("region", F.col("pivot").alias("node"))
+    rest = rows.join(pivots.select("region").distinct(), "region").join(done, ["region", "node"], "left_anti").drop("comp")
+    met = _meet(rest.select("region", "node", "size"), pivots.select("region", "pivot", "size"))
+    met = met.withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).join(tested.select("a", "b", "distance"), ["a", "b"])
+    away = F.struct(F.col("distance").alias("d"), F.col("pivot").alias("p"))
+    cells = met.groupBy("region", "node").agg(F.min(away).alias("near"), F.collect_list(away).alias("all"))
+    visited = F.filter("all", lambda x: (x["p"] < F.col("near.p")) & (x["d"] <= F.col("near.d") + 2 * radius + 1e-9))
+    cells = rest.join(cells.select("region", "node", F.col("near.p").alias("home"), F.transform(visited, lambda x: x["p"]).alias("visits")), ["region", "node"])
+    load = cells.groupBy("region").agg((F.sum(F.size("visits")) <= F.count("*")).alias("split"))
+    cells = cells.join(load, "region")
+    split = cells.where("split").select("region", "node", "n", "most", F.explode(F.concat(F.array("home"), "visits")).alias("cell"), "home")
+    split = split.select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "node", "n", "most", (F.col("cell") == F.col("home")).alias("own"))
+    return split.unionByName(cells.where("not split").select("region", "node", "n", "most", "own"))
+
+
 def _join_regions(regions: DataFrame, about: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links (a, b) that connect all nodes which chains of links inside regions (region, node) connect.
+    """Links (a, b) that connect all nodes which chains of links inside regions (region, node, n, most) connect.
 
     sets_of: a function (nodes) -> their shingle sets (node, set).
     """
-    radius = 1 - percent / 100
-    # of a node's first shingles only those of a region can be among another node's that end later
-    first = F.col("size") - F.ceil(percent * F.col("size") / 100) + 1
-    met = regions.groupBy("node").agg(F.count("*").alias("_met"))
-    about = save(about.join(met, "node").withColumns({"n": F.col("size"), "cap": F.col("_met") + F.col("size") - first}).drop("_met"), "nodes")
-    regions = regions.join(about.select("node", "n", "last", "cap"), "node")
+    spark, radius = regions.sparkSession, 1 - percent / 100
+    regions = regions.withColumn("own", F.lit(True))
     tested: DataFrame | None = None
     sets: DataFrame | None = None
     labels: DataFrame | None = None
     turn = 0
     while True:
         turn += 1
-        if labels is None:
-            rows = regions.withColumn("comp", F.col("node"))
-        else:
-            rows = regions.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = rows.groupBy("region").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first")).where("lo != hi")
-        rows = rows.join(open_.select("region", "size", "first"), "region")
-        if turn == 1:
-            pivots = open_.select("region", F.col("first").alias("pivot"), F.col("first").alias("pivot_comp"), F.lit(1).alias("rank"), F.lit(False).alias("final"))
-        else:
-            counts = rows.groupBy("region", "comp").agg(F.count("*").alias("k"))
-            largest = counts.groupBy("region").agg(F.max(F.struct("k", "comp")).alias("big"))
-            outside = rows.join(counts, ["region", "comp"]).join(largest, "region").where("comp != big.comp")
-            ranked = outside.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy("k", F.xxhash64("node"), "node")))
-            # a large group mostly falls together around a few pivots, so that their number grows from turn to turn
-            most = F.when(F.col("size") <= 64, 64).otherwise(F.least(F.lit(4 ** (2 * turn - 3)), F.greatest(F.lit(16), (F.lit(_ROUND) / F.col("size")).cast("int"))))
-            left_over = F.count("*").over(Window.partitionBy("region"))
-            pivots = (
-                ranked.withColumns({"most": most, "outside": left_over})
-                .where("rank <= most")
-                .select("region", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), "rank", (F.col("outside") <= F.col("most")).alias("final"))
-            )
-        pivots = pivots.join(about.select(F.col("node").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in ("n", "last", "cap"))), "pivot")
-        rows, pivots = save(rows, "region-rows"), save(pivots, "region-pivots")
-        # of the node whose pivots end first, no more than cap shingles are in the other
-        cap = F.when(F.col("last") <= F.col("pivot_last"), F.col("cap")).otherwise(F.col("pivot_cap"))
-        near_enough = (100 + percent) * cap >= percent * (F.col("n") + F.col("pivot_n"))
+        rows = save(_open(regions, labels), "region-rows")
+        pivots = save(_pivots(rows, turn), "region-pivots")
+        if not pivots.take(1):
+            return spark.createDataFrame([], "a long, b long") if tested is None else tested.where("linked").select("a", "b")
+        # in wide regions all distances are wanted, for the cells
+        fits = (F.col("comp") != F.col("pivot_comp")) & (F.col("n") <= F.col("pivot_most")) & (F.col("pivot_n") <= F.col("most"))
         pairs = (
-            rows.join(pivots, "region")
-            .where("comp != pivot_comp")
-            .where(near_enough & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")))
-            .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-            .distinct()
-        )
+            _meet(rows, pivots)
+            .where("node != pivot").where(F.col("wide") | fits)
+            .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"), F.col("wide").alias("all"))
+            .groupBy("a", "b").agg(F.max("all").alias("all"))
+        )
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = save(_possible(pairs, about, percent), "possible-pairs")
+        pairs = save(pairs, "pairs-met")
+        pairs = save(_possible(pairs.where("not all"), about, percent).unionByName(pairs.where("all").select("a", "b")), "possible-pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if sets is not None:
             nodes = save(nodes.join(sets.select("node"), "node", "left_anti"), "set-nodes")
         if sets is None or nodes.take(1):
             more = save(sets_of(nodes), "sets")
             sets = more if sets is None else sets.unionByName(more)
-            release(regions.sparkSession)
+            release(spark)
         new = save(_compare(pairs, sets, percent), "pairs")
         tested = new if tested is None else tested.unionByName(new)
-        links = tested.where("linked").select("a", "b")
-        if not pivots.take(1):
-            return links
-        labels = components(links)
+        labels = components(tested.where("linked").select("a", "b"))
         if turn == 1:
-            regions = rows.select("region", "node", "n", "last", "cap")
-            continue
-        # pivots are done; what is left of large regions falls into two cells around the first pivot
-        going = pivots.where("rank = 1 and not final").select("region", F.col("pivot").alias("center"))
-        done = pivots.select("region", F.col("pivot").alias("node"))
-        rest = rows.select("region", "node", "n", "last", "cap").join(going, "region").join(done, ["region", "node"], "left_anti")
-        near = rest.withColumns({"a": F.least("center", "node"), "b": F.greatest("center", "node")}).join(tested.select("a", "b", "distance"), ["a", "b"], "left")
-        # a distance that was proven too large, and not computed, is somewhere over the radius
-        near = near.withColumn("split", 2 * F.count("distance").over(Window.partitionBy("region")) > F.count("*").over(Window.partitionBy("region")))
-        cells = F.array_compact(
-            F.array(
-                F.when(~F.col("split") | F.coalesce(F.col("distance") <= 0.5 + radius / 2 + 1e-9, F.lit(True)), F.lit(0)),
-                F.when(F.col("split") & F.coalesce(F.col("distance") >= 0.5 - radius / 2 - 1e-9, F.lit(True)), F.lit(1)),
-            )
-        )
-        regions = save(near.select("region", "node", "n", "last", "cap", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell", F.lit(turn)).alias("region"), "node", "n", "last", "cap"), "regions")
-        release(regions.sparkSession)
+            regions = rows.select("region", "node", "n", "most", "own")
+        else:
+            regions = save(_cells(rows, pivots, tested, radius, turn), "regions")
+        release(spark)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -284,16 +323,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFr
     ranked = ranked.assign(shingle=ranked["shingle"].to_numpy(dtype=np.int64).view(np.uint64)).sort_values("shingle")
     levels = np.minimum(np.log2(np.maximum(ranked["times"].to_numpy(dtype=np.float64), 1)).astype(np.int64), 31)
     prefixes = save(_prefixes(rows, n, percent, ranked["shingle"].to_numpy(dtype=np.uint64), levels), "prefixes")
-    pivots = prefixes.where("pivot is not null").select("pivot", "node")
+    pivots = prefixes.where("pivot is not null").select("pivot", "node", "place")
     shared = save(pivots.groupBy("pivot").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("pivot"), "shared-pivots")
     release(spark)
-    regions = save(pivots.join(shared, "pivot", "left_semi").select(F.col("pivot").alias("region"), "node").distinct(), "regions")
+    # tasks that met a node each gave its rows
+    met = save(pivots.join(shared, "pivot", "left_semi").groupBy(F.col("pivot").alias("region"), "node").agg(F.min("place").alias("place")), "regions")
     release(spark)
     about = save(
-        prefixes.where("pivot is null").join(regions.select("node").distinct(), "node", "left_semi").groupBy("node").agg(*(F.min(c).alias(c) for c in ("size", "last", "bits"))), "nodes"
+        prefixes.where("pivot is null").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(*(F.min(c).alias(c) for c in ("size", "last", "bits"))), "nodes"
     )
     drop(prefixes, shared)
     release(spark)
+    # a pair whose first shared shingle is at this place shares what comes from there on; the size of a partner follows
+    most = F.floor((F.col("n") - F.col("place") + 1) * (100 + percent) / percent + 1e-9) - F.col("n")
+    regions = met.join(about.select("node", F.col("size").alias("n")), "node").select("region", "node", "n", most.cast("int").alias("most"))
     owners = save(nodes.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid")), "owners")
     links = _join_regions(regions, about, lambda own: _sets(rows.select("rid", "text").join(owners.join(own, "node"), "rid").select("node", "text"), n), percent)
     labels = components(links).withColumnRenamed("comp", "root")
