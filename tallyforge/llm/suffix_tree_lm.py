@@ -3,14 +3,15 @@
 A text is its words, each followed by a space, then one end symbol. Contexts are the last bytes, up to DEPTH. A
 context stays in the tree if it occurs LEAST times and its next-symbol distribution diverges from that of its own
 suffix by more than the description of its parameters costs. Distributions are smoothed down the tree; the state at
-each symbol is the longest suffix in the tree.
+each symbol is the longest suffix in the tree. A word's probability is that of its symbols, mixed with that of the
+word in a unigram model with the weight WORD_SHARE: a tree over bytes has to spell every word that training lacks,
+which costs more than the one count that the unigram model gives all of them.
 
-Beside the score there is that of a unigram model of whole words; its counts cover all training tokens.
+Beside the score there is that of the unigram model alone; its counts cover all training tokens.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_shingles, drop, fold, mix64, release, save, slices, table, text_bytes
+from .common import drop, fold, mix64, release, rolling, save, slices, table, text_bytes
 
 DEPTH = 7
 #: Shorter contexts all stay; longer ones need this many occurrences, whatever the size of the corpus.
 SURE, LEAST = 3, 8
+WORD_SHARE = 0.3
 END = 0x0A
 _PAD = bytes([END]) * DEPTH
-_BYTES = 4 << 20
+_BYTES = 8 << 20
+_BLOCK = 2 << 20
 
 
 def symbols(text: bytes) -> bytes:
@@ -36,52 +39,48 @@ def symbols(text: bytes) -> bytes:
 
 
 def _codes(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of the streams: itself and the DEPTH bytes before it as one number; and the stream's first place."""
-    buffer = np.frombuffer(b"".join(x for s in streams for x in (_PAD, s)), dtype=np.uint8)
-    code = np.zeros(len(buffer) - DEPTH, dtype=np.uint64)
-    for k in range(DEPTH + 1):
-        code = (code << np.uint64(8)) | buffer[k : len(buffer) - DEPTH + k]
+    """For each symbol of the streams: the DEPTH bytes before it, the last one first, and itself, as one number, so that
+    contexts that end alike are neighbours; and the stream's first place."""
+    buffer = b"".join(x for s in streams for x in (_PAD, s))
     lengths = np.array([len(s) for s in streams])
     first = np.cumsum(lengths) - lengths
-    inside = np.arange(lengths.sum()) + np.repeat(np.arange(len(streams)) * DEPTH, lengths)
-    return code[inside], first
+    inside = np.repeat(np.arange(len(streams)) * DEPTH, lengths)
+    inside += np.arange(len(inside))
+    # eight bytes that end in the symbol, which is the highest one as they lie in memory
+    code = np.ndarray((len(buffer) - DEPTH,), dtype="<u8", buffer=buffer, strides=(1,))[inside]
+    return (code << np.uint64(8)) | (code >> np.uint64(56)), first
 
 
-def _batches(batch: pa.RecordBatch):
-    """(from, to, streams) of a few MB of the batch's texts each."""
-    begin, held, size = 0, [], 0
-    for k, text in enumerate(text_bytes(batch.column("text"))):
-        held.append(symbols(text))
-        size += len(held[-1])
-        if size >= _BYTES:
-            yield begin, k + 1, held
-            begin, held, size = k + 1, [], 0
-    if held:
-        yield begin, batch.num_rows, held
+def _context(codes: np.ndarray, k: int) -> np.ndarray:
+    return codes >> np.uint64(64 - 8 * k) if k else np.zeros(len(codes), dtype=np.uint64)
 
 
-def count_contexts(texts: DataFrame) -> DataFrame:
-    """(code, n): how often each symbol follows each DEPTH bytes; summed in tasks first."""
+def _pair(codes: np.ndarray, k: int) -> np.ndarray:
+    return (_context(codes, k) << np.uint64(8)) | (codes & np.uint64(255))
+
+
+def _up(pairs: np.ndarray) -> np.ndarray:
+    """Pairs of context and symbol without the context's oldest byte."""
+    return ((pairs >> np.uint64(16)) << np.uint64(8)) | (pairs & np.uint64(255))
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=np.int64)
 
-    def scan(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged():
-            code = np.concatenate([h[0] for h in held])
-            found, at = np.unique(code, return_inverse=True)
-            return found, np.bincount(at, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and how often each is there."""
+    x = np.sort(x)
+    first = _firsts(x)
+    return x[first], np.diff(np.append(first, len(x)))
 
-        for batch in slices(batches, 2000):
-            for _, _, streams in _batches(batch):
-                held.append(np.unique(_codes(streams)[0], return_counts=True))
-                if len(held) > 8:
-                    held = [merged()]
-        if held:
-            code, n = merged()
-            for at in range(0, len(code), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in (code, n)], names=["code", "n"])
 
-    return texts.mapInArrow(scan, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def _summed(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and the sums of their n."""
+    order = np.argsort(x)
+    x, n = x[order], n[order]
+    first = _firsts(x)
+    return x[first], np.add.reduceat(n, first) if len(first) else n
 
 
 @dataclass
@@ -95,35 +94,35 @@ class SuffixTree:
     counts: list[np.ndarray]
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's symbol after its context."""
-        found, at = np.unique(codes, return_inverse=True)
-        p = np.full(len(found), 1 / 256)
-        alive = np.ones(len(found), dtype=bool)
+        """log10 of the probability of each code's symbol after its context; codes are in order."""
+        p = np.full(len(codes), 1 / 256)
+        alive = np.arange(len(codes))
         for k, (contexts, totals, kinds, pairs, counts) in enumerate(zip(self.contexts, self.totals, self.kinds, self.pairs, self.counts, strict=True)):
             if not len(contexts):
                 break
-            mask = np.uint64((1 << 8 * k) - 1)
-            own = (found >> np.uint64(8)) & mask
+            own = _context(codes[alive], k)
             c = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-            alive &= contexts[c] == own
-            pair = (own << np.uint64(8)) | (found & np.uint64(255))
+            hit = contexts[c] == own
+            alive, c, own = alive[hit], c[hit], own[hit]
+            pair = (own << np.uint64(8)) | (codes[alive] & np.uint64(255))
             q = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
             n = np.where(pairs[q] == pair, counts[q], 0)
             # mass for symbols not seen here goes to the shorter context, in proportion to the kinds seen
-            p = np.where(alive, (n + kinds[c] * p) / (totals[c] + kinds[c]), p)
-        return np.log10(p)[at]
+            p[alive] = (n + kinds[c] * p[alive]) / (totals[c] + kinds[c])
+        return np.log10(p)
 
     def score(self, streams: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each stream, by the tree alone."""
         codes, first = _codes(streams)
-        return np.add.reduceat(self.log10(codes), first)
+        found, at = np.unique(codes, return_inverse=True)
+        return np.add.reduceat(self.log10(found)[at], first)
 
 
 def _level(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Contexts, totals, kinds, pairs and counts of one depth, of pairs that may repeat."""
-    pairs, at = np.unique(pairs, return_inverse=True)
-    counts = np.bincount(at, weights=counts, minlength=len(pairs))
+    pairs, counts = _summed(pairs, counts.astype(np.float64))
     own = pairs >> np.uint64(8)
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, dtype=np.int64)
+    first = _firsts(own)
     totals = np.add.reduceat(counts, first) if len(own) else counts
     return own[first], totals, np.diff(np.append(first, len(own))).astype(np.float64), pairs, counts
 
@@ -133,141 +132,58 @@ def grow(codes: np.ndarray, counts: np.ndarray, low: SuffixTree | None = None) -
     SURE bytes, since deeper contexts are tested against their own suffixes alone."""
     levels = list(zip(low.contexts, low.totals, low.kinds, low.pairs, low.counts, strict=True)) if low else []
     start, deep = len(levels), {}
-    pairs, n = codes, counts
+    pairs, n = _pair(codes, DEPTH), counts
     for k in range(DEPTH, start - 1, -1):
-        deep[k] = _level(pairs & np.uint64((1 << 8 * (k + 1)) - 1), n)
-        pairs, n = deep[k][3:]
+        deep[k] = _level(pairs, n)
+        pairs, n = _up(deep[k][3]), deep[k][4]
     levels += [deep[k] for k in range(start, DEPTH + 1)]
     longer = np.zeros(0, dtype=np.uint64)
     for k in range(DEPTH, max(start, SURE) - 1, -1):
         contexts, totals, kinds, pairs, n = levels[k]
         up_contexts, up_totals, _, up_pairs, up_n = levels[k - 1]
         own = np.searchsorted(contexts, pairs >> np.uint64(8))
-        up_pair = pairs & np.uint64((1 << 8 * k) - 1)
+        up_pair = _up(pairs)
         above = up_n[np.searchsorted(up_pairs, up_pair)] / up_totals[np.searchsorted(up_contexts, up_pair >> np.uint64(8))]
         gain = np.bincount(own, weights=n * np.log(n / totals[own] / above), minlength=len(contexts))
         stays = (totals >= LEAST) & (gain > 0.5 * kinds * np.log(totals))
-        stays |= np.isin(contexts, longer & np.uint64((1 << 8 * k) - 1))  # all suffixes of a context that stays, stay
+        stays |= np.isin(contexts, longer >> np.uint64(8))  # all suffixes of a context that stays, stay
         longer = contexts[stays]
         levels[k] = (longer, totals[stays], kinds[stays], pairs[stays[own]], n[stays[own]])
     return SuffixTree(*(list(x) for x in zip(*levels, strict=True)))
 
 
 def grow_tree(texts: DataFrame) -> SuffixTree:
-    """The tree of a table of texts (text) that one machine can hold, to look at; tree_scores() grows the same one in
+    """The tree of a table of texts (text) that one machine can hold, to look at; score_texts() grows the same one in
     parts. Null texts are empty; without any row the tree is empty and symbols are equally likely."""
-    counted = count_contexts(texts).toArrow()
-    return grow(counted.column("code").to_numpy().view(np.uint64), counted.column("n").to_numpy())
-
-
-_END_WORD = np.uint64(0x656E64)
-_UNIT = pa.schema([("unit", pa.int64()), ("rids", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-_UNIT_DOCS, _UNIT_TOKENS = 2048, 600_000
-
-
-def _units(rows: DataFrame) -> DataFrame:
-    """Rows of some thousand documents each: word ids of all tokens, the distinct words' hashes and training counts."""
-
-    def scan(batches):
-        base, made, rids, trains, words, held = TaskContext.get().partitionId() << 32, 0, [], [], [], 0
-
-        def unit():
-            nonlocal made, rids, trains, words, held
-            lengths = np.array([len(w) for w in words], dtype=np.int32)
-            found, ids = np.unique(np.concatenate(words), return_inverse=True)
-            counts = np.bincount(ids, weights=np.repeat(np.array(trains, dtype=np.float64), lengths), minlength=len(found)).astype(np.int32)
-            row = [base + made, *(x.tobytes() for x in (np.array(rids, dtype=np.int64), lengths, ids.astype(np.int32), found, counts))]
-            made, rids, trains, words, held = made + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _UNIT.types, strict=True)], schema=_UNIT)
-
-        for batch in slices(batches):
-            rids += batch.column("rid").to_pylist()
-            trains += batch.column("train").to_pylist()
-            new = [np.append(w, _END_WORD) for w in batch_shingles(text_bytes(batch.column("text")), 1)]
-            words += new
-            held += sum(map(len, new))
-            if len(rids) >= _UNIT_DOCS or held >= _UNIT_TOKENS:
-                yield unit()
-        if rids:
-            yield unit()
+    streams = [symbols(t) for t in text_bytes(texts.select("text").toArrow().column("text"))]
+    return grow(*_counted(_codes(streams)[0])) if streams else grow(np.zeros(0, dtype=np.uint64), np.zeros(0))
 
-    return rows.mapInArrow(scan, "unit long, rids binary, lengths binary, ids binary, words binary, counts binary")
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
-def _bucket_counts(units: DataFrame, buckets: int) -> DataFrame:
-    """(unit, bucket, counts): totals of the unit's words of that hash range; and unit -1 with (V, N) of the range."""
 
-    def deal(batches):
-        edges = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
-        for batch in batches:
-            for unit, words, counts in zip(*(batch.column(c).to_pylist() for c in ("unit", "words", "counts")), strict=True):
-                words, counts = np.frombuffer(words, dtype=np.uint64), np.frombuffer(counts, dtype=np.int32)
-                cuts = np.append(np.searchsorted(words, edges), len(words))
-                parts = [(b, unit, words[s:e].tobytes(), counts[s:e].tobytes()) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
-                cols = zip(*parts, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "unit", "words", "counts"]
-                )
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(w) // 8 for w in pdf["words"]]
-        words = np.frombuffer(b"".join(pdf["words"]), dtype=np.uint64)
-        found, at = np.unique(words, return_inverse=True)
-        sums = np.bincount(at, weights=np.frombuffer(b"".join(pdf["counts"]), dtype=np.int32)).astype(np.int64)
-        replies = np.split(sums[at], np.cumsum(sizes)[:-1])
-        about = np.array([(sums > 0).sum(), sums.sum()], dtype=np.int64)
-        return pd.DataFrame({"unit": [*pdf["unit"], -1], "bucket": int(pdf["bucket"].iloc[0]), "counts": [*(r.tobytes() for r in replies), about.tobytes()]})
-
-    dealt = units.select("unit", "words", "counts").mapInArrow(deal, "bucket int, unit long, words binary, counts binary")
-    return dealt.groupBy("bucket").applyInPandas(total, "unit long, bucket int, counts binary")
-
-
-def unigram_scores(rows: DataFrame, words_at_once: int = 1_000_000) -> DataFrame:
-    """(rid, n_known, train_tokens, base_score) of rows (rid, train, text); one row for each different rid.
-
-    Words meet in ranges of their hashes, one range in a task; a range's size follows from the number of words.
-    """
-    units = save(_units(rows), "word-units")
-    size = units.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
-    counts = save(_bucket_counts(units, max(1, int(-(-size // words_at_once)))), "word-counts")
-    release(rows.sparkSession)
-    about = [np.frombuffer(r[0], dtype=np.int64) for r in counts.where("unit = -1").select("counts").collect()]  # two numbers of each range
-    distinct, tokens = (int(sum(a[k] for a in about)) for k in (0, 1))
-    replies = counts.where("unit >= 0").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("parts"))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-
-    def finish(batches):
-        for batch in batches:
-            for rids, lengths, ids, parts in zip(*(batch.column(c).to_pylist() for c in ("rids", "lengths", "ids", "parts")), strict=True):
-                c = np.frombuffer(b"".join(p["counts"] for p in parts), dtype=np.int64)[np.frombuffer(ids, dtype=np.int32)]
-                lengths = np.frombuffer(lengths, dtype=np.int32).astype(np.int64)
-                first = np.cumsum(lengths) - lengths
-                known = np.add.reduceat((c > 0).astype(np.int64), first)
-                base = np.add.reduceat(np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), first)
-                cols = (np.frombuffer(rids, dtype=np.int64), known, np.full(len(known), tokens), base)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["rid", "n_known", "train_tokens", "base_score"])
-
-    joined = units.select("unit", "rids", "lengths", "ids").join(replies, "unit").select("rids", "lengths", "ids", "parts")
-    return joined.mapInArrow(finish, "rid long, n_known long, train_tokens long, base_score double").dropDuplicates(["rid"])
+def _unpacked(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte: all first bytes, then all second ones; such text compresses well."""
-    return zlib.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+    """Numbers byte by byte: all first bytes, then all second ones; such data compress well."""
+    return _packed(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
 
 
 def _numbers(packed: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(_unpacked(packed), dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-_STREAMS = pa.schema([("unit", pa.int64()), ("rids", pa.binary()), ("trains", pa.binary()), ("streams", pa.binary()), ("symbols", pa.int64())])
-_DEALT = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("codes", pa.binary()), ("counts", pa.binary())])
-_SCORES = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
-_LOW = np.uint64((1 << 8 * SURE) - 1)
+_UNIT = pa.schema([("unit", pa.int64()), ("rids", pa.binary()), ("trains", pa.binary()), ("streams", pa.binary()), ("symbols", pa.int64())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_PART = "bucket int, unit long, keys binary, counts binary"
+_MODEL = -1
 
 
-def _streams(rows: DataFrame) -> DataFrame:
+def _units(rows: DataFrame) -> DataFrame:
     """Rows of a few MB of symbols each, with their number."""
 
     def scan(batches):
@@ -276,9 +192,9 @@ def _streams(rows: DataFrame) -> DataFrame:
 
         def unit():
             lengths = np.array([len(s) for s in streams], dtype=np.int64).tobytes()
-            packed = len(streams).to_bytes(8, "little") + lengths + b"".join(streams)
-            row = [base + made, np.array(rids, dtype=np.int64).tobytes(), np.array(trains, dtype=np.int8).tobytes(), zlib.compress(packed, 1), sum(map(len, streams))]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _STREAMS.types, strict=True)], schema=_STREAMS)
+            data = len(streams).to_bytes(8, "little") + lengths + b"".join(streams)
+            row = [base + made, np.array(rids, dtype=np.int64).tobytes(), np.array(trains, dtype=np.int8).tobytes(), _packed(data), sum(map(len, streams))]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _UNIT.types, strict=True)], schema=_UNIT)
 
         for batch in slices(batches):
             for rid, train, text in zip(batch.column("rid").to_pylist(), batch.column("train").to_pylist(), text_bytes(batch.column("text")), strict=True):
@@ -296,91 +212,193 @@ def _streams(rows: DataFrame) -> DataFrame:
 
 
 def _opened(packed: bytes) -> list[bytes]:
-    data = zlib.decompress(packed)
+    data = _unpacked(packed)
     n = int.from_bytes(data[:8], "little")
     ends = 8 + 8 * n + np.cumsum(np.frombuffer(data, dtype=np.int64, count=n, offset=8))
     return [data[s:e] for s, e in zip([8 + 8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def _found(streams: list[bytes], buckets: int):
-    """Different codes, dealt to buckets by their last SURE context bytes: codes in order of buckets, the buckets'
-    edges, each symbol's place in that order, and the first place of each stream."""
-    codes, first = _codes(streams)
-    found, at = np.unique(codes, return_inverse=True)
-    bucket = (mix64((found >> np.uint64(8)) & _LOW) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    edges = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
-    return found[order], edges, place[at], first
+def _trained(trains: bytes, streams: list[bytes]) -> list[bytes]:
+    return [s for s, t in zip(streams, np.frombuffer(trains, dtype=np.int8).tolist(), strict=True) if t]
 
 
-def tree_scores(rows: DataFrame, symbols_at_once: int = 3_000_000) -> DataFrame:
-    """(rid, n_tokens, score) of rows (rid, train, text); one row for each different rid.
+def _different(streams: list[bytes]) -> np.ndarray:
+    return _counted(_codes(streams)[0])[0]
 
-    Contexts that end alike meet in one task, with training counts and with the codes to be scored, so that each task
-    grows and asks its own part of the tree. Only the contexts below SURE bytes go to all tasks: at most 2^24 pairs,
-    whatever the size of the corpus.
-    """
-    units = save(_streams(rows), "symbol-units")
-    total = units.agg(F.sum("symbols")).first()[0] or 0
-    buckets = max(1, int(-(-total // symbols_at_once)))
 
-    def lows(batches):
-        for batch in batches:
-            for trains, packed in zip(batch.column("trains").to_pylist(), batch.column("streams").to_pylist(), strict=True):
-                streams = [s for s, t in zip(_opened(packed), np.frombuffer(trains, dtype=np.int8).tolist(), strict=True) if t]
-                if streams:
-                    found, n = np.unique(_codes(streams)[0] & _LOW, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["code", "n"])
+_END_WORD = np.uint64(0x656E64)
+
+
+def _words(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words, the ends included: hashes and first symbols; and the first word of each stream."""
+    buffer = np.frombuffer(b"".join(streams), dtype=np.uint8)
+    ends = np.flatnonzero((buffer == 0x20) | (buffer == END))
+    starts = np.append(0, ends[:-1] + 1)
+    roll = rolling()
+    hashes = mix64(roll.of(roll.prefix(buffer), starts, ends - starts) + (ends - starts).astype(np.uint64))
+    hashes[buffer[ends] == END] = _END_WORD
+    before = np.cumsum([0, *(len(s) for s in streams[:-1])])
+    return hashes, starts, np.searchsorted(starts, before)
+
 
-    counted = units.select("trains", "streams").mapInArrow(lows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs, n, levels = counted.column("code").to_numpy().astype(np.uint64), counted.column("n").to_numpy(), []
-    for k in range(SURE - 1, -1, -1):
-        levels.insert(0, _level(pairs & np.uint64((1 << 8 * (k + 1)) - 1), n))
-    low = rows.sparkSession.sparkContext.broadcast(SuffixTree(*(list(x) for x in zip(*levels, strict=True))))
+def _parts(unit: int, keys: np.ndarray, counts: np.ndarray | None, edges: np.ndarray):
+    """Rows of a unit's keys, which are in order, cut at the edges of the buckets."""
+    cuts = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
+    for at in range(0, len(edges), 64):
+        own = [b for b in range(at, min(at + 64, len(edges))) if cuts[b + 1] > cuts[b]]
+        if own:
+            rows = [(b, unit, _planes(keys[cuts[b] : cuts[b + 1]]), None if counts is None else _planes(counts[cuts[b] : cuts[b + 1]])) for b in own]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DEALT.types, strict=True)], schema=_DEALT)
+
+
+def _word_counts(units: DataFrame, buckets: int) -> DataFrame:
+    """(unit, bucket, counts): training counts of the unit's different words of that hash range; and unit -1 with (V, N)."""
+    edges = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
 
     def deal(batches):
         for batch in batches:
             for unit, trains, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "trains", "streams")), strict=True):
                 streams = _opened(packed)
-                found, edges, place, _ = _found(streams, buckets)
-                weights = np.repeat(np.frombuffer(trains, dtype=np.int8), [len(s) for s in streams])
-                counts = np.bincount(place, weights=weights, minlength=len(found)).astype(np.int32)
-                for at in range(0, buckets, 64):
-                    parts = [(b, unit, _planes(found[s:e]), _planes(counts[s:e])) for b in range(at, min(at + 64, buckets)) if (e := edges[b + 1]) > (s := edges[b])]
-                    if parts:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), _DEALT.types, strict=True)], schema=_DEALT)
+                words = _counted(_words(streams)[0])[0]
+                counts = np.zeros(len(words), dtype=np.int32)
+                if own := _trained(trains, streams):
+                    found, n = _counted(_words(own)[0])
+                    counts[np.searchsorted(words, found)] = n
+                yield from _parts(unit, words, counts, edges)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [_numbers(x, "u8") for x in pdf["keys"]]
+        found, n = _summed(np.concatenate(words), np.concatenate([_numbers(x, "i4") for x in pdf["counts"]]).astype(np.int64))
+        about = np.array([(n > 0).sum(), n.sum()], dtype=np.int64)
+        replies = [_planes(n[np.searchsorted(found, w)]) for w in words]
+        return pd.DataFrame({"unit": [*pdf["unit"], _MODEL], "bucket": int(pdf["bucket"].iloc[0]), "counts": [*replies, about.tobytes()]})
+
+    return units.select("unit", "trains", "streams").mapInArrow(deal, _PART).groupBy("bucket").applyInPandas(total, "unit long, bucket int, counts binary")
+
+
+def _short_contexts(units: DataFrame) -> tuple[SuffixTree, np.ndarray, np.ndarray]:
+    """The depths below SURE, by training counts; and contexts of SURE bytes with their numbers. Both have at most 2^24
+    rows, whatever the size of the corpus."""
+
+    def count(batches):
+        for batch in batches:
+            for trains, packed in zip(batch.column("trains").to_pylist(), batch.column("streams").to_pylist(), strict=True):
+                streams = _opened(packed)
+                found = [(False, *_counted(_context(_codes(streams)[0], SURE)))]
+                if own := _trained(trains, streams):
+                    found.append((True, *_counted(_pair(_codes(own)[0], SURE - 1))))
+                for low, key, n in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), low)), pa.array(key.astype(np.int64)), pa.array(n)], names=["low", "key", "n"])
+
+    table_ = units.select("trains", "streams").mapInArrow(count, "low boolean, key long, n long").groupBy("low", "key").agg(F.sum("n").alias("n")).toArrow()
+    is_low, key, n = (np.asarray(table_.column(c).to_numpy(zero_copy_only=False), dtype=t) for c, t in (("low", bool), ("key", np.int64), ("n", np.int64)))
+    pairs, counts, levels = key[is_low].astype(np.uint64), n[is_low], []
+    for _ in range(SURE):
+        levels.insert(0, _level(pairs, counts))
+        pairs, counts = _up(levels[0][3]), levels[0][4]
+    key, n = key[~is_low], n[~is_low]
+    order = np.argsort(key)
+    return SuffixTree(*(list(x) for x in zip(*levels, strict=True))), key[order], n[order]
+
+
+def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once: int = 1_000_000, rounds: int = 2) -> DataFrame:
+    """(rid, n_tokens, n_known, train_tokens, base_score, score) of rows (rid, train, text), one for each different rid.
+
+    Contexts that end alike meet in one task, with their training counts, so that each task grows its own part of the
+    tree; the parts are saved. Then the units' codes are dealt to the parts and answered, a part of the units in each
+    round, so that no more than that lies on disk. Only contexts below SURE bytes and the cuts between buckets go to
+    all tasks, which is at most 2^24 rows of each.
+    """
+    spark = rows.sparkSession
+    units = save(_units(rows), "symbol-units")
+    total = units.agg(F.sum("symbols")).first()[0] or 0
+    low, contexts, n = _short_contexts(units)
+    buckets = max(1, int(-(-total // symbols_at_once)))
+    # each bucket has about as many symbols; the first starts at 0
+    cuts = np.searchsorted(np.cumsum(n), np.arange(1, buckets) * n.sum() / buckets) if len(n) else np.zeros(0, dtype=np.int64)
+    edges = np.unique(np.append(0, contexts[np.minimum(cuts, max(len(contexts) - 1, 0))])).astype(np.uint64) << np.uint64(64 - 8 * SURE)
+    shared = spark.sparkContext.broadcast((low, edges))
+
+    words = save(_word_counts(units, max(1, int(-(-total // (8 * words_at_once))))), "word-counts")
+    about = [np.frombuffer(r[0], dtype=np.int64) for r in words.where(F.col("unit") == _MODEL).select("counts").collect()]  # two numbers of each bucket
+    distinct, tokens = (int(sum(a[k] for a in about)) for k in (0, 1))
+
+    def deal_counts(batches):
+        for batch in batches:
+            for unit, trains, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "trains", "streams")), strict=True):
+                if own := _trained(trains, _opened(packed)):
+                    codes, counts = _counted(_codes(own)[0])
+                    yield from _parts(unit, codes, counts.astype(np.int32), shared.value[1])
+
+    def grow_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, counts = _summed(np.concatenate([_numbers(x, "u8") for x in pdf["keys"]]), np.concatenate([_numbers(x, "i4") for x in pdf["counts"]]).astype(np.int64))
+        tree = grow(codes, counts, shared.value[0])
+        out = []
+        for k in range(SURE, DEPTH + 1):
+            out.append((int(pdf["bucket"].iloc[0]), _MODEL - k, _planes(tree.pairs[k]), _planes(tree.counts[k].astype(np.int64))))
+        return pd.DataFrame(out, columns=_DEALT.names)
+
+    def deal_codes(batches):
+        for batch in batches:
+            for unit, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "streams")), strict=True):
+                yield from _parts(unit, _different(_opened(packed)), None, shared.value[1])
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_numbers(x, "u8") for x in pdf["codes"]]
-        ends = np.cumsum([len(x) for x in parts])
-        codes, at = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([_numbers(x, "i4") for x in pdf["counts"]]), minlength=len(codes))
-        seen = counts > 0
-        p = grow(codes[seen], counts[seen], low.value).log10(codes).astype(np.float32)
-        replies = [_planes(x) for x in np.split(p[at], ends[:-1])]
-        return pd.DataFrame({"unit": pdf["unit"], "bucket": pdf["bucket"], "p": replies})
+        tree = SuffixTree(*(list(x) for x in (lambda t: (t.contexts, t.totals, t.kinds, t.pairs, t.counts))(shared.value[0])))
+        model = pdf[pdf["unit"] < 0].sort_values("unit", ascending=False)
+        for pairs, counts in zip(model["keys"], model["counts"], strict=True):
+            for have, new in zip((tree.contexts, tree.totals, tree.kinds, tree.pairs, tree.counts), _level(_numbers(pairs, "u8"), _numbers(counts, "i8")), strict=True):
+                have.append(new)
+        pdf = pdf[pdf["unit"] >= 0]
+        asked = [_numbers(x, "u8") for x in pdf["keys"]]
+        if not asked:
+            return pd.DataFrame({"unit": [], "bucket": [], "p": []})
+        codes = _counted(np.concatenate(asked))[0]
+        p = tree.log10(codes).astype(np.float32)
+        return pd.DataFrame({"unit": pdf["unit"], "bucket": pdf["bucket"], "p": [_planes(p[np.searchsorted(codes, x)]) for x in asked]})
+
+    scores_schema = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(batches):
         for batch in batches:
-            for rids, packed, parts in zip(*(batch.column(c).to_pylist() for c in ("rids", "streams", "parts")), strict=True):
+            for rids, packed, parts, counts in zip(*(batch.column(c).to_pylist() for c in ("rids", "streams", "parts", "words")), strict=True):
                 streams = _opened(packed)
-                _, _, place, first = _found(streams, buckets)
-                p = np.concatenate([_numbers(x["p"], "f4") for x in parts]).astype(np.float64)
-                tokens = [s.count(b" ") + 1 for s in streams]
-                cols = (np.frombuffer(rids, dtype=np.int64), tokens, np.add.reduceat(p[place], first))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _SCORES.types, strict=True)], schema=_SCORES)
-
-    dealt = units.select("unit", "trains", "streams").mapInArrow(deal, "bucket int, unit long, codes binary, counts binary")
-    asked = dealt.groupBy("bucket").applyInPandas(ask, "unit long, bucket int, p binary")
-    replies = asked.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "p"))).alias("parts"))
-    joined = units.select("unit", "rids", "streams").join(replies, "unit").select("rids", "streams", "parts")
-    out = save(joined.mapInArrow(finish, "rid long, n_tokens long, score double").dropDuplicates(["rid"]), "tree-scores")
-    drop(units)
-    del dealt, asked, replies, joined  # with them go their shuffle files
-    release(rows.sparkSession)
-    return out
+                hashes, starts, first = _words(streams)
+                c = np.concatenate([_numbers(x["counts"], "i8") for x in counts])[np.searchsorted(_counted(hashes)[0], hashes)]
+                codes = _codes(streams)[0]
+                found, p = _counted(codes)[0], np.concatenate([_numbers(x["p"], "f4") for x in parts])
+                by_symbol = np.empty(len(codes), dtype=np.float64)
+                for at in range(0, len(codes), _BLOCK):
+                    own = codes[at : at + _BLOCK]
+                    order = np.argsort(own)
+                    by_symbol[at + order] = p[np.searchsorted(found, own[order])]
+                tree = np.add.reduceat(by_symbol, starts)
+                base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
+                high = np.maximum(tree, base)
+                mixed = high + np.log10((1 - WORD_SHARE) * 10 ** (tree - high) + WORD_SHARE * 10 ** (base - high))
+                per = lambda x: np.add.reduceat(x, first)
+                cols = (np.frombuffer(rids, dtype=np.int64), np.diff(np.append(first, len(c))), per((c > 0).astype(np.int64)), np.full(len(first), tokens), per(base), per(mixed))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, scores_schema.types, strict=True)], schema=scores_schema)
+
+    counted = units.select("unit", "trains", "streams").mapInArrow(deal_counts, _PART)
+    model = save(counted.groupBy("bucket").applyInPandas(grow_part, _PART), "suffix-tree")
+    del counted
+    release(spark)
+    replies = words.where(F.col("unit") >= 0).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("words"))
+    done = []
+    for k in range(rounds):
+        own = units.where(F.pmod(F.xxhash64("unit"), F.lit(rounds)) == k)
+        asked = own.select("unit", "streams").mapInArrow(deal_codes, _PART).unionByName(model).groupBy("bucket").applyInPandas(ask, "unit long, bucket int, p binary")
+        parts = asked.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "p"))).alias("parts"))
+        joined = own.select("unit", "rids", "streams").join(parts, "unit").join(replies, "unit").select("rids", "streams", "parts", "words")
+        done.append(save(joined.mapInArrow(finish, "rid long, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores"))
+        del asked, parts, joined  # with them go their shuffle files
+        release(spark)
+    drop(units, model, words)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.dropDuplicates(["rid"])
 
 
 def score_texts(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
@@ -395,10 +413,7 @@ def score_texts(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
         (fold(F.col("doc_id").cast("long")) != held_out_fold).alias("train"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    scores = tree_scores(rows)
-    base = save(unigram_scores(rows.select("rid", "train", "text")), "unigram-scores")
-    release(docs.sparkSession)
-    return rows.drop("text").join(base, "rid").join(scores, "rid").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return rows.drop("text").join(score_rows(rows), "rid").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

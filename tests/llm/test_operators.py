@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -346,29 +347,106 @@ def test_lm_scores(docs, nothing):
     assert suffix_tree_lm.score_texts(nothing).count() == 0
 
 
+def code(context, symbol):
+    """A code of the suffix tree: the context's bytes, the last one first, and the symbol."""
+    return int.from_bytes(context[::-1] + bytes([symbol]), "big")
+
+
 def test_suffix_tree_distributions_sum_to_one(docs):
     tree = suffix_tree_lm.grow_tree(docs.selectExpr("coalesce(text, '') as text"))
-    for context in (b"\n\n\n\n\n", b"e ba ", b"zzzzz", b"the o"):
-        codes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
+    for context in (b"\n\n\n\n\n\n\n", b"the ba ", b"zzzzzzz", b"of the "):
+        codes = np.array([code(context, b) for b in range(256)], dtype=np.uint64)
         assert abs((10 ** tree.log10(codes)).sum() - 1) < 1e-5
     assert max(len(c) for c in tree.contexts) > 1
 
 
-def test_parts_of_the_suffix_tree_score_as_the_whole(docs):
+def brute_tree(streams, least, depth):
+    """Counts of every context, and those that stay: as the module says, without its numbers and levels."""
+    counts = defaultdict(Counter)
+    for s in streams:
+        s = b"\n" * depth + s
+        for i in range(depth, len(s)):
+            for k in range(depth + 1):
+                counts[s[i - k : i]][s[i]] += 1
+    stay = set()
+    for context, own in counts.items():
+        total, up = sum(own.values()), counts[context[1:]]
+        gain = sum(n * np.log(n / total / (up[x] / sum(up.values()))) for x, n in own.items())
+        if len(context) < suffix_tree_lm.SURE or total >= least and gain > 0.5 * len(own) * np.log(total):
+            stay |= {context[k:] for k in range(len(context) + 1)}
+    return counts, stay
+
+
+def brute_log10(counts, stay, context, symbol):
+    p = 1 / 256
+    for k in range(len(context) + 1):
+        own = context[len(context) - k :]
+        if own not in stay or own not in counts:
+            break
+        p = (counts[own][symbol] + len(counts[own]) * p) / (sum(counts[own].values()) + len(counts[own]))
+    return np.log10(p)
+
+
+def test_suffix_tree_is_that_of_brute_force(spark):
+    rng = random.Random(5)
+    source = [" ".join(words(rng, 40)) for _ in range(12)] + ["the same words again and again " * 4] * 3 + ["", "É é"]
+    streams = [suffix_tree_lm.symbols(t.encode()) for t in source]
+    counts, stay = brute_tree(streams, suffix_tree_lm.LEAST, suffix_tree_lm.DEPTH)
+    tree = suffix_tree_lm.grow_tree(spark.createDataFrame([(t,) for t in source], "text string"))
+    for k, contexts in enumerate(tree.contexts):
+        assert {int(c).to_bytes(k, "big")[::-1] for c in contexts} == {c for c in stay if len(c) == k and c in counts}
+    for s, got in zip(streams, tree.score(streams), strict=True):
+        padded = b"\n" * suffix_tree_lm.DEPTH + s
+        want = sum(brute_log10(counts, stay, padded[i : i + suffix_tree_lm.DEPTH], padded[i + suffix_tree_lm.DEPTH]) for i in range(len(s)))
+        assert abs(got - want) < 1e-6 * abs(want)
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_parts_of_the_suffix_tree_score_as_the_whole(docs, monkeypatch, rounds):
+    monkeypatch.setattr(suffix_tree_lm, "WORD_SHARE", 0.0)  # the tree alone
+    monkeypatch.setattr(suffix_tree_lm, "_BYTES", 20_000)
     rows = docs.selectExpr("xxhash64(doc_id, text) as rid", "coalesce(doc_id, 0) % 5 != 1 as train", "coalesce(text, '') as text")
     tree = suffix_tree_lm.grow_tree(rows.where("train").select("text"))
-    got = {r["rid"]: r["score"] for r in suffix_tree_lm.tree_scores(rows, symbols_at_once=10_000).collect()}
+    got = {r["rid"]: r["score"] for r in suffix_tree_lm.score_rows(rows, symbols_at_once=10_000, words_at_once=500, rounds=rounds).collect()}
     source = rows.collect()
     assert got.keys() == {r["rid"] for r in source}
     for r, want in zip(source, tree.score([suffix_tree_lm.symbols(r["text"].encode()) for r in source]), strict=True):
         assert abs(got[r["rid"]] - want) < 1e-5 * abs(want) + 1e-5
 
 
+def test_scores_mix_tree_and_words(docs):
+    """Word by word: 0.3 of the word's unigram probability and 0.7 of what the tree gives its symbols."""
+    source = docs.select("doc_id", "text").collect()
+    train = [r for r in source if zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 != 1]
+    counts = Counter(w for r in train for w in [*tokens(r["text"]), None])
+    total, distinct = sum(counts.values()), len(counts)
+    tree = suffix_tree_lm.grow_tree(docs.where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5 != 1").selectExpr("coalesce(text, '') as text"))
+    got = defaultdict(set)
+    for r in suffix_tree_lm.score_texts(docs).collect():
+        got[r["doc_id"], r["n_tokens"]].add(round(r["score"], 2))
+    for r in source[:25]:
+        stream, want = suffix_tree_lm.symbols((r["text"] or "").encode()), 0.0
+        codes, _ = suffix_tree_lm._codes([stream])
+        found, at = np.unique(codes, return_inverse=True)
+        by_symbol, begin = tree.log10(found)[at], 0
+        for w in [*tokens(r["text"]), None]:
+            end = begin + (1 if w is None else len(w.encode()) + 1)
+            want += np.log10(0.3 * (counts[w] + 0.5) / (total + 0.5 * (distinct + 1)) + 0.7 * 10 ** by_symbol[begin:end].sum())
+            begin = end
+        assert any(abs(x - want) < 0.011 + 1e-5 * abs(want) for x in got[r["doc_id"], len(tokens(r["text"])) + 1])
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="needs the synthetic documents")
+def test_held_out_texts_score_above_the_unigram_model(spark):
+    row = suffix_tree_lm.op3_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
+    assert row["s"] > row["b"] + 0.15
+
+
 def test_rare_long_contexts_stay_in_a_tree_of_many_symbols(spark):
     rows = [("e " * 550_000,)] * 10 + [(x + "bcdef" + y,) for x, y in ("pq", "rs", "tu", "vw") for _ in range(10)]
     tree = suffix_tree_lm.grow_tree(spark.createDataFrame(rows, "text string").repartition(4))
-    assert int.from_bytes(b"pbcdef", "big") in tree.contexts[6].tolist()
-    assert 10 ** tree.log10(np.array([int.from_bytes(b"\npbcdefq", "big")], dtype=np.uint64))[0] > 0.7
+    assert int.from_bytes(b"pbcdef"[::-1], "big") in tree.contexts[6].tolist()
+    assert 10 ** tree.log10(np.array([code(b"\npbcdef", ord("q"))], dtype=np.uint64))[0] > 0.7
 
 
 PAGES = [
