@@ -18,13 +18,13 @@ from .common import slices, table
 # Fixed values of the HTML standard: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object audio video canvas svg select".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist iframe audio video canvas input".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
-    "hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
-CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dd dt".split())
+CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot caption li dd dt option".split())
 # An opening tag on the left ends the open elements on the right, up to the scope.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -39,85 +39,141 @@ IMPLIED_END = {
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, {"html"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*+")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
-#: Deeper elements are put into the one at this depth, so that no text can nest without bound.
+
+
+#: Elements below this depth stand in the one at it, as lines of their own, so that rendering never nests deeper.
 DEEPEST = 200
+#: End tags of cells and tables pass these; others don't.
+_CELLS, _TABLE_TAGS = ("table", "td", "th"), frozenset("table tr tbody thead tfoot td th body html".split())
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start")
+    __slots__ = ("tag", "children", "hidden", "start", "span")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.children, self.hidden, self.start = tag, [], hidden, start
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: int = 1):
+        self.tag, self.children, self.hidden, self.start, self.span = tag, [], hidden, start, span
 
 
-def parse(page: str) -> Node:
-    """The tree of a page: nodes and, for text, strings."""
-    root = Node("#root")
-    open_: list[Node] = [root]
-    at = 0
-
-    def text(piece: str) -> None:
-        if piece:
-            open_[-1].children.append(html.unescape(piece) if "&" in piece else piece)
-
-    def close(tags: set[str], scope: set[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in scope:
-                return
-            if open_[k].tag in tags:
-                del open_[k:]
-                close(tags, scope)
-                return
+def tokens(page: str):
+    """(text before, kind, tag, rest) of each tag in order; kind is "open", "close", "raw" (the text is all of a raw
+    element) or "" (no tag). Every place is looked at a bounded number of times.
 
+    A tag ends at the first ">" outside quotes. A quote that is never closed is a plain sign; where quotes leave no
+    end, the tag ends at the next ">"; without any ">", the rest of the page is text.
+    """
+    last = {q: page.rfind(q) for q in "\"'>"}
+    begin = at = 0
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
-            return root
-        text(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+        at = page.find("<", at)
+        if at < 0:
+            yield page[begin:], "", "", ""
+            return
+        if page.startswith(("<!", "<?"), at):
+            long = page.startswith("<!--", at)
+            end = page.find("-->" if long else ">", at + 2)
+            yield page[begin:at], "", "", ""
+            begin = at = len(page) if end < 0 else end + (3 if long else 1)
             continue
-        if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in open_):
-                open_[-1].children.append(Node("p"))
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-                if open_[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+        m = _TAG.match(page, at + 1)
+        if m is None or m.end() > last[">"]:
+            at += 1
             continue
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\t\n") else {}
+        k = m.end()
+        while k < len(page) and page[k] != ">":
+            k = _PLAIN.match(page, k).end()
+            if k < len(page) and page[k] != ">":
+                k = page.index(page[k], k + 1) + 1 if k < last[page[k]] else k + 1
+        if k >= len(page):
+            k = page.find(">", m.end())
+        tag, rest = m[2].lower(), page[m.end() : k]
+        yield page[begin:at], "close" if m[1] else "open", tag, rest
+        begin = at = k + 1
+        if tag in RAW and not m[1]:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            yield page[at : end.start() if end else len(page)], "raw", tag, ""
+            begin = at = end.end() if end else len(page)
+
+
+class _Open:
+    """The open elements, and for each tag where it is open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        if len(self.nodes) > DEEPEST:
+            node.children = self.top().children
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """Where the innermost element of these tags is; 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, k: int) -> None:
+        for node in self.nodes[k:]:
+            self.places[node.tag].pop()
+        deep = len(self.nodes) > DEEPEST + 1 and any(n.tag in BLOCK for n in self.nodes[max(k, DEEPEST + 1) :])
+        del self.nodes[k:]
+        if deep and len(self.nodes) > DEEPEST:
+            self.top().children.append(Node("div"))
+
+    def end(self, tags, scope) -> None:
+        """Ends all elements of these tags inside the scope."""
+        while (k := self.last(tags)) > self.last(scope):
+            self.cut(k)
+
+
+def parse(page: str) -> Node:
+    """The tree of a page: nodes and, for text, strings. Text in a hidden element is left out."""
+    root = Node("#root")
+    open_ = _Open(root)
+    for text, kind, tag, rest in tokens(page):
+        if kind == "raw":
+            node = open_.top().children[-1]
+            if not node.hidden:
+                node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
+            continue
+        if text and not open_.top().hidden:
+            open_.top().children.append(html.unescape(text) if "&" in text else text)
+        if kind == "close":
+            if tag == "p" and not open_.last({"p"}):
+                open_.top().children.append(Node("p"))
+            k = open_.last({tag})
+            if k and (tag in _TABLE_TAGS or k > open_.last(_CELLS)):
+                open_.cut(k)
+        if kind != "open":
+            continue
+        attributes = {x[0].lower(): x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(rest)} if rest.strip(" /\t\n") else {}
         if tag in IMPLIED_END:
-            close(*IMPLIED_END[tag])
+            open_.end(*IMPLIED_END[tag])
         if tag in CLOSES_P:
-            close({"p"}, {"table", "td", "th", "button", "object"})
-        if re.fullmatch("h[1-6]", open_[-1].tag) and re.fullmatch("h[1-6]", tag):
-            open_.pop()
-        if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr")
-            open_[-1].children.append(row)
-            open_.append(row)
-        hidden = (
-            tag in HIDDEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
-            or (tag == "input") or bool(_UNSEEN.search(attributes.get("style", "")))
-        )
-        start = attributes.get("start", "")
-        node = Node(tag, hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
-        open_[-1].children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            piece = page[at : end.start() if end else len(page)]
-            node.children.append(html.unescape(piece) if tag in ("textarea", "title") else piece)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span")):
-            if len(open_) < DEEPEST:
-                open_.append(node)
+            open_.end({"p"}, {"table", "td", "th", "button", "object"})
+        if re.fullmatch("h[1-6]", open_.top().tag) and re.fullmatch("h[1-6]", tag):
+            open_.cut(len(open_.nodes) - 1)
+        if tag in ("td", "th") and open_.top().tag in ("table", "tbody", "thead", "tfoot"):
+            row = Node("tr", open_.top().hidden)
+            open_.top().children.append(row)
+            open_.push(row)
+        hidden = open_.top().hidden or tag in HIDDEN or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", "")))
+        number = lambda name: int(x) if re.fullmatch(r"-?\d{1,9}", x := attributes.get(name, "").strip()) else 1
+        node = Node(tag, hidden, number("start"), min(max(number("colspan"), 1), 1000))
+        keeps = tag not in RAW and tag not in VOID and not (rest.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"))
+        if not keeps or len(open_.nodes) <= DEEPEST:
+            open_.top().children.append(node)
+        elif tag in BLOCK and not hidden:
+            open_.top().children.append(Node("div"))
+        if keeps:
+            open_.push(node)
+    return root
 
 
 class Lines:
@@ -214,9 +270,14 @@ def _raw(node: Node):
             yield from _raw(child)
 
 
+#: Padding of a table is at most so many times its text; else its widest columns stay ragged, or one long cell among
+#: many short rows would make the output grow with the square of the page.
+_PADDING = 100
+
+
 def _table(node: Node) -> list[str]:
     """Rows with cells padded to the column's width; other content stands before the rows."""
-    rows: list[list[str]] = []
+    rows: list[list[tuple[str, int]]] = []
     before = Lines()
 
     def collect(part: Node) -> None:
@@ -228,7 +289,7 @@ def _table(node: Node) -> list[str]:
             elif child.tag in ("thead", "tbody", "tfoot"):
                 collect(child)
             elif child.tag == "tr":
-                cells = [" ".join(x for x in render(c) if x) for c in child.children if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th")]
+                cells = [(" ".join(x for x in render(c) if x), c.span) for c in child.children if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th")]
                 loose = Node("#loose")
                 loose.children = [c for c in child.children if isinstance(c, str) or (not c.hidden and c.tag not in ("td", "th"))]
                 before.put(render(loose))
@@ -239,9 +300,36 @@ def _table(node: Node) -> list[str]:
 
     collect(node)
     before.stop()
-    widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows), default=0))]
-    # a very wide column is left ragged, so that padding stays in proportion to the text
-    return before.done + [" | ".join(c.ljust(min(w, 40)) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows]
+    return before.done + _aligned(rows)
+
+
+def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
+    widths: dict[int, int] = {}
+    wide = []
+    for row in rows:
+        at = 0
+        for text, span in row:
+            if span == 1:
+                widths[at] = max(widths.get(at, 0), len(text))
+            else:
+                wide.append((at, span, len(text)))
+            at += span
+    for at, span, size in wide:  # a cell over several columns widens the last of them where they are too narrow
+        have = sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
+        widths[at + span - 1] = widths.get(at + span - 1, 0) + max(size - have, 0)
+    room = _PADDING * sum(len(text) + 1 for row in rows for text, _ in row)
+    for k in sorted(widths, key=lambda k: (widths[k], k)):
+        room -= widths[k] * len(rows)
+        if room < 0:
+            widths[k] = 0
+    out = []
+    for row in rows:
+        at, cells = 0, []
+        for text, span in row:
+            cells.append(text.ljust(sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)))
+            at += span
+        out.append(" | ".join(cells).rstrip())
+    return out
 
 
 def page_text(page: str) -> str:

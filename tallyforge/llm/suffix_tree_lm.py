@@ -29,8 +29,8 @@ SURE, LEAST = 3, 8
 WORD_SHARE = 0.3
 END = 0x0A
 _PAD = bytes([END]) * DEPTH
-_BYTES = 8 << 20
-_BLOCK = 2 << 20
+_BYTES = 3 << 20
+_BLOCK = 1 << 20
 
 
 def symbols(text: bytes) -> bytes:
@@ -38,17 +38,29 @@ def symbols(text: bytes) -> bytes:
     return b" ".join(words) + b" \n" if words else b"\n"
 
 
+def _blocks(streams: list[bytes]):
+    """Slices of streams of about a MB, so that what is computed from one stays small."""
+    begin, held = 0, 0
+    for k, s in enumerate(streams):
+        held += len(s)
+        if held >= _BLOCK or k + 1 == len(streams):
+            yield slice(begin, k + 1), held
+            begin, held = k + 1, 0
+
+
 def _codes(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol of the streams: the DEPTH bytes before it, the last one first, and itself, as one number, so that
     contexts that end alike are neighbours; and the stream's first place."""
-    buffer = b"".join(x for s in streams for x in (_PAD, s))
-    lengths = np.array([len(s) for s in streams])
-    first = np.cumsum(lengths) - lengths
-    inside = np.repeat(np.arange(len(streams)) * DEPTH, lengths)
-    inside += np.arange(len(inside))
-    # eight bytes that end in the symbol, which is the highest one as they lie in memory
-    code = np.ndarray((len(buffer) - DEPTH,), dtype="<u8", buffer=buffer, strides=(1,))[inside]
-    return (code << np.uint64(8)) | (code >> np.uint64(56)), first
+    lengths = np.array([len(s) for s in streams], dtype=np.int64)
+    out, at = np.empty(lengths.sum(), dtype=np.uint64), 0
+    for own, size in _blocks(streams):
+        buffer = b"".join(x for s in streams[own] for x in (_PAD, s))
+        inside = np.arange(size) + np.repeat(np.arange(len(lengths[own])) * DEPTH, lengths[own])
+        # eight bytes that end in the symbol, which is the highest one as they lie in memory
+        code = np.ndarray((len(buffer) - DEPTH,), dtype="<u8", buffer=buffer, strides=(1,))[inside]
+        out[at : at + size] = (code << np.uint64(8)) | (code >> np.uint64(56))
+        at += size
+    return out, np.cumsum(lengths) - lengths
 
 
 def _context(codes: np.ndarray, k: int) -> np.ndarray:
@@ -211,6 +223,14 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "train", "text").mapInArrow(scan, "unit long, rids binary, trains binary, streams binary, symbols long")
 
 
+def _rows(batches, *names: str):
+    """Values of one row at a time: a row holds MBs, a batch many rows."""
+    for batch in batches:
+        cols = [batch.column(c) for c in names]
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in cols)
+
+
 def _opened(packed: bytes) -> list[bytes]:
     data = _unpacked(packed)
     n = int.from_bytes(data[:8], "little")
@@ -231,14 +251,19 @@ _END_WORD = np.uint64(0x656E64)
 
 def _words(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words, the ends included: hashes and first symbols; and the first word of each stream."""
-    buffer = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    ends = np.flatnonzero((buffer == 0x20) | (buffer == END))
-    starts = np.append(0, ends[:-1] + 1)
-    roll = rolling()
-    hashes = mix64(roll.of(roll.prefix(buffer), starts, ends - starts) + (ends - starts).astype(np.uint64))
-    hashes[buffer[ends] == END] = _END_WORD
-    before = np.cumsum([0, *(len(s) for s in streams[:-1])])
-    return hashes, starts, np.searchsorted(starts, before)
+    roll, hashes, starts, first, at, words = rolling(), [], [], [], 0, 0
+    for own, size in _blocks(streams):
+        buffer = np.frombuffer(b"".join(streams[own]), dtype=np.uint8)
+        ends = np.flatnonzero((buffer == 0x20) | (buffer == END))
+        begins = np.append(0, ends[:-1] + 1)
+        h = mix64(roll.of(roll.prefix(buffer), begins, ends - begins) + (ends - begins).astype(np.uint64))
+        h[buffer[ends] == END] = _END_WORD
+        before = np.cumsum([0, *(len(s) for s in streams[own][:-1])])
+        first.append(np.searchsorted(begins, before) + words)
+        hashes.append(h)
+        starts.append(begins + at)
+        at, words = at + size, words + len(ends)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(first)
 
 
 def _parts(unit: int, keys: np.ndarray, counts: np.ndarray | None, edges: np.ndarray):
@@ -256,15 +281,14 @@ def _word_counts(units: DataFrame, buckets: int) -> DataFrame:
     edges = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
 
     def deal(batches):
-        for batch in batches:
-            for unit, trains, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "trains", "streams")), strict=True):
-                streams = _opened(packed)
-                words = _counted(_words(streams)[0])[0]
-                counts = np.zeros(len(words), dtype=np.int32)
-                if own := _trained(trains, streams):
-                    found, n = _counted(_words(own)[0])
-                    counts[np.searchsorted(words, found)] = n
-                yield from _parts(unit, words, counts, edges)
+        for unit, trains, packed in _rows(batches, "unit", "trains", "streams"):
+            streams = _opened(packed)
+            words = _counted(_words(streams)[0])[0]
+            counts = np.zeros(len(words), dtype=np.int32)
+            if own := _trained(trains, streams):
+                found, n = _counted(_words(own)[0])
+                counts[np.searchsorted(words, found)] = n
+            yield from _parts(unit, words, counts, edges)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         words = [_numbers(x, "u8") for x in pdf["keys"]]
@@ -281,14 +305,13 @@ def _short_contexts(units: DataFrame) -> tuple[SuffixTree, np.ndarray, np.ndarra
     rows, whatever the size of the corpus."""
 
     def count(batches):
-        for batch in batches:
-            for trains, packed in zip(batch.column("trains").to_pylist(), batch.column("streams").to_pylist(), strict=True):
-                streams = _opened(packed)
-                found = [(False, *_counted(_context(_codes(streams)[0], SURE)))]
-                if own := _trained(trains, streams):
-                    found.append((True, *_counted(_pair(_codes(own)[0], SURE - 1))))
-                for low, key, n in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), low)), pa.array(key.astype(np.int64)), pa.array(n)], names=["low", "key", "n"])
+        for trains, packed in _rows(batches, "trains", "streams"):
+            streams = _opened(packed)
+            found = [(False, *_counted(_context(_codes(streams)[0], SURE).astype(np.uint32)))]
+            if own := _trained(trains, streams):
+                found.append((True, *_counted(_pair(_codes(own)[0], SURE - 1).astype(np.uint32))))
+            for low, key, n in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), low)), pa.array(key.astype(np.int64)), pa.array(n)], names=["low", "key", "n"])
 
     table_ = units.select("trains", "streams").mapInArrow(count, "low boolean, key long, n long").groupBy("low", "key").agg(F.sum("n").alias("n")).toArrow()
     is_low, key, n = (np.asarray(table_.column(c).to_numpy(zero_copy_only=False), dtype=t) for c, t in (("low", bool), ("key", np.int64), ("n", np.int64)))
@@ -301,7 +324,7 @@ def _short_contexts(units: DataFrame) -> tuple[SuffixTree, np.ndarray, np.ndarra
     return SuffixTree(*(list(x) for x in zip(*levels, strict=True))), key[order], n[order]
 
 
-def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once: int = 1_000_000, rounds: int = 2) -> DataFrame:
+def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once: int = 1_000_000, rounds: int = 3) -> DataFrame:
     """(rid, n_tokens, n_known, train_tokens, base_score, score) of rows (rid, train, text), one for each different rid.
 
     Contexts that end alike meet in one task, with their training counts, so that each task grows its own part of the
@@ -322,13 +345,13 @@ def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once:
     words = save(_word_counts(units, max(1, int(-(-total // (8 * words_at_once))))), "word-counts")
     about = [np.frombuffer(r[0], dtype=np.int64) for r in words.where(F.col("unit") == _MODEL).select("counts").collect()]  # two numbers of each bucket
     distinct, tokens = (int(sum(a[k] for a in about)) for k in (0, 1))
+    release(spark)
 
     def deal_counts(batches):
-        for batch in batches:
-            for unit, trains, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "trains", "streams")), strict=True):
-                if own := _trained(trains, _opened(packed)):
-                    codes, counts = _counted(_codes(own)[0])
-                    yield from _parts(unit, codes, counts.astype(np.int32), shared.value[1])
+        for unit, trains, packed in _rows(batches, "unit", "trains", "streams"):
+            if own := _trained(trains, _opened(packed)):
+                codes, counts = _counted(_codes(own)[0])
+                yield from _parts(unit, codes, counts.astype(np.int32), shared.value[1])
 
     def grow_part(pdf: pd.DataFrame) -> pd.DataFrame:
         codes, counts = _summed(np.concatenate([_numbers(x, "u8") for x in pdf["keys"]]), np.concatenate([_numbers(x, "i4") for x in pdf["counts"]]).astype(np.int64))
@@ -339,9 +362,8 @@ def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once:
         return pd.DataFrame(out, columns=_DEALT.names)
 
     def deal_codes(batches):
-        for batch in batches:
-            for unit, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "streams")), strict=True):
-                yield from _parts(unit, _different(_opened(packed)), None, shared.value[1])
+        for unit, packed in _rows(batches, "unit", "streams"):
+            yield from _parts(unit, _different(_opened(packed)), None, shared.value[1])
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = SuffixTree(*(list(x) for x in (lambda t: (t.contexts, t.totals, t.kinds, t.pairs, t.counts))(shared.value[0])))
@@ -360,25 +382,23 @@ def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once:
     scores_schema = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(batches):
-        for batch in batches:
-            for rids, packed, parts, counts in zip(*(batch.column(c).to_pylist() for c in ("rids", "streams", "parts", "words")), strict=True):
-                streams = _opened(packed)
-                hashes, starts, first = _words(streams)
-                c = np.concatenate([_numbers(x["counts"], "i8") for x in counts])[np.searchsorted(_counted(hashes)[0], hashes)]
-                codes = _codes(streams)[0]
-                found, p = _counted(codes)[0], np.concatenate([_numbers(x["p"], "f4") for x in parts])
-                by_symbol = np.empty(len(codes), dtype=np.float64)
-                for at in range(0, len(codes), _BLOCK):
-                    own = codes[at : at + _BLOCK]
-                    order = np.argsort(own)
-                    by_symbol[at + order] = p[np.searchsorted(found, own[order])]
-                tree = np.add.reduceat(by_symbol, starts)
-                base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
-                high = np.maximum(tree, base)
-                mixed = high + np.log10((1 - WORD_SHARE) * 10 ** (tree - high) + WORD_SHARE * 10 ** (base - high))
-                per = lambda x: np.add.reduceat(x, first)
-                cols = (np.frombuffer(rids, dtype=np.int64), np.diff(np.append(first, len(c))), per((c > 0).astype(np.int64)), np.full(len(first), tokens), per(base), per(mixed))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, scores_schema.types, strict=True)], schema=scores_schema)
+        for rids, packed, parts, counts in _rows(batches, "rids", "streams", "parts", "words"):
+            streams = _opened(packed)
+            hashes, starts, first = _words(streams)
+            c = np.concatenate([_numbers(x["counts"], "i8") for x in counts])[np.searchsorted(_counted(hashes)[0], hashes)]
+            codes = _codes(streams)[0]
+            order = np.argsort(codes)
+            first_of = _firsts(codes[order])
+            p = np.concatenate([_numbers(x["p"], "f4") for x in parts])
+            by_symbol = np.empty(len(codes), dtype=np.float64)
+            by_symbol[order] = np.repeat(p, np.diff(np.append(first_of, len(codes))))
+            tree = np.add.reduceat(by_symbol, starts)
+            base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
+            high = np.maximum(tree, base)
+            mixed = high + np.log10((1 - WORD_SHARE) * 10 ** (tree - high) + WORD_SHARE * 10 ** (base - high))
+            per = lambda x: np.add.reduceat(x, first)
+            cols = (np.frombuffer(rids, dtype=np.int64), np.diff(np.append(first, len(c))), per((c > 0).astype(np.int64)), np.full(len(first), tokens), per(base), per(mixed))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, scores_schema.types, strict=True)], schema=scores_schema)
 
     counted = units.select("unit", "trains", "streams").mapInArrow(deal_counts, _PART)
     model = save(counted.groupBy("bucket").applyInPandas(grow_part, _PART), "suffix-tree")

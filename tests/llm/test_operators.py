@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -462,9 +463,28 @@ PAGES = [
     ("<title>t</title><body>b <a href='x'>link</a> <input value=v>", "b link"),
     ("a < b and <unclosed", "a < b and <unclosed"),
     ("<div>" * 3000 + "deep", "deep"),
+    ("<div>" * 250 + "<span hidden>secret<b>too</b></span>seen", "seen"),
+    ("<div>" * 250 + "one<div>two<i>and</i></div>three", "one\ntwoand\nthree"),
+    ("<div>" * 250 + "<div hidden>secret</div></div>" * 250 + "after", "after"),
+    ("<p aria-hidden='true'>seen</p>", "seen"),
+    ("<select><option>a<option>b</select><object>c</object><svg><text>d</text></svg>", "a\nb\ncd"),
+    ("<table><tr><td>" + "w" * 60 + "<td>1<tr><td>x<td>2</table>", "w" * 60 + " | 1\n" + "x".ljust(60) + " | 2"),
+    ("<table><tr><td colspan=2>both<td>c<tr><td>a<td>b<td>c</table>", "both  | c\na | b | c"),
+    ("<script>if (a<b && c=='</p>') {}</script>x<textarea>a <b> c</textarea>", "xa <b> c"),
+    ("<p title='a > b'>x</p><p title='it>y</p>", "x\n\ny"),
 ]
 
 
+def test_html_is_read_in_linear_time():
+    began = time.monotonic()
+    for page in ("<a " * 350_000, "<a '" * 250_000 + ">", "<p><button>" + "<b>" * 150_000 + "<div>" * 100_000, "<!--" * 250_000, "<table>" + "<tr><td>x" * 50_000 + "<tr><td>" + "y" * 300_000 + "<td>z"):
+        assert len(html_text.page_text(page)) < 120 * len(page)
+    assert time.monotonic() - began < 20
+    began = time.monotonic()
+    assert html_text.page_text("<a " * 350_000).startswith("<a <a")
+    assert time.monotonic() - began < 1
+
+
 def test_html(spark):
     rows = [(i, h, "u", 1) for i, (h, _) in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, html string, url string, n_lines int")
