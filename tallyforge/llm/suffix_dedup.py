@@ -83,18 +83,39 @@ def _pieces(texts: list[bytes], width: int):
         yield held
 
 
+_FOUND = pa.schema([("rid", pa.int64()), ("key", pa.int64()), ("seg", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int32())])
+
+
 def find_segments(rows: DataFrame, width: int) -> DataFrame:
-    """Segments of rows (rid, text): rid, key (gram), seg (content), lo and hi (first and last window)."""
-    schema = pa.schema([("rid", pa.int64()), ("key", pa.int64()), ("seg", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    """Segments of rows (rid, text): rid, key (gram), seg (content), lo and hi (first and last window) and n.
+
+    Segments that a task meets n times within a few MB are one row. They repeat, so their spans are rows as well, with
+    a null key, lo and hi: begin and end. A passage of very many texts is thus a few rows of each task.
+    """
 
     def scan(batches):
         for batch in slices(batches):
             rids = batch.column("rid").to_numpy(zero_copy_only=False)
             for pieces in _pieces(text_bytes(batch.column("text")), width):
-                row, *rest = _segments(pieces, width)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rids[row], *rest), schema.types, strict=True)], schema=schema)
+                row, key, seg, lo, hi = _segments(pieces, width)
+                order = np.argsort(seg, kind="stable")
+                begin = np.flatnonzero(np.append(True, seg[order][1:] != seg[order][:-1]))
+                times = np.diff(np.append(begin, len(seg)))
+                one = order[begin]
+                again = np.flatnonzero(np.repeat(times, times)[np.argsort(order)] > 1)
+                yield _record(_FOUND, rids[row[one]], key[one], seg[one], lo[one], hi[one], times)
+                if len(again):
+                    new = np.append(True, (np.diff(again) > 1) | (row[again][1:] != row[again][:-1]) | (lo[again][1:] > hi[again][:-1] + 1))
+                    first = again[new]
+                    last = again[np.append(np.flatnonzero(new)[1:], len(again)) - 1]
+                    none = pa.nulls(len(first), pa.int64())
+                    yield _record(_FOUND, rids[row[first]], none, none, lo[first], hi[last] + width, pa.nulls(len(first), pa.int32()))
+
+    return rows.mapInArrow(scan, "rid long, key long, seg long, lo int, hi int, n int")
+
 
-    return rows.mapInArrow(scan, "rid long, key long, seg long, lo int, hi int")
+def _record(schema: pa.Schema, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
 def _cut_segments(joined: DataFrame, width: int) -> DataFrame:
@@ -189,17 +210,18 @@ def _compare_shuffled(segments: DataFrame, width: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, width: int = 200) -> DataFrame:
     """Spans (rid, s, e) of rows (rid, text) whose windows repeat; they may overlap."""
     spark = rows.sparkSession
-    all_ = save(find_segments(rows, width), "segments")
-    grams = all_.groupBy("key").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1")
+    found = save(find_segments(rows, width), "segments")
+    all_ = found.where("key is not null")
+    grams = all_.groupBy("key").agg(F.sum("n").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1")
     grams = save(grams.select("key", (F.col("a") != F.col("b")).alias("mixed")), "grams-met")
     release(spark)
     met = save(all_.join(grams, "key"), "segments-met")
-    drop(all_, grams)
     release(spark)
     kinds = save(
-        met.groupBy("key", "seg").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("rid", "lo", "hi")).alias("one")), "segment-kinds"
+        met.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("rid", "lo", "hi")).alias("one")), "segment-kinds"
     )
-    whole = met.join(kinds.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("rid", F.col("lo").alias("s"), (F.col("hi") + width).alias("e"))
+    whole = met.where("n = 1").join(kinds.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("rid", F.col("lo").alias("s"), (F.col("hi") + width).alias("e"))
+    whole = whole.unionByName(found.where("key is null").select("rid", F.col("lo").alias("s"), F.col("hi").alias("e")))
     ends = kinds.where("mixed")
     wanted = ends.groupBy("one.rid").agg(F.collect_list(F.struct("key", "one.lo", "one.hi", "n")).alias("wanted"))
     cut = save(_cut_segments(rows.join(wanted, "rid"), width), "segment-bytes")
@@ -208,7 +230,7 @@ def repeated_spans(rows: DataFrame, width: int = 200) -> DataFrame:
     few = cut.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     hot = cut.join(many, "key", "left_semi")
     spans = save(whole.unionByName(_compare_sorted(few, width)).unionByName(_compare_shuffled(hot, width)), "repeated-spans")
-    drop(met, kinds, cut)
+    drop(found, grams, met, kinds, cut)
     release(spark)
     return spans
 
@@ -220,20 +242,22 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     and kept: the remaining bytes, or with as_text the text they spell, less characters cut in two. Strings are judged on the input, within and across documents, and
     never across a document's end. Null text is empty; texts under `width` bytes stay; equal rows count
     as two places, so both lose what they share; ids may repeat or be null; an empty table gives no rows.
+    Other columns stay, whatever their names; only those named as the four results are replaced by them.
     """
-    rid = "_rid"
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).drop(text_col).withColumn(rid, F.xxhash64(F.col(id_col).cast("string"), F.col("_text")))
-    spans = repeated_spans(rows.select(F.col(rid).alias("rid"), F.col("_text").alias("text")), width)
-    of_row = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_spans"))
-    joined = rows.join(of_row, rows[rid] == of_row["rid"], "left").drop("rid", rid)
-    names = [c for c in joined.columns if c not in ("_text", "_spans")]
-    ddl = joined.select(*names).schema
-    out_schema = ddl.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
+    results = ["n_bytes", "n_removed", "n_spans", "kept"]
+    names = [c for c in docs.columns if c != text_col and c not in results]
+    rest = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("_"))
+    rows = docs.select(rest.alias("rest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("string").alias("id"))
+    rows = rows.select("rest", "text", F.xxhash64("id", "text").alias("rid"))
+    spans = repeated_spans(rows.select("rid", "text"), width)
+    of_row = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    joined = rows.join(of_row, "rid", "left").select("rest", "text", "spans")
+    out_schema = joined.select("rest").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
 
     def apply(batches):
         for batch in slices(batches):
             removed, runs, kept, sizes = [], [], [], []
-            for text, spans_ in zip(text_bytes(batch.column("_text")), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans_ in zip(text_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
                 parts, at, k, end = [], 0, 0, -1
                 for span in spans_ or ():
                     s, e = span["s"], span["e"]
@@ -247,10 +271,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
                 runs.append(k)
                 sizes.append(len(text))
                 removed.append(len(text) - len(x))
-            cols = [batch.column(c) for c in names] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            cols = [batch.column("rest"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rest", *results])
 
-    return joined.mapInArrow(apply, out_schema)
+    return joined.mapInArrow(apply, out_schema).select(*[F.col(f"rest.`{c}`").alias(c) for c in names], *results)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
