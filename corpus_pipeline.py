@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte inside a 200-byte string that also starts elsewhere goes; documents stay, if need be empty."""
     kept = remove_repeats(docs, as_text=True)
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
