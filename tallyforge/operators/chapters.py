@@ -74,7 +74,7 @@ def evaluate_chapters(entities: DataFrame, matched: DataFrame, overrides: DataFr
     manual = overrides.where("status = 'ACTIVE'").groupBy("chapter_id", "entity_id").agg(F.max("override_type").alias("override_type"))
     rows = entities.crossJoin(F.broadcast(chapters.select("chapter_id").distinct()))  # one row for each chapter
     rows = rows.join(chosen, ["chapter_id", "entity_id"], "left").join(manual, ["chapter_id", "entity_id"], "left")
-    sel = F.coalesce("selection_status", F.lit("NO_CURRENT_LOCATION"))
+    sel = F.when(F.col("entity_type") != "INDIVIDUAL", "INELIGIBLE_ENTITY_TYPE").otherwise(F.coalesce("selection_status", F.lit("NO_CURRENT_LOCATION")))
     result = (
         F.when(F.col("entity_type") != "INDIVIDUAL", "INELIGIBLE_ENTITY_TYPE")
         .when(F.col("override_type") == "EXCLUDE", "MANUALLY_EXCLUDED")
@@ -169,3 +169,9 @@ def apply_overrides(overrides: DataFrame, decisions: DataFrame) -> tuple[DataFra
     newest = F.row_number().over(Window.partitionBy("chapter_id", "entity_id", "status").orderBy(F.desc("decided_at"))) == 1
     both = both.withColumn("_new", newest).withColumn("status", F.when((F.col("status") == "ACTIVE") & ~F.col("_new"), "SUPERSEDED").otherwise(F.col("status"))).drop("_new")
     return both, decisions.where(bad)
+
+
+def revoke_overrides(overrides: DataFrame, revoked: DataFrame) -> DataFrame:
+    """Active overrides of the given (chapter_id, entity_id) are revoked."""
+    hit = overrides.join(revoked.select("chapter_id", "entity_id").distinct().withColumn("_hit", F.lit(True)), ["chapter_id", "entity_id"], "left")
+    return hit.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "ACTIVE"), "REVOKED").otherwise(F.col("status"))).select(overrides.columns)

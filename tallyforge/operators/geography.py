@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.parsing import normalize_weight, normalize_zip
 
 RESOLVED = ["EXACT_PLACE_ZIP_MATCH", "EXACT_ALIAS_ZIP_MATCH", "UNIQUE_ZIP_INFERENCE", "MANUALLY_RESOLVED"]
-#: What each kind of reference file needs besides what a ZIP column needs.
+# Kinds of reference files; with each, what it needs besides what a ZIP column needs.
 KINDS = {
-    "COUNTY_LIST": ["county"], "PLACE_LIST": ["place"], "POSTAL_LIST": [], "ZIP_COUNTY": ["county"], "ZIP_PLACE": ["place"], "PLACE_COUNTY": ["place", "county"],
-    "ALIAS": [], "IDENTIFIER": [],
+    "COUNTY_LIST": ["county"], "PLACE_LIST": ["place"], "POSTAL_LIST": [], "ZIP_COUNTY_CROSSWALK": ["county"], "ZIP_PLACE_CROSSWALK": ["place"],
+    "PLACE_COUNTY_CROSSWALK": ["place", "county"], "ALIAS_LIST": [], "IDENTIFIER_LIST": [],
 }
 
 
@@ -23,7 +23,7 @@ def import_reference(rows: DataFrame, kind: str) -> DataFrame:
     rows = rows.withColumns({"_z": z, "_w": w, "_n": F.row_number().over(Window.partitionBy("row_hash").orderBy("row_number"))})
     lacking = reduce(lambda a, b: a | b, [F.coalesce(F.trim(c), F.lit("")) == "" for c in KINDS[kind]], F.lit(False))
     status = F.when(F.col("_n") > 1, "EXACT_DUPLICATE")
-    if kind in ("POSTAL_LIST", "ZIP_COUNTY", "ZIP_PLACE"):
+    if kind in ("POSTAL_LIST", "ZIP_COUNTY_CROSSWALK", "ZIP_PLACE_CROSSWALK"):
         status = (
             status.when(F.trim("zip").rlike(r"^\d{4}$") & F.col("_z.zip5").isNull(), "POSSIBLE_TRUNCATED_LEADING_ZERO")
             .when(F.col("_z.zip5").isNull() | lacking, "VALIDATION_FAILURE")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,50 +14,109 @@ LEVELS = ["LOW", "MEDIUM", "HIGH"]
 EVIDENCE = ["suffix", "middle", "employer", "occupation"]
 
 
-class _Cluster:
-    """What the members of a cluster show: the values of each kind of evidence."""
+class _Block:
+    """The clusters of one name and ZIP, found by what they show.
 
-    def __init__(self, cluster_id: str):
-        self.id, self.matched = cluster_id, 0
-        self.values: dict[str, set[str]] = {e: set() for e in EVIDENCE}
+    A cluster shows at most one value of each kind of evidence (of middle names, one initial), or several where earlier
+    members differ; those conflict with any row that has that kind. A row fits clusters that show, for each kind the
+    row has, nothing or its own value, and at least one such value. So a row is at most fifteen look-ups, and each
+    gives the oldest cluster of that kind; entries of clusters that have changed since are dropped when met.
+    """
 
-    def add(self, row: dict) -> None:
-        for e in EVIDENCE:
-            if row[e]:
-                self.values[e].add(row[e])
+    def __init__(self):
+        self.shown: list[list] = []  # of each cluster: value, None or _MIXED, for each kind of evidence
+        self.middles: list[set[str]] = []
+        self.ids: list[str] = []
+        self.matched: list[int] = []
+        self.heaps: dict[tuple, list[int]] = {}
+
+    def new(self, cluster_id: str) -> int:
+        self.shown.append([None] * len(EVIDENCE))
+        self.middles.append(set())
+        self.ids.append(cluster_id)
+        self.matched.append(0)
+        return len(self.ids) - 1
+
+    def add(self, k: int, row: tuple) -> None:
+        """Evidence of a row for cluster k."""
+        shown, changed = self.shown[k], False
+        for e, value in enumerate(row):
+            if value:
+                value = value[0] if e == _MIDDLE else value
+                if shown[e] is None:
+                    shown[e], changed = value, True
+                elif shown[e] != value and shown[e] is not _MIXED:
+                    shown[e], changed = _MIXED, True
+        if row[_MIDDLE] and row[_MIDDLE] not in self.middles[k]:
+            self.middles[k].add(row[_MIDDLE])
+            changed = True
+        if changed:
+            for have in range(1, 1 << len(EVIDENCE)):
+                for key in self._keys(k, have):
+                    heapq.heappush(self.heaps.setdefault(key, []), k)
+
+    def _keys(self, k: int, have: int):
+        """Where rows with the kinds of evidence `have` find cluster k."""
+        own = tuple(self.shown[k][e] if have >> e & 1 else None for e in range(len(EVIDENCE)))
+        if all(v is None for v in own) or _MIXED in own:
+            return
+        if own[_MIDDLE] is not None and all(v is None for e, v in enumerate(own) if e != _MIDDLE):
+            # the middle name alone: equal, or an initial on either side
+            yield have, own, "initial of the row"
+            for m in self.middles[k]:
+                yield have, own, m if len(m) > 1 else "initial of the cluster"
+        else:
+            yield have, own, ""
+
+    def find(self, row: tuple) -> int | None:
+        """The oldest cluster that the row does not conflict with and is corroborated by."""
+        have = sum(1 << e for e, v in enumerate(row) if v)
+        values = [v[0] if v and e == _MIDDLE else v for e, v in enumerate(row)]
+        best, part = None, have
+        while part:
+            own = tuple(values[e] if part >> e & 1 else None for e in range(len(EVIDENCE)))
+            if part != 1 << _MIDDLE:
+                tags = [""]
+            elif len(row[_MIDDLE]) == 1:
+                tags = ["initial of the row"]
+            else:
+                tags = [row[_MIDDLE], "initial of the cluster"]
+            for tag in tags:
+                heap = self.heaps.get((have, own, tag))
+                while heap and (have, own, tag) not in self._keys(heap[0], have):
+                    heapq.heappop(heap)
+                if heap and (best is None or heap[0] < best):
+                    best = heap[0]
+            part = (part - 1) & have
+        return best
 
-    def conflicts(self, row: dict) -> bool:
-        """R3a."""
-        return any(
-            row[e] and any((v[0] != row[e][0]) if e == "middle" else (v != row[e]) for v in self.values[e]) for e in EVIDENCE
-        )
 
-    def corroborates(self, row: dict) -> bool:
-        """Equal values; for middle names an initial is enough."""
-        middle = row["middle"]
-        return any(row[e] in self.values[e] for e in EVIDENCE if row[e]) or any(
-            v[0] == middle[0] and (len(v) == 1 or len(middle) == 1) for v in self.values["middle"] if middle
-        )
+_MIXED, _MIDDLE = object(), EVIDENCE.index("middle")
 
 
 def _fold(batches):
-    """Rows sorted by block, existing members first, then in order; only the block under way is held."""
-    key, clusters = None, {}
+    """Rows sorted by block, existing members first, then in order; only the clusters of the block under way are held."""
+    key, block, known = None, _Block(), {}
     for batch in batches:
+        batch = batch.fillna("")
+        cols = [batch[c].tolist() for c in ("normalized_name", "zip5", "is_new", "cluster_id", "contribution_id", *EVIDENCE)]
         out = []
-        for row in batch.fillna("").to_dict("records"):
-            if (row["normalized_name"], row["zip5"]) != key:
-                key, clusters = (row["normalized_name"], row["zip5"]), {}
-            if not row["is_new"]:
-                clusters.setdefault(row["cluster_id"], _Cluster(row["cluster_id"])).add(row)
+        for name, zip5, is_new, cluster_id, contribution_id, *row in zip(*cols, strict=True):
+            if (name, zip5) != key:
+                key, block, known = (name, zip5), _Block(), {}
+            row = tuple(row)
+            if not is_new:
+                if cluster_id not in known:
+                    known[cluster_id] = block.new(cluster_id)
+                block.add(known[cluster_id], row)
                 continue
-            found = next((c for c in clusters.values() if not c.conflicts(row) and c.corroborates(row)), None)
-            if found is None:
-                found = clusters.setdefault(row["contribution_id"], _Cluster(row["contribution_id"]))
+            k = block.find(row)
+            if k is None:
+                k = block.new(contribution_id)
             else:
-                found.matched += 1
-            found.add(row)
-            out.append((row["contribution_id"], found.id, found.matched))
+                block.matched[k] += 1
+            block.add(k, row)
+            out.append((contribution_id, block.ids[k], block.matched[k]))
         yield pd.DataFrame(out, columns=["contribution_id", "cluster_id", "matched_before"])
 
 
@@ -144,25 +205,67 @@ def effective_contributions(contributions: DataFrame, amendments: DataFrame) ->
     return contributions.join(gone.where("contribution_id is not null").distinct(), "contribution_id", "left_anti")
 
 
-def validate_amendments(amendments: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(issue, contribution_id): self references, originals accepted twice, contributions on a cycle.
+def _kept(df: DataFrame) -> DataFrame:
+    """The table cut from its lineage: in the checkpoint folder, or in memory where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) less those that cannot be on a cycle, as their start has no edge in or their end none out."""
+    n, last = edges.count(), None
+    while n:
+        inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        inner = _kept(inner.select("u", "v"))
+        left = inner.count()
+        if last is not None:
+            last.unpersist()
+        edges, last = inner, inner
+        if left == n:
+            break
+        n = left
+    return edges
+
+
+def _spread(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """nodes (node, value) with the largest value of all nodes that reach each along edges (u, v)."""
+    while True:
+        came = edges.join(nodes.select(F.col("node").alias("u"), value), "u").groupBy(F.col("v").alias("node")).agg(F.max(value).alias("_came"))
+        new = _kept(nodes.join(came, "node", "left").select("node", F.greatest(value, "_came").alias(value), (F.col("_came") > F.col(value)).alias("_moved")))
+        moved = bool(new.where("_moved").take(1))
+        nodes = new.select("node", value)
+        if not moved:
+            return nodes
 
-    Edges that cannot be on a cycle (their start has no edge in, or their end none out) are dropped round by round.
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(node) of nodes that reach themselves along edges (u, v).
+
+    Round by round: each node takes the largest node that reaches it; nodes of one such color that also reach that node
+    are a cycle's; they and their edges go, and what may still be on a cycle is looked at again.
     """
+    edges, found = _trimmed(edges), None
+    while edges.take(1):
+        nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+        color = _spread(nodes.withColumn("color", F.col("node")), edges, "color")
+        own = edges.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")), "v").where("cu = cv")
+        back = _spread(color.select("node", (F.col("node") == F.col("color")).cast("int").alias("root")), own.select(F.col("v").alias("u"), F.col("u").alias("v")), "root")
+        group = back.where("root = 1").join(color, "node")
+        sizes = group.groupBy("color").agg(F.count("*").alias("n")).where("n > 1")
+        hit = _kept(group.join(sizes, "color", "left_semi").select("node"))
+        found = hit if found is None else found.union(hit)
+        done = _kept(group.select("node"))
+        rest = edges.join(done.select(F.col("node").alias("u")), "u", "left_anti").join(done.select(F.col("node").alias("v")), "v", "left_anti")
+        edges = _trimmed(_kept(rest.select("u", "v")))
+    return edges.select(F.col("u").alias("node")) if found is None else found
+
+
+def validate_amendments(amendments: DataFrame) -> DataFrame:
+    """(issue, contribution_id): self references, originals accepted twice, contributions on a cycle."""
     o, r = "original_contribution_id", "replacement_contribution_id"
     own = amendments.where(F.col(o) == F.col(r)).select(F.lit("SELF_REFERENCE").alias("issue"), F.col(o).alias("contribution_id"))
     twice = amendments.where("review_status = 'ACCEPTED'").groupBy(o).count().where("count > 1").select(F.lit("MULTIPLE_ACCEPTED").alias("issue"), F.col(o).alias("contribution_id"))
     edges = amendments.where(F.col(o) != F.col(r)).select(F.col(o).alias("u"), F.col(r).alias("v")).distinct()
-    n = edges.count()
-    for _ in range(max_rounds):
-        edges = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        edges = edges.select("u", "v")
-        edges = edges.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else edges.persist()
-        left = edges.count()
-        if left in (0, n):
-            break
-        n = left
-    cycle = edges.select(F.lit("CYCLE").alias("issue"), F.col("u").alias("contribution_id")).distinct()
+    cycle = cycle_nodes(edges).select(F.lit("CYCLE").alias("issue"), F.col("node").alias("contribution_id"))
     return own.distinct().unionByName(twice).unionByName(cycle)
 
 
@@ -199,25 +302,42 @@ def apply_verification_rollback(entities: DataFrame, manifest: DataFrame) -> Dat
 
 
 # Methods of verification, and evidence keys that name a person.
-METHODS = ["MANUAL_REVIEW", "VOTER_FILE", "EXTERNAL_MATCH", "LEGACY_REVIEWED"]
-PERSONAL_KEYS = ["name", "address", "street", "email", "phone", "ssn", "dob", "birth_date"]
+METHODS = ["ADMIN_REVIEW", "EXTERNAL_IDENTITY_MATCH", "LEGACY_REVIEWED"]
+PERSONAL_KEYS = ["first_name", "last_name", "name", "street", "address", "email", "phone", "ssn"]
+
 
+def check_verifications(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reason) of decisions (entity_id, method, explanation, evidence map).
 
-def apply_verifications(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with reason) of decisions (entity_id, method, explanation, source_type, source_version, evidence map)."""
+    A match with an external source needs source_type and source_version in its evidence, and no key there that names a
+    person; every method needs an explanation."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    external = F.col("method") == "EXTERNAL_MATCH"
+    external = F.col("method") == "EXTERNAL_IDENTITY_MATCH"
+    missing = F.lit(False)
+    for key in ("source_type", "source_version"):
+        missing = missing | (F.coalesce(F.try_element_at("evidence", F.lit(key)), F.lit("")) == "")
     personal = F.exists(F.coalesce(F.map_keys("evidence"), F.array().cast("array<string>")), lambda k: F.lower(k).isin(PERSONAL_KEYS))
     reason = (
         F.when(~F.coalesce(F.col("method").isin(METHODS), F.lit(False)), "method")
-        .when(blank("explanation"), "explanation")
-        .when(external & (blank("source_type") | blank("source_version")), "source")
+        .when(external & missing, "source")
         .when(external & personal, "personal evidence")
+        .when(blank("explanation"), "explanation")
     )
     rows = decisions.withColumn("reason", reason)
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
 
 
+def apply_verifications(entities: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Entities with the accepted decisions (with verified_by and verified_at), of each entity the latest one."""
+    fields = {"verification_method": "method", "verified_by": "verified_by", "verified_at": "verified_at", "verification_explanation": "explanation"}
+    latest = check_verifications(decisions)[0].groupBy("entity_id").agg(F.max_by(F.struct(*[F.col(c).alias(f) for f, c in fields.items()]), "verified_at").alias("_v"))
+    rows = entities.join(latest, "entity_id", "left")
+    hit = F.col("_v").isNotNull()
+    values = {"verification_status": F.when(hit, "VERIFIED").otherwise(F.col("verification_status"))}
+    values |= {f: F.when(hit, F.col(f"_v.{f}")).otherwise(F.col(f)) for f in fields if f in entities.columns}
+    return rows.withColumns(values).select(entities.columns)
+
+
 def reclassify_entities(entities: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, rejected decisions) of type corrections (entity_id, new_type, reason).
 

@@ -45,14 +45,14 @@ def with_row_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def validate_rows(rows: DataFrame) -> DataFrame:
-    """validation_message, empty for a good row."""
+    """validation_message, empty for a good row; flag_duplicates() replaces that of exact duplicates."""
     return rows.withColumn(
         "validation_message",
         F.concat_ws(
             "; ",
-            F.when(F.col("name") == "", "Missing contributor name"),
-            F.when(F.col("amount").isNull(), "Invalid amount"),
-            F.when(F.col("transaction_date").isNull(), "Invalid transaction date"),
+            F.when(F.coalesce("name", F.lit("")) == "", "Missing name of contributor."),
+            F.when(F.col("amount").isNull(), F.concat(F.lit("Invalid amount value: '"), F.coalesce("amount_text", F.lit("")), F.lit("'."))),
+            F.when(F.col("transaction_date").isNull(), F.concat(F.lit("Invalid date value: '"), F.coalesce("date_text", F.lit("")), F.lit("'."))),
         ),
     )
 
@@ -85,6 +85,7 @@ def flag_duplicates(rows: DataFrame, history: DataFrame | None = None) -> DataFr
     transaction number enter the window by that number, so that the many blank ones share no key there."""
     base = rows.withColumn("_ok", ~F.col("exact_duplicate") & (F.col("validation_message") == ""))
     bad = base.where("not _ok").withColumns({"_hist_txn": F.lit(False), "_status": F.when(F.col("exact_duplicate"), "EXACT_DUPLICATE").otherwise("VALIDATION_FAILURE")})
+    bad = bad.withColumn("validation_message", F.when(F.col("exact_duplicate"), "Exact row hash already imported.").otherwise(F.col("validation_message")))
     good = _earlier(base.where("_ok"), ["amount", "transaction_date", "normalized_name", "zip"], "_n_like")
     keys = {"txn": ["txn"], "same": ["txn", "amount", "transaction_date"], "like": ["amount", "transaction_date", "normalized_name", "zip"]}
     for name, on in keys.items():

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import safe_cell
 
-#: Buckets of the status report, in order.
-STATUSES = ["ACTIVE", "LAPSED", "PREVIOUSLY_RECURRING", "ONE_TIME", "PROVISIONAL", "INSUFFICIENT_HISTORY", "DATASET_TOO_STALE", "UNKNOWN", "UNASSESSED"]
+# Buckets of the status report, in order.
+STATUSES = ["ACTIVE", "PROVISIONAL", "LIKELY", "PREVIOUSLY_RECURRING", "LAPSED", "ONE_TIME", "UNKNOWN", "INSUFFICIENT_HISTORY", "DATASET_TOO_STALE"]
 
 
 def dashboard_metrics(contributions: DataFrame, entities: DataFrame, rows: DataFrame) -> DataFrame:
@@ -25,9 +25,9 @@ def last_imports(batches: DataFrame, n: int = 5) -> DataFrame:
 
 
 def status_breakdown(entities: DataFrame, latest: DataFrame) -> DataFrame:
-    """Individuals by latest status, with all buckets."""
-    people = entities.where("entity_type = 'INDIVIDUAL'").select("entity_id").join(latest.select("entity_id", "calculated_status"), "entity_id", "left")
-    counts = people.groupBy(F.coalesce("calculated_status", F.lit("UNASSESSED")).alias("status")).agg(F.count("*").alias("n"))
+    """Assessed individuals by latest status, with all buckets; other statuses are not counted."""
+    people = entities.where("entity_type = 'INDIVIDUAL'").select("entity_id").join(latest.select("entity_id", "calculated_status"), "entity_id")
+    counts = people.groupBy(F.col("calculated_status").alias("status")).agg(F.count("*").alias("n"))
     buckets = entities.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
     return buckets.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -20,7 +20,7 @@ VIEWS: dict[str, str] = {
         select c_custkey as entity_id, c_custkey as cluster_id, c_name as display_name,
                case c_custkey % 10 when 0 then 'ORGANIZATION' when 1 then 'JOINT' else 'INDIVIDUAL' end as entity_type,
                case when c_custkey % 3 = 0 then 'UNVERIFIED' else 'VERIFIED' end as verification_status,
-               case when c_custkey % 21 = 1 then null when c_custkey % 3 = 0 then null else 'MANUAL_REVIEW' end as verification_method,
+               case when c_custkey % 21 = 1 then null when c_custkey % 3 = 0 then null else 'ADMIN_REVIEW' end as verification_method,
                case when c_custkey % 33 = 1 then '' else 'staff' end as verified_by,
                case c_custkey % 4 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence_level
         from {customer}""",

@@ -65,8 +65,8 @@ _NAME = f"""
         {_AMOUNT} as amount, {_DATE} as transaction_date, {_HASH} as row_hash from n7)"""
 _STATUS = f"""with {_NAME},
  d as (select *, row_number() over (partition by import_batch_id, row_hash order by row_number) > 1 as dup,
-   concat_ws('; ', case when name = '' then 'Missing contributor name' end, case when amount is null then 'Invalid amount' end,
-             case when transaction_date is null then 'Invalid transaction date' end) as message from parsed),
+   concat_ws('; ', case when name = '' then 'Missing name of contributor.' end, case when amount is null then 'Invalid amount value: ''' || amount_text || '''.' end,
+             case when transaction_date is null then 'Invalid date value: ''' || date_text || '''.' end) as message from parsed),
  g as (select *, count(*) over (partition by import_batch_id, txn order by row_number rows between unbounded preceding and 1 preceding) as nt,
    count(*) over (partition by import_batch_id, txn, amount, transaction_date order by row_number rows between unbounded preceding and 1 preceding) as ns,
    count(*) over (partition by import_batch_id, amount, transaction_date, normalized_name, zip order by row_number rows between unbounded preceding and 1 preceding) as nl
@@ -94,7 +94,7 @@ def identity_names(rows):
     return n.select("row_number", "entity_type", F.col("p.full").alias("normalized_name"), F.col("p.first").alias("first_name"), F.col("p.middle").alias("middle_name"), F.col("p.last").alias("last_name"), F.col("p.suffix").alias("suffix"))
 
 
-@query("raw_rows", oracle=f"{_STATUS} select s.row_number, s.validation_status, d.message as validation_message from s join d on s.row_number = d.row_number")
+@query("raw_rows", oracle=f"{_STATUS} select s.row_number, s.validation_status, case when dup then 'Exact row hash already imported.' else d.message end as validation_message from s join d on s.row_number = d.row_number")
 def ingest_statuses(rows):
     """I7-I10."""
     return _checked(rows).select("row_number", "validation_status", "validation_message")
@@ -185,7 +185,7 @@ def ingest_new_files(batches):
 
 @query("raw_rows")
 def identity_clusters(rows):
-    """The fold depends on the order of rows, so that tests hold it against brute force."""
+    """The fold depends on the order of rows, so that tests hold it against brute force on random blocks."""
     parsed = ingest.parse_rows(rows).withColumn("entity_type", names.entity_type(F.col("name")))
     own = parsed.select(F.col("row_number").cast("string").alias("contribution_id"), F.col("row_number").alias("row_order"), "entity_type", "normalized_name", "zip5", "person.suffix", "person.middle", "employer", "occupation")
     clustered = identity.cluster_contributions(own)
@@ -518,7 +518,7 @@ _RESULT = f"""{_MATCH},
  se as (select chapter_id, entity_id, count(*) filter (match_method in {_RES}) as nr, count(distinct outcome || ':' || coalesce(cast(rule_id as varchar), '-')) filter (match_method in {_RES}) as nd,
    min(outcome) filter (match_method in {_RES}) as outcome, min(rule_id) filter (match_method in {_RES}) as rule_id from ma group by chapter_id, entity_id),
  ov as (select chapter_id, entity_id, max(override_type) as override_type from overrides where expiration_date >= date '2001-06-15' group by chapter_id, entity_id),
- x as (select ch.chapter_id, e.entity_id, e.entity_type, e.verification_status, override_type, case when se.nr is null then 'NO_CURRENT_LOCATION' when nr = 0 then 'NO_CURRENT_RESOLVED_LOCATION' when nd > 1 then 'AMBIGUOUS_LOCATION'
+ x as (select ch.chapter_id, e.entity_id, e.entity_type, e.verification_status, override_type, case when e.entity_type <> 'INDIVIDUAL' then 'INELIGIBLE_ENTITY_TYPE' when se.nr is null then 'NO_CURRENT_LOCATION' when nr = 0 then 'NO_CURRENT_RESOLVED_LOCATION' when nd > 1 then 'AMBIGUOUS_LOCATION'
    when nr = 1 then 'SELECTED' else 'MULTIPLE_EQUIVALENT' end as selection_status, case when nd = 1 then outcome end as outcome, case when nd = 1 then rule_id end as rule_id
    from entities e cross join (select distinct chapter_id from rules) ch left join se on se.chapter_id = ch.chapter_id and se.entity_id = e.entity_id left join ov on ov.chapter_id = ch.chapter_id and ov.entity_id = e.entity_id),
  y as (select *, case when entity_type <> 'INDIVIDUAL' then 'INELIGIBLE_ENTITY_TYPE' when override_type = 'EXCLUDE' then 'MANUALLY_EXCLUDED' when override_type = 'INCLUDE' then 'MANUALLY_INCLUDED'
@@ -602,7 +602,7 @@ def chapters_snapshot(*tables):
     "entities",
     "assessments",
     oracle=f"""with {_LATEST}, b(status) as (values {", ".join(f"('{s}')" for s in reports.STATUSES)}),
-     c as (select coalesce(calculated_status, 'UNASSESSED') as status, count(*) as n from entities e left join latest l on e.entity_id = l.entity_id where entity_type = 'INDIVIDUAL' group by 1)
+     c as (select calculated_status as status, count(*) as n from entities e join latest l on e.entity_id = l.entity_id where entity_type = 'INDIVIDUAL' group by 1)
      select b.status, coalesce(n, 0) as n from b left join c on b.status = c.status""",
 )
 def reports_status_breakdown(entities, assessments):

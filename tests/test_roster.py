@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from collections import defaultdict
 from datetime import date, timedelta
 from decimal import Decimal
@@ -124,6 +126,70 @@ def test_cluster_fold(spark):
     assert got == {"r1": "old"}
 
 
+def brute_fold(rows):
+    """Each row walks all clusters of its block in order of their making."""
+    blocks, out = defaultdict(list), {}
+    for cid, _, kind, name, zip5, *evidence in sorted(rows, key=lambda r: r[1]):
+        suffix, middle, employer, occupation = (x.strip().upper() for x in evidence)
+        if kind != "INDIVIDUAL" or not (suffix or middle or employer or occupation):
+            out[cid] = cid
+            continue
+        for c in blocks[name, zip5]:
+            plain = [(suffix, c["suffix"]), (employer, c["employer"]), (occupation, c["occupation"])]
+            clash = any(x and any(v != x for v in have) for x, have in plain) or (middle and any(v[0] != middle[0] for v in c["middle"]))
+            agree = any(x and x in have for x, have in plain) or (middle and any(v == middle or (v[0] == middle[0] and 1 in (len(v), len(middle))) for v in c["middle"]))
+            if not clash and agree:
+                break
+        else:
+            c = {"id": cid, "suffix": set(), "middle": set(), "employer": set(), "occupation": set()}
+            blocks[name, zip5].append(c)
+        for k, x in (("suffix", suffix), ("middle", middle), ("employer", employer), ("occupation", occupation)):
+            c[k] |= {x} - {""}
+        out[cid] = c["id"]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cluster_fold_is_that_of_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs) if rng.random() < 0.6 else ""
+    rows = [
+        (f"r{i}", i, rng.choice(["INDIVIDUAL"] * 9 + ["JOINT"]), rng.choice(["A B", "C D"]), rng.choice(["1", "2"]), pick("JR", "SR"), pick("Q", "QUINN", "QUEEN", "R", "ROSE"), pick("acme", "ACME ", "bolt", "cog"), pick("x", "y", "z", "w", "v"))
+        for i in range(600)
+    ]
+    assert clustered(spark, rows) == brute_fold(rows)
+
+
+def test_a_large_block_is_folded_in_linear_time(spark):
+    rows = [(f"r{i}", i, "INDIVIDUAL", "A B", "1", "", "", f"emp{i // 2}", "clerk" if i % 2 else "") for i in range(50_000)]
+    began = time.monotonic()
+    got = clustered(spark, rows)
+    assert time.monotonic() - began < 60 and len(got) == 50_000
+    assert got["r1"] == "r0" and got["r3"] == "r2"
+
+
+def test_chains_are_no_cycles(spark):
+    edges = [(i, i + 1) for i in range(12)] + [(100, 101), (101, 100), (101, 150), (150, 200), (200, 201), (201, 202), (202, 200), (202, 300)]
+    found = identity.cycle_nodes(spark.createDataFrame(edges, "u long, v long"))
+    assert {r["node"] for r in found.collect()} == {100, 101, 200, 201, 202}
+    assert identity.cycle_nodes(spark.createDataFrame(edges[:12], "u long, v long")).count() == 0
+
+
+def test_verifications(spark):
+    rows = [
+        (1, "ADMIN_REVIEW", "seen", {}, "a", 1), (2, "ADMIN_REVIEW", " ", {}, "a", 1), (3, "EXTERNAL_IDENTITY_MATCH", "m", {"source_type": "s", "source_version": "1"}, "a", 1),
+        (4, "EXTERNAL_IDENTITY_MATCH", "m", {"source_type": "s"}, "a", 1), (5, "EXTERNAL_IDENTITY_MATCH", "m", {"source_type": "s", "source_version": "1", "First_Name": "x"}, "a", 1),
+        (6, "MANUAL_REVIEW", "m", {}, "a", 1), (7, "LEGACY_REVIEWED", "m", None, "a", 1), (1, "LEGACY_REVIEWED", "later", {}, "b", 2),
+    ]
+    d = spark.createDataFrame(rows, "entity_id long, method string, explanation string, evidence map<string,string>, verified_by string, verified_at long")
+    good, bad = identity.check_verifications(d)
+    assert sorted(r["entity_id"] for r in good.collect()) == [1, 1, 3, 7]
+    assert {r["entity_id"]: r["reason"] for r in bad.collect()} == {2: "explanation", 4: "source", 5: "personal evidence", 6: "method"}
+    e = spark.createDataFrame([(k, "UNVERIFIED", None) for k in range(1, 8)], "entity_id long, verification_status string, verification_method string")
+    got = {r["entity_id"]: (r["verification_status"], r["verification_method"]) for r in identity.apply_verifications(e, d).collect()}
+    assert got[1] == ("VERIFIED", "LEGACY_REVIEWED") and got[2] == ("UNVERIFIED", None) and got[3] == ("VERIFIED", "EXTERNAL_IDENTITY_MATCH")
+
+
 def test_merge_and_split_return_to_the_start(spark):
     rows = [(i, f"c{i % 2}", True, i, i, None) for i in range(6)]
     a = spark.createDataFrame(rows, "contribution_id long, cluster_id string, is_active boolean, assignment_id long, assigned_at long, merge_decision_id long")
@@ -213,7 +279,7 @@ def test_resolution(spark):
 def test_reference_files(spark):
     rows = [(1, "a", "90001", "X County", "", "50%", ""), (2, "a", "90001", "X County", "", "50%", ""), (3, "b", "2138", "X", "", "", ""), (4, "c", "90002", "", "", "", ""), (5, "d", "90003", "Y", "", "bad", "")]
     df = spark.createDataFrame(rows, "row_number long, row_hash string, zip string, county string, place string, weight string, unit string")
-    got = [r["row_status"] for r in geography.import_reference(df, "ZIP_COUNTY").orderBy("row_number").collect()]
+    got = [r["row_status"] for r in geography.import_reference(df, "ZIP_COUNTY_CROSSWALK").orderBy("row_number").collect()]
     assert got == ["ACCEPTED", "EXACT_DUPLICATE", "POSSIBLE_TRUNCATED_LEADING_ZERO", "VALIDATION_FAILURE", "VALIDATION_WARNING"]
     none = spark.createDataFrame([], "id long, state_code string, name string")
     named = df.select(F.lit(None).cast("string").alias("state_code"), F.col("county").alias("name"))
@@ -262,7 +328,7 @@ def test_reports_and_writes(spark, tmp_path):
     e = spark.createDataFrame([(1, "INDIVIDUAL", "=Ann"), (2, "INDIVIDUAL", "Bo"), (3, "JOINT", "Cy & Di")], "entity_id long, entity_type string, display_name string")
     latest = spark.createDataFrame([(1, "ACTIVE")], "entity_id long, calculated_status string")
     counts = {r["status"]: r["n"] for r in reports.status_breakdown(e, latest).collect()}
-    assert counts["ACTIVE"] == 1 and counts["UNASSESSED"] == 1 and len(counts) == 9
+    assert counts["ACTIVE"] == 1 and sum(counts.values()) == 1 and len(counts) == 9
     assert [r["display_name"] for r in reports.export_roster(e, latest).collect()] == ["'=Ann", "Bo"]
     assert {r["display_name"] for r in reports.redact(e).collect()} == {"[redacted]"}
     assert reports.filter_by_status(e, latest, "UNKNOWN").count() == 2
@@ -298,6 +364,6 @@ def test_matrix_bounds_on_positive_counts(spark):
 
 def test_verification_rollback(spark):
     entities = spark.createDataFrame([(k, "UNVERIFIED", None, None) for k in (1, 2, 3)], "entity_id int, verification_status string, verification_method string, verified_by string")
-    manifest = spark.createDataFrame([(1, "VERIFIED", "NONE", "x", None), (2, "VERIFIED", "VOTER_FILE", None, "2025-01-01"), (9, "VERIFIED", None, None, None)], "entity_id int, verification_status string, verification_method string, verified_by string, verified_at string")
+    manifest = spark.createDataFrame([(1, "VERIFIED", "NONE", "x", None), (2, "VERIFIED", "ADMIN_REVIEW", None, "2025-01-01"), (9, "VERIFIED", None, None, None)], "entity_id int, verification_status string, verification_method string, verified_by string, verified_at string")
     got = {tuple(r) for r in identity.apply_verification_rollback(entities, manifest).collect()}
-    assert got == {(1, "VERIFIED", "LEGACY_REVIEWED", "x"), (2, "VERIFIED", "VOTER_FILE", None), (3, "UNVERIFIED", None, None)}
+    assert got == {(1, "VERIFIED", "LEGACY_REVIEWED", "x"), (2, "VERIFIED", "ADMIN_REVIEW", None), (3, "UNVERIFIED", None, None)}
