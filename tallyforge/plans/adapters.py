@@ -86,6 +86,49 @@ VIEWS: dict[str, str] = {
                case o_orderkey % 5 when 0 then 'ACTIVE' when 1 then 'LAPSED' when 2 then 'ONE_TIME' when 3 then 'UNKNOWN' else 'PROVISIONAL' end as calculated_status,
                cast(o_totalprice as decimal(12,2)) as recurring_amount, o_orderkey % 11 <> 0 as is_current
         from {orders} where o_orderkey % 3 <> 0""",
+    "rule_versions": """
+        select cast(n_nationkey as bigint) as rule_version_id, n_nationkey % 4 = 3 as is_active, cast(20 + n_regionkey as int) as monthly_interval_min,
+               cast(40 + n_regionkey as int) as monthly_interval_max, 60 as active_grace_period, 2 as min_recurring_payments, n_regionkey % 2 = 0 as skip_payment_allowed
+        from {nation}""",
+    "coverages": """
+        select o_orderkey % 10 as import_batch_id, max(cast(o_orderdate as date)) as coverage_end_date, 'CONFIRMED_COMPLETE' as coverage_status from {orders} group by o_orderkey % 10""",
+    "manifest": """
+        select c_custkey as entity_id, case when c_custkey % 4 = 0 then 'UNVERIFIED' else 'VERIFIED' end as verification_status,
+               case c_custkey % 3 when 0 then 'NONE' when 1 then 'ADMIN_REVIEW' else null end as verification_method, 'clerk' as verified_by, cast(null as string) as verified_at
+        from {customer} where c_custkey % 5 = 2""",
+    "verifications": """
+        select c_custkey as entity_id, case c_custkey % 5 when 0 then 'ADMIN_REVIEW' when 1 then 'LEGACY_REVIEWED' when 2 then 'EXTERNAL_IDENTITY_MATCH' when 3 then 'EXTERNAL_IDENTITY_MATCH' else 'GUESS' end as method,
+               case when c_custkey % 8 = 0 then ' ' else 'seen' end as explanation, case when c_custkey % 11 = 3 then '' else 'voters' end as source_type, '2001' as source_version,
+               case when c_custkey % 13 = 7 then 'Email' else 'record_id' end as other_key, 'staff' as verified_by, cast(c_custkey as bigint) as verified_at
+        from {customer} where c_custkey % 2 = 0""",
+    "weights": """
+        select o_orderkey as row_number, case o_orderkey % 6 when 0 then cast(o_orderkey % 100 as string) || '%' when 1 then '0.' || cast(o_orderkey % 10 as string) when 2 then '' when 3 then 'x' || cast(o_orderkey % 7 as string)
+               when 4 then cast(o_orderkey % 300 as string) else cast(o_orderkey % 50 as string) end as value,
+               case o_orderkey % 5 when 0 then 'fraction' when 1 then 'PERCENTAGE' when 2 then 'COUNT' else null end as unit
+        from {orders}""",
+    "crosswalk": """
+        select c_custkey as row_number, 'h' || cast(c_custkey % 1009 as string) as row_hash, cast(c_custkey % 997 as string) as county_code,
+               case c_custkey % 7 when 0 then '2138' when 1 then 'abc-de' when 2 then '' else cast(90000 + c_custkey % 1009 as string) end as zip,
+               case when c_custkey % 11 = 0 then ' ' else n_name || ' County' end as county, '' as place, case when c_custkey % 13 = 0 then 'bad' else '0.5' end as weight, cast(null as string) as unit
+        from {customer} join {nation} on c_nationkey = n_nationkey""",
+    "associations": """
+        select cast(c_custkey as bigint) as row_number, cast(c_nationkey as bigint) as postal_id, case when c_custkey % 9 = 0 then null else cast(c_custkey % 5 as bigint) end as place_id, c_custkey % 2 as dataset_id
+        from {customer}""",
+    "known_associations": """
+        select cast(n_nationkey as bigint) as postal_id, cast(n_regionkey as bigint) as place_id, 0 as dataset_id, n_nationkey % 2 = 0 as is_active from {nation}""",
+    "datasets": """
+        select cast(n_nationkey as bigint) as dataset_id, 'KIND' || cast(n_regionkey as string) as dataset_type, case n_nationkey % 3 when 0 then 'ACTIVE' when 1 then 'DRAFT' else 'SUPERSEDED' end as status from {nation}""",
+    "runs": """
+        select o_orderkey as run_id, o_custkey as chapter_id, case o_orderkey % 4 when 0 then 'FAILED' else 'COMPLETED' end as status, case o_orderkey % 3 when 0 then 'PREVIEW' else 'APPLY' end as run_type,
+               case o_orderkey % 5 when 0 then 'DRAFT' else 'ACTIVE' end as ruleset_status from {orders}""",
+    "pointers": "select c_custkey as chapter_id, cast(-c_custkey as bigint) as current_run_id from {customer}",
+    "override_decisions": """
+        select cast(1 + c_custkey % 3 as bigint) as chapter_id, cast(c_custkey as bigint) as entity_id, case when c_custkey % 2 = 0 then 'EXCLUDE' else 'INCLUDE' end as override_type,
+               case when c_custkey % 6 = 0 then ' ' else 'asked' end as reason, date '2001-01-01' as effective_date, cast(case when c_custkey % 10 = 1 then '2000-01-01' else '2030-01-01' end as date) as expiration_date,
+               cast(c_custkey % 97 as bigint) as decided_at
+        from {customer} where c_custkey % 3 = 1""",
+    "audit_events": """
+        select o_orderkey as event_id, cast(o_orderdate as date) as created_at, 'Customer ' || cast(o_custkey as string) || ' ' || o_orderpriority as entity from {orders}""",
 }
 BASE = ["region", "nation", "customer", "orders"]
 
