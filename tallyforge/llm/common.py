@@ -18,9 +18,11 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all runs on this machine (tests), one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="spark-tallyforge-"))
     return base.rstrip("/")

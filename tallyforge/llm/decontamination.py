@@ -236,7 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, mi
 
         return scan
 
-    parts = [rows.mapInArrow(scan_with(index), ddl) for index in _indexes(benchmark, block_items)]
+    parts = [rows.mapInArrow(scan_with(index), ddl) for index in _indexes(benchmark, block_items, threshold)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -253,18 +253,18 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, mi
 
         return keep
 
-    for index in _indexes(benchmark, block_items):
+    for index in _indexes(benchmark, block_items, threshold):
         docs = docs.mapInArrow(keep_with(index), docs.schema)
     return docs
 
 
-def _indexes(benchmark: DataFrame, block_items: int):
+def _indexes(benchmark: DataFrame, block_items: int, threshold: float):
     """Broadcast indexes of at most about block_items items each."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-items.count() // block_items))
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toPandas()
-        yield benchmark.sparkSession.sparkContext.broadcast(build_index(list(zip(own["item_id"].tolist(), own["text"].tolist(), strict=True))))
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index(list(zip(own["item_id"].tolist(), own["text"].tolist(), strict=True)), spare=min(0.3, threshold / 2)))
 
 
 def _leaks(index: Index, texts: list[bytes], threshold: float, min_overlap: float) -> dict[tuple[int, int], tuple]:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, slices, table, text_bytes
@@ -138,14 +138,17 @@ def fit(texts: list[bytes], labels: np.ndarray, hidden: int = 32, attention: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = 6000, held_out_fold: int = 0) -> GatedAttention:
-    """Fits on at most `most` labelled documents outside the held-out fold, those with the smallest id hashes.
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = 6000, held_out_fold: int = 0, most_bytes: int = 64 << 20) -> GatedAttention:
+    """Fits on at most `most` labelled documents outside the held-out fold, those with the smallest id hashes, and
+    no more of these than have `most_bytes` of text together; both bound what comes to the driver.
 
     Null labels are left out; a document labelled more than once has its largest label.
     """
     known = labels.where(F.col(target).isNotNull() & (fold("doc_id") != held_out_fold)).groupBy("doc_id").agg(F.max(target).alias("_y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most)
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over `most` rows
+    rows = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("text", "_y").toPandas()
     return fit([(t or "").encode() for t in rows["text"]], rows["_y"].to_numpy())
 
 

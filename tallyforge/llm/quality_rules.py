@@ -32,6 +32,8 @@ CHAR_CLASSES = {
     "symbol": r"[#*$%&|<>]",
 }
 WINDOW = 8
+#: Rows of a null or unknown language: character classes are held against the pool of all such rows, words are not judged.
+OTHER = "?"
 
 
 def _let(value: Column, body) -> Column:
@@ -90,7 +92,7 @@ def features(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
-        F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("en" if "en" in COMMON_WORDS else next(iter(COMMON_WORDS)))).alias("_lang"),
+        F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit(OTHER)).alias("_lang"),
     )
     counts = [_count(text, p).alias(f"c_{k}") for k, p in CHAR_CLASSES.items()]
     per_word = _let(
@@ -136,9 +138,9 @@ def divergence_rules(
 ) -> DataFrame:
     """Counts, base verdict, distances and final verdict of docs (doc_id, text, lang).
 
-    Null text is empty and fails the base rules; a null or unknown language is judged as the first
-    known one; equal rows get equal results; an empty table gives no rows; other columns are ignored.
-    The references cover all documents; there is one for each known language, so broadcasting them is
+    Null text is empty and fails the base rules; rows of null or unknown languages are one pool, whose words
+    are not judged; equal rows get equal results; an empty table gives no rows; other columns are ignored.
+    The references cover all documents; there is one for each known language and one for all others, so broadcasting them is
     bounded by the length of COMMON_WORDS.
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -154,7 +156,7 @@ def divergence_rules(
     return (
         rows.join(F.broadcast(refs), "_lang", "left")  # at most one row for each known language
         .withColumn("char_distance", F.when(F.col("n_chars") >= min_chars, js_distance(_shares(F.col("h_chars"), F.col("n_chars")), F.col("r_h_chars"))))
-        .withColumn("word_distance", F.when(F.col("n_words") >= min_words, js_distance(_shares(F.col("h_words"), F.col("n_words")), F.col("r_h_words"))))
+        .withColumn("word_distance", F.when((F.col("n_words") >= min_words) & F.col("h_words").isNotNull(), js_distance(_shares(F.col("h_words"), F.col("n_words")), F.col("r_h_words"))))
         .withColumn(
             "kept",
             ~F.col("base_failed")

@@ -491,3 +491,58 @@ def test_html(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
     assert got == {i: t for i, (_, t) in enumerate(PAGES)}
     assert html_text.extract_text(pages.where("page_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.2, 0.5, 0.9])
+def test_leaks_at_any_threshold(spark, threshold):
+    """All pairs of a passage and an item whose share of the item's own BM25 score is at the threshold."""
+    rng = random.Random(11)
+    items = [(i, "What is it? " + " ".join(words(rng, 14)) + "\n" + " ".join(words(rng, 6))) for i in range(40)]
+    docs = [(i, " ".join(words(rng, 30)) + " " + items[i % 40][1] + " " + " ".join(words(rng, 10))) for i in range(30)] + [(99, " ".join(words(rng, 60)))]
+    index = decontamination.build_index(items, spare=min(0.3, threshold / 2))
+    want = set()
+    for d, text in docs:
+        own = set(decontamination.words_of(text.encode()))
+        for k, item in enumerate(index.ids):
+            score = sum(index.impacts[t][index.postings[t].index(k)] for w, t in index.terms.items() if w in own and k in index.postings[t])
+            if score >= threshold - 1e-9:
+                want.add((d, item))
+    texts = [decontamination.words_of(t.encode()) for _, t in docs]
+    got = {(docs[row][0], index.ids[item]) for row, item, *_ in decontamination.search(index, texts, threshold)}
+    assert got == want and len(want) >= 30
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(*frames, threshold=threshold).collect()}
+    assert {(i, i % 40) for i in range(30)} <= found <= want
+
+
+def test_unknown_languages_have_a_pool_of_their_own(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(words(rng, 120)), "en") for i in range(20)] + [(100 + i, " ".join("жшщ" + w for w in words(rng, 120)), lang) for i, lang in enumerate(["ru", None] * 5)]
+    out = {r["doc_id"]: r for r in quality_rules.divergence_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[100 + i]["kept"] and out[100 + i]["word_distance"] is None for i in range(10))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="needs the synthetic documents")
+def test_quality_scores_of_held_out_documents(spark):
+    scores = quality_classifier.op4_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("score", "quality").toPandas()
+    good, bad = (np.sort(scores.loc[scores["quality"] == k, "score"].to_numpy()) for k in (1, 0))
+    auc = np.searchsorted(bad, good).sum() / len(good) / len(bad)
+    print("held-out AUC", auc, len(good), len(bad))
+    assert auc > 0.9
+
+
+def test_bytes_of_the_classifier_sample_are_bounded(spark):
+    docs = spark.createDataFrame([(i, ("good text " if i % 2 else "BAD!!! ") * 200) for i in range(50)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    assert quality_classifier.train(docs, labels, most_bytes=0).score([b"x"])[0] == 0.5
+    model = quality_classifier.train(docs, labels, most_bytes=1 << 20)
+    assert model.score([b"good text " * 200])[0] > 0.5 > model.score([b"BAD!!! " * 200])[0]
+
+
+@pytest.mark.parametrize("name", ["rid", "kept", "n_bytes", "rest", "spans", "_text"])
+def test_columns_of_any_name_stay(spark, name):
+    rows = spark.createDataFrame([(1, "a" * 300, 7), (2, "a" * 300, 8), (3, None, 9)], f"doc_id long, text string, `{name}` int")
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(rows).collect()}
+    assert [out[k]["n_removed"] for k in (1, 2, 3)] == [300, 300, 0]
+    if name not in ("kept", "n_bytes"):
+        assert [out[k][name] for k in (1, 2, 3)] == [7, 8, 9]
