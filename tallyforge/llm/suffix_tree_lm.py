@@ -29,7 +29,7 @@ SURE, LEAST = 3, 8
 WORD_SHARE = 0.3
 END = 0x0A
 _PAD = bytes([END]) * DEPTH
-_BYTES = 3 << 20
+_BYTES = 2 << 20
 _BLOCK = 1 << 20
 
 
@@ -324,7 +324,7 @@ def _short_contexts(units: DataFrame) -> tuple[SuffixTree, np.ndarray, np.ndarra
     return SuffixTree(*(list(x) for x in zip(*levels, strict=True))), key[order], n[order]
 
 
-def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once: int = 1_000_000, rounds: int = 3) -> DataFrame:
+def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once: int = 1_000_000, rounds: int = 5) -> DataFrame:
     """(rid, n_tokens, n_known, train_tokens, base_score, score) of rows (rid, train, text), one for each different rid.
 
     Contexts that end alike meet in one task, with their training counts, so that each task grows its own part of the
