@@ -258,6 +258,68 @@ def test_repeated_passages(docs, texts, nothing):
     assert not sets and compact_windows.repeated_passages(nothing).count() == 0
 
 
+def passage_links(spark, texts):
+    rows = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {frozenset((r["doc_id"], r["class_doc_id"])) for r in rows}
+
+
+def test_passages_around_a_common_line_meet_their_own_partners(spark):
+    """Forty passages of two texts each, all around one line: each text meets the one that shares its passage."""
+    rng = np.random.default_rng(31)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line = " ".join(f"line{k}" for k in range(14))
+    passages = [f"{word(30)} {line} {word(30)}" for _ in range(40)]
+    texts = [f"{word(int(rng.integers(5, 60)))} {p} {word(int(rng.integers(5, 60)))}" for p in passages for _ in range(2)]
+    assert passage_links(spark, texts) == {frozenset((2 * k, 2 * k + 1)) for k in range(40)}
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 70 words inside other text, four variants each with a word changed, against all aligned stretches."""
+    rng = np.random.default_rng(32)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts, want = [], set()
+    for k in range(60):
+        base, variants = words(70), []
+        for _ in range(4):
+            own = list(base)
+            own[int(rng.integers(70))] = words(1)[0]
+            variants.append(own)
+            texts.append(" ".join(words(int(rng.integers(0, 80))) + own + words(int(rng.integers(0, 80)))))
+        runs = [[tuple(v[i : i + 5]) for i in range(66)] for v in variants]
+        for i in range(4):
+            for j in range(i):
+                for s in range(21):
+                    for e in range(s + 46, 67):
+                        x, y = set(runs[i][s:e]), set(runs[j][s:e])
+                        if runs[i][s] == runs[j][s] and runs[i][e - 1] == runs[j][e - 1] and 100 * len(x & y) >= 75 * len(x | y):
+                            want |= {4 * k + i, 4 * k + j}
+    links = passage_links(spark, texts)
+    assert all(len({x // 4 for x in link}) == 1 for link in links)
+    met = {x for link in links for x in link}
+    assert len(want) > 150 and len(met & want) >= 0.95 * len(want)
+
+
+def test_pairs_of_windows_do_not_depend_on_batches():
+    rng = np.random.default_rng(33)
+    s = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (90, 200)]
+    cols = []
+    for f in range(3):
+        text, l, c, r, sig = compact_windows.compact_windows(s, 20, f)
+        cols += list(zip(text.tolist(), c.tolist(), l.tolist(), r.tolist(), [f] * len(text), sig.tolist(), strict=True))
+    cols.sort()
+    whole = [np.array(x) for x in zip(*cols, strict=True)]
+    want = {(tuple(x.values()),) for x in compact_windows._paired(whole, 20, 0).to_pylist()}
+    expected = sum(
+        a[0] == b[0] and a[4] < b[4] and abs(a[1] - b[1]) < 20 and max(a[2], b[2]) <= min(a[1], b[1]) and max(a[1], b[1]) <= min(a[3], b[3]) and min(a[3], b[3]) - max(a[2], b[2]) >= 19
+        for a in cols for b in cols
+    )
+    half = len(cols) // 2
+    first = compact_windows._paired([x[:half] for x in whole], 20, 0).to_pylist()
+    second = compact_windows._paired(whole, 20, half).to_pylist()
+    assert {(tuple(x.values()),) for x in first + second} == want
+    assert len(first) + len(second) == expected == compact_windows._paired(whole, 20, 0).num_rows
+
+
 def test_compact_windows_cover_every_long_run_once():
     rng = np.random.default_rng(5)
     for n in (3, 10, 47, 120):
