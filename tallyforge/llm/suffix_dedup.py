@@ -1,18 +1,15 @@
-"""Operator 9, removal of every byte inside a string of `width` bytes that also starts anywhere else.
+"""Operator 9, removal of every byte inside a string of 200 bytes that also starts anywhere else.
 
-A suffix array of all bytes by a difference cover moves at least 12 bytes for each text byte, which is
-over 20 times the compressed input; the limit is 4. So only a sample of suffixes is compared, chosen by
-content instead of by position (see the README):
+Bytes that cannot repeat are left out before the suffixes are sorted, and equal stretches are taken once:
 
-1. Each window of `width` bytes has one anchor, the smallest gram hash inside it. Neighbouring windows
-   share anchors, so a text has about one for every 70 bytes. Equal windows have equal anchors at equal
-   distances, wherever they stand.
-2. Anchors meet by gram. The windows of one anchor form a segment. Equal segments repeat as a whole.
-3. Where segments around equal grams differ (the ends of repeated strings), the bytes of one segment
-   of each kind are compared window by window.
+1. Each window of 200 bytes has one anchor, the smallest gram hash inside it. Neighbouring windows share anchors, so a
+   text has about one for every 70 bytes. Equal windows have equal anchors at equal distances, wherever they stand.
+2. Anchors meet by gram. The windows of one anchor form a segment. Equal segments repeat as a whole; a gram with one
+   segment has no repeat.
+3. Where segments around equal grams differ, one segment of each kind is cut out, and a distributed difference-cover
+   algorithm (difference_cover.py) finds the windows that repeat among all of these.
 
-All comparisons are of 64-bit hashes of bytes. Every step is a join or an aggregation whose groups may be
-of any size.
+All comparisons are of 64-bit hashes of bytes. Every step is a join, a sort by ranges or an aggregation.
 """
 
 from __future__ import annotations
@@ -23,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, mix64, release, rolling, save, slices, table, text_bytes
+from .difference_cover import WIDTH, repeated_windows
 
 GRAM = 64
 _STEP = 1 << 20
 _MOST = 4 << 20
 _POSITION = np.uint64((1 << 24) - 1)
-#: Segments of one gram compared in one task; more of them go through a shuffle of window hashes.
-_TOGETHER = 2000
+_PIECE = 1 << 16
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -118,98 +115,35 @@ def _record(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def _cut_segments(joined: DataFrame, width: int) -> DataFrame:
-    """The bytes of the wanted segments of (rid, text, wanted array<struct<key,lo,hi,n>>)."""
-    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("lo", pa.int32()), ("n", pa.int64()), ("bytes", pa.binary())])
+def _cut_pieces(joined: DataFrame, width: int) -> DataFrame:
+    """Pieces (rid, lo, n, begin, bytes) of (rid, text, wanted array<struct<lo,hi>>): the bytes of the wanted segments,
+    joined where they touch, in parts of at most 64 KB. Places lo to lo + n are a piece's own."""
+    schema = pa.schema([("rid", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("begin", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches):
         for batch in slices(batches):
             out = []
             for rid, text, wanted in zip(batch.column("rid").to_pylist(), text_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-                out += [(w["key"], rid, w["lo"], w["n"], text[w["lo"] : w["hi"] + width]) for w in wanted]
-            for at in range(0, len(out), 20_000):
-                cols = zip(*out[at : at + 20_000], strict=True)
+                runs: list[list[int]] = []
+                for lo, hi in sorted((w["lo"], w["hi"]) for w in wanted):
+                    if runs and lo <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], hi + width)
+                    else:
+                        runs.append([lo, hi + width])
+                for lo, end in runs:
+                    for at in range(lo, end, _PIECE):
+                        begin = max(at - 2, 0)
+                        out.append((rid, at, min(_PIECE, end - at), begin, text[begin : at + _PIECE + width]))
+            for at in range(0, len(out), 1000):
+                cols = zip(*out[at : at + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    return joined.mapInArrow(cut, "key long, rid long, lo int, n long, bytes binary")
+    return joined.mapInArrow(cut, "rid long, lo int, n int, begin int, bytes binary")
 
 
-def _window_hashes(contents: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of the contents: which content, offset there, hash."""
-    roll = rolling()
-    prefix = roll.prefix(np.frombuffer(b"".join(contents), dtype=np.uint8))
-    lengths = np.array([len(c) for c in contents])
-    counts = lengths - width + 1
-    owner = np.repeat(np.arange(len(contents)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return owner, offset, mix64(roll.of(prefix, offset + (np.cumsum(lengths) - lengths)[owner], width))
-
-
-_SPAN = pa.schema([("rid", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
-
-
-def _runs(rid: np.ndarray, at: np.ndarray, width: int) -> pa.RecordBatch:
-    """Spans of runs of consecutive window starts; both sorted by owner, then start."""
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (rid[1:] != rid[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rid[first], pa.int64()), pa.array(at[first], pa.int32()), pa.array(at[last] + width, pa.int32())], schema=_SPAN
-    )
-
-
-def _compare_sorted(segments: DataFrame, width: int) -> DataFrame:
-    """Spans of windows found in two segments or more, over partitions sorted by key."""
-
-    def compare(batches):
-        held: list[tuple] = []
-
-        def emit(rows):
-            owner, offset, hashes = _window_hashes([r[4] for r in rows], width)
-            counts = np.array([r[3] for r in rows], dtype=np.int64)
-            _, inverse = np.unique(hashes, return_inverse=True)
-            many = np.bincount(inverse, weights=counts[owner])[inverse] >= 2
-            hit = many & (counts[owner] == 1)  # the others repeat as a whole anyway
-            if hit.any():
-                o = owner[hit]
-                yield _runs(np.array([r[1] for r in rows], dtype=np.int64)[o], np.array([r[2] for r in rows])[o] + offset[hit], width)
-
-        for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("key", "rid", "lo", "n", "bytes")), strict=True)
-            if len(held) > 2 * _TOGETHER:
-                end = len(held) - 1
-                while end and held[end - 1][0] == held[-1][0]:
-                    end -= 1
-                if end:
-                    yield from emit(held[:end])
-                    held = held[end:]
-        if held:
-            yield from emit(held)
-
-    return segments.mapInArrow(compare, "rid long, s int, e int")
-
-
-def _compare_shuffled(segments: DataFrame, width: int) -> DataFrame:
-    """The same for grams with so many segments that no task may gather them: window hashes are counted."""
-    schema = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
-
-    def explode(batches):
-        for batch in slices(batches, 2000):
-            rid, lo, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "lo", "n"))
-            owner, offset, hashes = _window_hashes(batch.column("bytes").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(rid[owner]), pa.array((lo[owner] + offset).astype(np.int32)), pa.array(n[owner])], schema=schema
-            )
-
-    windows = segments.mapInArrow(explode, "h long, rid long, at int, n long")
-    many = windows.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
-    return windows.where("n = 1").join(many, "h", "left_semi").select("rid", F.col("at").alias("s"), (F.col("at") + width).alias("e"))
-
-
-def repeated_spans(rows: DataFrame, width: int = 200) -> DataFrame:
+def repeated_spans(rows: DataFrame) -> DataFrame:
     """Spans (rid, s, e) of rows (rid, text) whose windows repeat; they may overlap."""
-    spark = rows.sparkSession
+    spark, width = rows.sparkSession, WIDTH
     found = save(find_segments(rows, width), "segments")
     all_ = found.where("key is not null")
     grams = all_.groupBy("key").agg(F.sum("n").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1")
@@ -222,25 +156,23 @@ def repeated_spans(rows: DataFrame, width: int = 200) -> DataFrame:
     )
     whole = met.where("n = 1").join(kinds.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("rid", F.col("lo").alias("s"), (F.col("hi") + width).alias("e"))
     whole = whole.unionByName(found.where("key is null").select("rid", F.col("lo").alias("s"), F.col("hi").alias("e")))
-    ends = kinds.where("mixed")
-    wanted = ends.groupBy("one.rid").agg(F.collect_list(F.struct("key", "one.lo", "one.hi", "n")).alias("wanted"))
-    cut = save(_cut_segments(rows.join(wanted, "rid"), width), "segment-bytes")
-    release(spark)
-    many = ends.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > _TOGETHER).select("key")
-    few = cut.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    hot = cut.join(many, "key", "left_semi")
-    spans = save(whole.unionByName(_compare_sorted(few, width)).unionByName(_compare_shuffled(hot, width)), "repeated-spans")
-    drop(found, grams, met, kinds, cut)
+    wanted = kinds.where("mixed").groupBy("one.rid").agg(F.collect_list(F.struct("one.lo", "one.hi")).alias("wanted"))
+    # equal rows have one id; their windows repeat as wholes, so one of them is enough here
+    pieces = save(_cut_pieces(rows.join(wanted, "rid"), width).dropDuplicates(["rid", "lo"]), "pieces")
+    whole = save(whole, "whole-segments")
+    drop(found, grams, met, kinds)
     release(spark)
-    return spans
+    windows = repeated_windows(pieces)
+    drop(pieces)
+    return whole.unionByName(windows)
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """Removes from each text the bytes of all strings of `width` bytes that also start anywhere else.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """Removes from each text the bytes of all strings of 200 bytes that also start anywhere else.
 
     Returns the columns of docs (but the text) and n_bytes, n_removed, n_spans (maximal removed runs)
     and kept: the remaining bytes, or with as_text the text they spell, less characters cut in two. Strings are judged on the input, within and across documents, and
-    never across a document's end. Null text is empty; texts under `width` bytes stay; equal rows count
+    never across a document's end. Null text is empty; texts under 200 bytes stay; equal rows count
     as two places, so both lose what they share; ids may repeat or be null; an empty table gives no rows.
     Other columns stay, whatever their names; only those named as the four results are replaced by them.
     """
@@ -249,7 +181,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     rest = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("_"))
     rows = docs.select(rest.alias("rest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("string").alias("id"))
     rows = rows.select("rest", "text", F.xxhash64("id", "text").alias("rid"))
-    spans = repeated_spans(rows.select("rid", "text"), width)
+    spans = repeated_spans(rows.select("rid", "text"))
     of_row = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
     joined = rows.join(of_row, "rid", "left").select("rest", "text", "spans")
     out_schema = joined.select("rest").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")

@@ -231,8 +231,7 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_suffix_dedup_counts_windows_of_hot_grams(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_TOGETHER", 3)
+def test_suffix_dedup_counts_windows_of_hot_grams(spark):
     rng = random.Random(9)
     shared = " ".join(words(rng, 60))[:260]
     rows = [(i, " ".join(words(rng, 40)) + shared + " ".join(words(rng, 40))) for i in range(12)]
