@@ -133,7 +133,7 @@ def _cut_pieces(joined: DataFrame, width: int) -> DataFrame:
                 for lo, end in runs:
                     for at in range(lo, end, _PIECE):
                         begin = max(at - 2, 0)
-                        out.append((rid, at, min(_PIECE, end - at), begin, text[begin : at + _PIECE + width]))
+                        out.append((rid, at, min(_PIECE, end - at), begin, text[begin : min(at + _PIECE + width, end)]))
             for at in range(0, len(out), 1000):
                 cols = zip(*out[at : at + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
