@@ -14,6 +14,8 @@ Sorting is by ranges; what a task holds is a batch and the rows of a few hundred
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +31,12 @@ _SECOND = 2 * _STEP + _FIRST
 #: Distance of the second name from the first, by shift: the last multiple of 3 that keeps it inside the window.
 _NEXT = (60, 57, 57)
 _NONE = 256
+#: The first triples are sorted in so many ranges of their first letter, one after the other, so that less lies on disk at once.
+_UNITS = 4
 
 
-def _triples(pieces: DataFrame) -> DataFrame:
-    """(x1, x2, x3, rid, at, near) of the sampled places in pieces (rid, lo, n, begin, bytes): places lo to lo + n of the
+def _triples(pieces: DataFrame, unit: int) -> DataFrame:
+    """(x1, x2, x3, rid, at, near) of the sampled places, whose first letter is in the unit, in pieces (rid, lo, n, begin, bytes): places lo to lo + n of the
     text whose bytes from `begin` on are given. near: the two bytes before and two behind 140 bytes, 256 if none."""
     schema = pa.schema([("x1", pa.int64()), ("x2", pa.int64()), ("x3", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("near", pa.int64())])
 
@@ -46,6 +50,8 @@ def _triples(pieces: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 prefix = roll.prefix(buffer)
+                mine = (mix64(roll.of(prefix, at - begin, _LETTER)).view(np.int64) >> 62) == unit - _UNITS // 2
+                at = at[mine]
                 p = at - begin
                 letters = [mix64(roll.of(prefix, p + k * _APART, _LETTER)).view(np.int64) for k in range(3)]
                 padded = np.concatenate([np.full(2, _NONE), buffer, np.full(_SECOND + 2, _NONE)]).astype(np.int64)
@@ -55,8 +61,8 @@ def _triples(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(scan, "x1 long, x2 long, x3 long, rid long, at int, near long")
 
 
-def _named(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """(carried, name) of the rows whose keys are not alone; names rise with the keys."""
+def _named(rows: DataFrame, keys: list[str], carried: list[str], unit: int = 0) -> DataFrame:
+    """(carried, name) of the rows whose keys are not alone; names rise with the keys and from unit to unit."""
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, *carried, F.spark_partition_id().cast("long").alias("part"))
 
     def scan(batches):
@@ -78,7 +84,7 @@ def _named(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
     def named(cols, index, many, n=None):
         n = len(index) - 1 if n is None else n
         keep = np.flatnonzero(many[:n])
-        name = (cols[-1][keep] << 40) + index[keep]
+        name = (unit << 60) + (cols[-1][keep] << 40) + index[keep]
         return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in cols[len(keys) : -1]), pa.array(name, pa.int64())], names=[*carried, "name"])
 
     types = dict(rows.dtypes)
@@ -172,10 +178,12 @@ def repeated_windows(pieces: DataFrame) -> DataFrame:
     behind the last place, or to the text's end. A saved table of spans is returned; no pieces give none.
     """
     spark = pieces.sparkSession
-    first = save(_named(_triples(pieces), ["x1", "x2", "x3"], ["rid", "at", "near"]), "names-56")
-    release(spark)
-    triples = save(_triples_of_names(first), "triples-of-names")
-    drop(first)
+    units = []
+    for unit in range(_UNITS):
+        units.append(save(_named(_triples(pieces, unit), ["x1", "x2", "x3"], ["rid", "at", "near"], unit), "names-56"))
+        release(spark)
+    triples = save(_triples_of_names(reduce(DataFrame.unionByName, units)), "triples-of-names")
+    drop(*units)
     release(spark)
     second = save(_named(triples, ["x1", "x2", "x3"], ["rid", "at", "near"]), "names-140")
     drop(triples)
