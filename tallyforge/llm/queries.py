@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compact_windows, decontamination, fill_in_middle, html_text, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, suffix_tree_lm
+from . import collocations, compact_windows, decontamination, fill_in_middle, html_text, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, suffix_tree_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_compact_windows": compact_windows.op10_compact_windows,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_fill_in_middle": fill_in_middle.SQL}
+    return {"op12_fill_in_middle": fill_in_middle.SQL, "op13_collocations": collocations.SQL}

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallyforge.llm import fill_in_middle
+from tallyforge.llm import collocations, fill_in_middle
 from tallyforge.llm.wavelet import WaveletMatrix
 
 DOCS = "doc_id long, text string, lang string, n long, id long, output string"
@@ -59,3 +59,46 @@ def test_fill_in_middle(spark, monkeypatch):
     monkeypatch.setattr(fill_in_middle, "_TOGETHER", 1)
     one = fill_in_middle.Boundaries([b"ab c"])
     assert one.counts.tolist() == [3] and one.cut_after(np.array([2])).tolist() == [3]
+
+
+def phrases(rows, minimum, best, share=100):
+    """The contract of operator 13, by counting everything."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split("[.,;:!?\n-\r]", lower):
+            w = tuple(x for x in re.split("[ \t]+", piece) if x)
+            n[lang or "und"] += len(w)
+            f.update((lang or "und", w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
+    candidates = {x: a for x, a in f.items() if len(x[1]) > 1 and a >= minimum}
+    inside = set()
+    for (lang, w), a in candidates.items():
+        for k in range(2, len(w)):
+            inside |= {(lang, w[i : i + k]) for i in range(len(w) - k + 1) if 100 * a >= share * f[lang, w[i : i + k]]}
+    found = defaultdict(list)
+    for (lang, w), a in candidates.items():
+        if (lang, w) not in inside:
+            cuts = [(1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            found[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return {(lang, i, p.decode(), -a, x, y, n[lang], -s) for lang, of in found.items() for i, (s, a, p, x, y) in enumerate(sorted(of)[:best], 1)}
+
+
+@pytest.mark.parametrize(("shards", "slots"), [(1, 1 << 16), (3, 1 << 16), (4, 64), (2, 1)])
+def test_collocations(spark, shards, slots):
+    rng = random.Random(11)
+    vocabulary = ["the", "of", "Ba", "ke", "é", "漢字", "x-y", "a"]
+    frequent = ["the ke of é", "Ba ke the of a", "x-y x-y x-y"]
+    rows = []
+    for _ in range(400):
+        parts = [rng.choice(frequent) if rng.random() < 0.3 else rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        rows.append((rng.choice(["en", "de", None]), "".join(x + rng.choice([" ", " ", " ", "\t", ", ", ".\n", "\x0b"]) for x in parts)))
+    rows += [("en", None), (None, ""), ("en", " \t"), ("fr", "only here"), ("en", "Ba ke " * 20000), ("en", rows[0][1]), ("en", rows[0][1]), ("late", "one two three four five six. " * 30)]
+    docs = spark.createDataFrame([(i, t, lang, 7, 8, "clash") for i, (lang, t) in enumerate(rows)], DOCS).repartition(5)
+    got = collocations.collocations(docs, minimum=25, best=20, shards=shards, slots=slots)
+    assert {tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == phrases(rows, 25, 20)
+
+
+def test_collocations_of_nothing(spark):
+    assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
+    assert collocations.collocations(spark.createDataFrame([(1, None, None, 1, 1, "")], DOCS)).count() == 0
