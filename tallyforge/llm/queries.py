@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, compact_windows, decontamination, fill_in_middle, html_text, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, suffix_tree_lm
+from . import collocations, compact_windows, decontamination, fill_in_middle, html_text, inverted_multi_index, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, suffix_tree_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_compact_windows": compact_windows.op10_compact_windows,
+        "op11_inverted_multi_index": inverted_multi_index.op11_inverted_multi_index,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
         "op13_collocations": collocations.op13_collocations,
     }

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallyforge.llm import collocations, fill_in_middle
+from tallyforge.llm import collocations, fill_in_middle, inverted_multi_index
 from tallyforge.llm.wavelet import WaveletMatrix
 
 DOCS = "doc_id long, text string, lang string, n long, id long, output string"
@@ -102,3 +102,71 @@ def test_collocations(spark, shards, slots):
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], DOCS)).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, None, None, 1, 1, "")], DOCS)).count() == 0
+
+
+def test_pairs_of_centroids_come_in_order_and_once():
+    rng = np.random.default_rng(2)
+    first, second = rng.random(7), np.round(rng.random(9), 1)
+    order = list(inverted_multi_index.cells_in_order(first, second))
+    assert sorted(order) == list(range(63))
+    sums = [first[c // 9] + second[c % 9] for c in order]
+    assert sums == sorted(sums)
+
+
+def neighbours(rows, k, every=100):
+    """All distances, of one row for each id."""
+    valid = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 6:
+            valid[i] = min(valid.get(i, v), v)
+    ids = np.array(sorted(valid))
+    x = np.array([valid[i] for i in ids.tolist()], dtype=np.float32).astype(np.float64)
+    out = set()
+    for i, q in zip(ids.tolist(), x, strict=True):
+        if i % every == 0:
+            d = np.sqrt(((x - q) ** 2).sum(axis=1))
+            best = [j for j in np.lexsort((ids, d)) if ids[j] != i][:k]
+            out |= {(i, r, int(ids[j]), round(float(d[j]), 9)) for r, j in enumerate(best, 1)}
+    return out
+
+
+def test_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = "vec_id long, embedding array<float>, label int, id long, vec string, q long"
+    plain = rng.normal(size=(1500, 6)).astype(np.float32)
+    plain[300:800] = plain[0]  # a third are copies
+    plain[800:900] = plain[1] + np.float32(1e-4) * rng.normal(size=(100, 6)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(plain)]
+    bad = [(2000, None), (2100, [0.0] * 6), (2200, [None] + [1.0] * 5), (2300, [float("nan")] + [1.0] * 5), (2400, [float("inf")] + [1.0] * 5), (2500, [1.0, 2.0]), (2600, []), (None, [1.0] * 6)]
+    rows += [*bad, rows[100], (100, [50.0] * 6), (-100, [0.5] * 6), (3000, [-0.0, 0.0, 1.0, 0.0, 0.0, 0.0]), (3001, [0.0, 0.0, 1.0, 0.0, 0.0, -0.0])]
+    table = spark.createDataFrame([(i, v, 1, 9, "clash", 3) for i, v in rows], vectors).repartition(4)
+
+    def found(df, **more):
+        return {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in inverted_multi_index.nearest(df, **more).collect()}
+
+    want = neighbours(rows, 10)
+    # with all candidates looked at the result is exact, whatever the sizes of tiles and blocks
+    assert found(table, words=4, recall=1.0, probes=1000) == want
+    monkeypatch.setattr(inverted_multi_index, "_TILE", 20)
+    monkeypatch.setattr(inverted_multi_index, "_BLOCK", 5)
+    monkeypatch.setattr(inverted_multi_index, "_HELD", 50)
+    assert found(table, words=4, recall=1.0, probes=1000) == want
+    few = table.where("vec_id in (0, 5, 100, 7)")
+    assert found(few) == neighbours([r for r in rows if r[0] in (0, 5, 100, 7)], 10)
+    assert found(table.where("vec_id = 0")) == set()
+    assert inverted_multi_index.nearest(table.where("false")).columns == ["query_id", "rank", "vec_id", "score"]
+    assert found(table.where("vec_id >= 2000 and vec_id < 2500")) == set()
+
+
+def test_recall_of_nearest(spark):
+    """Of vectors without any groups, the hardest to search, at the default recall."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = {(r["query_id"], r["vec_id"]) for r in inverted_multi_index.nearest(table, probes=20).collect()}
+    q = np.arange(0, 6000, 100)
+    d = ((x[q][:, None].astype(np.float64) - x[None]) ** 2).sum(axis=2)
+    d[np.arange(60), q] = np.inf
+    want = {(int(i), int(j)) for i, row in zip(q, np.argsort(d, axis=1)[:, :10], strict=True) for j in row}
+    assert len(got) == 600 and len(got & want) >= 540
