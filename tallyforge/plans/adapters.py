@@ -14,7 +14,8 @@ VIEWS: dict[str, str] = {
                case when o_orderstatus = 'P' and o_orderkey % 5 = 0 then 'REFUND' when o_orderstatus = 'P' and o_orderkey % 7 = 0 then 'ADJUSTMENT'
                     else 'CONTRIBUTION' end as transaction_type,
                case when o_orderkey % 4 = 0 then '' else 'T' || cast(o_orderkey % 6007 as string) end as txn,
-               'EMP ' || cast(o_custkey % 17 as string) as employer, o_orderpriority as occupation
+               'EMP ' || cast(o_custkey % 17 as string) as employer, o_orderpriority as occupation,
+               case when o_orderkey % 17 = 3 then 'SUPERSEDED' else 'ACTIVE' end as status
         from {orders}""",
     "entities": """
         select c_custkey as entity_id, c_custkey as cluster_id, c_name as display_name,
@@ -22,11 +23,13 @@ VIEWS: dict[str, str] = {
                case when c_custkey % 3 = 0 then 'UNVERIFIED' else 'VERIFIED' end as verification_status,
                case when c_custkey % 21 = 1 then null when c_custkey % 3 = 0 then null else 'ADMIN_REVIEW' end as verification_method,
                case when c_custkey % 33 = 1 then '' else 'staff' end as verified_by,
-               case c_custkey % 4 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence_level
+               case c_custkey % 4 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence_level,
+               case when c_custkey % 10 > 1 then 'Ann' || cast(c_custkey % 101 as string) end as first_name, case when c_custkey % 10 > 1 then 'Lee' || cast(c_custkey % 203 as string) end as last_name,
+               (c_custkey % 3 <> 0) <> (c_custkey % 29 = 3) as is_verified
         from {customer}""",
     "batches": """
         select import_batch_id, case when import_batch_id = 9 then 'ROLLED_BACK' else 'COMPLETED' end as status, 'h' || cast(import_batch_id % 8 as string) as file_hash,
-               n as n_rows from (select o_orderkey % 10 as import_batch_id, count(*) as n from {orders} group by o_orderkey % 10) as b""",
+               n as n_rows, import_batch_id % 4 as imported_at from (select o_orderkey % 10 as import_batch_id, count(*) as n from {orders} group by o_orderkey % 10) as b""",
     "assignments": """
         select o_orderkey as contribution_id, o_custkey as cluster_id, o_custkey as entity_id, o_orderkey % 10 as import_batch_id, o_orderkey % 23 <> 0 as is_active,
                o_orderkey as assignment_id, o_orderkey % 1000 as assigned_at, case when o_orderkey % 19 = 0 then o_custkey % 5 else null end as merge_decision_id
@@ -125,10 +128,22 @@ VIEWS: dict[str, str] = {
     "override_decisions": """
         select cast(1 + c_custkey % 3 as bigint) as chapter_id, cast(c_custkey as bigint) as entity_id, case when c_custkey % 2 = 0 then 'EXCLUDE' else 'INCLUDE' end as override_type,
                case when c_custkey % 6 = 0 then ' ' else 'asked' end as reason, date '2001-01-01' as effective_date, cast(case when c_custkey % 10 = 1 then '2000-01-01' else '2030-01-01' end as date) as expiration_date,
-               cast(c_custkey % 97 as bigint) as decided_at
+               cast(c_custkey % 97 as bigint) as decided_at, cast(c_custkey as bigint) as override_id
         from {customer} where c_custkey % 3 = 1""",
     "audit_events": """
         select o_orderkey as event_id, cast(o_orderdate as date) as created_at, 'Customer ' || cast(o_custkey as string) || ' ' || o_orderpriority as entity from {orders}""",
+    "stored_assessments": """
+        select o_orderkey as assessment_id, o_custkey as entity_id, case when o_orderkey % 13 = 0 then null else cast(o_orderdate as date) end as calculation_date, o_orderkey % 4 <> 0 as is_current,
+               case when o_custkey % 10 < 2 then 'UNKNOWN' when o_custkey % 3 = 0 then 'PROVISIONAL' when o_orderkey % 5 = 0 then 'ACTIVE' else 'LAPSED' end as calculated_status,
+               case when o_custkey % 10 < 2 then 'INSUFFICIENT_HISTORY' when o_orderkey % 9 = 0 then null else 'RECURRING_PATTERN' end as recurrence_pattern_status,
+               case when o_custkey % 10 < 2 then 'INELIGIBLE' when o_custkey % 3 = 0 then 'PROVISIONAL' else 'AUTHORITATIVE' end as membership_authority,
+               case when o_custkey % 10 > 1 then cast(o_totalprice as decimal(12,2)) when o_orderkey % 2 = 0 then cast(0 as decimal(12,2)) end as recurring_amount,
+               case when o_custkey % 10 > 1 then 'Monthly' when o_orderkey % 3 = 0 then 'None' when o_orderkey % 3 = 1 then '' end as payment_interval,
+               case o_orderkey % 6 when 0 then null when 1 then cast(3 as bigint) else cast(o_orderkey % 25 as bigint) end as rule_version_id
+        from {orders}""",
+    "chapter_list": "select cast(r_regionkey + 1 as bigint) as chapter_id, r_name as chapter_name, case when r_regionkey = 1 then 'INACTIVE' else 'ACTIVE' end as status from {region}",
+    "chapter_results": """
+        select o_orderkey as result_id, o_custkey as entity_id from {orders} where o_orderkey % 3 = 1""",
 }
 BASE = ["region", "nation", "customer", "orders"]
 

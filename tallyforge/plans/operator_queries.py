@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
-
 from pyspark.sql import functions as F
 
 from ..functions import names, parsing
@@ -109,9 +107,7 @@ def identity_verification_rollback(entities, manifest):
 )
 def membership_in_force(rules, coverages):
     """M8: the rule and the coverage that evaluations take."""
-    row = asdict(membership.active_rule(rules)) | asdict(membership.active_coverage(coverages))
-    kinds = "monthly_interval_min int, monthly_interval_max int, active_grace_period int, min_recurring_payments int, skip_payment_allowed boolean, rule_version_id long, through date, status string"
-    return rules.sparkSession.createDataFrame([tuple(row[k.split()[0]] for k in kinds.split(", "))], kinds)
+    return membership.in_force(rules, coverages)
 
 
 @query(

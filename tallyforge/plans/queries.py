@@ -276,6 +276,9 @@ _STATES = f"""with {_NET_E}, base as (select e.*, coalesce(n, 0) as n, valid_gap
    cast((cents // k3 + case when 2 * (cents % k3) > k3 or (2 * (cents % k3) = k3 and (cents // k3) % 2 = 1) then 1 else 0 end) / 100.0 as decimal(12,2)) else cast(0 as decimal(12,2)) end as recurring_amount from states)"""
 
 
+_SAID = "case state_id " + " ".join(f"when '{k}' then '{v}'" for k, v in membership.EXPLANATIONS.items() if k != "S11") + " else 'Entity type ' || entity_type || ' is ineligible for membership.' end"
+
+
 @query("payments", oracle=f"with {_NET_E} select entity_id, transaction_date, net, gap from gaps")
 def membership_net_payments(payments):
     """M2, M3."""
@@ -318,12 +321,12 @@ def membership_cluster_pattern(entities, payments):
     oracle=f"""{_STATES} select entity_id, entity_type, verification_status, state_id, calculated_status, recurrence_pattern_status, membership_authority, recurring_amount,
      case when recurrence_pattern_status = 'RECURRING_PATTERN' then 'Monthly' else 'None' end as payment_interval, contribution_count, refund_count,
      case when state_id = 'S11' then 0 else n end as positive_count, case when state_id = 'S11' then null else 14 end as coverage_age_days,
-     case when state_id = 'S11' or days is null then '[]' else days end as interval_days from full_states""",
+     case when state_id = 'S11' or days is null then '[]' else days end as interval_days, {_SAID} as explanation from full_states""",
 )
 def membership_states(entities, payments):
     """M6, M7: the flagship."""
     states = membership.membership_state(entities.select("entity_id", "entity_type", "verification_status"), payments, RULE, COVERAGE, DAY)
-    return states.withColumn("interval_days", F.to_json("interval_days"))
+    return states.withColumns({"interval_days": F.to_json("interval_days"), "explanation": membership.explanation(F.col("state_id"), F.col("entity_type"))})
 
 
 def _states(entities, payments):
@@ -406,12 +409,17 @@ def membership_latest(assessments):
     "entities",
     "payments",
     "assessments",
-    oracle=f"""{_STATES} select entity_id, calculated_status, date '2001-06-15' as calculation_date, true as is_current from states
-     union all select entity_id, calculated_status, calculation_date, is_current and entity_id not in (select entity_id from states) from assessments""",
+    oracle=f"""{_STATES}, odd as (select entity_id from entities where is_verified <> (verification_status = 'VERIFIED' and coalesce(verification_method, '') <> 'NONE'))
+     select entity_id, calculated_status, recurrence_pattern_status, membership_authority, recurring_amount, {_SAID} as explanation, date '2001-06-15' as calculation_date, 1 as rule_version_id, true as is_current
+     from full_states where entity_id not in (select entity_id from odd)
+     union all select entity_id, 'UNKNOWN', 'INSUFFICIENT_HISTORY', 'PROVISIONAL', null, 'Verification field inconsistency detected.', date '2001-06-15', 1, true from odd
+     union all select entity_id, calculated_status, null, null, recurring_amount, null, calculation_date, null, is_current and entity_id not in (select entity_id from states) from assessments""",
 )
 def membership_assess(entities, payments, assessments):
-    """M9."""
-    return membership.assess_entities(assessments, _states(entities, payments), DAY).select("entity_id", "calculated_status", "calculation_date", "is_current")
+    """M9: with entities whose verification fields disagree."""
+    odd = entities.where(~membership.consistent())
+    new = membership.assess_entities(assessments, _states(entities, payments), DAY, odd, RULE)
+    return new.select("entity_id", "calculated_status", "recurrence_pattern_status", "membership_authority", "recurring_amount", "explanation", "calculation_date", "rule_version_id", "is_current")
 
 
 @query(
@@ -423,8 +431,8 @@ def membership_assess(entities, payments, assessments):
 )
 def membership_repair_manifest(entities, payments, assessments):
     """Stored against recomputed; the stored rows lack pattern and authority, so that all differ."""
-    latest = membership.latest_assessment(assessments).withColumns({c: F.lit(None).cast("string") for c in ("recurrence_pattern_status", "membership_authority", "payment_interval", "verification_status")})
-    return membership.repair_manifest(membership.audit_recompute(latest, _states(entities, payments)))
+    latest = membership.latest_assessment(assessments).withColumns({c: F.lit(None).cast("string") for c in ("recurrence_pattern_status", "membership_authority", "payment_interval", "rule_version_id")})
+    return membership.repair_manifest(membership.audit_recompute(latest, _states(entities, payments).withColumn("rule_version_id", F.lit(1))))
 
 
 # --- geography ------------------------------------------------------------------------------------------
