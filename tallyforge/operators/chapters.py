@@ -125,18 +125,27 @@ def rebuild_assignments(results: DataFrame, existing: DataFrame) -> DataFrame:
     return results.join(old, ["chapter_id", "entity_id"], "left").select("chapter_id", "entity_id", "assignment_status", change.alias("change"))
 
 
+# Results that a preview counts as one thing.
+PREVIEWED = {
+    "included": ["INCLUDED_BY_RULE", "MANUALLY_INCLUDED", "PROVISIONAL_GEOGRAPHIC_MATCH"],
+    "excluded": ["EXCLUDED_BY_RULE", "MANUALLY_EXCLUDED"],
+    "ambiguous": ["AMBIGUOUS_GEOGRAPHY", "AMBIGUOUS_LOCATION"],
+    "unresolved": ["NO_CURRENT_LOCATION", "NO_CURRENT_RESOLVED_LOCATION", "NO_RULE_MATCH"],
+}
+
+
 def preview_diff(staged: DataFrame, current: DataFrame) -> DataFrame:
-    """Entities whose inclusion, exclusion, ambiguity or rule differs; an absent side is NO_MATCH."""
-    groups = {"included": ["INCLUDED", "PROVISIONALLY_INCLUDED"], "excluded": ["EXCLUDED"], "ambiguous": ["AMBIGUOUS"], "unresolved": ["UNRESOLVED"]}
-    cols = lambda p: ["chapter_id", "entity_id", F.col("assignment_status").alias(f"{p}_status"), F.col("rule_id").alias(f"{p}_rule")]
+    """Whether each entity comes into or leaves one of four groups of results, and whether its rule differs. A side
+    without a result is NO_MATCH, which is in no group, and has no rule to compare."""
+    cols = lambda p: ["chapter_id", "entity_id", F.col("result_status").alias(f"{p}_status"), F.col("rule_id").alias(f"{p}_rule"), F.lit(True).alias(f"_{p}")]
     rows = staged.select(cols("new")).join(current.select(cols("old")), ["chapter_id", "entity_id"], "full_outer")
     rows = rows.withColumns({f"{p}_status": F.coalesce(f"{p}_status", F.lit("NO_MATCH")) for p in ("new", "old")})
     flags = {}
-    for name, members in groups.items():
+    for name, members in PREVIEWED.items():
         now, was = F.col("new_status").isin(members), F.col("old_status").isin(members)
         flags |= {f"new_{name}": now & ~was, f"removed_{name}": was & ~now}
-    flags["rule_changed"] = ~F.col("new_rule").eqNullSafe(F.col("old_rule"))
-    return rows.withColumns(flags)
+    flags["rule_changed"] = F.col("_new").isNotNull() & F.col("_old").isNotNull() & ~F.col("new_rule").eqNullSafe(F.col("old_rule"))
+    return rows.withColumns(flags).drop("_new", "_old")
 
 
 INCLUDED = ["INCLUDED", "PROVISIONALLY_INCLUDED"]
@@ -147,26 +156,37 @@ def assignment_counts(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("chapter_id", "assignment_status").agg(F.count("*").alias("n"))
 
 
-def overlaps(assignments: DataFrame) -> DataFrame:
-    """Entities in more than one chapter, with the sorted chapters."""
-    own = assignments.where(F.col("assignment_status").isin(INCLUDED)).groupBy("entity_id").agg(F.array_sort(F.collect_set("chapter_id")).alias("chapter_ids"))
-    return own.where(F.size("chapter_ids") > 1)
+def overlaps(assignments: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """Entities in more than one chapter, with the sorted chapters; with a list (chapter_id, chapter_name,
+    status) only of ACTIVE ones, with their names in the same order."""
+    own = assignments.where(F.col("assignment_status").isin(INCLUDED))
+    if chapters is None:
+        kept = own.groupBy("entity_id").agg(F.array_sort(F.collect_set("chapter_id")).alias("chapter_ids"))
+        return kept.where(F.size("chapter_ids") > 1)
+    named = F.broadcast(chapters.where("status = 'ACTIVE'").select("chapter_id", "chapter_name"))  # one row for each chapter
+    kept = own.join(named, "chapter_id").groupBy("entity_id").agg(F.array_sort(F.collect_set(F.struct("chapter_id", "chapter_name"))).alias("_c"))
+    return kept.where(F.size("_c") > 1).select("entity_id", F.col("_c.chapter_id").alias("chapter_ids"), F.col("_c.chapter_name").alias("chapter_names"))
 
 
-def overlap_pairs(assignments: DataFrame) -> DataFrame:
-    """Shared entities of each pair of chapters, from each entity's own few chapters."""
-    ids = F.col("chapter_ids")
-    pairs = F.flatten(F.transform(ids, lambda a, i: F.transform(F.slice(ids, i + 2, F.size(ids)), lambda b: F.struct(a.alias("chapter_a"), b.alias("chapter_b")))))
-    return overlaps(assignments).select(F.explode(pairs).alias("p")).groupBy("p.chapter_a", "p.chapter_b").agg(F.count("*").alias("shared"))
+def overlap_pairs(assignments: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """Shared entities of each pair of chapters, from each entity's own few chapters; with a list only of ACTIVE
+    ones, by name."""
+    rows = overlaps(assignments, chapters)
+    pairs = lambda ids: F.flatten(F.transform(ids, lambda a, i: F.transform(F.slice(ids, i + 2, F.size(ids)), lambda b: F.struct(a.alias("chapter_a"), b.alias("chapter_b")))))
+    if chapters is None:
+        return rows.select(F.explode(pairs(F.col("chapter_ids"))).alias("p")).groupBy("p.chapter_a", "p.chapter_b").agg(F.count("*").alias("shared"))
+    both = F.arrays_zip(F.col("chapter_ids").alias("id"), F.col("chapter_names").alias("name"))
+    counts = rows.select(F.explode(pairs(both)).alias("p")).groupBy("p").agg(F.count("*").alias("shared"))
+    return counts.select(F.col("p.chapter_a.name").alias("chapter_1"), F.col("p.chapter_b.name").alias("chapter_2"), "shared")
 
 
 def apply_overrides(overrides: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all overrides, rejected decisions). Decisions need a reason, and an end not before the start; of a chapter
-    and entity the newest active one (by decided_at) stays so, older ones are superseded."""
+    and entity the newest active one (by decided_at, then override_id) stays so, older ones are superseded."""
     bad = (F.coalesce(F.trim("reason"), F.lit("")) == "") | (F.col("expiration_date") < F.col("effective_date"))
     bad = F.coalesce(bad, F.lit(False))
     both = overrides.unionByName(decisions.where(~bad).withColumn("status", F.lit("ACTIVE")), allowMissingColumns=True)
-    newest = F.row_number().over(Window.partitionBy("chapter_id", "entity_id", "status").orderBy(F.desc("decided_at"))) == 1
+    newest = F.row_number().over(Window.partitionBy("chapter_id", "entity_id", "status").orderBy(F.desc("decided_at"), F.desc("override_id"))) == 1
     both = both.withColumn("_new", newest).withColumn("status", F.when((F.col("status") == "ACTIVE") & ~F.col("_new"), "SUPERSEDED").otherwise(F.col("status"))).drop("_new")
     return both, decisions.where(bad)
 

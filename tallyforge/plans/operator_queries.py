@@ -11,6 +11,10 @@ from .queries import _GEO, _LATEST, _NAME, _RES, _RESULT, DAY, GEO, QUERIES, RES
 __all__ = ["QUERIES", "SQL"]
 
 
+def _in(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 @query("raw_rows", oracle="select row_number, trim(name) as name, trim(amount_text) as amount_text, trim(txn) as txn, '' as filed_date from raw_rows")
 def ingest_mapping(rows):
     """A file with headers of its own; what the profile does not map is empty."""
@@ -271,14 +275,24 @@ def chapters_rebuild(*tables):
 
 @query(
     *RESULT,
-    oracle=f"""{_RESULT}, j as (select n.chapter_id, n.entity_id, n.assignment_status as a, case when n.entity_id % 5 = 2 then 'NO_MATCH' else n.assignment_status end as b from res n)
-     select chapter_id, entity_id, a in ('INCLUDED', 'PROVISIONALLY_INCLUDED') and b not in ('INCLUDED', 'PROVISIONALLY_INCLUDED') as new_included, a = 'EXCLUDED' and b <> 'EXCLUDED' as new_excluded,
-     b = 'UNRESOLVED' and a <> 'UNRESOLVED' as removed_unresolved from j""",
+    oracle=f"""{_RESULT}, j as (select coalesce(n.chapter_id, o.chapter_id) as chapter_id, coalesce(n.entity_id, o.entity_id) as entity_id, coalesce(n.result_status, 'NO_MATCH') as a, coalesce(o.result_status, 'NO_MATCH') as b,
+      n.chapter_id is not null and o.chapter_id is not null and n.rule_id is distinct from o.rule_id as rule_changed
+      from (select * from res where entity_id % 7 <> 4) n full join
+      (select chapter_id, entity_id, case when entity_id % 11 = 1 then 'NO_RULE_MATCH' when entity_id % 11 = 2 then 'AMBIGUOUS_LOCATION' when entity_id % 11 = 3 then 'MANUALLY_EXCLUDED' else result_status end as result_status,
+       case when entity_id % 11 in (1, 2, 3) then null else rule_id end as rule_id from res where entity_id % 5 <> 2) o on n.chapter_id = o.chapter_id and n.entity_id = o.entity_id)
+     select chapter_id, entity_id, {", ".join(f"a in {_in(m)} and b not in {_in(m)} as new_{k}, b in {_in(m)} and a not in {_in(m)} as removed_{k}" for k, m in chapters.PREVIEWED.items())}, rule_changed from j""",
 )
 def chapters_preview(*tables):
-    """A staged run against one that lacks a fifth of the entities."""
+    """A staged run that lacks a seventh of the entities against one that lacks a fifth and differs elsewhere."""
     new = _results(*tables)
-    return chapters.preview_diff(new, new.where("entity_id % 5 <> 2")).select("chapter_id", "entity_id", "new_included", "new_excluded", "removed_unresolved")
+    kind = F.col("entity_id") % 11
+    old = new.where("entity_id % 5 <> 2").withColumns(
+        {
+            "result_status": F.when(kind == 1, "NO_RULE_MATCH").when(kind == 2, "AMBIGUOUS_LOCATION").when(kind == 3, "MANUALLY_EXCLUDED").otherwise(F.col("result_status")),
+            "rule_id": F.when(~kind.isin(1, 2, 3), F.col("rule_id")),
+        }
+    )
+    return chapters.preview_diff(new.where("entity_id % 7 <> 4"), old).drop("new_status", "old_status", "new_rule", "old_rule")
 
 
 @query(
@@ -291,11 +305,33 @@ def chapters_overlaps(*tables):
     return chapters.overlaps(_results(*tables)).withColumn("chapter_ids", F.array_join(F.transform("chapter_ids", lambda c: c.cast("string")), ","))
 
 
+_ACTIVE = "i as (select res.*, chapter_name from res join chapter_list c on c.chapter_id = res.chapter_id and c.status = 'ACTIVE' where assignment_status in ('INCLUDED', 'PROVISIONALLY_INCLUDED'))"
+
+
+@query(*RESULT, "chapter_list", oracle=f"{_RESULT}, {_ACTIVE} select entity_id, string_agg(chapter_name, ',' order by chapter_id) as chapter_names from i group by entity_id having count(*) > 1")
+def chapters_overlaps_named(*tables):
+    """C14: of active chapters, by name."""
+    *rest, listed = tables
+    return chapters.overlaps(_results(*rest), listed).select("entity_id", F.array_join("chapter_names", ",").alias("chapter_names"))
+
+
+@query(
+    *RESULT,
+    "chapter_list",
+    oracle=f"""{_RESULT}, {_ACTIVE} select a.chapter_name as chapter_1, b.chapter_name as chapter_2, count(*) as shared from i a join i b on a.entity_id = b.entity_id and a.chapter_id < b.chapter_id
+     group by a.chapter_name, b.chapter_name""",
+)
+def chapters_overlap_pairs_named(*tables):
+    """Of active chapters, by name."""
+    *rest, listed = tables
+    return chapters.overlap_pairs(_results(*rest), listed)
+
+
 @query(
     "override_decisions",
-    oracle="""with o as (select *, row_number() over (partition by chapter_id, entity_id order by decided_at desc) as k from
-      (select chapter_id, entity_id, override_type, decided_at from override_decisions where trim(reason) <> '' and expiration_date >= effective_date
-       union all select chapter_id, entity_id, 'INCLUDE', -1 from override_decisions) as x)
+    oracle="""with o as (select *, row_number() over (partition by chapter_id, entity_id order by decided_at desc, override_id desc) as k from
+      (select chapter_id, entity_id, override_type, decided_at, override_id from override_decisions where trim(reason) <> '' and expiration_date >= effective_date
+       union all select chapter_id, entity_id, 'INCLUDE', -1, override_id from override_decisions) as x)
      select chapter_id, entity_id, override_type, case when k > 1 then 'SUPERSEDED' when entity_id % 5 = 0 then 'REVOKED' else 'ACTIVE' end as status from o""",
 )
 def chapters_overrides(decisions):
@@ -321,20 +357,26 @@ def reports_audit_log(events):
     "entities",
     "assignments",
     "assessments",
-    oracle=f"""with {_LATEST} select e.entity_id, display_name like '%7%' as named, case when l.entity_id is null then 0 else 1 end as n_assessments
-     from entities e left join latest l on e.entity_id = l.entity_id where e.entity_id not in (select entity_id from assignments where import_batch_id = 0)
-     and (display_name like '%7%' or l.entity_id is null)""",
+    "chapter_results",
+    "audit_events",
+    oracle="""with free as (select entity_id, display_name, entity_type from entities where entity_id not in (select entity_id from assignments where import_batch_id = 0)),
+     c as (select f.*, contains(display_name, '7') or contains(display_name, 'customer') as named, (select count(*) from assessments a where a.entity_id = f.entity_id) as n_assessments,
+      (select count(*) from chapter_results r where r.entity_id = f.entity_id) as n_results from free f)
+     select entity_id, display_name, entity_type, named, n_assessments, n_results, (select count(*) from audit_events v where contains(v.entity, cast(c.entity_id as varchar))) as n_events,
+     'SYNTHETIC_BENCHMARK_DISPOSABLE' as disposition from c where named or n_assessments = 0""",
 )
-def reports_synthetic(entities, assignments, assessments):
-    """Against the assignments of one batch."""
-    return reports.synthetic_entities(entities, assignments.where("import_batch_id = 0"), membership.latest_assessment(assessments), ["7"])
+def reports_synthetic(entities, assignments, assessments, results, events):
+    """Against the assignments of one batch; a keyword in the wrong case finds nothing."""
+    told = events.select(F.col("entity").alias("description"))
+    return reports.synthetic_entities(entities, assignments.where("import_batch_id = 0"), assessments, results, told, ["7", "customer"])
 
 
 @query(
     "entities",
     "assessments",
-    oracle=f"with {_LATEST} select e.entity_id from entities e left join latest l on e.entity_id = l.entity_id where l.entity_id is null or calculated_status = 'UNKNOWN'",
+    oracle="""with l as (select entity_id, arg_max(calculated_status, assessment_id) as status from assessments group by entity_id)
+     select e.entity_id from entities e left join l on e.entity_id = l.entity_id where entity_type = 'INDIVIDUAL' and (status is null or status = 'UNKNOWN')""",
 )
 def reports_unknown(entities, assessments):
-    """UNKNOWN takes in entities without an assessment."""
-    return reports.filter_by_status(entities, membership.latest_assessment(assessments), "UNKNOWN").select("entity_id")
+    """UNKNOWN takes in individuals without an assessment."""
+    return reports.filter_by_status(entities, assessments, "UNKNOWN").select("entity_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, parsing
 from ..operators import chapters, geography, identity, ingest, membership, quality, reports
+from ..sources import scratch
 from .adapters import sql, view
 
 DAY = date(2001, 6, 15)
@@ -618,31 +620,46 @@ def reports_status_breakdown(entities, assessments):
     return reports.status_breakdown(entities, membership.latest_assessment(assessments))
 
 
+_COUNTED = "counted as (select * from payments where status = 'ACTIVE' and import_batch_id in (select import_batch_id from batches where status = 'COMPLETED'))"
+
+
 @query(
     "entities",
     "payments",
+    "batches",
     "assessments",
     "locations",
-    oracle=f"""with {_LATEST}, t as (select entity_id, sum(amount) as total, max(transaction_date) as last_date, count(*) as n from payments group by entity_id),
-     pl as (select entity_id, arg_min(city, location_id) as city, arg_min(zip, location_id) as zip from locations group by entity_id)
-     select e.entity_id, display_name, calculated_status, recurring_amount, total, last_date, coalesce(n, 0) as n, city, zip from entities e left join latest l on e.entity_id = l.entity_id
+    oracle=f"""with {_LATEST}, {_COUNTED}, t as (select entity_id, sum(amount) as total, max(transaction_date) as last_date, count(*) as n from counted group by entity_id),
+     pl as (select entity_id, arg_min(city, location_id) as city, arg_min(zip, location_id) as zip from locations where location_id % 13 <> 5 group by entity_id)
+     select e.entity_id, display_name, coalesce(calculated_status, 'UNKNOWN') as status, coalesce(recurring_amount, 0) as recurring_amount, coalesce(total, 0) as total, last_date, coalesce(n, 0) as n,
+     coalesce(city, '') as city, coalesce(zip, '') as zip from entities e left join latest l on e.entity_id = l.entity_id
      left join t on t.entity_id = e.entity_id left join pl on pl.entity_id = e.entity_id where entity_type = 'INDIVIDUAL'""",
 )
-def reports_people(entities, payments, assessments, locations):
-    """P3."""
-    return reports.people_directory(entities, payments, membership.latest_assessment(assessments), locations)
+def reports_people(entities, payments, batches, assessments, locations):
+    """Of the locations each thirteenth is a former one."""
+    placed = locations.withColumn("status", F.when(F.col("location_id") % 13 == 5, "FORMER").otherwise("CURRENT"))
+    return reports.people_directory(entities, payments, batches, membership.latest_assessment(assessments), placed)
+
+
+# What is searched for: in names, places, ZIP codes, employers, occupations, transaction numbers; cut at words, in
+# either case, of one and two characters, and in none.
+PATTERNS = ["on_1", "ANN7", "lee2", "customer#", "0000001", "9000", "bra", "KENYA", "emp 1", "urgent", "1-u", "t12", "7", "zz", "t ", "#", "", "no such thing"]
 
 
 @query(
     "entities",
     "payments",
     "locations",
-    oracle="""select entity_id from entities where contains(lower(display_name), 'on_1') union select entity_id from locations where contains(lower(city), 'on_1') or contains(lower(zip), 'on_1')
-     union select entity_id from payments where contains(lower(employer), 'on_1') or contains(lower(occupation), 'on_1') or contains(lower(txn), 'on_1')""",
+    oracle=f"""with p(pattern) as (values {", ".join(f"('{x}')" for x in PATTERNS)}),
+     v as (select entity_id, unnest([display_name, first_name, last_name]) as value from entities union select entity_id, unnest([zip, city]) from locations union select entity_id, unnest([employer, occupation, txn]) from payments)
+     select distinct pattern, v.entity_id from v join p on pattern <> '' and contains(lower(value), lower(pattern)) where v.entity_id in (select entity_id from entities where entity_type = 'INDIVIDUAL')""",
 )
 def reports_search(entities, payments, locations):
-    """P4."""
-    return reports.people_search(entities, payments, locations, "on_1")
+    """Many patterns at once, by the index."""
+    spark = entities.sparkSession
+    path = f"{scratch.folder(spark)}/tallyforge/people-{uuid.uuid4().hex}"
+    reports.search_index(entities, payments, locations).write(path)
+    return reports.people_search(reports.SearchIndex.read(spark, path), spark.createDataFrame([(x,) for x in PATTERNS], "pattern string"))
 
 
 @query("payments", oracle="select entity_id, cast(sum(greatest(amount, 0)) as decimal(22,2)) as given, cast(sum(least(amount, 0)) as decimal(22,2)) as returned, sum(amount) as net, count(*) as n from payments group by entity_id")
@@ -660,13 +677,35 @@ def reports_export(entities, assessments):
 @query(
     "entities",
     "payments",
+    "batches",
     "raw_rows",
-    oracle=f"""{_STATUS} select (select count(*) from payments) as n_contributions, (select sum(amount) from payments) as total_amount, (select count(*) from entities where entity_type = 'INDIVIDUAL') as n_individuals,
+    oracle=f"""{_STATUS}, {_COUNTED} select (select count(*) from counted) as n_contributions, (select coalesce(sum(amount), 0) from counted) as total_amount,
+     (select count(*) from entities where entity_type = 'INDIVIDUAL') as n_individuals,
      (select count(*) from s where validation_status = 'VALIDATION_FAILURE') as n_failed, (select count(*) from s where validation_status = 'EXACT_DUPLICATE') as n_duplicates""",
 )
-def reports_dashboard(entities, payments, rows):
+def reports_dashboard(entities, payments, batches, rows):
     """P1."""
-    return reports.dashboard_metrics(payments, entities, _checked(rows))
+    return reports.dashboard_metrics(payments, batches, entities, _checked(rows))
+
+
+@query("batches", oracle="select import_batch_id, status, imported_at from batches order by imported_at desc, import_batch_id desc limit 5")
+def reports_last_imports(batches):
+    """The newest five imports, whatever their status."""
+    return reports.last_imports(batches).select("import_batch_id", "status", "imported_at")
+
+
+@query(
+    "payments",
+    "assignments",
+    "batches",
+    oracle="""select a.entity_id, row_number() over (partition by a.entity_id order by transaction_date desc, p.contribution_id desc) as place, p.contribution_id, transaction_date, amount,
+     case when p.contribution_id % 3 = 0 then '' else 'given ' || cast(p.contribution_id as varchar) end as raw_name from payments p join assignments a on a.contribution_id = p.contribution_id and a.is_active
+     where p.import_batch_id in (select import_batch_id from batches where status = 'COMPLETED')""",
+)
+def reports_timeline(payments, assignments, batches):
+    """P5: of a third of the contributions the raw name is not known."""
+    names_given = payments.where("contribution_id % 3 <> 0").select("contribution_id", F.concat(F.lit("given "), F.col("contribution_id").cast("string")).alias("raw_name"))
+    return reports.profile_timeline(payments, assignments, batches, names_given)
 
 
 @query(
