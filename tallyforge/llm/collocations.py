@@ -32,8 +32,8 @@ _WORD_BREAK = _PIECE_BREAK.copy()
 _WORD_BREAK[[0x20, 0x09]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text, and words, that a task hashes together.
-_TOGETHER = 4 << 20
-_WORDS_TOGETHER = 1 << 20
+_TOGETHER = 1 << 20
+_WORDS_TOGETHER = 1 << 19
 
 
 def _language(lang: str) -> np.uint64:
