@@ -45,20 +45,17 @@ def match_rules(resolutions: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.select("chapter_id", "location_id", "entity_id", "match_method", outcome.alias("outcome"), F.col("_b.rule_id").alias("rule_id"))
 
 
-def select_location(matched: DataFrame, resolved: list[str]) -> DataFrame:
-    """For each chapter and entity with a location: the selection and, if all agree, outcome and rule."""
-    ok = F.col("match_method").isin(resolved)
-    verdict = F.when(ok, F.struct(F.col("outcome"), F.coalesce("rule_id", F.lit(-1)).alias("rule_id")))
-    rows = matched.groupBy("chapter_id", "entity_id").agg(
-        F.count_if(ok).alias("n_resolved"), F.min(verdict).alias("_lo"), F.max(verdict).alias("_hi"), F.min(F.when(ok, F.col("location_id"))).alias("location_id")
-    )
-    agree = F.col("_lo") == F.col("_hi")
-    status = (
-        F.when(F.col("n_resolved") == 0, "NO_CURRENT_RESOLVED_LOCATION").when(~agree, "AMBIGUOUS_LOCATION").when(F.col("n_resolved") == 1, "SELECTED").otherwise("MULTIPLE_EQUIVALENT")
-    )
+def select_location(matched: DataFrame) -> DataFrame:
+    """For each chapter and entity with a location that has a current resolution: the selection and, if all of them
+    agree on outcome and rule, the location with the lowest id, outcome and rule; and the different outcomes."""
+    verdict = F.struct(F.col("outcome"), F.coalesce("rule_id", F.lit(-1)).alias("rule_id"))
+    rows = matched.groupBy("chapter_id", "entity_id").agg(F.count("*").alias("_n"), F.collect_set(verdict).alias("_v"), F.min("location_id").alias("location_id"))
+    agree = F.size("_v") == 1  # a chapter's rules bound the set
+    status = F.when(~agree, "AMBIGUOUS_LOCATION").when(F.col("_n") == 1, "SELECTED").otherwise("MULTIPLE_EQUIVALENT")
+    one = F.get("_v", F.lit(0))
     return rows.select(
         "chapter_id", "entity_id", status.alias("selection_status"), F.when(agree, F.col("location_id")).alias("location_id"),
-        F.when(agree, F.col("_lo.outcome")).alias("outcome"), F.when(agree & (F.col("_lo.rule_id") >= 0), F.col("_lo.rule_id")).alias("rule_id"),
+        F.when(agree, one["outcome"]).alias("outcome"), F.when(agree & (one["rule_id"] >= 0), one["rule_id"]).alias("rule_id"), F.array_sort("_v").alias("outcomes"),
     )
 
 
@@ -68,13 +65,18 @@ def active_overrides(overrides: DataFrame, day: date) -> DataFrame:
     return overrides.withColumn("status", F.when(over, "EXPIRED").otherwise(F.col("status")))
 
 
-def evaluate_chapters(entities: DataFrame, matched: DataFrame, overrides: DataFrame, resolved: list[str], chapters: DataFrame) -> DataFrame:
-    """C4: one result for each chapter and entity (entity_id, entity_type, verification_status)."""
-    chosen = select_location(matched, resolved)
-    manual = overrides.where("status = 'ACTIVE'").groupBy("chapter_id", "entity_id").agg(F.max("override_type").alias("override_type"))
+def evaluate_chapters(entities: DataFrame, matched: DataFrame, overrides: DataFrame, locations: DataFrame, chapters: DataFrame) -> DataFrame:
+    """C4: one result for each chapter and entity (entity_id, entity_type, verification_status), with what explains it.
+
+    matched: of match_rules(), one row for each current resolution; locations: (entity_id) of current locations."""
+    chosen = select_location(matched)
+    reason = F.col("reason") if "reason" in overrides.columns else F.lit("")
+    manual = overrides.where("status = 'ACTIVE'").groupBy("chapter_id", "entity_id").agg(F.max(F.struct("override_type", reason.alias("reason"))).alias("_o"))
     rows = entities.crossJoin(F.broadcast(chapters.select("chapter_id").distinct()))  # one row for each chapter
     rows = rows.join(chosen, ["chapter_id", "entity_id"], "left").join(manual, ["chapter_id", "entity_id"], "left")
-    sel = F.when(F.col("entity_type") != "INDIVIDUAL", "INELIGIBLE_ENTITY_TYPE").otherwise(F.coalesce("selection_status", F.lit("NO_CURRENT_LOCATION")))
+    rows = rows.join(locations.select("entity_id").distinct().withColumn("_placed", F.lit(True)), "entity_id", "left").withColumn("override_type", F.col("_o.override_type"))
+    none = F.when(F.col("_placed"), "NO_CURRENT_RESOLVED_LOCATION").otherwise("NO_CURRENT_LOCATION")
+    sel = F.when(F.col("entity_type") != "INDIVIDUAL", "INELIGIBLE_ENTITY_TYPE").otherwise(F.coalesce("selection_status", none))
     result = (
         F.when(F.col("entity_type") != "INDIVIDUAL", "INELIGIBLE_ENTITY_TYPE")
         .when(F.col("override_type") == "EXCLUDE", "MANUALLY_EXCLUDED")
@@ -90,9 +92,35 @@ def evaluate_chapters(entities: DataFrame, matched: DataFrame, overrides: DataFr
         "chapter_id", "entity_id", sel.alias("selection_status"), "result_status", F.coalesce(names[F.col("result_status")], F.lit("NO_MATCH")).alias("assignment_status"),
         F.when(high, "HIGH").when(F.col("result_status") == "PROVISIONAL_GEOGRAPHIC_MATCH", "MEDIUM").otherwise("LOW").alias("confidence"),
         F.when(decisive, F.col("rule_id")).alias("rule_id"),
+        F.struct("entity_type", "location_id", "outcome", "outcomes", F.col("_o.reason").alias("reason")).alias("evidence"),
     )
 
 
+def explain_results(results: DataFrame) -> DataFrame:
+    """Results with selection_explanation and explanation, from their evidence, which goes."""
+    e, sel, res, rule = F.col("evidence"), F.col("selection_status"), F.col("result_status"), F.col("rule_id").cast("string")
+    each = F.transform(e["outcomes"], lambda o: F.concat(F.lit("('"), o["outcome"], F.lit("', "), F.when(o["rule_id"] < 0, "None").otherwise(o["rule_id"].cast("string")), F.lit(")")))
+    selection = (
+        F.when(sel == "INELIGIBLE_ENTITY_TYPE", F.format_string("Entity type '%s' is ineligible for chapter membership.", e["entity_type"]))
+        .when(sel == "NO_CURRENT_LOCATION", "Entity has no registered current locations.")
+        .when(sel == "NO_CURRENT_RESOLVED_LOCATION", "None of the entity's current locations have current resolutions.")
+        .when(sel == "AMBIGUOUS_LOCATION", F.concat(F.lit("Conflicting location outcomes detected: ["), F.array_join(each, ", "), F.lit("]")))
+        .otherwise(F.format_string("Selected location %s yielding outcome %s.", e["location_id"].cast("string"), e["outcome"]))
+    )
+    text = (
+        F.when(res == "INELIGIBLE_ENTITY_TYPE", "Ineligible entity type.")
+        .when(res == "MANUALLY_EXCLUDED", F.concat(F.lit("Excluded by manual override. Reason: "), F.coalesce(e["reason"], F.lit(""))))
+        .when(res == "MANUALLY_INCLUDED", F.concat(F.lit("Included by manual override. Reason: "), F.coalesce(e["reason"], F.lit(""))))
+        .when(res == "AMBIGUOUS_LOCATION", "Geographic evaluation is ambiguous due to conflicting current locations.")
+        .when(res.isin("NO_CURRENT_LOCATION", "NO_CURRENT_RESOLVED_LOCATION"), F.col("selection_explanation"))
+        .when(res == "EXCLUDED_BY_RULE", F.format_string("Excluded by rule %s.", rule))
+        .when(res.isin("INCLUDED_BY_RULE", "PROVISIONAL_GEOGRAPHIC_MATCH"), F.format_string("Included by rule %s.", rule))
+        .when(res == "AMBIGUOUS_GEOGRAPHY", "Matched zip reference has ambiguous outcomes or candidates.")
+        .otherwise("No matching rules found in active ruleset.")
+    )
+    return results.withColumn("selection_explanation", selection).withColumn("explanation", text).drop("evidence")
+
+
 def membership_snapshot(results: DataFrame, latest: DataFrame) -> DataFrame:
     """C5."""
     return results.join(latest.select("entity_id", F.col("calculated_status").alias("membership_status"), "calculation_date"), "entity_id", "left")
@@ -125,6 +153,12 @@ def rebuild_assignments(results: DataFrame, existing: DataFrame) -> DataFrame:
     return results.join(old, ["chapter_id", "entity_id"], "left").select("chapter_id", "entity_id", "assignment_status", change.alias("change"))
 
 
+def rebuild_counts(rebuilt: DataFrame) -> DataFrame:
+    """One row of counts of what rebuild_assignments() finds."""
+    change = F.col("change")
+    return rebuilt.agg(F.count_if(change == "CREATED").alias("created"), F.count_if(change == "UPDATED").alias("updated"), F.count_if(change == "IDENTICAL").alias("identical"))
+
+
 # Results that a preview counts as one thing.
 PREVIEWED = {
     "included": ["INCLUDED_BY_RULE", "MANUALLY_INCLUDED", "PROVISIONAL_GEOGRAPHIC_MATCH"],

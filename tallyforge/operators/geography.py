@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parsing import normalize_weight, normalize_zip
+from ..sources.versions import Versioned
 
 RESOLVED = ["EXACT_PLACE_ZIP_MATCH", "EXACT_ALIAS_ZIP_MATCH", "UNIQUE_ZIP_INFERENCE", "MANUALLY_RESOLVED"]
 # Kinds of reference files; with each, what it needs besides what a ZIP column needs.
@@ -34,6 +36,22 @@ def import_reference(rows: DataFrame, kind: str) -> DataFrame:
     return rows.withColumns({"row_status": status.otherwise("ACCEPTED"), "zip5": F.col("_z.zip5"), "share": F.col("_w.weight")}).drop("_z", "_w", "_n")
 
 
+def reference_counts(statuses: Column) -> list[Column]:
+    """The counts of a batch, as aggregates over row_status."""
+    return [
+        F.count("*").alias("row_count"), F.count_if(statuses.isin("ACCEPTED", "VALIDATION_WARNING", "POSSIBLE_TRUNCATED_LEADING_ZERO")).alias("successful_rows"),
+        F.count_if(statuses == "VALIDATION_FAILURE").alias("failed_rows"), F.count_if(statuses == "EXACT_DUPLICATE").alias("duplicate_rows"),
+        F.count_if(statuses.isin("VALIDATION_WARNING", "POSSIBLE_TRUNCATED_LEADING_ZERO")).alias("warning_rows"),
+    ]
+
+
+def write_reference(rows: DataFrame, path: str) -> dict[str, int]:
+    """Writes rows of import_reference() and returns the counts, observed in the pass that writes."""
+    seen = Observation("reference")
+    rows.observe(seen, *reference_counts(F.col("row_status"))).write.parquet(path)
+    return dict(seen.get)
+
+
 def canonical_name(column, kind: str):
     """Upper case; a county without its last word COUNTY."""
     name = F.upper(F.trim(column))
@@ -155,6 +173,117 @@ def resolution_candidates(resolutions: DataFrame, ref: dict[str, DataFrame]) ->
     return span.select(cols).unionByName(many.select(cols))
 
 
+# What is said of a resolution.
+SAID = {
+    "PLACE_ZIP": "County matched from exact place name '{place}' and ZIP '{zip5}' intersection.",
+    "PLACE_NO_COUNTY": "Place '{place}' matched but has no registered county association.",
+    "PLACE_SPAN": "Place '{place}' spans multiple counties; county assignment requires review.",
+    "ALIAS_ZIP": "County matched from alias name '{name}' mapping to canonical place '{place}' and ZIP '{zip5}' intersection.",
+    "ALIAS_SPAN": "Alias '{name}' place '{place}' spans multiple counties; county assignment requires review.",
+    "CONFLICT": "Contradictory geographic values: observed city '{city}' does not associate with observed ZIP '{zip}'.",
+    "ZIP_UNIQUE": "County '{county}' inferred through unique association with ZIP '{zip5}'.",
+    "ZIP_MANY": "ZIP '{zip5}' is associated with more than one county; county assignment requires review.",
+    "PLACE_ONLY": "Observed city name '{city}' maps to canonical place, but ZIP '{zip}' reference was missing or not associated.",
+    "ALIAS_ONLY": "Observed city name '{city}' maps to geographic alias, but ZIP '{zip}' reference was missing or not associated.",
+    "NOTHING": "No reference matches found in active datasets for observed city '{city}' and ZIP '{zip}'.",
+}
+
+
+def _fill(template: str, values: dict[str, Column]) -> Column:
+    """A template with columns for its names."""
+    parts, rest = [], template
+    while "{" in rest:
+        text, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += [F.lit(text), F.coalesce(values[name].cast("string"), F.lit("None"))]
+    return F.concat(*parts, F.lit(rest))
+
+
+def explain_resolutions(resolutions: DataFrame, locations: DataFrame, places: DataFrame, counties: DataFrame) -> DataFrame:
+    """Resolutions with an explanation. Its kind follows from method, rule and ids, and the names come from
+    dimensions (place_id, name), (county_id, county_name) at the end, so that no text is shuffled with the rows.
+
+    A place was found by an alias where its own name is not the city that was observed.
+    """
+    named = places.groupBy("place_id").agg(F.min("name").alias("_place"))
+    rows = resolutions.join(locations.select("location_id", "city", "zip"), "location_id").join(F.broadcast(named), "place_id", "left")
+    rows = rows.join(F.broadcast(counties.select("county_id", "county_name")), "county_id", "left")
+    name, method, rule = F.upper(F.trim(F.coalesce("city", F.lit("")))), F.col("match_method"), F.col("candidate_rule")
+    alias = F.col("_place") != name
+    kind = (
+        F.when(method == "EXACT_ALIAS_ZIP_MATCH", "ALIAS_ZIP")
+        .when((method == "EXACT_PLACE_ZIP_MATCH") & F.col("county_id").isNull(), "PLACE_NO_COUNTY")
+        .when(method == "EXACT_PLACE_ZIP_MATCH", "PLACE_ZIP")
+        .when((rule == "PLACE_COUNTY_SPAN") & alias, "ALIAS_SPAN")
+        .when(rule == "PLACE_COUNTY_SPAN", "PLACE_SPAN")
+        .when(method == "CONFLICTING_SOURCE_VALUES", "CONFLICT")
+        .when(method == "UNIQUE_ZIP_INFERENCE", "ZIP_UNIQUE")
+        .when(rule == "ZIP_COUNTY_MULTIPLE", "ZIP_MANY")
+        .when(method == "AMBIGUOUS_PLACE", "PLACE_ONLY")
+        .when(method == "AMBIGUOUS_ALIAS", "ALIAS_ONLY")
+        .otherwise("NOTHING")
+    )
+    values = {
+        "place": F.col("_place"), "county": F.col("county_name"), "name": name, "city": F.coalesce("city", F.lit("None")), "zip": F.coalesce("zip", F.lit("None")),
+        "zip5": normalize_zip(F.col("zip"))["zip5"],
+    }
+    text = reduce(lambda out, k: out.when(F.col("_kind") == k, _fill(SAID[k], values)), list(SAID)[1:], F.when(F.col("_kind") == "PLACE_ZIP", _fill(SAID["PLACE_ZIP"], values)))
+    return rows.withColumn("_kind", kind).select(*resolutions.columns, text.alias("explanation"))
+
+
+def supersede(history: DataFrame, found: DataFrame, run_id: int) -> DataFrame:
+    """The history of resolutions after a run: rows of `found` are CURRENT, CURRENT ones of the same locations from
+    before are SUPERSEDED. Rows that the same run left when it died go first, so that it can be repeated."""
+    before = history.where(F.col("run_id") != run_id)
+    hit = found.select("location_id").distinct().withColumn("_hit", F.lit(True))
+    old = before.join(hit, "location_id", "left").withColumn("status", F.when(F.col("_hit") & (F.col("status") == "CURRENT"), "SUPERSEDED").otherwise(F.col("status"))).drop("_hit")
+    new = found.withColumns({"run_id": F.lit(run_id).cast("long"), "status": F.lit("CURRENT"), "origin": F.lit("AUTOMATIC")})
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def run_resolution(store: Versioned, locations: DataFrame, ref: dict[str, DataFrame], schema: T.StructType, run_id: int) -> list[int]:
+    """Resolves the given locations and publishes the history by location in the store; parts of other locations are
+    neither read nor written, and a run that dies or is repeated leaves the same current set."""
+    found = resolve_locations(locations, ref)
+    keys = locations.select("location_id").distinct()
+    history = store.before(run_id, keys, schema).join(keys, "location_id", "left_semi")
+    return store.merge(keys, supersede(history, found, run_id).select(schema.fieldNames()), run_id)
+
+
+def runs_after_activation(runs: DataFrame, datasets: DataFrame, dataset_id: int, run_id: int) -> DataFrame:
+    """Resolution runs (run_id, dataset_id, scope, status, trigger_type) after a dataset becomes active: pending runs
+    of those that it supersedes are SUPERSEDED, and it has one pending run of its own scope, new if there was none."""
+    kind = datasets.where(F.col("dataset_id") == dataset_id).select(F.col("dataset_type").alias("_type"))
+    other = datasets.where((F.col("status") == "ACTIVE") & (F.col("dataset_id") != dataset_id)).join(kind, F.col("dataset_type") == F.col("_type"), "left_semi")
+    hit = other.select("dataset_id").distinct().withColumn("_hit", F.lit(True))
+    pending = F.col("status") == "PENDING"
+    old = runs.join(hit, "dataset_id", "left").withColumn("status", F.when(F.col("_hit") & pending, "SUPERSEDED").otherwise(F.col("status"))).select(runs.columns)
+    scope = f"dataset_{dataset_id}"
+    there = runs.where(pending & (F.col("dataset_id") == dataset_id) & (F.col("scope") == scope))
+    return old.unionByName(_proposal(datasets.where(F.col("dataset_id") == dataset_id).join(there.select("dataset_id"), "dataset_id", "left_anti"), run_id).select(runs.columns))
+
+
+def _proposal(datasets: DataFrame, first_id: int) -> DataFrame:
+    """A pending run for each of a few datasets."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("dataset_id"))
+    return datasets.select("dataset_id").distinct().select(
+        (F.lit(first_id) + place - 1).cast("long").alias("run_id"), "dataset_id", F.concat(F.lit("dataset_"), F.col("dataset_id").cast("string")).alias("scope"),
+        F.lit("PENDING").alias("status"), F.lit("DATASET_ACTIVATION").alias("trigger_type"),
+    )
+
+
+def runs_after_flip(runs: DataFrame, batches: DataFrame, batch_ids: DataFrame, active: bool, first_id: int = 0) -> DataFrame:
+    """Resolution runs after batches (import_batch_id, dataset_id, status) are rolled back (pending runs of their
+    datasets are CANCELLED) or restored (each dataset gets a new pending run). Only completed batches can be rolled back
+    and only rolled-back ones restored; others change nothing."""
+    can = batches.join(batch_ids.select("import_batch_id").distinct(), "import_batch_id", "left_semi").where(F.col("status") == ("ROLLED_BACK" if active else "COMPLETED"))
+    own = can.select("dataset_id").distinct()
+    if active:
+        return runs.unionByName(_proposal(own, first_id).select(runs.columns))
+    rows = runs.join(own.withColumn("_hit", F.lit(True)), "dataset_id", "left")
+    return rows.withColumn("status", F.when(F.col("_hit") & (F.col("status") == "PENDING"), "CANCELLED").otherwise(F.col("status"))).select(runs.columns)
+
+
 def resolution_counts(resolutions: DataFrame) -> DataFrame:
     """One row of counts of a run."""
     m = F.col("match_method")

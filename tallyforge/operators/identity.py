@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name
+from ..sources.scratch import forget, keep
 
 LEVELS = ["LOW", "MEDIUM", "HIGH"]
 EVIDENCE = ["suffix", "middle", "employer", "occupation"]
@@ -205,58 +207,106 @@ def effective_contributions(contributions: DataFrame, amendments: DataFrame) ->
     return contributions.join(gone.where("contribution_id is not null").distinct(), "contribution_id", "left_anti")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The table cut from its lineage: in the checkpoint folder, or in memory where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) less those that cannot be on a cycle, as their start has no edge in or their end none out."""
-    n, last = edges.count(), None
-    while n:
-        inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        inner = _kept(inner.select("u", "v"))
-        left = inner.count()
-        if last is not None:
-            last.unpersist()
-        edges, last = inner, inner
-        if left == n:
-            break
-        n = left
-    return edges
+def effective_of(contributions: DataFrame, amendments: DataFrame, assignments: DataFrame, batches: DataFrame, key: str) -> DataFrame:
+    """Effective contributions by key (cluster_id or entity_id, of the assignment): active assignments of completed
+    batches only, numbered in order of date and id."""
+    done = batches.where("status = 'COMPLETED'").select("import_batch_id")
+    own = assignments.where("is_active").select("contribution_id", key)
+    rows = effective_contributions(contributions.drop(key), amendments).join(own, "contribution_id").join(done, "import_batch_id", "left_semi")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("transaction_date", "contribution_id")))
 
 
 def _spread(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """nodes (node, value) with the largest value of all nodes that reach each along edges (u, v)."""
+    last = None
     while True:
         came = edges.join(nodes.select(F.col("node").alias("u"), value), "u").groupBy(F.col("v").alias("node")).agg(F.max(value).alias("_came"))
-        new = _kept(nodes.join(came, "node", "left").select("node", F.greatest(value, "_came").alias(value), (F.col("_came") > F.col(value)).alias("_moved")))
-        moved = bool(new.where("_moved").take(1))
-        nodes = new.select("node", value)
+        new = keep(nodes.join(came, "node", "left").select("node", F.greatest(value, "_came").alias(value), (F.col("_came") > F.col(value)).alias("_moved")), "spread")
+        if last is not None:
+            forget(last)
+        moved, last, nodes = bool(new.where("_moved").take(1)), new, new.select("node", value)
         if not moved:
             return nodes
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(node) of nodes that reach themselves along edges (u, v).
+def _straightened(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, chain, rings) of edges (u, v): chains of nodes with one edge in and one out become one edge each.
+
+    chain: (node, head, tail) of the nodes that go; rings: (node, group) of cycles that consist of such nodes alone. Ends
+    are found by pointer doubling, so that a chain of n takes log n rounds.
+    """
+    out = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("v").alias("fore"))
+    into = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("m"), F.min("u").alias("aft"))
+    inner = keep(out.where("n = 1").join(into.where("m = 1"), "node").select("node", "fore", "aft"), "inner")
+    ends = inner.select(F.col("node").alias("_x"))
+    # a pointer that has left the chain stays; `low` is the smallest node passed, which names a ring
+    far = lambda df, c, flag: df.join(ends.withColumnRenamed("_x", c), c, "left_semi").withColumn(flag, F.lit(True)).unionByName(df.join(ends.withColumnRenamed("_x", c), c, "left_anti").withColumn(flag, F.lit(False)))
+    table = keep(far(far(inner, "fore", "going"), "aft", "coming").withColumn("low", F.least("node", F.when(F.col("going"), F.col("fore")).otherwise(F.col("node")))), "pointers")
+    size, reach = inner.count(), 1
+    while reach <= size and table.where("going or coming").take(1):
+        ahead = table.select(F.col("node").alias("fore"), F.col("fore").alias("_fore"), F.col("going").alias("_going"), F.col("low").alias("_low"))
+        back = table.select(F.col("node").alias("aft"), F.col("aft").alias("_aft"), F.col("coming").alias("_coming"))
+        joined = table.join(ahead, "fore", "left").join(back, "aft", "left")
+        step = joined.select(
+            "node", F.coalesce("_fore", "fore").alias("fore"), F.coalesce("_aft", "aft").alias("aft"), F.coalesce("_going", F.lit(False)).alias("going"),
+            F.coalesce("_coming", F.lit(False)).alias("coming"), F.least("low", "_low").alias("low"),
+        )
+        new = keep(step, "pointers")
+        forget(table)
+        table, reach = new, 2 * reach
+    rings = table.where("going").select("node", F.col("low").alias("group"))
+    chain = table.where("not going").select("node", F.col("aft").alias("head"), F.col("fore").alias("tail"))
+    left = edges.join(ends.withColumnRenamed("_x", "u"), "u", "left_anti").join(ends.withColumnRenamed("_x", "v"), "v", "left_anti")
+    return keep(left.select("u", "v").union(chain.select("head", "tail")).distinct(), "edges"), keep(chain, "chain"), keep(rings, "rings")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges less those whose start has no edge in or whose end none out, once."""
+    inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    return keep(inner.select("u", "v"), "edges")
 
-    Round by round: each node takes the largest node that reaches it; nodes of one such color that also reach that node
-    are a cycle's; they and their edges go, and what may still be on a cycle is looked at again.
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(node, group) of nodes on a cycle of edges (u, v); two of them have the same group if each reaches the other.
+
+    Chains are straightened to single edges and loose ends cut off in turn, until nothing changes. What is left takes
+    colors round by round: each node that of the largest node that reaches it; those of one color that also reach that
+    node are a group. Then nodes of the chains get the group of both their ends, the last chains first.
     """
-    edges, found = _trimmed(edges), None
+    loose = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("group")).distinct()
+    edges, chains, found = keep(edges.where("u <> v").select("u", "v").distinct(), "edges"), [], []
+    while (n := edges.count()) > 0:
+        edges, chain, rings = _straightened(edges)
+        chains.append(chain)
+        found.append(rings)
+        loose = loose.union(edges.where("u = v").select("u", "u"))
+        edges = _trimmed(edges.where("u <> v"))
+        if edges.count() == n:
+            break
     while edges.take(1):
         nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
         color = _spread(nodes.withColumn("color", F.col("node")), edges, "color")
         own = edges.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")), "v").where("cu = cv")
         back = _spread(color.select("node", (F.col("node") == F.col("color")).cast("int").alias("root")), own.select(F.col("v").alias("u"), F.col("u").alias("v")), "root")
-        group = back.where("root = 1").join(color, "node")
-        sizes = group.groupBy("color").agg(F.count("*").alias("n")).where("n > 1")
-        hit = _kept(group.join(sizes, "color", "left_semi").select("node"))
-        found = hit if found is None else found.union(hit)
-        done = _kept(group.select("node"))
-        rest = edges.join(done.select(F.col("node").alias("u")), "u", "left_anti").join(done.select(F.col("node").alias("v")), "v", "left_anti")
-        edges = _trimmed(_kept(rest.select("u", "v")))
-    return edges.select(F.col("u").alias("node")) if found is None else found
+        group = keep(back.where("root = 1").join(color, "node").select("node", F.col("color").alias("group")), "groups")
+        sizes = group.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(group.join(sizes, "group", "left_semi").select("node", "group"))
+        done = group.select("node")
+        rest = edges.join(done.withColumnRenamed("node", "u"), "u", "left_anti").join(done.withColumnRenamed("node", "v"), "v", "left_anti")
+        edges = _trimmed(rest.select("u", "v"))
+    groups = reduce(DataFrame.union, found, edges.sparkSession.createDataFrame([], loose.schema))
+    # a node with an edge to itself is its own group, unless a larger cycle has it
+    groups = groups.union(loose.distinct().join(groups.select("node"), "node", "left_anti"))
+    for chain in reversed(chains):
+        at = lambda end: groups.select(F.col("node").alias(end), F.col("group").alias(f"_{end}"))
+        on = chain.join(at("head"), "head").join(at("tail"), "tail").where("_head = _tail").select("node", F.col("_head").alias("group"))
+        groups = keep(groups.union(on), "groups")
+    return groups
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(node) of nodes that reach themselves along edges (u, v)."""
+    return cycle_groups(edges).select("node")
 
 
 def validate_amendments(amendments: DataFrame) -> DataFrame:
@@ -275,6 +325,64 @@ def verification_drift(entities: DataFrame) -> DataFrame:
     return entities.where((F.col("verification_status") == "VERIFIED") & (blank("verification_method") | blank("verified_by")))
 
 
+def auto_verified(entities: DataFrame) -> DataFrame:
+    """Entities that are verified by either field, with method NONE or nobody who verified them."""
+    verified = F.col("is_verified") | (F.col("verification_status") == "VERIFIED")
+    return entities.where(verified & ((F.col("verification_method") == "NONE") | F.col("verified_by").isNull()))
+
+
+def drift_manifest(entities: DataFrame, clusters: DataFrame, assessments: DataFrame) -> DataFrame:
+    """What correcting each auto-verified entity would change, without names: its clusters (sorted ids), its current
+    assessment (of several the lowest id; none is UNKNOWN) and the fields before and as proposed."""
+    own = auto_verified(entities)
+    ids = clusters.join(own.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("cluster_ids"))
+    now = assessments.where("is_current").groupBy("entity_id").agg(F.min_by(F.struct("assessment_id", "calculated_status"), "assessment_id").alias("_a"))
+    said = {"proposed_verification_status": "UNVERIFIED", "proposed_verification_method": "NONE", "proposed_membership_authority": "PROVISIONAL", "reason_code": "INVALID_CLUSTER_CONFIDENCE_AUTOVERIFICATION"}
+    return own.join(ids, "entity_id", "left").join(now, "entity_id", "left").select(
+        "entity_id", "entity_type", F.col("is_verified").alias("previous_is_verified"), F.col("verification_status").alias("previous_verification_status"),
+        F.col("verification_method").alias("previous_verification_method"), F.coalesce("cluster_ids", F.array().cast(ids.schema["cluster_ids"].dataType)).alias("cluster_ids"),
+        F.col("_a.assessment_id").alias("current_assessment_id"), F.coalesce("_a.calculated_status", F.lit("UNKNOWN")).alias("current_assessment_status"), *[F.lit(v).alias(k) for k, v in said.items()],
+    )
+
+
+def _told(row: str, fields: list[str]) -> Column:
+    """A struct's fields as one text; null is told apart from empty."""
+    return F.concat_ws("|", *[F.concat(F.lit(f"{f}="), F.coalesce(F.concat(F.lit("'"), F.col(f"{row}.{f}").cast("string"), F.lit("'")), F.lit("null"))) for f in fields])
+
+
+def change_records(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, before, after, changed_fields, checksum) of rows that differ in some field; both sides have each key at
+    most once. before and after are structs of the fields; the checksum is over key and both texts."""
+    rows = before.select(key, F.struct(*fields).alias("before")).join(after.select(key, F.struct(*fields).alias("after")), key)
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}")), F.lit(f)) for f in fields]))
+    text = F.concat_ws("||", F.col(key).cast("string"), _told("before", fields), _told("after", fields))
+    return rows.withColumn("changed_fields", changed).where(F.size("changed_fields") > 0).withColumn("checksum", F.sha2(text, 256))
+
+
+def inverted(records: DataFrame, key: str) -> DataFrame:
+    """Records that undo the given ones."""
+    fields = records.schema["before"].dataType.fieldNames()
+    text = F.concat_ws("||", F.col(key).cast("string"), _told("before", fields), _told("after", fields))
+    return records.select(key, F.col("after").alias("before"), F.col("before").alias("after"), "changed_fields").withColumn("checksum", F.sha2(text, 256))
+
+
+def apply_changes(table: DataFrame, records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(table with the records applied, records turned down with a reason).
+
+    A record counts only if its checksum fits (else CHECKSUM), its row is there (else MISSING) and has the values from
+    before (else MOVED_ON). Applying records and then their inverse leaves the table as it was."""
+    fields = records.schema["before"].dataType.fieldNames()
+    text = F.concat_ws("||", F.col(key).cast("string"), _told("before", fields), _told("after", fields))
+    now = table.select(key, F.struct(*fields).alias("_now"), F.lit(True).alias("_there"))
+    same = reduce(lambda a, b: a & b, [F.col(f"_now.{f}").eqNullSafe(F.col(f"before.{f}")) for f in fields])
+    reason = F.when(F.sha2(text, 256) != F.col("checksum"), "CHECKSUM").when(F.col("_there").isNull(), "MISSING").when(~same, "MOVED_ON")
+    judged = records.join(now, key, "left").withColumn("reason", reason)
+    good = judged.where("reason is null").select(key, F.col("after").alias("_to"), F.lit(True).alias("_hit"))
+    rows = table.join(good, key, "left")
+    out = rows.withColumns({f: F.when(F.col("_hit"), F.col(f"_to.{f}")).otherwise(F.col(f)) for f in fields}).select(table.columns)
+    return out, judged.where("reason is not null").select(*records.columns, "reason")
+
+
 def apply_unverification(entities: DataFrame, ids: DataFrame) -> DataFrame:
     """Entities with the given ones reset."""
     rows = entities.join(ids.select("entity_id").distinct().withColumn("_hit", F.lit(True)), "entity_id", "left")

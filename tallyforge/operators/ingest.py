@@ -170,9 +170,46 @@ def reconcile_batch(rows: DataFrame) -> DataFrame:
     )
 
 
-def block_duplicate_files(files: DataFrame, batches: DataFrame) -> DataFrame:
-    """Files (path, file_hash) whose hash no completed batch has."""
-    return files.join(batches.where("status = 'COMPLETED'").select("file_hash").distinct(), "file_hash", "left_anti")
+def block_duplicate_files(files: DataFrame, batches: DataFrame, override: bool = False) -> DataFrame:
+    """Files (path, file_hash) that may be imported: whose hash no completed batch has, or with an override all of
+    them, with the batch (the lowest, reprocess_batch_id) that such a file takes the place of."""
+    done = batches.where("status = 'COMPLETED'").groupBy("file_hash").agg(F.min("import_batch_id").alias("reprocess_batch_id"))
+    return files.join(done, "file_hash", "left") if override else files.join(done, "file_hash", "left_anti")
+
+
+def file_attempts(files: DataFrame, batches: DataFrame, override: bool = False) -> DataFrame:
+    """(import_batch_id, action, notes) of the attempts to import a file that a completed batch has."""
+    known = block_duplicate_files(files, batches, True).where("reprocess_batch_id is not null")
+    if override:
+        return known.select(F.col("reprocess_batch_id").alias("import_batch_id"), F.lit("REPROCESS_START").alias("action"), F.format_string("Reprocessing of batch %s initiated.", F.col("reprocess_batch_id").cast("string")).alias("notes"))
+    said = F.format_string("Attempted to import duplicate file hash '%s' without authorization override.", F.col("file_hash"))
+    return known.select(F.col("reprocess_batch_id").alias("import_batch_id"), F.lit("REPROCESS_FAILED").alias("action"), said.alias("notes"))
+
+
+def reset_batches(statuses: DataFrame, batch_ids: DataFrame) -> DataFrame:
+    """Rows of the batches are unprocessed again."""
+    hit = batch_ids.select("import_batch_id").distinct().withColumn("_hit", F.lit(True))
+    new = {"validation_status": "UNPROCESSED", "validation_message": ""}
+    return statuses.join(hit, "import_batch_id", "left").withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in new.items()}).select(statuses.columns)
+
+
+def reprocess_batches(parsed: DataFrame, statuses: DataFrame, batches: DataFrame, batch_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(statuses, contributions of the batches) after the batches are evaluated again.
+
+    parsed: all rows of parse_rows() with row_hash; statuses: (import_batch_id, row_number, validation_status,
+    validation_message) as stored. The batches are pending meanwhile, so that they are no history to themselves; the
+    history is what other completed batches have. Only rows of the batches are evaluated; several are evaluated at once,
+    each against the others that stay.
+    """
+    ids = batch_ids.select("import_batch_id").distinct()
+    done = batches.where("status = 'COMPLETED'").select("import_batch_id").join(ids, "import_batch_id", "left_anti")
+    stored = parsed.join(statuses.select("import_batch_id", "row_number", "validation_status"), ["import_batch_id", "row_number"]).join(done, "import_batch_id", "left_semi")
+    hashes = stored.where("validation_status = 'ACCEPTED'").select("row_hash", "import_batch_id")
+    history = stored.where(F.col("validation_status").isin(IMPORTED)).select("txn", "amount", "transaction_date", "normalized_name", "zip")
+    fresh = parsed.join(ids, "import_batch_id", "left_semi")
+    again = flag_duplicates(flag_exact_duplicates(validate_rows(fresh), hashes), history)
+    kept = statuses.join(ids, "import_batch_id", "left_anti")
+    return kept.unionByName(again.select(statuses.columns)), contributions(again)
 
 
 def flip_batches(assignments: DataFrame, batch_ids: DataFrame, active: bool) -> tuple[DataFrame, DataFrame]:
@@ -202,3 +239,61 @@ def purge_entities(assignments: DataFrame, batch_ids: DataFrame, clusters: DataF
     manual = assessments.where("manual_override").select("entity_id")
     verified = entities.where("verification_status = 'VERIFIED'").select("entity_id")
     return entities.select("entity_id").join(owners, "entity_id", "left_semi").join(stay.union(manual).union(verified).distinct(), "entity_id", "left_anti")
+
+
+def purge_cascade(
+    batch_ids: DataFrame, contributions: DataFrame, assignments: DataFrame, clusters: DataFrame, merges: DataFrame, matches: DataFrame, entities: DataFrame, assessments: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(what goes and why the rest stays) of a purge: clusters and entities that the batches touch.
+
+    Clusters: (cluster_id, surviving, merged, matched, orphaned): a cluster goes if no assignment of another batch, no
+    merge and no match names it. Entities: (entity_id, remaining, manual, verified, orphaned): one goes if none of its
+    clusters (cluster_id, entity_id) remains and it has neither a manual assessment nor a verification. Deletion and
+    preview both read these two tables, so that they cannot differ; contributions and raw rows go by their batch.
+    """
+    ids = batch_ids.select("import_batch_id").distinct()
+    own = assignments.join(ids.withColumn("_gone", F.lit(True)), "import_batch_id", "left")
+    per = own.groupBy("cluster_id").agg(F.count("_gone").alias("_going"), F.count_if(F.col("_gone").isNull()).alias("surviving")).where("_going > 0")
+    merged = merges.select(F.col("source_cluster_id").alias("cluster_id")).union(merges.select("target_cluster_id")).distinct().withColumn("merged", F.lit(True))
+    matched = matches.select("cluster_id").distinct().withColumn("matched", F.lit(True))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    touched = per.join(merged, "cluster_id", "left").join(matched, "cluster_id", "left").select("cluster_id", "surviving", no("merged").alias("merged"), no("matched").alias("matched"))
+    touched = touched.withColumn("orphaned", (F.col("surviving") == 0) & ~F.col("merged") & ~F.col("matched"))
+    held = clusters.select("cluster_id", "entity_id").join(touched.select("cluster_id", "orphaned"), "cluster_id", "left")
+    owned = held.groupBy("entity_id").agg(F.count("orphaned").alias("_touched"), F.count_if(~no("orphaned")).alias("remaining")).where("_touched > 0 and entity_id is not null")
+    manual = assessments.where("manual_override").select("entity_id").distinct().withColumn("manual", F.lit(True))
+    verified = entities.select("entity_id", (F.col("verification_status") == "VERIFIED").alias("verified"))
+    rows = owned.join(verified, "entity_id").join(manual, "entity_id", "left").select("entity_id", "remaining", no("manual").alias("manual"), no("verified").alias("verified"))
+    return touched, rows.withColumn("orphaned", (F.col("remaining") == 0) & ~F.col("manual") & ~F.col("verified"))
+
+
+def purge_preview(batch_ids: DataFrame, rows: DataFrame, contributions: DataFrame, touched: DataFrame, owners: DataFrame) -> DataFrame:
+    """(item, n) of a purge, from the tables of purge_cascade()."""
+    ids = batch_ids.select("import_batch_id").distinct()
+    count = lambda df, **items: df.agg(*[F.struct(F.lit(k).alias("item"), v.alias("n")).alias(k) for k, v in items.items()]).select(F.inline(F.array(*items)))
+    inside = lambda df: df.join(ids, "import_batch_id", "left_semi")
+    yes = F.count_if
+    return (
+        count(inside(rows), raw_rows=F.count("*"))
+        .unionByName(count(inside(contributions), contributions=F.count("*")))
+        .unionByName(
+            count(
+                touched, orphaned_clusters=yes(F.col("orphaned")), preserved_clusters=yes(~F.col("orphaned")), clusters_with_surviving_contributions=yes(F.col("surviving") > 0),
+                clusters_with_merges=yes(F.col("merged")), clusters_with_matches=yes(F.col("matched")),
+            )
+        )
+        .unionByName(count(owners, orphaned_entities=yes(F.col("orphaned")), preserved_entities=yes(~F.col("orphaned"))))
+    )
+
+
+def purge(tables: dict[str, DataFrame], batch_ids: DataFrame, touched: DataFrame, owners: DataFrame) -> dict[str, DataFrame]:
+    """Tables without what goes: rows by import_batch_id, else by cluster_id, else by entity_id, as each has them."""
+    ids = batch_ids.select("import_batch_id").distinct()
+    gone = {"cluster_id": touched.where("orphaned").select("cluster_id"), "entity_id": owners.where("orphaned").select("entity_id")}
+    out = {}
+    for name, df in tables.items():
+        left = df.join(ids, "import_batch_id", "left_anti") if "import_batch_id" in df.columns else df
+        for key, keys in gone.items():
+            left = left.join(keys, key, "left_anti") if key in df.columns else left
+        out[name] = left
+    return out

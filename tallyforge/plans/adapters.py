@@ -82,7 +82,7 @@ VIEWS: dict[str, str] = {
         from {nation} cross join (select cast(r_regionkey + 1 as bigint) as chapter_id from {region} where r_regionkey < 3) as ch where (n_nationkey + chapter_id) % 2 = 0""",
     "overrides": """
         select chapter_id, cast(c_custkey as bigint) as entity_id, case when c_custkey % 2 = 0 then 'INCLUDE' else 'EXCLUDE' end as override_type, 'ACTIVE' as status,
-               cast(case when c_custkey % 4 = 0 then '2000-01-01' else '2030-01-01' end as date) as expiration_date
+               cast(case when c_custkey % 4 = 0 then '2000-01-01' else '2030-01-01' end as date) as expiration_date, 'asked ' || cast(c_custkey as string) as reason
         from {customer} cross join (select cast(r_regionkey + 1 as bigint) as chapter_id from {region} where r_regionkey < 3) as ch where c_custkey % 37 = chapter_id""",
     "assessments": """
         select o_orderkey as assessment_id, o_custkey as entity_id, cast(o_orderdate as date) as calculation_date,
