@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import drop, save, slices, table
 
-#: Entries of a tile, queries of a block, and distances that a task holds at once.
-_TILE, _BLOCK, _HELD = 1 << 16, 1 << 17, 1 << 22
+#: Entries of a tile at least and at most, queries of a block, and distances that a task holds at once. A tile tells
+#: k rows of each query, so that tiles of a few entries would tell more than they hold.
+_LEAST, _TILE, _BLOCK, _HELD = 1 << 11, 1 << 16, 1 << 17, 1 << 22
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -230,7 +231,7 @@ def nearest(
     cells = save(classes.mapInArrow(_assigned(books), f"vec {kind}, ids array<long>, cls long, cell int"), "cells")
     counts = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # words * words at most
     total, parts = sum(counts.values()), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    plan = Tiles(counts, words * words, max(1, min(_TILE, -(-total // parts))))
+    plan = Tiles(counts, words * words, min(_TILE, max(_LEAST, -(-total // parts))))
     tiles = spark.sparkContext.broadcast(plan)
     known = spark.createDataFrame([(c, int(plan.first[c]), int(plan.splits[c])) for c in counts], "cell int, first int, splits int")
     index = cells.join(F.broadcast(known), "cell").select("vec", "ids", "cls", "cell", (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("splits"))).cast("int").alias("tile"))

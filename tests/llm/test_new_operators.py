@@ -147,6 +147,7 @@ def test_nearest(spark, monkeypatch):
     want = neighbours(rows, 10)
     # with all candidates looked at the result is exact, whatever the sizes of tiles and blocks
     assert found(table, words=4, recall=1.0, probes=1000) == want
+    monkeypatch.setattr(inverted_multi_index, "_LEAST", 1)
     monkeypatch.setattr(inverted_multi_index, "_TILE", 20)
     monkeypatch.setattr(inverted_multi_index, "_BLOCK", 5)
     monkeypatch.setattr(inverted_multi_index, "_HELD", 50)
