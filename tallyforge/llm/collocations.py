@@ -192,33 +192,52 @@ def _counted(held, step: int, shards: int, longest: int):
     return run
 
 
+def _by_hash(df: DataFrame, parts: int) -> DataFrame:
+    """Writes df in buckets of its hash, so that later joins on it need not shuffle it again."""
+    spark, name = df.sparkSession, f"phrases_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallyforge/{name}"
+    df.write.format("parquet").bucketBy(parts, "h").sortBy("h").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.saved_at, out.name = path, name
+    return out
+
+
+def _forgotten(df: DataFrame) -> None:
+    df.sparkSession.sql(f"drop table if exists {df.name}")
+    drop(df)
+
+
 def count_phrases(tokens: list[DataFrame], minimum: int, longest: int = LONGEST, slots: int = 1 << 22) -> tuple[DataFrame, Reached]:
     """Exact counts (h, k, a) of all phrases of up to `longest` words with at least `minimum` occurrences.
 
     tokens: one table for each shard. The tables of reached phrases hold `slots` (a power of two) entries of two bytes
-    whatever the input is; with more phrases than slots more is counted than need be, with the same result.
+    whatever the input is; with more phrases than slots more is counted than need be, with the same result. The state
+    lies in buckets of the phrases' hashes: only what a scan has counted is shuffled.
     """
     shards = len(tokens)
     spark = tokens[0].sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     held, state, step, latest = Reached(slots), None, 0, -1
     counts = [f"c{j}" for j in range(shards)]
+    none, zero = F.lit(None).cast("int"), F.lit(0).cast("long")
     while step < shards or step <= latest + shards:
         shared = spark.sparkContext.broadcast(held) if step else None  # two bytes a slot
-        found = tokens[step % shards].mapInArrow(_counted(shared, step, shards, longest), "h long, k int, e int, n long")
-        rows = found.select("h", "k", "e", F.lit(None).cast("int").alias("t"), *[F.lit(0).cast("long").alias(c) for c in counts], "n")
-        if state is not None:
-            rows = rows.union(state.withColumn("n", F.lit(0).cast("long")))
-        merged = rows.groupBy("h").agg(
-            F.max("k").alias("k"), F.max("e").alias("e"), F.min("t").alias("t"), *[F.max(c).alias(c) for c in counts], F.sum("n").alias("n")
-        )
-        # the shard just scanned: its count is the same in every scan, or not known yet
-        merged = merged.withColumn(counts[step % shards], F.greatest(counts[step % shards], "n")).drop("n")
-        total = sum((F.col(c) for c in counts), F.lit(0).cast("long"))
+        now = counts[step % shards]
+        scanned = tokens[step % shards].mapInArrow(_counted(shared, step, shards, longest), "h long, k int, e int, n long")
+        found = scanned.groupBy("h").agg(F.max("k").alias("_k"), F.max("e").alias("_e"), F.sum("n").alias("_n"))
+        if state is None:
+            merged = found.select("h", F.col("_k").alias("k"), F.col("_e").alias("e"), none.alias("t"), *[(F.col("_n") if c == now else zero).alias(c) for c in counts])
+        else:
+            both = state.join(found, "h", "full_outer")
+            # the shard just scanned: its count is the same in every scan, or not known yet
+            seen = {c: F.coalesce(F.greatest(c, "_n") if c == now else F.col(c), zero) for c in counts}
+            merged = both.select("h", F.coalesce("k", "_k").alias("k"), F.greatest("e", "_e").alias("e"), "t", *[v.alias(c) for c, v in seen.items()])
+        total = sum((F.col(c) for c in counts), zero)
         merged = merged.withColumn("t", F.coalesce("t", F.when(total >= minimum, F.lit(step))))
         # a phrase that has not reached the threshold at the end of its cycle never will
-        kept = save(merged.where(F.col("t").isNotNull() | (F.col("e") > step)), "phrases")
+        kept = _by_hash(merged.where(F.col("t").isNotNull() | (F.col("e") > step)), parts)
         if state is not None:
-            drop(state)
+            _forgotten(state)
         state = kept
         release(spark)
         new = state.where(F.col("t") == step).select(F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).distinct().toArrow()  # at most `slots` rows
@@ -228,14 +247,17 @@ def count_phrases(tokens: list[DataFrame], minimum: int, longest: int = LONGEST,
         if shared is not None:
             shared.destroy()
         step += 1
-    return state.where(F.col("t").isNotNull()).select("h", "k", sum((F.col(c) for c in counts), F.lit(0).cast("long")).alias("a")), held
+    reached = save(state.where(F.col("t").isNotNull()).select("h", "k", sum((F.col(c) for c in counts), zero).alias("a")), "counted")
+    _forgotten(state)
+    return reached, held
 
 
 def _spelled(held, longest: int):
-    """(lang, text) -> each phrase of known words once a batch: hash, language, text and hashes of its contiguous parts."""
+    """(lang, text) -> each known phrase once a task: hash, language, text and hashes of its contiguous parts."""
 
     def run(batches):
         tables = held.value
+        told = np.zeros(0, dtype=np.uint64)
         for (langs,), texts in _groups(batches, ("lang",)):
             joined, starts, ends, words, new, firsts = _words(texts, langs)
             if not len(words):
@@ -248,9 +270,13 @@ def _spelled(held, longest: int):
             for k, places, hashes, _, _ in _active(spread, tables, longest):
                 known = tables.known(hashes)
                 unique, one = np.unique(hashes[known], return_index=True)
+                fresh = ~np.isin(unique, told, kind="sort")
+                unique, one = unique[fresh], one[fresh]
                 first = word_at[places[known][one]]
                 if not len(first):
                     continue
+                # of what was told the task keeps as many as there are slots; what it forgets it tells again
+                told = np.concatenate([told, unique]) if len(told) <= len(tables.first) else unique
                 text_of = np.searchsorted(firsts, first, side="right") - 1
                 parts = {}
                 for i in range(k):
@@ -294,11 +320,10 @@ def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: in
     scanned.saved_at = path
     totals = save(scanned.groupBy("lang").agg(F.sum("words").alias("n")), "words")
     counts, held = count_phrases([scanned.where(F.col("shard") == j).select("tokens") for j in range(shards)], minimum, longest, slots)
-    counts = save(counts, "counted")
     drop(scanned)
     shared = spark.sparkContext.broadcast(held)
     kinds = "h long, lang string, phrase string, k int, starts array<int>, lengths array<int>, hashes array<long>"
-    # a batch tells each phrase once, so rows of one phrase are few
+    # a task tells each phrase once, so rows of one phrase are few
     spelled = given.mapInArrow(_spelled(shared, longest), kinds).groupBy("h").agg(*[F.first(c).alias(c) for c in ("lang", "phrase", "k", "starts", "lengths", "hashes")])
     found = save(spelled.join(counts.select("h", "a"), "h"), "candidates")
     parts = found.select("h", "k", "a", F.posexplode(F.arrays_zip("starts", "lengths", "hashes")).alias("i", "part")).select(
