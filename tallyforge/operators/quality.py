@@ -2,53 +2,147 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def unique(name: str, rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur more than once."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("check"), F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("key"), "n")
+@dataclass(frozen=True)
+class Unique:
+    """No two rows of those that fit `where` have the same keys; a null key is like no other."""
 
+    name: str
+    keys: tuple[str, ...]
+    where: str = "true"
 
-def holds(name: str, rows: DataFrame, key: str, condition: Column) -> DataFrame:
-    """Rows that break a condition; null counts as kept."""
-    return rows.where(~condition).select(F.lit(name).alias("check"), F.col(key).cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
+
+@dataclass(frozen=True)
+class Check:
+    """Each row, named by key, fits a condition; one that is null counts as kept."""
+
+    name: str
+    key: str
+    holds: str
+
+
+_ONE_TARGET = "int(county_id is not null) + int(place_id is not null) + int(postal_id is not null) = 1"
+_ONLY = {"COUNTY": "county_id", "PLACE": "place_id", "POSTAL_AREA": "postal_id"}
+
+#: Q1: what each table keeps.
+CONSTRAINTS: dict[str, list[Unique | Check]] = {
+    "batches": [Unique("one completed batch for a file", ("file_hash",), "status = 'COMPLETED'")],
+    "raw_rows": [Unique("one row for a place in a batch", ("import_batch_id", "row_number"))],
+    "entities": [
+        Check("unverified has no method", "entity_id", "verification_status <> 'UNVERIFIED' or coalesce(verification_method, 'NONE') = 'NONE'"),
+        Check("verified has a method", "entity_id", "verification_status <> 'VERIFIED' or coalesce(verification_method, 'NONE') <> 'NONE'"),
+        Check("verified has a time", "entity_id", "verification_status <> 'VERIFIED' or verified_at is not null"),
+        Check("admin review has an actor", "entity_id", "verification_method <> 'ADMIN_REVIEW' or verified_by is not null"),
+        Check("is_verified is in step", "entity_id", "(is_verified and verification_status = 'VERIFIED') or (not is_verified and verification_status = 'UNVERIFIED')"),
+    ],
+    "assignments": [Unique("one active assignment", ("contribution_id",), "is_active")],
+    "assessments": [Unique("one current assessment", ("entity_id",), "is_current")],
+    "patterns": [Unique("one pattern for a cluster", ("cluster_id",))],
+    "amendments": [
+        Check("amendment is not of itself", "amendment_id", "original_contribution_id <> replacement_contribution_id"),
+        Unique("one amendment for a pair", ("original_contribution_id", "replacement_contribution_id")),
+    ],
+    "geography_files": [Unique("one batch for a geography file", ("file_hash",))],
+    "identifiers": [Check("identifier has one target", "identifier_id", _ONE_TARGET)],
+    "aliases": [Check("alias has one target", "alias_id", _ONE_TARGET)],
+    **{
+        name: [Unique(f"one active {name[:-1]}", (*keys, "dataset_id"), "is_active"), Check(f"weight of a {name[:-1]} is a share", "association_id", "weight is null or weight between 0 and 1")]
+        for name, keys in {"place_counties": ("place_id", "county_id"), "postal_counties": ("postal_id", "county_id"), "postal_places": ("postal_id", "place_id")}.items()
+    },
+    "resolution_runs": [Unique("one pending run for a scope", ("dataset_id", "scope"), "status = 'PENDING'")],
+    "resolutions": [Unique("one current resolution", ("location_id",), "status = 'CURRENT'")],
+    "rule_sets": [Unique("one rule set for a version", ("chapter_id", "version")), Unique("one active rule set", ("chapter_id",), "status = 'ACTIVE'")],
+    "rules": [
+        Check("rule has one target", "rule_id", _ONE_TARGET),
+        *[Check(f"{kind} rule has that target", "rule_id", f"target_type <> '{kind}' or ({column} is not null and {_ONE_TARGET})") for kind, column in _ONLY.items()],
+        *[Unique(f"one active {kind} rule", ("rule_set_id", "effect", column), f"is_active and target_type = '{kind}'") for kind, column in _ONLY.items()],
+    ],
+    "overrides": [
+        Check("override ends after its start", "override_id", "expiration_date is null or expiration_date >= effective_date"),
+        Unique("one active override", ("chapter_id", "entity_id"), "status = 'ACTIVE'"),
+    ],
+    "results": [Unique("one result for a run", ("run_id", "entity_id"))],
+    "chapter_assignments": [Unique("one assignment for a run", ("run_id", "entity_id"))],
+}
+
+
+def violations_of(rows: DataFrame, constraints: Sequence[Unique | Check]) -> DataFrame:
+    """Q1: (check, key, n) of all constraints of a table, from one scan and one aggregation.
+
+    Each row says which keys it claims and which checks it breaks; a key that is claimed more than once is a violation.
+    Rows without a claim or a break are not shuffled, and equal claims are added up before the shuffle.
+    """
+    told = []
+    for c in constraints:
+        if isinstance(c, Unique):
+            known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in c.keys])
+            told.append(F.when(known & F.expr(c.where), F.struct(F.lit(c.name).alias("check"), F.concat_ws(":", *[F.col(k).cast("string") for k in c.keys]).alias("key"), F.lit(False).alias("broken"))))
+        else:
+            told.append(F.when(~F.expr(c.holds), F.struct(F.lit(c.name).alias("check"), F.col(c.key).cast("string").alias("key"), F.lit(True).alias("broken"))))
+    counts = rows.select(F.explode(F.array_compact(F.array(*told))).alias("x")).groupBy("x.check", "x.key").agg(F.count("*").alias("n"), F.max("x.broken").alias("_b"))
+    return counts.where("_b or n > 1").select("check", "key", "n")
+
+
+def check_invariants(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Q1: the constraints of the data model, for the tables that are given."""
+    return reduce(DataFrame.unionByName, [violations_of(df, CONSTRAINTS[name]) for name, df in tables.items()])
 
 
 def references(name: str, rows: DataFrame, column: str, target: DataFrame, key: str) -> DataFrame:
-    """Q2: values of a column without a row in the target."""
-    missing = rows.where(F.col(column).isNotNull()).join(target.select(F.col(key).alias(column)).distinct(), column, "left_anti")
-    return missing.groupBy(column).agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), F.col(column).cast("string").alias("key"), "n")
+    """Q2: values of a column without a row in the target. Equal values are counted before they meet the target."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    missing = counts.join(target.select(F.col(key).alias(column)).distinct(), column, "left_anti")
+    return missing.select(F.lit(name).alias("check"), F.col(column).cast("string").alias("key"), "n")
 
 
 def violations(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def check_invariants(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Q1: the constraints of the data model, for the tables that are given."""
-    t, out = tables, []
-    if "assignments" in t:
-        out.append(unique("one active assignment", t["assignments"].where("is_active"), "contribution_id"))
-    if "assessments" in t:
-        out.append(unique("one current assessment", t["assessments"].where("is_current"), "entity_id"))
-    if "resolutions" in t:
-        out.append(unique("one current resolution", t["resolutions"].where("status = 'CURRENT'"), "location_id"))
-    if "batches" in t:
-        out.append(unique("one completed batch for a file", t["batches"].where("status = 'COMPLETED'"), "file_hash"))
-    if "associations" in t:
-        out.append(holds("weight is a share", t["associations"], "association_id", F.col("weight").between(0, 1)))
-    if "entities" in t:
-        verified = F.col("verification_status") == "VERIFIED"
-        out.append(holds("verified has a method", t["entities"], "entity_id", ~verified | F.col("verification_method").isNotNull()))
-    if "amendments" in t:
-        out.append(holds("amendment is not of itself", t["amendments"], "amendment_id", F.col("original_contribution_id") != F.col("replacement_contribution_id")))
-        out.append(unique("one amendment for a pair", t["amendments"], "original_contribution_id", "replacement_contribution_id"))
-    if "overrides" in t:
-        out.append(unique("one active override", t["overrides"].where("status = 'ACTIVE'"), "chapter_id", "entity_id"))
-        out.append(holds("override ends after its start", t["overrides"], "override_id", F.col("expiration_date") >= F.col("effective_date")))
-    return violations(*out)
+@dataclass(frozen=True)
+class Hop:
+    """A step of a chain: the column that the rows have so far, the table, its key, and columns to go on with."""
+
+    name: str
+    column: str
+    table: DataFrame
+    key: str
+    carry: Sequence[str] = field(default_factory=tuple)
+
+
+def trace(chain: str, rows: DataFrame, hops: Sequence[Hop]) -> DataFrame:
+    """Q2: (chain, place, hop, reached, missing) of a chain of references that starts at rows.
+
+    A row is missing at the first hop whose table lacks its key (or where it has none), and is not followed further. A
+    table with several rows of a key goes on with the smallest of what it carries, so that no row is counted twice. Rows
+    are folded to their different keys first: from then on a key that a third of all rows have is one row.
+    """
+    first = hops[0].column
+    now = rows.groupBy(F.col(first).alias("_k0")).agg(F.count("*").alias("_n"))
+    for i, hop in enumerate(hops):
+        rest = [c for c in hop.carry]
+        one = hop.table.where(F.col(hop.key).isNotNull()).groupBy(F.col(hop.key).alias(f"_k{i}")).agg(
+            F.lit(True).alias(f"_there{i}"), *([F.min(F.struct(*rest)).alias("_c")] if rest else [])
+        )
+        now = now.join(one, f"_k{i}", "left")
+        there = F.coalesce(f"_there{i}", F.lit(False))
+        flag = there if i == 0 else there & F.col(f"_ok{i - 1}")
+        now = now.withColumn(f"_ok{i}", flag)
+        keep = [c for c in now.columns if c.startswith("_ok")]
+        nxt = [F.col(f"_c.{hops[i + 1].column}").alias(f"_k{i + 1}")] if i + 1 < len(hops) else []
+        # what is left of a row is its next key and how far it came
+        now = now.groupBy(*keep, *nxt).agg(F.sum("_n").alias("_n"))
+    told = []
+    for i, hop in enumerate(hops):
+        came = F.col(f"_ok{i - 1}") if i else F.lit(True)
+        told.append((F.lit(i + 1).alias("place"), F.lit(hop.name).alias("hop"), F.sum(F.when(F.col(f"_ok{i}"), F.col("_n")).otherwise(0)).alias("reached"), F.sum(F.when(came & ~F.col(f"_ok{i}"), F.col("_n")).otherwise(0)).alias("missing")))
+    one = now.agg(F.array(*[F.struct(*t) for t in told]).alias("_x"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return one.select(F.inline("_x")).select(F.lit(chain).alias("chain"), "place", "hop", zero("reached"), zero("missing"))

@@ -25,7 +25,7 @@ VIEWS: dict[str, str] = {
                case when c_custkey % 33 = 1 then '' else 'staff' end as verified_by,
                case c_custkey % 4 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence_level,
                case when c_custkey % 10 > 1 then 'Ann' || cast(c_custkey % 101 as string) end as first_name, case when c_custkey % 10 > 1 then 'Lee' || cast(c_custkey % 203 as string) end as last_name,
-               (c_custkey % 3 <> 0) <> (c_custkey % 29 = 3) as is_verified
+               (c_custkey % 3 <> 0) <> (c_custkey % 29 = 3) as is_verified, case when c_custkey % 27 <> 5 then '2001-01-01' end as verified_at
         from {customer}""",
     "batches": """
         select import_batch_id, case when import_batch_id = 9 then 'ROLLED_BACK' else 'COMPLETED' end as status, 'h' || cast(import_batch_id % 8 as string) as file_hash,
@@ -141,6 +141,44 @@ VIEWS: dict[str, str] = {
                case when o_custkey % 10 > 1 then 'Monthly' when o_orderkey % 3 = 0 then 'None' when o_orderkey % 3 = 1 then '' end as payment_interval,
                case o_orderkey % 6 when 0 then null when 1 then cast(3 as bigint) else cast(o_orderkey % 25 as bigint) end as rule_version_id
         from {orders}""",
+    "payments_left": """
+        select o_orderkey as contribution_id, o_custkey as entity_id, o_custkey as cluster_id, cast(o_orderdate as date) as transaction_date,
+               cast(o_totalprice as decimal(12,2)) as amount, o_orderkey % 10 as import_batch_id,
+               case when o_orderstatus = 'P' and o_orderkey % 5 = 0 then 'REFUND' when o_orderstatus = 'P' and o_orderkey % 7 = 0 then 'ADJUSTMENT'
+                    else 'CONTRIBUTION' end as transaction_type
+        from {orders} where o_orderkey % 10 not in (2, 5)""",
+    "targets": """
+        select c_custkey as identifier_id, c_custkey as alias_id, case when c_custkey % 3 = 0 or c_custkey % 31 = 5 then 1 end as county_id, case when c_custkey % 3 = 1 then 2 end as place_id,
+               case when c_custkey % 3 = 2 and c_custkey % 37 <> 0 then 3 end as postal_id
+        from {customer}""",
+    "weighted": """
+        select c_custkey as association_id, c_nationkey as place_id, c_custkey % 7 as county_id, c_custkey % 11 as postal_id, c_custkey % 90 as dataset_id, c_custkey % 4 <> 0 as is_active,
+               case when c_custkey % 19 <> 0 then (c_custkey % 110) / 100.0 end as weight, 'f' || cast(c_custkey % 1400 as string) as file_hash
+        from {customer}""",
+    "geo_runs": """
+        select cast(c_custkey as bigint) as run_id, cast(c_custkey % 40 as bigint) as dataset_id, 'dataset_' || cast(c_custkey % 40 as string) as scope,
+               case c_custkey % 13 when 0 then 'PENDING' when 1 then 'FAILED' else 'COMPLETED' end as status, 'DATASET_ACTIVATION' as trigger_type
+        from {customer}""",
+    "geo_batches": """
+        select cast(n_nationkey as bigint) as import_batch_id, cast(n_nationkey % 11 as bigint) as dataset_id, case n_nationkey % 3 when 0 then 'ROLLED_BACK' else 'COMPLETED' end as status from {nation}""",
+    "rule_sets": """
+        select c_custkey as rule_set_id, c_custkey % 700 as chapter_id, c_custkey % 4 as version, case c_custkey % 5 when 0 then 'ACTIVE' else 'DRAFT' end as status from {customer}""",
+    "chapter_rules": """
+        select c_custkey as rule_id, c_custkey % 150 as rule_set_id, case when c_custkey % 6 = 0 then 'EXCLUDE' else 'INCLUDE' end as effect,
+               case c_custkey % 3 when 0 then 'COUNTY' when 1 then 'PLACE' else 'POSTAL_AREA' end as target_type, c_custkey % 8 <> 0 as is_active,
+               case when c_custkey % 3 = 0 or c_custkey % 41 = 2 then c_nationkey end as county_id, case when c_custkey % 3 = 1 and c_custkey % 43 <> 1 then c_nationkey end as place_id,
+               case when c_custkey % 3 = 2 then c_nationkey end as postal_id
+        from {customer}""",
+    "dated_overrides": """
+        select c_custkey as override_id, c_custkey % 9 as chapter_id, c_custkey % 1300 as entity_id, case when c_custkey % 3 = 0 then 'REVOKED' else 'ACTIVE' end as status, date '2001-01-01' as effective_date,
+               cast(case c_custkey % 10 when 1 then '2000-01-01' when 2 then null else '2030-01-01' end as date) as expiration_date
+        from {customer}""",
+    "run_results": "select o_orderkey as result_id, o_orderkey % 40 as run_id, o_custkey as entity_id, o_orderkey % 1700 as rule_id from {orders}",
+    "chapter_runs": "select c_custkey as run_id, c_custkey % 1600 as rule_set_id from {customer} where c_custkey % 9 <> 4 and c_custkey < 40",
+    "placed": """
+        select c_custkey as resolution_id, case when c_custkey % 21 = 0 then -1 else c_custkey end as location_id, case when c_custkey % 16 = 0 then null else c_nationkey + case when c_custkey % 50 = 0 then 100 else 0 end end as county_id,
+               case when c_custkey % 5 = 0 then 'SUPERSEDED' else 'CURRENT' end as status
+        from {customer} union all select c_custkey + 1000000, c_custkey, c_nationkey, 'CURRENT' from {customer} where c_custkey % 100 = 7""",
     "chapter_list": "select cast(r_regionkey + 1 as bigint) as chapter_id, r_name as chapter_name, case when r_regionkey = 1 then 'INACTIVE' else 'ACTIVE' end as status from {region}",
     "chapter_results": """
         select o_orderkey as result_id, o_custkey as entity_id from {orders} where o_orderkey % 3 = 1""",

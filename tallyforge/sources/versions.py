@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Versioned:
         return {} if newest is None else {r["part"]: r["run"] for r in rows.where(F.col("at") == newest).collect()}
 
     def _read(self, pointers: dict[int, int], schema) -> DataFrame:
-        rows = self.spark.read.schema(schema.add("part", "int").add("run", "long")).parquet(f"{self.path}/rows")
+        rows = self.spark.read.schema(_copy(schema).add("part", T.IntegerType()).add("run", T.LongType())).parquet(f"{self.path}/rows")
         # literals on partition columns: only the folders named are listed and read
         wanted = F.lit(False)
         by_run: dict[int, list[int]] = {}
@@ -47,14 +48,14 @@ class Versioned:
         return rows.where(wanted)
 
     def current(self, schema, parts: list[int] | None = None) -> DataFrame:
-        """The rows that count (of some parts), with `schema`, a copy of which is made."""
+        """The rows that count (of some parts)."""
         pointers = {p: r for p, r in self._pointers().items() if parts is None or p in parts}
-        return self._read(pointers, _copy(schema)).drop("part", "run")
+        return self._read(pointers, schema).drop("part", "run")
 
     def before(self, run: int, keys: DataFrame, schema) -> DataFrame:
         """The rows that counted before a run, of the parts that hold the keys."""
         parts = {r["part"] for r in keys.select(self.part().alias("part")).distinct().collect()}  # `parts` at most
-        return self._read({p: r for p, r in self._pointers(before=run).items() if p in parts}, _copy(schema)).drop("part", "run")
+        return self._read({p: r for p, r in self._pointers(before=run).items() if p in parts}, schema).drop("part", "run")
 
     def _publish(self, rows: DataFrame, run: int, touched: list[int], pointers: dict[int, int]) -> None:
         dealt = rows.withColumns({"part": self.part(), "run": F.lit(run).cast("long")}).repartition(max(1, min(len(touched), self.parts)), "part")
@@ -78,10 +79,11 @@ class Versioned:
         if not touched:
             return []
         pointers = self._pointers(before=run)
-        old = self._read({p: r for p, r in pointers.items() if p in set(touched)}, _copy(rows.schema)).drop("part", "run")
+        old = self._read({p: r for p, r in pointers.items() if p in set(touched)}, rows.schema).drop("part", "run")
         self._publish(old.join(keys, self.key, "left_anti").unionByName(rows), run, touched, pointers)
         return touched
 
 
-def _copy(schema):
-    return type(schema)(list(schema.fields))
+def _copy(schema: T.StructType) -> T.StructType:
+    """StructType.add() changes its own list."""
+    return T.StructType(list(schema.fields))
