@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import time
 from collections import defaultdict
 from datetime import date, timedelta
 from decimal import Decimal
+from glob import glob
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import names, parsing
-from tallyforge.operators import chapters, geography, identity, ingest, membership, quality, reports
+from tallyforge.operators import chapters, geography, identity, ingest, membership, quality, reevaluation, reports
 from tallyforge.sources.contributions import file_fingerprints, read_contribution_csv, write_tables
+from tallyforge.sources.versions import Versioned
 
 
 def one(spark, value, column, kind="string"):
@@ -241,8 +244,12 @@ def test_assessments(spark):
     new = state(spark, [10, 40])
     old = spark.createDataFrame([(1, "LAPSED", date(2024, 1, 1), True), (2, "ACTIVE", date(2024, 1, 1), True)], "entity_id long, calculated_status string, calculation_date date, is_current boolean")
     out = membership.assess_entities(old, new, DAY)
+    odd = membership.assess_entities(old, new, DAY, spark.createDataFrame([(1,)], "entity_id long"))
+    row = odd.where("entity_id = 1 and is_current").first()
+    assert (row["calculated_status"], row["membership_authority"], row["explanation"]) == ("UNKNOWN", "PROVISIONAL", "Verification field inconsistency detected.")
     assert sorted((r["entity_id"], r["calculated_status"]) for r in out.where("is_current").collect()) == [(1, "ACTIVE"), (2, "ACTIVE")]
     assert quality.check_invariants({"assessments": out}).count() == 0
+    new = new.withColumn("rule_version_id", F.lit(1))
     diff = membership.audit_recompute(new, new.withColumn("calculated_status", F.lit("LAPSED")))
     assert membership.repair_manifest(diff).first()["transition"] == "ACTIVE->LAPSED"
     assert membership.audit_repair_parity(diff, diff).count() == 0
@@ -287,7 +294,7 @@ def test_reference_files(spark):
 
 
 def test_chapter_precedence(spark):
-    entities = [(i, "INDIVIDUAL", "VERIFIED") for i in range(1, 8)] + [(8, "JOINT", "VERIFIED"), (9, "INDIVIDUAL", "UNVERIFIED")]
+    entities = [(i, "INDIVIDUAL", "VERIFIED") for i in range(1, 8)] + [(8, "JOINT", "VERIFIED"), (9, "INDIVIDUAL", "UNVERIFIED"), (12, "INDIVIDUAL", "VERIFIED")]
     res = [
         (1, 1, 10, None, None, "EXACT_PLACE_ZIP_MATCH"), (2, 2, 20, None, None, "EXACT_PLACE_ZIP_MATCH"), (3, 3, None, None, None, "AMBIGUOUS_ZIP"), (4, 4, 10, None, None, "EXACT_PLACE_ZIP_MATCH"),
         (5, 4, 20, None, None, "EXACT_PLACE_ZIP_MATCH"), (6, 5, 10, None, None, "EXACT_PLACE_ZIP_MATCH"), (7, 5, 10, None, None, "UNIQUE_ZIP_INFERENCE"), (8, 7, 99, None, None, "UNIQUE_ZIP_INFERENCE"),
@@ -297,16 +304,24 @@ def test_chapter_precedence(spark):
     rules = spark.createDataFrame([(1, 100, "INCLUDE", "COUNTY", 10, ""), (1, 101, "EXCLUDE", "COUNTY", 20, "")], "chapter_id long, rule_id long, effect string, target_type string, target_id long, postal_type string")
     over = spark.createDataFrame([(1, 2, "INCLUDE", "ACTIVE", date(2030, 1, 1)), (1, 1, "EXCLUDE", "ACTIVE", date(2020, 1, 1))], "chapter_id long, entity_id long, override_type string, status string, expiration_date date")
     e = spark.createDataFrame(entities, "entity_id long, entity_type string, verification_status string")
-    out = chapters.evaluate_chapters(e, chapters.match_rules(r, rules), chapters.active_overrides(over, DAY), geography.RESOLVED, rules)
+    placed = r.select("entity_id").union(spark.createDataFrame([(12,)], "entity_id long"))  # 12 has a location without a resolution
+    out = chapters.evaluate_chapters(e, chapters.match_rules(r, rules), chapters.active_overrides(over, DAY), placed, rules)
     got = {x["entity_id"]: x["result_status"] for x in out.collect()}
     assert got == {
-        1: "INCLUDED_BY_RULE", 2: "MANUALLY_INCLUDED", 3: "NO_CURRENT_RESOLVED_LOCATION", 4: "AMBIGUOUS_LOCATION", 5: "INCLUDED_BY_RULE", 6: "NO_CURRENT_LOCATION", 7: "NO_RULE_MATCH",
-        8: "INELIGIBLE_ENTITY_TYPE", 9: "PROVISIONAL_GEOGRAPHIC_MATCH",
+        1: "INCLUDED_BY_RULE", 2: "MANUALLY_INCLUDED", 3: "AMBIGUOUS_GEOGRAPHY", 4: "AMBIGUOUS_LOCATION", 5: "INCLUDED_BY_RULE", 6: "NO_CURRENT_LOCATION", 7: "NO_RULE_MATCH",
+        8: "INELIGIBLE_ENTITY_TYPE", 9: "PROVISIONAL_GEOGRAPHIC_MATCH", 12: "NO_CURRENT_RESOLVED_LOCATION",
     }
     assert chapters.run_counts(out).first()["considered"] == len(entities)
     assert chapters.rebuild_assignments(out, out.select("chapter_id", "entity_id", "assignment_status")).where("change <> 'IDENTICAL'").count() == 0
     flags = chapters.preview_diff(out, out.where("entity_id <> 1"))
     assert [x["entity_id"] for x in flags.where("new_included").collect()] == [1]
+    assert flags.where("rule_changed").count() == 0  # an absent side has no rule to compare
+    gone = chapters.preview_diff(out.where("entity_id not in (7, 12)"), out)
+    assert sorted(x["entity_id"] for x in gone.where("removed_unresolved").collect()) == [7, 12]
+    said = {x["entity_id"]: (x["selection_explanation"], x["explanation"]) for x in chapters.explain_results(out).collect()}
+    assert said[4] == ("Conflicting location outcomes detected: [('EXCLUDED_BY_RULE', 101), ('INCLUDED_BY_RULE', 100)]", "Geographic evaluation is ambiguous due to conflicting current locations.")
+    assert said[1] == ("Selected location 1 yielding outcome INCLUDED_BY_RULE.", "Included by rule 100.")
+    assert said[8] == ("Entity type 'JOINT' is ineligible for chapter membership.", "Ineligible entity type.")
 
 
 def test_overlaps_and_overrides(spark):
@@ -318,10 +333,15 @@ def test_overlaps_and_overrides(spark):
         if s == "INCLUDED":
             own[c].add(e)
     assert pairs == {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and own[a] & own[b]}
-    old = spark.createDataFrame([(1, 1, "INCLUDE", "r", date(2024, 1, 1), None, 1, "ACTIVE")], "chapter_id long, entity_id long, override_type string, reason string, effective_date date, expiration_date date, decided_at long, status string")
-    new = spark.createDataFrame([(1, 1, "EXCLUDE", "r", date(2024, 2, 1), None, 2), (1, 2, "EXCLUDE", " ", date(2024, 2, 1), None, 2)], "chapter_id long, entity_id long, override_type string, reason string, effective_date date, expiration_date date, decided_at long")
+    schema = "chapter_id long, entity_id long, override_type string, reason string, effective_date date, expiration_date date, decided_at long, override_id long"
+    old = spark.createDataFrame([(1, 1, "INCLUDE", "r", date(2024, 1, 1), None, 1, 1, "ACTIVE")], schema + ", status string")
+    # of two decisions at one time that with the larger id counts
+    new = spark.createDataFrame([(1, 1, "EXCLUDE", "r", date(2024, 2, 1), None, 2, 3), (1, 1, "INCLUDE", "r", date(2024, 2, 1), None, 2, 2), (1, 2, "EXCLUDE", " ", date(2024, 2, 1), None, 2, 4)], schema)
     both, bad = chapters.apply_overrides(old, new)
-    assert [(r["override_type"], r["status"]) for r in both.orderBy("decided_at").collect()] == [("INCLUDE", "SUPERSEDED"), ("EXCLUDE", "ACTIVE")] and bad.count() == 1
+    assert [(r["override_id"], r["status"]) for r in both.orderBy("override_id").collect()] == [(1, "SUPERSEDED"), (2, "SUPERSEDED"), (3, "ACTIVE")] and bad.count() == 1
+    listed = spark.createDataFrame([(1, "One", "ACTIVE"), (2, "Two", "ACTIVE"), (3, "Three", "CLOSED"), (4, "Four", "ACTIVE")], "chapter_id long, chapter_name string, status string")
+    named = {(r["chapter_1"], r["chapter_2"]): r["shared"] for r in chapters.overlap_pairs(a, listed).collect()}
+    assert named == {("Two", "Four"): len(own[2] & own[4])}
 
 
 def test_reports_and_writes(spark, tmp_path):
@@ -331,7 +351,9 @@ def test_reports_and_writes(spark, tmp_path):
     assert counts["ACTIVE"] == 1 and sum(counts.values()) == 1 and len(counts) == 9
     assert [r["display_name"] for r in reports.export_roster(e, latest).collect()] == ["'=Ann", "Bo"]
     assert {r["display_name"] for r in reports.redact(e).collect()} == {"[redacted]"}
-    assert reports.filter_by_status(e, latest, "UNKNOWN").count() == 2
+    rows = spark.createDataFrame([(1, 1, "UNKNOWN"), (2, 1, "ACTIVE"), (3, 3, "UNKNOWN")], "assessment_id long, entity_id long, calculated_status string")
+    assert [r["entity_id"] for r in reports.filter_by_status(e, rows, "UNKNOWN").collect()] == [2]
+    assert [r["entity_id"] for r in reports.filter_by_status(e, rows, "ACTIVE").collect()] == [1]
     a = spark.createDataFrame([(1, "x"), (2, "y")], "import_batch_id long, v string")
     write_tables({"t": a}, str(tmp_path))
     write_tables({"t": a.where("import_batch_id = 2").withColumn("v", F.lit("z"))}, str(tmp_path))
@@ -367,3 +389,150 @@ def test_verification_rollback(spark):
     manifest = spark.createDataFrame([(1, "VERIFIED", "NONE", "x", None), (2, "VERIFIED", "ADMIN_REVIEW", None, "2025-01-01"), (9, "VERIFIED", None, None, None)], "entity_id int, verification_status string, verification_method string, verified_by string, verified_at string")
     got = {tuple(r) for r in identity.apply_verification_rollback(entities, manifest).collect()}
     assert got == {(1, "VERIFIED", "LEGACY_REVIEWED", "x"), (2, "VERIFIED", "ADMIN_REVIEW", None), (3, "UNVERIFIED", None, None)}
+
+
+def test_states_at_days_of_their_own(spark):
+    """Every request against the state of the payments up to its day, under its own thresholds."""
+    rng = random.Random(3)
+    first = date(2023, 1, 1)
+    pays = [(rng.randint(1, 12), first + timedelta(rng.randint(0, 500)), Decimal(rng.randint(1, 90)), rng.choice(["CONTRIBUTION"] * 5 + ["REFUND"])) for _ in range(160)]
+    rules = [(1, 20, 40, 60, 2, True), (2, 10, 35, 90, 3, False), (3, 25, 60, 30, 4, True)]
+    asks = [(i, rng.randint(1, 14), rng.choice(["INDIVIDUAL"] * 6 + ["JOINT"]), rng.choice(["VERIFIED", "UNVERIFIED"]), rng.randint(1, 3), first + timedelta(rng.randint(0, 600)), rng.random() < 0.5) for i in range(120)]
+    payments = spark.createDataFrame(pays, "entity_id long, transaction_date date, amount decimal(12,2), transaction_type string")
+    names = "rule_version_id long, monthly_interval_min int, monthly_interval_max int, active_grace_period int, min_recurring_payments int, skip_payment_allowed boolean"
+    coverage = membership.Coverage(date(2024, 3, 1))
+    requests = spark.createDataFrame([(*a[:6], a[5] if a[6] else None) for a in asks], "request_id long, entity_id long, entity_type string, verification_status string, rule_version_id long, evaluation_date date, upto date")
+    got = {r["request_id"]: (r["state_id"], r["recurring_amount"], r["positive_count"]) for r in membership.states_at(requests, payments, spark.createDataFrame(rules, names), coverage).collect()}
+
+    def state(ask):
+        i, entity, kind, verified, version, day, bounded = ask
+        _, lo, hi, grace, least, skip = rules[version - 1]
+        net = defaultdict(Decimal)
+        for e, d, amount, t in pays:
+            if e == entity and (not bounded or d <= day):
+                net[d] += amount if t == "CONTRIBUTION" else -amount
+        line = sorted((d, n) for d, n in net.items() if n > 0)
+        gaps = [(b[0] - a[0]).days for a, b in zip(line, line[1:], strict=False)]
+        good = sum(lo <= g <= hi or (skip and 50 <= g <= 80) for g in gaps)
+        ok, stale = verified == "VERIFIED", (day - coverage.through).days > 60
+        if kind != "INDIVIDUAL":
+            s = "S11"
+        elif not line:
+            s = "S10"
+        elif len(line) == 1:
+            s = ("S05" if stale else "S04") if ok else "S09"
+        elif good >= least - 1:
+            s = ("S01" if (day - line[-1][0]).days <= grace else "S02" if stale else "S03") if ok else "S07"
+        else:
+            s = "S06" if ok else "S08"
+        last = [n for _, n in line[-3:]]
+        mean = (sum(last) / len(last)).quantize(Decimal("0.01")) if s in ("S01", "S02", "S03", "S07") else Decimal("0.00")
+        return s, mean, len(line)
+
+    assert got == {a[0]: state(a) for a in asks}
+    assert len({s for s, _, _ in got.values()}) >= 8
+
+
+def test_long_chains_are_straightened_in_a_few_rounds(spark, monkeypatch):
+    rounds = []
+    inner = identity.keep
+    monkeypatch.setattr(identity, "keep", lambda df, name: (rounds.append(name), inner(df, name))[1])
+    n = 100_000
+    chain = spark.range(n).selectExpr("id as u", "id + 1 as v")
+    assert identity.cycle_nodes(chain).count() == 0 and rounds.count("pointers") < 25
+    ring = chain.union(spark.createDataFrame([(n, 50_000), (7, 7), (200_000, 200_001), (200_001, 200_000)], "u long, v long"))
+    groups = identity.cycle_groups(ring)
+    assert groups.where(f"node between 50000 and {n}").agg(F.count("*").alias("a"), F.count_distinct("group").alias("b")).first() == (50_001, 1)
+    assert sorted(r["node"] for r in groups.where(f"node < 50000 or node > {n}").collect()) == [7, 200_000, 200_001]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycle_groups_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(rng.choice([40, 60, 80]))}
+    reach = {u: {u} for u in range(61)}
+    out = defaultdict(set)
+    for u, v in edges:
+        out[u].add(v)
+    for u in reach:
+        todo = [u]
+        while todo:
+            for w in out[todo.pop()]:
+                if w not in reach[u]:
+                    reach[u].add(w)
+                    todo.append(w)
+    want = {u for u in reach if any(u in reach[v] for v in out[u])}
+    got = {r["node"]: r["group"] for r in identity.cycle_groups(spark.createDataFrame(sorted(edges), "u long, v long")).collect()}
+    assert set(got) == want
+    assert all((got[a] == got[b]) == (b in reach[a] and a in reach[b]) for a in want for b in want)
+
+
+def test_search_equals_a_scan(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abAB é1-") for _ in range(n))
+    people = [(i, rng.choice(["INDIVIDUAL", "INDIVIDUAL", "JOINT"]), word(9), word(3), None if i % 5 == 0 else word(4)) for i in range(80)]
+    gifts = [(rng.randint(0, 85), word(5), None if i % 7 == 0 else word(2), word(6)) for i in range(200)]
+    places = [(rng.randint(0, 85), word(6), word(5)) for _ in range(90)]
+    e = spark.createDataFrame(people, "entity_id long, entity_type string, display_name string, first_name string, last_name string")
+    c = spark.createDataFrame(gifts, "entity_id long, employer string, occupation string, txn string")
+    p = spark.createDataFrame(places, "entity_id long, city string, zip string")
+    patterns = ["", "a", "É", "1", *[word(rng.randint(1, 5)) for _ in range(50)]]
+    got = {tuple(r) for r in reports.people_search(reports.search_index(e, c, p), spark.createDataFrame([(x,) for x in patterns], "pattern string")).collect()}
+    own = defaultdict(set)
+    for i, kind, *names in people:
+        if kind == "INDIVIDUAL":
+            own[i] |= {n.lower() for n in names if n}
+    for rows in (gifts, places):
+        for i, *values in rows:
+            if i in own:
+                own[i] |= {v.lower() for v in values if v}
+    assert got == {(x, i) for x in patterns if x for i, values in own.items() if any(x.lower() in v for v in values)}
+
+
+def test_only_touched_parts_are_written_and_a_dead_run_counts_for_nothing(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id as k", "id * 2 as v")
+    store = Versioned(spark, str(tmp_path / "t"), "k", 8)
+    store.load(rows, 1)
+    changed = spark.createDataFrame([(3,), (5,), (999,)], "k long")
+    new = spark.createDataFrame([(3, -1), (999, -2)], "k long, v long")
+    touched = store.merge(changed, new, 2)
+    want = {(k, 2 * k) for k in range(200)} - {(3, 6), (5, 10)} | {(3, -1), (999, -2)}
+    read = lambda: {tuple(r) for r in store.current(rows.schema).collect()}
+    assert read() == want and 0 < len(touched) <= 3
+    assert {p: r for p, r in store._pointers().items() if r == 2} == dict.fromkeys(touched, 2)
+    assert sorted(os.path.basename(f) for f in glob(f"{tmp_path}/t/rows/run=2/*")) == sorted(f"part={p}" for p in touched)
+    store.merge(changed, new, 2)  # repeated
+    assert read() == want
+    dealt = rows.withColumns({"part": store.part(), "run": F.lit(3)}).withColumn("v", F.lit(0).cast("long"))
+    dealt.write.mode("append").partitionBy("run", "part").parquet(f"{tmp_path}/t/rows")  # a run that died before its pointer
+    assert read() == want
+    assert store.merge(changed.where("false"), new.where("false"), 4) == [] and read() == want
+
+
+def test_reevaluation_equals_evaluation_of_everything(spark, tmp_path):
+    rng = random.Random(8)
+    pays = [(i, rng.randint(0, 40), date(2024, 1, 1) + timedelta(rng.randint(0, 150)), Decimal(5), "CONTRIBUTION", rng.randint(1, 4)) for i in range(300)]
+    payments = spark.createDataFrame(pays, "contribution_id long, entity_id long, transaction_date date, amount decimal(12,2), transaction_type string, import_batch_id long").withColumn("cluster_id", F.col("entity_id"))
+    entities = spark.createDataFrame([(i, "INDIVIDUAL", "VERIFIED" if i % 2 else "UNVERIFIED") for i in range(45)], "entity_id long, entity_type string, verification_status string")
+    clusters = entities.select(F.col("entity_id").alias("cluster_id"), F.lit("LOW").alias("confidence_level"))
+    rule, coverage = membership.Rule(), membership.Coverage(DAY)
+    stores = {k: Versioned(spark, str(tmp_path / k), k, 8) for k in ("entity_id", "cluster_id")}
+    stores["entity_id"].load(reevaluation.memberships(entities, payments, rule, coverage, DAY), 1)
+    stores["cluster_id"].load(reevaluation.patterns(clusters, payments, rule), 1)
+    ids = spark.createDataFrame([(2,)], "import_batch_id long")
+    in_clusters, in_entities = reevaluation.touched_by_batches(payments, ids)
+    left = payments.where("import_batch_id <> 2")
+    reevaluation.refresh_memberships(stores["entity_id"], in_entities, entities, left, rule, coverage, DAY, 2)
+    reevaluation.refresh_patterns(stores["cluster_id"], in_clusters, clusters, left, rule, 2)
+    for key, want in (("entity_id", reevaluation.memberships(entities, left, rule, coverage, DAY)), ("cluster_id", reevaluation.patterns(clusters, left, rule))):
+        assert sorted(map(str, stores[key].current(want.schema).collect())) == sorted(map(str, want.collect()))
+
+
+def test_counts_are_observed_where_a_reference_file_is_written(spark, tmp_path):
+    rows = [(i, f"h{i % 7}", ["90001", "2138", "abc-d", ""][i % 4], ["X County", ""][i % 5 == 0], "Y", ["50%", "bad"][i % 3 == 0], "", "A", "PLACE", "T") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_number long, row_hash string, zip string, county string, place string, weight string, unit string, alias string, target_type string, target string").withColumn("row_hash", F.col("row_number").cast("string"))
+    for kind in geography.KINDS:
+        checked = geography.import_reference(df, kind)
+        counts = geography.write_reference(checked, str(tmp_path / kind))
+        again = spark.read.parquet(str(tmp_path / kind)).agg(*geography.reference_counts(F.col("row_status"))).first().asDict()
+        assert counts == again and counts["row_count"] == 60
