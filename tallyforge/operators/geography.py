@@ -12,34 +12,48 @@ from ..functions.parsing import normalize_weight, normalize_zip
 from ..sources.versions import Versioned
 
 RESOLVED = ["EXACT_PLACE_ZIP_MATCH", "EXACT_ALIAS_ZIP_MATCH", "UNIQUE_ZIP_INFERENCE", "MANUALLY_RESOLVED"]
-# Kinds of reference files; with each, what it needs besides what a ZIP column needs.
-KINDS = {
-    "COUNTY_LIST": ["county"], "PLACE_LIST": ["place"], "POSTAL_LIST": [], "ZIP_COUNTY_CROSSWALK": ["county"], "ZIP_PLACE_CROSSWALK": ["place"],
-    "PLACE_COUNTY_CROSSWALK": ["place", "county"], "ALIAS_LIST": [], "IDENTIFIER_LIST": [],
-}
+# Kinds of reference files.
+KINDS = [
+    "COUNTY_LIST", "PLACE_LIST", "POSTAL_LIST", "ZIP_COUNTY_CROSSWALK", "ZIP_PLACE_CROSSWALK", "PLACE_COUNTY_CROSSWALK", "ALIAS_LIST", "IDENTIFIER_LIST",
+]
+ZIP_KINDS, WEIGHTED = KINDS[2:5], KINDS[3:6]
 
 
 def import_reference(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows (row_number, row_hash, zip, county, place, weight, unit) with zip5, share and row_status."""
-    z, w = normalize_zip(F.col("zip")), normalize_weight(F.col("weight"), F.col("unit"))
-    rows = rows.withColumns({"_z": z, "_w": w, "_n": F.row_number().over(Window.partitionBy("row_hash").orderBy("row_number"))})
-    lacking = reduce(lambda a, b: a | b, [F.coalesce(F.trim(c), F.lit("")) == "" for c in KINDS[kind]], F.lit(False))
-    status = F.when(F.col("_n") > 1, "EXACT_DUPLICATE")
-    if kind in ("POSTAL_LIST", "ZIP_COUNTY_CROSSWALK", "ZIP_PLACE_CROSSWALK"):
-        status = (
-            status.when(F.trim("zip").rlike(r"^\d{4}$") & F.col("_z.zip5").isNull(), "POSSIBLE_TRUNCATED_LEADING_ZERO")
-            .when(F.col("_z.zip5").isNull() | lacking, "VALIDATION_FAILURE")
-            .when(F.col("_z.warning").isNotNull() | (F.col("_w.error").isNotNull() if kind != "POSTAL_LIST" else F.lit(False)), "VALIDATION_WARNING")
-        )
-    else:
-        status = status.when(lacking, "VALIDATION_FAILURE")
-    return rows.withColumns({"row_status": status.otherwise("ACCEPTED"), "zip5": F.col("_z.zip5"), "share": F.col("_w.weight")}).drop("_z", "_w", "_n")
+    """Rows (row_number, row_hash, zip, county, place, weight, unit) with zip5, share, row_status and row_message.
+
+    A repeated row is EXACT_DUPLICATE. A row that lacks what its kind needs fails, a ZIP of four digits is kept as
+    possibly truncated, other doubts about ZIP or (of crosswalks from ZIPs) weight are warnings. Aliases and identifiers
+    are not judged here, as their targets are looked up later.
+    """
+    rows = rows.withColumns({"_z": normalize_zip(F.col("zip")), "_w": normalize_weight(F.col("weight"), F.col("unit")), "_n": F.row_number().over(Window.partitionBy("row_hash").orderBy("row_number"))})
+    doubt, none = F.col("_z.warning"), F.lit(None).cast("string")
+    short = F.coalesce(F.col("_z.zip5").isNull() & doubt.contains("unauthorized padding"), F.lit(False))
+    no_zip = F.col("_z.zip5").isNull() & ~short
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    unknown = lambda c: F.format_string(f"Referenced {c.title()} '%s' does not exist", F.coalesce(F.trim(c), F.lit("")))
+    why = {
+        "COUNTY_LIST": F.when(blank("county"), "County name is required"),
+        "PLACE_LIST": F.when(blank("place"), "Place name is required"),
+        "POSTAL_LIST": F.when(no_zip, F.coalesce(doubt, F.lit("Postal code normalization failed"))),
+        "ZIP_COUNTY_CROSSWALK": F.when(no_zip, F.coalesce(doubt, F.lit("Postal code is required"))).when(canonical_name(F.coalesce("county", F.lit("")), "county") == "", unknown("county")),
+        "ZIP_PLACE_CROSSWALK": F.when(no_zip, F.coalesce(doubt, F.lit("Postal code is required"))).when(blank("place"), unknown("place")),
+        "PLACE_COUNTY_CROSSWALK": F.when(blank("place") | blank("county"), "Both PLACE and COUNTY are required"),
+    }.get(kind, none)
+    warned = F.concat_ws("; ", doubt if kind in ZIP_KINDS else none, F.col("_w.error") if kind in WEIGHTED else none)
+    status = F.when(F.col("_n") > 1, "EXACT_DUPLICATE").when(F.col("_why").isNotNull(), "VALIDATION_FAILURE")
+    if kind in ZIP_KINDS:
+        odd = doubt.isNotNull() | (F.col("_w.error").isNotNull() if kind in WEIGHTED else F.lit(False))
+        status = status.when(short, "POSSIBLE_TRUNCATED_LEADING_ZERO").when(odd, "VALIDATION_WARNING")
+    rows = rows.withColumn("_why", why).withColumns({"row_status": status.otherwise("ACCEPTED"), "zip5": F.col("_z.zip5"), "share": F.col("_w.weight")})
+    said = F.when(F.col("row_status") == "EXACT_DUPLICATE", "").otherwise(F.coalesce("_why", warned))
+    return rows.withColumn("row_message", said).drop("_z", "_w", "_n", "_why")
 
 
 def reference_counts(statuses: Column) -> list[Column]:
     """The counts of a batch, as aggregates over row_status."""
     return [
-        F.count("*").alias("row_count"), F.count_if(statuses.isin("ACCEPTED", "VALIDATION_WARNING", "POSSIBLE_TRUNCATED_LEADING_ZERO")).alias("successful_rows"),
+        F.count("*").alias("row_count"), F.count_if(statuses == "ACCEPTED").alias("successful_rows"),
         F.count_if(statuses == "VALIDATION_FAILURE").alias("failed_rows"), F.count_if(statuses == "EXACT_DUPLICATE").alias("duplicate_rows"),
         F.count_if(statuses.isin("VALIDATION_WARNING", "POSSIBLE_TRUNCATED_LEADING_ZERO")).alias("warning_rows"),
     ]
@@ -53,9 +67,9 @@ def write_reference(rows: DataFrame, path: str) -> dict[str, int]:
 
 
 def canonical_name(column, kind: str):
-    """Upper case; a county without its last word COUNTY."""
+    """Upper case; a county without the word COUNTY, wherever it follows a space."""
     name = F.upper(F.trim(column))
-    return F.regexp_replace(name, " COUNTY$", "") if kind == "county" else name
+    return F.trim(F.replace(name, F.lit(" COUNTY"), F.lit(""))) if kind == "county" else name
 
 
 def canonicalise(existing: DataFrame, names: DataFrame, kind: str, default_state: str = "CA") -> DataFrame:
@@ -81,7 +95,7 @@ def resolve_alias_targets(rows: DataFrame, counties: DataFrame, places: DataFram
     for kind, table, to in (("COUNTY", counties, "county_id"), ("PLACE", places, "place_id")):
         ids = table.groupBy("state_code", F.col("name").alias("_name")).agg(F.min("id").alias(to)).withColumn("target_type", F.lit(kind))
         rows = rows.join(ids, ["state_code", "_name", "target_type"], "left")
-    zips = postals.groupBy(F.col("postal_code").alias("_name")).agg(F.min("postal_id").alias("postal_id")).withColumn("target_type", F.lit("POSTAL"))
+    zips = postals.groupBy(F.col("postal_code").alias("_name")).agg(F.min("postal_id").alias("postal_id")).withColumn("target_type", F.lit("POSTAL_AREA"))
     rows = rows.join(zips, ["_name", "target_type"], "left").drop("_name")
     return rows.where(F.coalesce("county_id", "place_id", "postal_id").isNotNull())
 

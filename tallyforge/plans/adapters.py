@@ -112,7 +112,7 @@ VIEWS: dict[str, str] = {
     "crosswalk": """
         select c_custkey as row_number, 'h' || cast(c_custkey % 1009 as string) as row_hash, cast(c_custkey % 997 as string) as county_code,
                case c_custkey % 7 when 0 then '2138' when 1 then 'abc-de' when 2 then '' else cast(90000 + c_custkey % 1009 as string) end as zip,
-               case when c_custkey % 11 = 0 then ' ' else n_name || ' County' end as county, '' as place, case when c_custkey % 13 = 0 then 'bad' else '0.5' end as weight, cast(null as string) as unit
+               case when c_custkey % 11 = 0 then ' ' else n_name || ' County' end as county, case when c_custkey % 17 = 0 then ' ' else 'P' || n_name end as place, case when c_custkey % 13 = 0 then 'bad' else '0.5' end as weight, cast(null as string) as unit
         from {customer} join {nation} on c_nationkey = n_nationkey""",
     "associations": """
         select cast(c_custkey as bigint) as row_number, cast(c_nationkey as bigint) as postal_id, case when c_custkey % 9 = 0 then null else cast(c_custkey % 5 as bigint) end as place_id, c_custkey % 2 as dataset_id

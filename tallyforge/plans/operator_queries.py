@@ -174,7 +174,7 @@ def geography_weights(weights):
 
 @query(
     "crosswalk",
-    oracle="""select row_number, case when row_number_of > 1 then 'EXACT_DUPLICATE' when zip = '2138' then 'POSSIBLE_TRUNCATED_LEADING_ZERO' when zip in ('', 'abc-de') or trim(county) = '' then 'VALIDATION_FAILURE'
+    oracle="""select row_number, case when row_number_of > 1 then 'EXACT_DUPLICATE' when zip in ('', 'abc-de') or trim(county) = '' then 'VALIDATION_FAILURE' when zip = '2138' then 'POSSIBLE_TRUNCATED_LEADING_ZERO'
      when weight = 'bad' then 'VALIDATION_WARNING' else 'ACCEPTED' end as row_status from (select *, row_number() over (partition by row_hash order by row_number) as row_number_of from crosswalk) as x""",
 )
 def geography_reference_rows(crosswalk):
