@@ -18,7 +18,7 @@ from .common import slices, table
 # Fixed values of the HTML standard: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist iframe audio video canvas input".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist iframe audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -42,7 +42,11 @@ IMPLIED_END = {
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*+")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_BUTTONS = ("submit", "button", "reset")
+#: How an element is seen: its own text is, or is not but that of elements inside may be, or nothing inside is.
+SEEN, UNSEEN, GONE = 0, 1, 2
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -53,10 +57,10 @@ _CELLS, _TABLE_TAGS = ("table", "td", "th"), frozenset("table tr tbody thead tfo
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start", "span")
+    __slots__ = ("tag", "children", "hidden", "start", "span", "rows", "value")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: int = 1):
-        self.tag, self.children, self.hidden, self.start, self.span = tag, [], hidden, start, span
+    def __init__(self, tag: str, hidden: int = SEEN, start: int = 1, span: int = 1, rows: int = 1, value: int | None = None):
+        self.tag, self.children, self.hidden, self.start, self.span, self.rows, self.value = tag, [], hidden, start, span, rows, value
 
 
 def tokens(page: str):
@@ -163,9 +167,16 @@ def parse(page: str) -> Node:
             row = Node("tr", open_.top().hidden)
             open_.top().children.append(row)
             open_.push(row)
-        hidden = open_.top().hidden or tag in HIDDEN or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", "")))
-        number = lambda name: int(x) if re.fullmatch(r"-?\d{1,9}", x := attributes.get(name, "").strip()) else 1
-        node = Node(tag, hidden, number("start"), min(max(number("colspan"), 1), 1000))
+        style, hidden = attributes.get("style", ""), open_.top().hidden
+        if hidden == GONE or tag in HIDDEN or "hidden" in attributes or _GONE.search(style):
+            hidden = GONE
+        elif said := _VISIBILITY.findall(style):
+            hidden = SEEN if said[-1].lower() == "visible" else UNSEEN
+        number = lambda name, other=1: int(x) if re.fullmatch(r"-?\d{1,9}", x := attributes.get(name, "").strip()) else other
+        size = lambda name: min(max(number(name), 1), 1000)
+        node = Node(tag, hidden, number("start"), size("colspan"), size("rowspan"), number("value", None) if tag == "li" else None)
+        if tag == "input" and not hidden and attributes.get("type", "").lower() in _BUTTONS:
+            open_.top().children.append(html.unescape(attributes.get("value", "")))
         keeps = tag not in RAW and tag not in VOID and not (rest.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"))
         if not keeps or len(open_.nodes) <= DEEPEST:
             open_.top().children.append(node)
@@ -227,11 +238,15 @@ def _into(node: Node, out: Lines) -> None:
     for child in node.children:
         if isinstance(child, str):
             out.flow(child)
-        elif child.hidden:
+        elif child.hidden == GONE:
             continue
         elif child.tag == "br":
             if out.line.strip(" "):
                 out.stop()
+            else:  # a line without text
+                out.line, out.gap = "", out.gap or bool(out.done)
+        elif child.hidden and child.tag not in BLOCK:
+            _into(child, out)
         elif child.tag == "img":
             continue
         elif child.tag == "hr":
@@ -245,7 +260,8 @@ def _into(node: Node, out: Lines) -> None:
             out.put(_table(child))
             out.stop(True)
         elif child.tag == "li":
-            mark = f"{number}. " if node.tag == "ol" else "- "
+            number = number if child.value is None else child.value
+            mark = ("" if child.hidden else f"{number}. ") if node.tag == "ol" else "" if child.hidden else "- "
             number += 1
             out.put(render(child), " " * len(mark), mark)
         elif child.tag in ("dd", "blockquote"):
@@ -265,7 +281,7 @@ def _raw(node: Node):
     for child in node.children:
         if isinstance(child, str):
             yield child
-        elif not child.hidden:
+        elif child.hidden != GONE:
             yield "\n" if child.tag == "br" else ""
             yield from _raw(child)
 
@@ -275,23 +291,26 @@ def _raw(node: Node):
 _PADDING = 100
 
 
+Cell = tuple[list[str], int, int]  # lines, columns and rows that it takes
+
+
 def _table(node: Node) -> list[str]:
     """Rows with cells padded to the column's width; other content stands before the rows."""
-    rows: list[list[tuple[str, int]]] = []
+    rows: list[list[Cell]] = []
     before = Lines()
 
     def collect(part: Node) -> None:
         for child in part.children:
             if isinstance(child, str):
                 before.flow(child)
-            elif child.hidden:
+            elif child.hidden == GONE:
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
                 collect(child)
             elif child.tag == "tr":
-                cells = [(" ".join(x for x in render(c) if x), c.span) for c in child.children if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th")]
+                cells = [(render(c), c.span, c.rows) for c in child.children if isinstance(c, Node) and c.hidden != GONE and c.tag in ("td", "th")]
                 loose = Node("#loose")
-                loose.children = [c for c in child.children if isinstance(c, str) or (not c.hidden and c.tag not in ("td", "th"))]
+                loose.children = [c for c in child.children if isinstance(c, str) or (c.hidden != GONE and c.tag not in ("td", "th"))]
                 before.put(render(loose))
                 if cells:
                     rows.append(cells)
@@ -300,35 +319,73 @@ def _table(node: Node) -> list[str]:
 
     collect(node)
     before.stop()
-    return before.done + _aligned(rows)
+    if all(len(row) == 1 for row in rows):  # the layout of a page: blocks, apart where one has several lines
+        for lines, _, _ in (row[0] for row in rows):
+            before.gap |= len(lines) > 1 and bool(before.done)
+            before.put(lines)
+            before.gap = len(lines) > 1
+        return before.done
+    return before.done + _aligned(_placed(rows))
+
+
+def _placed(rows: list[list[Cell]]) -> list[list[tuple[list[str], int]]]:
+    """Rows with an empty cell where one from above reaches down."""
+    out, down = [], {}
+    for row in rows:
+        at, cells, left = 0, [], {k: n - 1 for k, n in down.items() if n > 1}
+        for lines, span, high in row:
+            while down.get(at, 0):
+                cells.append(([], 1))
+                at += 1
+            cells.append((lines, span))
+            if high > 1:
+                left |= dict.fromkeys(range(at, at + span), high - 1)
+            at += span
+        out.append(cells)
+        down = left
+    return out
 
 
-def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
+def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     widths: dict[int, int] = {}
     wide = []
     for row in rows:
         at = 0
-        for text, span in row:
+        for lines, span in row:
+            size = max(map(len, lines), default=0)
             if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
+                widths[at] = max(widths.get(at, 0), size)
             else:
-                wide.append((at, span, len(text)))
+                wide.append((at, span, size))
             at += span
     for at, span, size in wide:  # a cell over several columns widens the last of them where they are too narrow
         have = sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
         widths[at + span - 1] = widths.get(at + span - 1, 0) + max(size - have, 0)
-    room = _PADDING * sum(len(text) + 1 for row in rows for text, _ in row)
+    heights = [max(max((len(lines) for lines, _ in row), default=0), 1) for row in rows]
+    # padding of tables inside is no text, so that tables in tables do not multiply it
+    room = _PADDING * sum(len(x) - x.count(" ") + 1 for row in rows for lines, _ in row for x in lines)
+    gaps = sum(3 * len(row) * (height - 1) for row, height in zip(rows, heights, strict=True))
+    loose = gaps > room  # many columns beside one tall cell: its further lines begin at the left
+    room -= 0 if loose else gaps
     for k in sorted(widths, key=lambda k: (widths[k], k)):
-        room -= widths[k] * len(rows)
+        room -= widths[k] * (len(rows) if loose else sum(heights))
         if room < 0:
             widths[k] = 0
     out = []
-    for row in rows:
-        at, cells = 0, []
-        for text, span in row:
-            cells.append(text.ljust(sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)))
-            at += span
+    for row, height in zip(rows, heights, strict=True):
+        at, off, cells, tall = 0, 0, [], []
+        for lines, span in row:
+            width = sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
+            cells.append((lines[0] if lines else "").ljust(width))
+            tall.append((0 if loose else off, lines))
+            at, off = at + span, off + width + 3
         out.append(" | ".join(cells).rstrip())
+        for line in range(1, height):
+            tall = [x for x in tall if line < len(x[1])]  # so that all lines together cost as much as their number
+            text = ""
+            for off, lines in tall:
+                text = (text.ljust(off) if len(text) <= off else text + "   ") + lines[line]
+            out.append(text.rstrip())
     return out
 
 
