@@ -146,10 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
     """
     known = labels.where(F.col(target).isNotNull() & (fold("doc_id") != held_out_fold)).groupBy("doc_id").agg(F.max(target).alias("_y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(most)
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over `most` rows
-    rows = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("text", "_y").toPandas()
-    return fit([(t or "").encode() for t in rows["text"]], rows["_y"].to_numpy())
+    # sizes first: only texts that fit the bound are moved
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_size")).join(F.broadcast(sample), "doc_id")  # `most` ids
+    own = sizes.groupBy("doc_id").agg(F.sum("_size").alias("_size"), F.count("*").alias("_n"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over `most` ids and sizes
+    fits = own.withColumns({"_bytes": F.sum("_size").over(order), "_rows": F.sum("_n").over(order)}).where((F.col("_bytes") <= most_bytes) & (F.col("_rows") <= most))
+    rows = docs.select("doc_id", "text").join(F.broadcast(fits.join(sample, "doc_id").select("doc_id", "_y")), "doc_id").toPandas()
+    # equal ids may have different texts: the order is that of id and text, whatever the tasks were
+    rows = rows.assign(_t=[(t or "").encode() for t in rows["text"]]).sort_values(["doc_id", "_t"], kind="stable")
+    return fit(rows["_t"].tolist(), rows["_y"].to_numpy())
 
 
 def score_documents(docs: DataFrame, model: GatedAttention, threshold: float = 0.3) -> DataFrame:
