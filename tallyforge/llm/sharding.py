@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +60,20 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes docs to path/shard=N folders; docs needs a unique id_col."""
-    placed = shard_by_bytes(docs, n_shards, id_col, text_col).select(id_col, "shard", "slot")
-    (
-        docs.join(placed, id_col)
-        .repartitionByRange("shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    """Writes docs to path/shard=N folders, in slot order.
+
+    Rows need no unique id: of rows with one id and text, which are alike in what decides the place, each takes one of
+    their places; a null id is an id. The columns shard and slot of docs, if any, are replaced.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = [F.col("_id"), F.col("_size"), F.col("_crc")]
+    turn = lambda df, *order: df.withColumn("_turn", F.row_number().over(Window.partitionBy(*same).orderBy(*order)))
+    placed = shard_by_bytes(docs, n_shards, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    rows = docs.drop("shard", "slot").withColumns({"_id": F.col(id_col), "_size": (F.octet_length(text) + 8).cast("long"), "_crc": F.crc32(text.cast("binary"))})
+    rows, placed = turn(rows, F.lit(0)).alias("r"), turn(placed, "shard", "slot").alias("p")
+    keys = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_id", "_size", "_crc", "_turn")]
+    joined = rows.join(placed, reduce(lambda a, b: a & b, keys)).select("r.*", "p.shard", "p.slot").drop("_id", "_size", "_crc", "_turn")
+    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
