@@ -34,6 +34,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text, and words, that a task hashes together.
 _TOGETHER = 1 << 20
 _WORDS_TOGETHER = 1 << 19
+#: Different phrases that a task holds before it tells them, and words for which the state has a part.
+_FOUND = 1 << 21
+_PART_WORDS = 1 << 22
 
 
 def _language(lang: str) -> np.uint64:
@@ -141,23 +144,56 @@ def _active(words: np.ndarray, held: Reached, longest: int):
         yield k, places, hashes, left, right
 
 
-def _counted(held, step: int, shards: int, longest: int):
-    """(tokens) -> (h, k, e, n): occurrences of the phrases that are in their cycle, which ends not before step e."""
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then their second ones, ...: what is mostly zero then takes no room on disk."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(planes: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes by their differences."""
+    return _planes(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.cumsum(_values(planes, np.uint64), dtype=np.uint64)
 
-    def batch(k: int, hashes: np.ndarray, ends: np.ndarray):
-        unique, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        ends = ends[first]
-        for at in range(0, len(unique), 100_000):
-            some = unique[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some.view(np.int64)),
-                    pa.array(np.full(len(some), k), pa.int32()),
-                    pa.array(ends[at : at + 100_000], pa.int32()),
-                    pa.array(n[at : at + 100_000], pa.int64()),
-                ],
-                ["h", "k", "e", "n"],
-            )
+
+def _summed(hashes: list[np.ndarray], ends: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash once and in order, with the last end and the sum."""
+    h, e, k = np.concatenate(hashes), np.concatenate(ends), np.concatenate(n)
+    order = np.argsort(h, kind="stable")
+    h, e, k = h[order], e[order], k[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    return h[first], np.maximum.reduceat(e, first) if len(h) else e, np.add.reduceat(k, first) if len(h) else k
+
+
+def _dealt(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins in sorted hashes, and the end; a part is a range of hashes."""
+    edges = [(p << 64) // parts for p in range(1, parts)]
+    return np.concatenate([[0], np.searchsorted(hashes, np.array(edges, dtype=np.uint64)), [len(hashes)]]).astype(np.int64)
+
+
+def _counted(held, step: int, shards: int, longest: int, parts: int):
+    """(tokens) -> (part, h, e, n): occurrences of the phrases that are in their cycle, which ends not before step e. A
+    task tells each part's phrases in one row, or in several if it meets very many."""
+
+    def flush(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        h, e, n = _summed(*zip(*found, strict=True))
+        at = _dealt(h, parts)
+        rows = [(p, slice(at[p], at[p + 1])) for p in range(parts) if at[p + 1] > at[p]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([p for p, _ in rows], pa.int32()),
+                pa.array([_packed(h[x]) for _, x in rows], pa.binary()),
+                pa.array([e[x].tobytes() for _, x in rows], pa.binary()),
+                pa.array([_planes(n[x]) for _, x in rows], pa.binary()),
+            ],
+            ["part", "h", "e", "n"],
+        )
 
     def blocks(batches):
         """Tokens of several texts, with a 0 at the end so that no phrase leaves its text."""
@@ -179,85 +215,144 @@ def _counted(held, step: int, shards: int, longest: int):
 
     def run(batches):
         tables = held.value if held is not None else None
+        found, size = [], 0
         for words in blocks(batches):
+            met = []
             if step < shards:
                 single = words[words != 0]
-                yield from batch(1, single, np.full(len(single), shards - 1))
+                met.append((single, np.full(len(single), shards - 1)))
             if tables is not None:
-                for k, _, hashes, left, right in _active(words, tables, longest):
+                for _, _, hashes, left, right in _active(words, tables, longest):
                     end = np.maximum(tables.latest(left), tables.latest(right)) + shards
-                    now = end >= step
-                    yield from batch(k, hashes[now], end[now])
+                    met.append((hashes[end >= step], end[end >= step]))
+            for hashes, ends in met:
+                found.append(_summed([hashes], [ends.astype(np.uint8)], [np.ones(len(hashes), dtype=np.int64)]))
+                size += len(found[-1][0])
+            if size > _FOUND:
+                found = [_summed(*zip(*found, strict=True))]
+                size = len(found[0][0])
+                if size > _FOUND // 2:
+                    yield from flush(found)
+                    found, size = [], 0
+        if size:
+            yield from flush(found)
 
     return run
 
 
-def _by_hash(df: DataFrame, parts: int) -> DataFrame:
-    """Writes df in buckets of its hash, so that later joins on it need not shuffle it again."""
-    spark, name = df.sparkSession, f"phrases_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/tallyforge/{name}"
-    df.write.format("parquet").bucketBy(parts, "h").sortBy("h").option("path", path).saveAsTable(name)
-    out = spark.table(name)
-    out.saved_at, out.name = path, name
-    return out
+_STATE = "part int, h binary, e binary, t binary, c binary"
+_STATE_KINDS = pa.schema([("part", pa.int32()), ("h", pa.binary()), ("e", pa.binary()), ("t", pa.binary()), ("c", pa.binary())])
+
 
+def _merged(step: int, shards: int, minimum: int):
+    """A part's state and what the scan has counted of it, as the new state in one row.
 
-def _forgotten(df: DataFrame) -> None:
-    df.sparkSession.sql(f"drop table if exists {df.name}")
-    drop(df)
+    e: the last step in which the phrase's parts may still count it; t: the step in which it reached the minimum, or
+    _NEVER; c: its count in each shard.
+    """
 
+    def run(state: pa.Table, found: pa.Table) -> pa.Table:
+        h, e, n = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint8)], [np.zeros(0, dtype=np.int64)]
+        for row in found.select(["h", "e", "n"]).to_pylist():
+            h.append(_unpacked(row["h"]))
+            e.append(np.frombuffer(row["e"], dtype=np.uint8))
+            n.append(_values(row["n"], np.int64))
+        new, ends, n = _summed(h, e, n)
+        old, old_e, old_t, old_c = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint8), np.zeros((shards, 0), dtype=np.int64)
+        for row in state.to_pylist():  # one at most
+            old, old_e, old_t = _unpacked(row["h"]), np.frombuffer(row["e"], dtype=np.uint8), np.frombuffer(row["t"], dtype=np.uint8)
+            old_c = _values(row["c"], np.int64).reshape(shards, -1)
+        every = np.union1d(old, new)
+        at_old, at_new = np.searchsorted(every, old), np.searchsorted(every, new)
+        e, t, c = np.zeros(len(every), dtype=np.uint8), np.full(len(every), _NEVER, dtype=np.uint8), np.zeros((shards, len(every)), dtype=np.int64)
+        e[at_old], t[at_old], c[:, at_old] = old_e, old_t, old_c
+        e[at_new] = np.maximum(e[at_new], ends)
+        # the shard just scanned: its count is the same in every scan, or not known yet
+        c[step % shards, at_new] = np.maximum(c[step % shards, at_new], n)
+        t[(t == _NEVER) & (c.sum(axis=0) >= minimum)] = step
+        # a phrase that has not reached the minimum at the end of its cycle never will
+        stay = (t != _NEVER) | (e > step)
+        part = (state if state.num_rows else found).column("part")[0].as_py()
+        rows = {"part": [part], "h": [_packed(every[stay])], "e": [e[stay].tobytes()], "t": [t[stay].tobytes()], "c": [_planes(c[:, stay].ravel())]}
+        return pa.table({k: pa.array(v, _STATE_KINDS.field(k).type) for k, v in rows.items()})
+
+    return run
 
-def count_phrases(tokens: list[DataFrame], minimum: int, longest: int = LONGEST, slots: int = 1 << 22) -> tuple[DataFrame, Reached]:
-    """Exact counts (h, k, a) of all phrases of up to `longest` words with at least `minimum` occurrences.
 
-    tokens: one table for each shard. The tables of reached phrases hold `slots` (a power of two) entries of two bytes
-    whatever the input is; with more phrases than slots more is counted than need be, with the same result. The state
-    lies in buckets of the phrases' hashes: only what a scan has counted is shuffled.
+def _reached_slots(step: int, slots: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.select(["h", "t"]).to_pylist():
+                h, t = _unpacked(row["h"]), np.frombuffer(row["t"], dtype=np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[t == step] & np.uint64(slots - 1)).astype(np.int32), pa.int32())], ["slot"])
+
+    return run
+
+
+def _reached_counts(shards: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.select(["h", "t", "c"]).to_pylist():
+                h, t = _unpacked(row["h"]), np.frombuffer(row["t"], dtype=np.uint8)
+                a = _values(row["c"], np.int64).reshape(shards, -1).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(h[t != _NEVER].view(np.int64)), pa.array(a[t != _NEVER])], ["h", "a"])
+
+    return run
+
+
+def count_phrases(tokens: list[DataFrame], words: int, minimum: int, longest: int = LONGEST, slots: int = 1 << 22) -> tuple[DataFrame, Reached]:
+    """Exact counts (h, a) of all phrases of up to `longest` words with at least `minimum` occurrences.
+
+    tokens: one table for each shard; words: how many they hold. The tables of reached phrases hold `slots` (a power of
+    two) entries of two bytes whatever the input is; with more phrases than slots more is counted than need be, with the
+    same result. The state lies in parts by ranges of hashes, whose number grows with the words, so that a part's phrases
+    fit a task; what is shuffled are a part's hashes by their differences, not rows.
     """
     shards = len(tokens)
     spark = tokens[0].sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    held, state, step, latest = Reached(slots), None, 0, -1
-    counts = [f"c{j}" for j in range(shards)]
-    none, zero = F.lit(None).cast("int"), F.lit(0).cast("long")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // _PART_WORDS), 1)
+    held, step, latest = Reached(slots), 0, -1
+    state = spark.createDataFrame([], _STATE)
     while step < shards or step <= latest + shards:
         shared = spark.sparkContext.broadcast(held) if step else None  # two bytes a slot
-        now = counts[step % shards]
-        scanned = tokens[step % shards].mapInArrow(_counted(shared, step, shards, longest), "h long, k int, e int, n long")
-        found = scanned.groupBy("h").agg(F.max("k").alias("_k"), F.max("e").alias("_e"), F.sum("n").alias("_n"))
-        if state is None:
-            merged = found.select("h", F.col("_k").alias("k"), F.col("_e").alias("e"), none.alias("t"), *[(F.col("_n") if c == now else zero).alias(c) for c in counts])
-        else:
-            both = state.join(found, "h", "full_outer")
-            # the shard just scanned: its count is the same in every scan, or not known yet
-            seen = {c: F.coalesce(F.greatest(c, "_n") if c == now else F.col(c), zero) for c in counts}
-            merged = both.select("h", F.coalesce("k", "_k").alias("k"), F.greatest("e", "_e").alias("e"), "t", *[v.alias(c) for c, v in seen.items()])
-        total = sum((F.col(c) for c in counts), zero)
-        merged = merged.withColumn("t", F.coalesce("t", F.when(total >= minimum, F.lit(step))))
-        # a phrase that has not reached the threshold at the end of its cycle never will
-        kept = _by_hash(merged.where(F.col("t").isNotNull() | (F.col("e") > step)), parts)
-        if state is not None:
-            _forgotten(state)
+        scanned = tokens[step % shards].mapInArrow(_counted(shared, step, shards, longest, parts), "part int, h binary, e binary, n binary")
+        merged = state.groupBy("part").cogroup(scanned.groupBy("part")).applyInArrow(_merged(step, shards, minimum), _STATE)
+        kept = save(merged, "phrases")
+        if step:
+            drop(state)
         state = kept
         release(spark)
-        new = state.where(F.col("t") == step).select(F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).distinct().toArrow()  # at most `slots` rows
+        new = state.mapInArrow(_reached_slots(step, slots), "slot int").distinct().toArrow()  # at most `slots` rows
         if new.num_rows:
             held.add(new.column("slot").to_numpy(), step)
             latest = step
         if shared is not None:
             shared.destroy()
         step += 1
-    reached = save(state.where(F.col("t").isNotNull()).select("h", "k", sum((F.col(c) for c in counts), zero).alias("a")), "counted")
-    _forgotten(state)
+    reached = save(state.mapInArrow(_reached_counts(shards), "h long, a long"), "counted")
+    drop(state)
     return reached, held
 
 
-def _spelled(held, longest: int):
-    """(lang, text) -> each known phrase once a task: hash, language, text and hashes of its contiguous parts."""
+_TOLD = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+
+
+def _spelled(held, longest: int, parts: int):
+    """(lang, text) -> (part, told): each known phrase once a task, of each part in one piece."""
 
     def run(batches):
         tables = held.value
-        told = np.zeros(0, dtype=np.uint64)
+        told, tellings = np.zeros(0, dtype=np.uint64), []
+
+        def flush():
+            if tellings:
+                rows = pa.Table.from_batches(tellings).combine_chunks()
+                order = np.argsort(rows.column("h").to_numpy().view(np.uint64), kind="stable")
+                rows = rows.take(pa.array(order))
+                at = _dealt(rows.column("h").to_numpy().view(np.uint64), parts)
+                own = [p for p in range(parts) if at[p + 1] > at[p]]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_sent(rows.slice(at[p], at[p + 1] - at[p])) for p in own], pa.binary())], ["part", "told"])
+
         for (langs,), texts in _groups(batches, ("lang",)):
             joined, starts, ends, words, new, firsts = _words(texts, langs)
             if not len(words):
@@ -275,32 +370,52 @@ def _spelled(held, longest: int):
                 first = word_at[places[known][one]]
                 if not len(first):
                     continue
-                # of what was told the task keeps as many as there are slots; what it forgets it tells again
-                told = np.concatenate([told, unique]) if len(told) <= len(tables.first) else unique
+                told = np.concatenate([told, unique])
                 text_of = np.searchsorted(firsts, first, side="right") - 1
-                parts = {}
+                inside = {}
                 for i in range(k):
-                    parts[i, 1] = words[first + i]
+                    inside[i, 1] = words[first + i]
                     for n in range(2, k - i + 1):
-                        parts[i, n] = _grown(parts[i, n - 1], words[first + i + n - 1])
-                names = sorted(parts)
-                flat = np.stack([parts[x] for x in names], axis=1).reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(unique.view(np.int64)),
-                        pa.array([langs[i] for i in text_of.tolist()], pa.string()),
-                        pa.array([b" ".join(joined[starts[f + j] : ends[f + j]] for j in range(k)) for f in first.tolist()], pa.binary()).cast(pa.string()),
-                        pa.array(np.full(len(unique), k), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(unique) + 1) * len(names), pa.int32()), pa.array(np.tile([i for i, _ in names], len(unique)), pa.int32())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(unique) + 1) * len(names), pa.int32()), pa.array(np.tile([n for _, n in names], len(unique)), pa.int32())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(unique) + 1) * len(names), pa.int32()), pa.array(flat.view(np.int64))),
-                    ],
-                    ["h", "lang", "phrase", "k", "starts", "lengths", "hashes"],
+                        inside[i, n] = _grown(inside[i, n - 1], words[first + i + n - 1])
+                names = sorted(inside)
+                flat = np.stack([inside[x] for x in names], axis=1).reshape(-1)
+                offsets = pa.array(np.arange(len(unique) + 1) * len(names), pa.int32())
+                tellings.append(
+                    pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(unique.view(np.int64)),
+                            pa.array([langs[i] for i in text_of.tolist()], pa.string()),
+                            pa.array([b" ".join(joined[starts[f + j] : ends[f + j]] for j in range(k)) for f in first.tolist()], pa.binary()).cast(pa.string()),
+                            pa.array(np.full(len(unique), k), pa.int32()),
+                            pa.ListArray.from_arrays(offsets, pa.array(np.tile([i for i, _ in names], len(unique)), pa.int32())),
+                            pa.ListArray.from_arrays(offsets, pa.array(np.tile([n for _, n in names], len(unique)), pa.int32())),
+                            pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
+                        ],
+                        schema=_TOLD,
+                    )
                 )
+            if len(told) > _FOUND // 4:  # what the task forgets it tells again
+                yield from flush()
+                told, tellings = np.zeros(0, dtype=np.uint64), []
+        yield from flush()
 
     return run
 
 
+def _sent(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _told_once(found: pa.Table) -> pa.Table:
+    """Of what tasks have told of a part, each phrase once."""
+    rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in found.column("told").to_pylist()]).combine_chunks()
+    _, first = np.unique(rows.column("h").to_numpy(), return_index=True)
+    return rows.take(pa.array(first)).cast(_TOLD)
+
+
 def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: int = 2000, shards: int = 3, longest: int = LONGEST, slots: int = 1 << 22) -> DataFrame:
     """The strongest phrases of each language: (lang, rank, phrase, a, l, r, n, score).
 
@@ -319,12 +434,13 @@ def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: in
     scanned = spark.read.schema("lang string, words long, tokens array<long>, shard int").parquet(path)
     scanned.saved_at = path
     totals = save(scanned.groupBy("lang").agg(F.sum("words").alias("n")), "words")
-    counts, held = count_phrases([scanned.where(F.col("shard") == j).select("tokens") for j in range(shards)], minimum, longest, slots)
+    words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts, held = count_phrases([scanned.where(F.col("shard") == j).select("tokens") for j in range(shards)], words, minimum, longest, slots)
     drop(scanned)
     shared = spark.sparkContext.broadcast(held)
     kinds = "h long, lang string, phrase string, k int, starts array<int>, lengths array<int>, hashes array<long>"
-    # a task tells each phrase once, so rows of one phrase are few
-    spelled = given.mapInArrow(_spelled(shared, longest), kinds).groupBy("h").agg(*[F.first(c).alias(c) for c in ("lang", "phrase", "k", "starts", "lengths", "hashes")])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // _PART_WORDS), 1)
+    spelled = given.mapInArrow(_spelled(shared, longest, parts), "part int, told binary").groupBy("part").applyInArrow(_told_once, kinds)
     found = save(spelled.join(counts.select("h", "a"), "h"), "candidates")
     parts = found.select("h", "k", "a", F.posexplode(F.arrays_zip("starts", "lengths", "hashes")).alias("i", "part")).select(
         "h", "k", "a", F.col("part.starts").alias("at"), F.col("part.lengths").alias("len"), F.col("part.hashes").alias("of")

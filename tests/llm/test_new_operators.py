@@ -171,3 +171,21 @@ def test_recall_of_nearest(spark):
     d[np.arange(60), q] = np.inf
     want = {(int(i), int(j)) for i, row in zip(q, np.argsort(d, axis=1)[:, :10], strict=True) for j in row}
     assert len(got) == 600 and len(got & want) >= 540
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False))
+        assert (collocations._unpacked(collocations._packed(h)) == h).all()
+        at = collocations._dealt(h, 7)
+        assert at[0] == 0 and at[-1] == len(h) and (np.diff(at) >= 0).all()
+
+
+def test_collocations_told_in_many_pieces(spark, monkeypatch):
+    rows = [("en", f"one two three w{i % 7} one two" * (1 + i % 3)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, lang, 7, 8, "clash") for i, (lang, t) in enumerate(rows)], DOCS).repartition(2)
+    monkeypatch.setattr(collocations, "_FOUND", 8)
+    monkeypatch.setattr(collocations, "_PART_WORDS", 100)
+    got = {tuple(r) for r in collocations.collocations(docs, minimum=20, best=50).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
+    assert got == phrases(rows, 20, 50)
