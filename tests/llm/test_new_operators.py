@@ -189,3 +189,34 @@ def test_collocations_told_in_many_pieces(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_PART_WORDS", 100)
     got = {tuple(r) for r in collocations.collocations(docs, minimum=20, best=50).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
     assert got == phrases(rows, 20, 50)
+
+
+def test_wide_regions_fall_into_voronoi_cells(spark, monkeypatch):
+    """Texts of two words have 32 shingles, so that hundreds of texts, most of them unlinked, meet in one region."""
+    from tallyforge.llm import jaccard_join
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([11, 12, 12, 13])))) for i in range(3500)]
+    widths, cells = [], jaccard_join._cells
+
+    def counted(rows, pivots, tested, radius, turn):
+        sizes = rows.join(pivots.where("wide").select("region").distinct(), "region", "left_semi").groupBy("region").count()
+        out = cells(rows, pivots, tested, radius, turn)
+        widths.append((sizes.agg({"count": "max"}).first()[0], out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_cells", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    masks = np.zeros(len(rows), dtype=np.uint64)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 4):
+            masks[i] |= np.uint64(1) << np.uint64(int("".join(w[k : k + 5]).replace("a", "0").replace("b", "1"), 2))
+    both = np.bitwise_count(masks[:, None] & masks[None]).astype(int)
+    linked = 100 * both >= 75 * np.bitwise_count(masks[:, None] | masks[None]).astype(int)
+    want = np.arange(len(rows))
+    while (new := np.where(linked, want[None], len(rows)).min(axis=1)).tolist() != want.tolist():
+        want = new
+    assert got == {i: int(c) for i, c in enumerate(want)}
+    print(widths)
+    assert max(w for w, _ in widths if w) >= 500 and sum(n for _, n in widths) > 500
