@@ -486,3 +486,13 @@ def audit_repair_parity(audit: DataFrame, manifest: DataFrame) -> DataFrame:
     same = F.col("a.before").eqNullSafe(F.col("m.before")) & F.col("a.after").eqNullSafe(F.col("m.after")) & F.array_sort("a.changed_fields").eqNullSafe(F.array_sort("m.changed_fields"))
     issue = F.when(F.col("m.entity_id").isNull(), "ONLY_IN_AUDIT").when(F.col("a.entity_id").isNull(), "ONLY_IN_MANIFEST").when(~same, "DIFFERENT")
     return a.join(m, F.col("a.entity_id") == F.col("m.entity_id"), "full_outer").select(F.coalesce("a.entity_id", "m.entity_id").alias("entity_id"), issue.alias("issue")).where("issue is not null")
+
+
+def repair_records(audit: DataFrame) -> DataFrame:
+    """A row for every assessment of audit_states() that repair replaces."""
+    changed = audit.where(F.size("repair_diffs") > 0)
+    return changed.select(
+        "entity_id", F.col("assessment_id").alias("current_assessment_id"), "entity_type", "before_status", "after_status", "before_pattern", "after_pattern", "before_authority", "after_authority",
+        F.col("stored_matrix").alias("matrix_state_before"), F.col("repair_matrix").alias("matrix_state_after"), F.lit("STATE_MISMATCH").alias("reason_code"),
+        F.array_contains("repair_diffs", "calculated_status").alias("chapter_reevaluation_needed"), F.col("repair_diffs").alias("changed_fields"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import membership
 from .queries import _NET_E, COVERAGE, query
 
@@ -106,3 +108,14 @@ _SECTIONS = [
 def membership_repair_sections(*tables):
     """All sections of the repair manifest."""
     return membership.repair_summary(_audit(*tables))
+
+
+@query(
+    *AUDIT,
+    oracle=f"""{_AUDIT} select entity_id, assessment_id as current_assessment_id, before_status, after_status, stored_matrix as matrix_state_before, repair_matrix as matrix_state_after, 'STATE_MISMATCH' as reason_code,
+     before_status <> after_status as chapter_reevaluation_needed, repair_diffs as changed_fields from audit where repair_diffs <> ''""",
+)
+def membership_repair_records(*tables):
+    """What repair replaces, row by row."""
+    rows = membership.repair_records(_audit(*tables)).withColumn("changed_fields", F.array_join("changed_fields", ","))
+    return rows.drop("entity_type", "before_pattern", "after_pattern", "before_authority", "after_authority")

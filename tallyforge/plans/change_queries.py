@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 
-from ..operators import geography, identity, ingest, reevaluation
+from ..operators import geography, identity, ingest, membership, reevaluation, reports
 from ..sources import scratch
 from ..sources.versions import Versioned
 from .queries import _GEO, _NAME, _STATES, _STATUS, COVERAGE, DAY, GEO, HASHED, RULE, _resolved, query
@@ -310,3 +310,28 @@ def geography_runs_after_flip(runs, batches):
 
 
 
+
+
+_RESTORED = """with restored as (select e.* exclude (verification_status), coalesce(m.verification_status, e.verification_status) as verification_status from entities e left join manifest m on e.entity_id = m.entity_id), """
+_ROLLED = _RESTORED + _STATES.strip().removeprefix("with ").replace("from entities e left join counts", "from restored e left join counts")
+
+
+@query("entities", "payments", "manifest", oracle=f"{_ROLLED} select entity_id, verification_status, state_id, calculated_status from full_states")
+def membership_after_verification_rollback(entities, payments, manifest):
+    """Verifications are restored from a manifest, and only its entities are evaluated again."""
+    store = _store(entities, "memberships", "entity_id")
+    store.load(reevaluation.memberships(entities, payments, RULE, COVERAGE, DAY), 1)
+    restored = identity.apply_verification_rollback(entities, manifest)
+    reevaluation.refresh_memberships(store, manifest.select("entity_id"), restored, payments, RULE, COVERAGE, DAY, 2)
+    schema = reevaluation.memberships(entities, payments, RULE, COVERAGE, DAY).schema
+    return store.current(schema).select("entity_id", "verification_status", "state_id", "calculated_status")
+
+
+@query(
+    "payments", "assignments", "batches",
+    oracle="""with a as (select p.*, s.entity_id as owner from payments p join assignments s on s.contribution_id = p.contribution_id and s.is_active where p.import_batch_id in (select import_batch_id from batches where status = 'COMPLETED'))
+     select owner as entity_id, cast(sum(greatest(amount, 0)) as decimal(22,2)) as given, cast(sum(least(amount, 0)) as decimal(22,2)) as returned, sum(amount) as net, count(*) as n from a group by owner""",
+)
+def reports_profile_totals_active(payments, assignments, batches):
+    """P5: totals of active assignments in completed batches."""
+    return reports.profile_totals(membership.active_contributions(payments, assignments, batches))
