@@ -16,6 +16,7 @@ it, so that counts are exact whatever the size of the tables.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOGETHER = 1 << 20
 _WORDS_TOGETHER = 1 << 19
 #: Different phrases that a task holds before it tells them, and words for which the state has a part.
-_FOUND = 1 << 21
+_FOUND = 1 << 20
 _PART_WORDS = 1 << 22
 
 
@@ -334,7 +335,12 @@ def count_phrases(tokens: list[DataFrame], words: int, minimum: int, longest: in
     return reached, held
 
 
-_TOLD = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+_TOLD = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("words", pa.list_(pa.int64()))])
+
+
+def _places(k: int) -> list[tuple[int, int]]:
+    """First word and length of each contiguous part of a phrase of k words, itself included."""
+    return [(i, n) for i in range(k) for n in range(1, k - i + 1)]
 
 
 def _spelled(held, longest: int, parts: int):
@@ -372,14 +378,7 @@ def _spelled(held, longest: int, parts: int):
                     continue
                 told = np.concatenate([told, unique])
                 text_of = np.searchsorted(firsts, first, side="right") - 1
-                inside = {}
-                for i in range(k):
-                    inside[i, 1] = words[first + i]
-                    for n in range(2, k - i + 1):
-                        inside[i, n] = _grown(inside[i, n - 1], words[first + i + n - 1])
-                names = sorted(inside)
-                flat = np.stack([inside[x] for x in names], axis=1).reshape(-1)
-                offsets = pa.array(np.arange(len(unique) + 1) * len(names), pa.int32())
+                own = np.stack([words[first + j] for j in range(k)], axis=1)
                 tellings.append(
                     pa.RecordBatch.from_arrays(
                         [
@@ -387,14 +386,12 @@ def _spelled(held, longest: int, parts: int):
                             pa.array([langs[i] for i in text_of.tolist()], pa.string()),
                             pa.array([b" ".join(joined[starts[f + j] : ends[f + j]] for j in range(k)) for f in first.tolist()], pa.binary()).cast(pa.string()),
                             pa.array(np.full(len(unique), k), pa.int32()),
-                            pa.ListArray.from_arrays(offsets, pa.array(np.tile([i for i, _ in names], len(unique)), pa.int32())),
-                            pa.ListArray.from_arrays(offsets, pa.array(np.tile([n for _, n in names], len(unique)), pa.int32())),
-                            pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(unique) + 1) * k, pa.int32()), pa.array(own.reshape(-1).view(np.int64))),
                         ],
                         schema=_TOLD,
                     )
                 )
-            if len(told) > _FOUND // 4:  # what the task forgets it tells again
+            if len(told) > _FOUND // 16:  # what the task forgets it tells again
                 yield from flush()
                 told, tellings = np.zeros(0, dtype=np.uint64), []
         yield from flush()
@@ -410,10 +407,26 @@ def _sent(rows: pa.Table) -> bytes:
 
 
 def _told_once(found: pa.Table) -> pa.Table:
-    """Of what tasks have told of a part, each phrase once."""
+    """Of what tasks have told of a part, each phrase once, with the hashes of its parts in the order of _places()."""
     rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in found.column("told").to_pylist()]).combine_chunks()
     _, first = np.unique(rows.column("h").to_numpy(), return_index=True)
-    return rows.take(pa.array(first)).cast(_TOLD)
+    rows = rows.take(pa.array(first)).combine_chunks()
+    k_of, out = rows.column("k").to_numpy(), []
+    for k in np.unique(k_of).tolist():
+        own = rows.filter(pa.array(k_of == k)).combine_chunks()
+        words = own.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, k)
+        inside = {}
+        for i, n in _places(k):
+            inside[i, n] = words[:, i] if n == 1 else _grown(inside[i, n - 1], words[:, i + n - 1])
+        flat = np.stack([inside[x] for x in _places(k)], axis=1)
+        offsets = pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32())
+        hashes = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(flat).reshape(-1).view(np.int64)))
+        out.append(own.select(["h", "lang", "phrase", "k"]).append_column("hashes", hashes))
+    return pa.concat_tables(out)
+
+
+def _laid(k: int):
+    return F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("len")) for i, n in _places(k)])
 
 
 def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: int = 2000, shards: int = 3, longest: int = LONGEST, slots: int = 1 << 22) -> DataFrame:
@@ -438,13 +451,12 @@ def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: in
     counts, held = count_phrases([scanned.where(F.col("shard") == j).select("tokens") for j in range(shards)], words, minimum, longest, slots)
     drop(scanned)
     shared = spark.sparkContext.broadcast(held)
-    kinds = "h long, lang string, phrase string, k int, starts array<int>, lengths array<int>, hashes array<long>"
+    kinds = "h long, lang string, phrase string, k int, hashes array<long>"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // _PART_WORDS), 1)
     spelled = given.mapInArrow(_spelled(shared, longest, parts), "part int, told binary").groupBy("part").applyInArrow(_told_once, kinds)
     found = save(spelled.join(counts.select("h", "a"), "h"), "candidates")
-    parts = found.select("h", "k", "a", F.posexplode(F.arrays_zip("starts", "lengths", "hashes")).alias("i", "part")).select(
-        "h", "k", "a", F.col("part.starts").alias("at"), F.col("part.lengths").alias("len"), F.col("part.hashes").alias("of")
-    )
+    lay = reduce(lambda out, k: out.when(F.col("k") == k, _laid(k)), range(3, longest + 1), F.when(F.col("k") == 2, _laid(2)))
+    parts = found.select("h", "k", "a", F.explode(F.arrays_zip(lay.alias("lay"), F.col("hashes").alias("of"))).alias("x")).select("h", "k", "a", "x.lay.at", "x.lay.len", "x.of")
     inside = parts.where("len between 2 and k - 1").groupBy(F.col("of").alias("h")).agg(F.max("a").alias("longer"))
     sizes = counts.select(F.col("h").alias("of"), F.col("a").alias("size"))
     halves = parts.where("len < k and (at = 0 or at + len = k)").join(sizes, "of")
