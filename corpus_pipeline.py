@@ -19,28 +19,48 @@ from tallyforge.llm.suffix_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null texts are empty and scored like them; rows with equal texts go or stay together; without labels nothing is
+    learned and the score is 0.5, which keeps all; an empty table stays empty; all columns stay.
+    """
     return keep_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, that with the smallest id stays."""
+    """Of each group of linked documents, that with the smallest id stays.
+
+    Texts without words link with nothing and stay; of equal rows one stays; a null id gives way to any id; an empty table
+    stays empty; all columns stay.
+    """
     return keep_one_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every byte inside a 200-byte string that also starts elsewhere goes; documents stay, if need be empty."""
+    """Every byte inside a 200-byte string that also starts elsewhere goes; documents stay, if need be empty.
+
+    Null texts become empty ones; a cut inside a character takes what is left of it too, so that texts stay UTF-8; rows
+    with equal texts lose the same; n_chars is that of what is left; an empty table stays empty; all columns stay.
+    """
     kept = remove_repeats(docs, as_text=True)
     return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a verified benchmark passage go."""
+    """Documents with a verified benchmark passage go.
+
+    Null and empty texts and items match nothing; rows with equal texts go or stay together; without items, or rows, all
+    stay as they are; all columns stay.
+    """
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens."""
+    """Pieces of the documents in sequences of at most 4096 tokens.
+
+    A null text is empty, and an empty text is its closing id alone; rows with equal ids are packed each for itself; an
+    empty table gives no pieces. Only the pieces' columns are returned.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
