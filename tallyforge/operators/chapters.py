@@ -15,6 +15,17 @@ ASSIGNMENT = {
 }
 
 
+#: Chapters that are sent to all tasks at most; each entity gets a result for each chapter, so that there are few.
+MOST_CHAPTERS = 10_000
+
+
+def every_chapter(rows: DataFrame) -> DataFrame:
+    """(chapter_id) of rows, to be put beside all entities; sent to all tasks only where their number is within the bound,
+    which is looked at."""
+    chapters = rows.select("chapter_id").distinct()
+    return F.broadcast(chapters) if chapters.limit(MOST_CHAPTERS + 1).count() <= MOST_CHAPTERS else chapters
+
+
 def match_rules(resolutions: DataFrame, rules: DataFrame) -> DataFrame:
     """Outcome and rule of every resolution in every chapter that has rules.
 
@@ -34,8 +45,7 @@ def match_rules(resolutions: DataFrame, rules: DataFrame) -> DataFrame:
     r = r.groupBy("chapter_id", "effect", "target_type", "target_id", "postal_type").agg(F.max("rule_id").alias("rule_id")).withColumn("_order", place)
     hits = resolutions.select("location_id", targets.alias("t")).select("location_id", "t.*").where("target_id is not null").join(r, ["target_type", "target_id", "postal_type"])
     best = hits.groupBy("location_id", "chapter_id").agg(F.min(F.struct("_order", "rule_id", "effect")).alias("_b"))
-    chapters = rules.select("chapter_id").distinct()  # one row for each chapter
-    rows = resolutions.crossJoin(F.broadcast(chapters)).join(best, ["location_id", "chapter_id"], "left")
+    rows = resolutions.crossJoin(every_chapter(rules)).join(best, ["location_id", "chapter_id"], "left")
     outcome = (
         F.when(F.col("_b.effect") == "EXCLUDE", "EXCLUDED_BY_RULE")
         .when(F.col("_b.effect") == "INCLUDE", "INCLUDED_BY_RULE")
@@ -72,7 +82,7 @@ def evaluate_chapters(entities: DataFrame, matched: DataFrame, overrides: DataFr
     chosen = select_location(matched)
     reason = F.col("reason") if "reason" in overrides.columns else F.lit("")
     manual = overrides.where("status = 'ACTIVE'").groupBy("chapter_id", "entity_id").agg(F.max(F.struct("override_type", reason.alias("reason"))).alias("_o"))
-    rows = entities.crossJoin(F.broadcast(chapters.select("chapter_id").distinct()))  # one row for each chapter
+    rows = entities.crossJoin(every_chapter(chapters))
     rows = rows.join(chosen, ["chapter_id", "entity_id"], "left").join(manual, ["chapter_id", "entity_id"], "left")
     rows = rows.join(locations.select("entity_id").distinct().withColumn("_placed", F.lit(True)), "entity_id", "left").withColumn("override_type", F.col("_o.override_type"))
     none = F.when(F.col("_placed"), "NO_CURRENT_RESOLVED_LOCATION").otherwise("NO_CURRENT_LOCATION")
@@ -197,7 +207,7 @@ def overlaps(assignments: DataFrame, chapters: DataFrame | None = None) -> DataF
     if chapters is None:
         kept = own.groupBy("entity_id").agg(F.array_sort(F.collect_set("chapter_id")).alias("chapter_ids"))
         return kept.where(F.size("chapter_ids") > 1)
-    named = F.broadcast(chapters.where("status = 'ACTIVE'").select("chapter_id", "chapter_name"))  # one row for each chapter
+    named = chapters.where("status = 'ACTIVE'").select("chapter_id", "chapter_name")
     kept = own.join(named, "chapter_id").groupBy("entity_id").agg(F.array_sort(F.collect_set(F.struct("chapter_id", "chapter_name"))).alias("_c"))
     return kept.where(F.size("_c") > 1).select("entity_id", F.col("_c.chapter_id").alias("chapter_ids"), F.col("_c.chapter_name").alias("chapter_names"))
 

@@ -220,8 +220,8 @@ def explain_resolutions(resolutions: DataFrame, locations: DataFrame, places: Da
     A place was found by an alias where its own name is not the city that was observed.
     """
     named = places.groupBy("place_id").agg(F.min("name").alias("_place"))
-    rows = resolutions.join(locations.select("location_id", "city", "zip"), "location_id").join(F.broadcast(named), "place_id", "left")
-    rows = rows.join(F.broadcast(counties.select("county_id", "county_name")), "county_id", "left")
+    rows = resolutions.join(locations.select("location_id", "city", "zip"), "location_id").join(named, "place_id", "left")
+    rows = rows.join(counties.select("county_id", "county_name"), "county_id", "left")
     name, method, rule = F.upper(F.trim(F.coalesce("city", F.lit("")))), F.col("match_method"), F.col("candidate_rule")
     alias = F.col("_place") != name
     kind = (

@@ -367,7 +367,7 @@ def states_at(requests: DataFrame, payments: DataFrame, rules: DataFrame, covera
     """
     far = F.lit("9999-12-31").cast("date")
     asked = requests.withColumn("_day", F.coalesce("upto", far))
-    wanted = asked.select("entity_id", "rule_version_id").distinct().join(F.broadcast(rules), "rule_version_id")
+    wanted = asked.select("entity_id", "rule_version_id").distinct().join(rules, "rule_version_id")
     line = Window.partitionBy("entity_id", "rule_version_id").orderBy("transaction_date")
     valid = F.col("gap").between(F.col("monthly_interval_min"), F.col("monthly_interval_max"))
     running = (
@@ -384,7 +384,7 @@ def states_at(requests: DataFrame, payments: DataFrame, rules: DataFrame, covera
     )
     both = running.unionByName(asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     order = Window.partitionBy("entity_id", "rule_version_id").orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumn("_facts", F.last("_facts", ignorenulls=True).over(order)).where("_kind = 1").join(F.broadcast(rules), "rule_version_id")
+    rows = both.withColumn("_facts", F.last("_facts", ignorenulls=True).over(order)).where("_kind = 1").join(rules, "rule_version_id")
     n, verified = F.coalesce("_facts.n", F.lit(0)), F.col("verification_status") == "VERIFIED"
     recurring = F.col("_facts.regular") >= F.col("min_recurring_payments") - 1
     recent = F.datediff("evaluation_date", "_facts.last_payment") <= F.col("active_grace_period")
@@ -408,7 +408,7 @@ def audit_states(assessments: DataFrame, entities: DataFrame, payments: DataFram
     best-effort one, or has no evidence if neither rule nor day was stored.
     """
     known = rules.select("rule_version_id", F.col("rule_version_id").alias("_known"))  # a rule that is not there any more is none
-    own = assessments.where("is_current").join(entities.select("entity_id", "entity_type", "verification_status"), "entity_id").join(F.broadcast(known), "rule_version_id", "left")
+    own = assessments.where("is_current").join(entities.select("entity_id", "entity_type", "verification_status"), "entity_id").join(known, "rule_version_id", "left")
     repair = own.select(
         F.struct("assessment_id", F.lit(False).alias("history")).alias("request_id"), "entity_id", "entity_type", "verification_status",
         F.lit(current).cast("long").alias("rule_version_id"), F.lit(coverage.through).alias("evaluation_date"), F.lit(None).cast("date").alias("upto"),
