@@ -37,7 +37,7 @@ _TOGETHER = 1 << 20
 _WORDS_TOGETHER = 1 << 19
 #: Different phrases that a task holds before it tells them, and words for which the state has a part.
 _FOUND = 1 << 20
-_PART_WORDS = 1 << 22
+_PART_WORDS = 1 << 19
 
 
 def _language(lang: str) -> np.uint64:
@@ -146,12 +146,15 @@ def _active(words: np.ndarray, held: Reached, longest: int):
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The first bytes of all values, then their second ones, ...: what is mostly zero then takes no room on disk."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """The first bytes of all values, then their second ones, ..., compressed: what is mostly zero then takes no room."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _values(planes: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
+    size = int.from_bytes(planes[:8], "little")
+    plain = pa.decompress(planes[8:], decompressed_size=size, codec="zstd") if size else b""
+    return np.ascontiguousarray(np.frombuffer(plain, dtype=np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def _packed(hashes: np.ndarray) -> bytes:
