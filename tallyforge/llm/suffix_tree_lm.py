@@ -4,10 +4,11 @@ A text is its words, each followed by a space, then one end symbol. Contexts are
 context stays in the tree if it occurs LEAST times and its next-symbol distribution diverges from that of its own
 suffix by more than the description of its parameters costs. Distributions are smoothed down the tree; the state at
 each symbol is the longest suffix in the tree. A word's probability is that of its symbols, mixed with that of the
-word in a unigram model with the weight WORD_SHARE: a tree over bytes has to spell every word that training lacks,
-which costs more than the one count that the unigram model gives all of them.
+word in a unigram model with the weight WORD_SHARE. What the unigram model leaves to words that training lacks is dealt
+among them by their spelling in the tree, so that the probabilities of all words after a text sum to at most one.
 
-Beside the score there is that of the unigram model alone; its counts cover all training tokens.
+Beside the score there is that of the unigram model alone; its counts cover all training tokens, and it gives each unknown
+word all that is left to unknown words, which makes it higher than a probability where many words are unknown.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import drop, fold, mix64, release, rolling, save, slices, table, te
 DEPTH = 7
 #: Shorter contexts all stay; longer ones need this many occurrences, whatever the size of the corpus.
 SURE, LEAST = 3, 8
-WORD_SHARE = 0.3
+WORD_SHARE = 0.1
 END = 0x0A
 _PAD = bytes([END]) * DEPTH
 _BYTES = 2 << 20
@@ -189,6 +190,13 @@ def _numbers(packed: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpacked(packed), dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def mix(tree: np.ndarray, base: np.ndarray, known: np.ndarray, share: float) -> np.ndarray:
+    """log10 of the probabilities of words, from those of their symbols and, with this share, those of the unigram model."""
+    word = base + np.where(known, 0.0, tree)
+    high = np.maximum(tree, word)
+    return high + np.log10((1 - share) * 10 ** (tree - high) + share * 10 ** (word - high))
+
+
 _UNIT = pa.schema([("unit", pa.int64()), ("rids", pa.binary()), ("trains", pa.binary()), ("streams", pa.binary()), ("symbols", pa.int64())])
 _DEALT = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _PART = "bucket int, unit long, keys binary, counts binary"
@@ -394,8 +402,7 @@ def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once:
             by_symbol[order] = np.repeat(p, np.diff(np.append(first_of, len(codes))))
             tree = np.add.reduceat(by_symbol, starts)
             base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
-            high = np.maximum(tree, base)
-            mixed = high + np.log10((1 - WORD_SHARE) * 10 ** (tree - high) + WORD_SHARE * 10 ** (base - high))
+            mixed = mix(tree, base, c > 0, WORD_SHARE)
             per = lambda x: np.add.reduceat(x, first)
             cols = (np.frombuffer(rids, dtype=np.int64), np.diff(np.append(first, len(c))), per((c > 0).astype(np.int64)), np.full(len(first), tokens), per(base), per(mixed))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, scores_schema.types, strict=True)], schema=scores_schema)

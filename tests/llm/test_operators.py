@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -485,7 +486,8 @@ def test_parts_of_the_suffix_tree_score_as_the_whole(docs, monkeypatch, rounds):
 
 
 def test_scores_mix_tree_and_words(docs):
-    """Word by word: 0.3 of the word's unigram probability and 0.7 of what the tree gives its symbols."""
+    """Word by word: 0.1 of the word's unigram probability and 0.9 of what the tree gives its symbols; the unigram
+    probability of unknown words is dealt among them by the tree."""
     source = docs.select("doc_id", "text").collect()
     train = [r for r in source if zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 != 1]
     counts = Counter(w for r in train for w in [*tokens(r["text"]), None])
@@ -501,14 +503,33 @@ def test_scores_mix_tree_and_words(docs):
         by_symbol, begin = tree.log10(found)[at], 0
         for w in [*tokens(r["text"]), None]:
             end = begin + (1 if w is None else len(w.encode()) + 1)
-            want += np.log10(0.3 * (counts[w] + 0.5) / (total + 0.5 * (distinct + 1)) + 0.7 * 10 ** by_symbol[begin:end].sum())
+            spelled = 10 ** by_symbol[begin:end].sum()
+            want += np.log10(0.1 * (counts[w] + 0.5) / (total + 0.5 * (distinct + 1)) * (1 if counts[w] else spelled) + 0.9 * spelled)
             begin = end
         assert any(abs(x - want) < 0.011 + 1e-5 * abs(want) for x in got[r["doc_id"], len(tokens(r["text"])) + 1])
 
 
-@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="needs the synthetic documents")
+def test_probabilities_of_all_words_sum_to_at_most_one():
+    """Every word of at most four letters of a small alphabet after a text, known or not, and the end: the mass that is
+    given stays at most one and grows with the length allowed, and what is known has its share of it."""
+    streams = [suffix_tree_lm.symbols(t) for t in [b"ab ba abc ab cab b a", b"ba ba cab abc a b", b"abc ab a"] * 5]
+    tree = suffix_tree_lm.grow(*suffix_tree_lm._counted(suffix_tree_lm._codes(streams)[0]))
+    counts = Counter(w for s in streams for w in [*s.split(), None])
+    total, distinct = sum(counts.values()), len(counts)
+    for before in (b"", b"ab ", b"ba cab "):
+        mass = []
+        for longest in (1, 2, 3, 4):
+            chosen = [None, *(bytes(w) for n in range(1, longest + 1) for w in itertools.product(b"abcz", repeat=n))]
+            spelled = tree.score([before + (b"\n" if w is None else w + b" ") for w in chosen]) - (tree.score([before])[0] if before else 0)
+            c = np.array([counts[w] for w in chosen])
+            mass.append((10 ** suffix_tree_lm.mix(spelled, np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))), c > 0, suffix_tree_lm.WORD_SHARE)).sum())
+        assert mass == sorted(mass) and 0.5 < mass[-1] <= 1 + 1e-9
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="needs the synthetic documents")
 def test_held_out_texts_score_above_the_unigram_model(spark):
-    row = suffix_tree_lm.op3_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
+    """Also above the one that gives each unknown word the mass of all; a tree of few texts spells those too dearly for that."""
+    row = suffix_tree_lm.op3_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
     assert row["s"] > row["b"] + 0.15
 
 
