@@ -338,7 +338,7 @@ def count_phrases(tokens: list[DataFrame], words: int, minimum: int, longest: in
     return reached, held
 
 
-_TOLD = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("words", pa.list_(pa.int64()))])
+_TOLD = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("told", pa.binary())])
 
 
 def _places(k: int) -> list[tuple[int, int]]:
@@ -347,21 +347,21 @@ def _places(k: int) -> list[tuple[int, int]]:
 
 
 def _spelled(held, longest: int, parts: int):
-    """(lang, text) -> (part, told): each known phrase once a task, of each part in one piece."""
+    """(lang, text) -> (part, lang, told): each known phrase once a task, those of a part and language in one piece. Only
+    the words are sent, in order, since hashes follow from them and hardly compress."""
+
+    def flush(found: list[pa.RecordBatch]):
+        if not found:
+            return
+        rows = pa.Table.from_batches(found).sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+        of, langs, phrases = rows.column("part").to_pylist(), rows.column("lang").to_pylist(), rows.column("phrase").to_pylist()
+        cuts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1] or langs[i] != langs[i - 1]), len(of)]
+        told = [_line(phrases[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array([c[x] for x in cuts[:-1]], t) for c, t in zip((of, langs), _TOLD.types, strict=False)] + [pa.array(told, pa.binary())], schema=_TOLD)
 
     def run(batches):
         tables = held.value
-        told, tellings = np.zeros(0, dtype=np.uint64), []
-
-        def flush():
-            if tellings:
-                rows = pa.Table.from_batches(tellings).combine_chunks()
-                order = np.argsort(rows.column("h").to_numpy().view(np.uint64), kind="stable")
-                rows = rows.take(pa.array(order))
-                at = _dealt(rows.column("h").to_numpy().view(np.uint64), parts)
-                own = [p for p in range(parts) if at[p + 1] > at[p]]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_sent(rows.slice(at[p], at[p + 1] - at[p])) for p in own], pa.binary())], ["part", "told"])
-
+        told, found, size = np.zeros(0, dtype=np.uint64), [], 0
         for (langs,), texts in _groups(batches, ("lang",)):
             joined, starts, ends, words, new, firsts = _words(texts, langs)
             if not len(words):
@@ -374,57 +374,60 @@ def _spelled(held, longest: int, parts: int):
             for k, places, hashes, _, _ in _active(spread, tables, longest):
                 known = tables.known(hashes)
                 unique, one = np.unique(hashes[known], return_index=True)
-                fresh = ~np.isin(unique, told, kind="sort")
+                near = np.minimum(np.searchsorted(told, unique), max(len(told) - 1, 0))
+                fresh = told[near] != unique if len(told) else np.ones(len(unique), dtype=bool)
                 unique, one = unique[fresh], one[fresh]
-                first = word_at[places[known][one]]
-                if not len(first):
+                if not len(unique):
                     continue
-                told = np.concatenate([told, unique])
+                first = word_at[places[known][one]]
+                told = np.sort(np.concatenate([told, unique]), kind="stable")
                 text_of = np.searchsorted(firsts, first, side="right") - 1
-                own = np.stack([words[first + j] for j in range(k)], axis=1)
-                tellings.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(unique.view(np.int64)),
-                            pa.array([langs[i] for i in text_of.tolist()], pa.string()),
-                            pa.array([b" ".join(joined[starts[f + j] : ends[f + j]] for j in range(k)) for f in first.tolist()], pa.binary()).cast(pa.string()),
-                            pa.array(np.full(len(unique), k), pa.int32()),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(unique) + 1) * k, pa.int32()), pa.array(own.reshape(-1).view(np.int64))),
-                        ],
-                        schema=_TOLD,
-                    )
-                )
-            if len(told) > _FOUND // 16:  # what the task forgets it tells again
-                yield from flush()
-                told, tellings = np.zeros(0, dtype=np.uint64), []
-        yield from flush()
+                part_of = np.repeat(np.arange(parts), np.diff(_dealt(unique, parts)))
+                phrases = [b" ".join(joined[starts[f + j] : ends[f + j]] for j in range(k)) for f in first.tolist()]
+                found.append(pa.RecordBatch.from_arrays([pa.array(part_of, pa.int32()), pa.array([langs[i] for i in text_of.tolist()], pa.string()), pa.array(phrases, pa.binary())], ["part", "lang", "phrase"]))
+                size += len(unique)
+            if size > _FOUND // 16:
+                yield from flush(found)
+                found, size = [], 0
+            if len(told) > _FOUND:  # what the task forgets it tells again
+                told = np.zeros(0, dtype=np.uint64)
+        yield from flush(found)
 
     return run
 
 
-def _sent(rows: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
-        out.write_table(rows)
-    return sink.getvalue().to_pybytes()
+def _line(phrases: list[bytes]) -> bytes:
+    """Phrases, which hold no line breaks, as compressed lines."""
+    data = b"\n".join(phrases)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _lines(told: bytes) -> list[bytes]:
+    return pa.decompress(told[8:], decompressed_size=int.from_bytes(told[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
 
 
 def _told_once(found: pa.Table) -> pa.Table:
     """Of what tasks have told of a part, each phrase once, with the hashes of its parts in the order of _places()."""
-    rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in found.column("told").to_pylist()]).combine_chunks()
-    _, first = np.unique(rows.column("h").to_numpy(), return_index=True)
-    rows = rows.take(pa.array(first)).combine_chunks()
-    k_of, out = rows.column("k").to_numpy(), []
+    phrases, of = [], []
+    for lang, told in zip(found.column("lang").to_pylist(), found.column("told").to_pylist(), strict=True):
+        lines = _lines(told)
+        phrases += lines
+        of += [lang] * len(lines)
+    once = list(dict.fromkeys(zip(of, phrases, strict=True)))
+    of, phrases = [lang for lang, _ in once], [phrase for _, phrase in once]
+    _, _, _, words, _, firsts = _words(phrases, of)
+    k_of, out = np.diff(firsts), []
+    langs, texts = pa.array(of, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())
     for k in np.unique(k_of).tolist():
-        own = rows.filter(pa.array(k_of == k)).combine_chunks()
-        words = own.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, k)
+        own = np.flatnonzero(k_of == k)
         inside = {}
         for i, n in _places(k):
-            inside[i, n] = words[:, i] if n == 1 else _grown(inside[i, n - 1], words[:, i + n - 1])
+            word = words[firsts[own] + i + n - 1]
+            inside[i, n] = word if n == 1 else _grown(inside[i, n - 1], word)
         flat = np.stack([inside[x] for x in _places(k)], axis=1)
-        offsets = pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32())
-        hashes = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(flat).reshape(-1).view(np.int64)))
-        out.append(own.select(["h", "lang", "phrase", "k"]).append_column("hashes", hashes))
+        hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(np.ascontiguousarray(flat).reshape(-1).view(np.int64)))
+        columns = [pa.array(inside[0, k].view(np.int64)), langs.take(pa.array(own)), texts.take(pa.array(own)), pa.array(np.full(len(own), k), pa.int32()), hashes]
+        out.append(pa.Table.from_arrays(columns, ["h", "lang", "phrase", "k", "hashes"]))
     return pa.concat_tables(out)
 
 
@@ -456,7 +459,7 @@ def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: in
     shared = spark.sparkContext.broadcast(held)
     kinds = "h long, lang string, phrase string, k int, hashes array<long>"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // _PART_WORDS), 1)
-    spelled = given.mapInArrow(_spelled(shared, longest, parts), "part int, told binary").groupBy("part").applyInArrow(_told_once, kinds)
+    spelled = given.mapInArrow(_spelled(shared, longest, parts), "part int, lang string, told binary").groupBy("part").applyInArrow(_told_once, kinds)
     found = save(spelled.join(counts.select("h", "a"), "h"), "candidates")
     lay = reduce(lambda out, k: out.when(F.col("k") == k, _laid(k)), range(3, longest + 1), F.when(F.col("k") == 2, _laid(2)))
     parts = found.select("h", "k", "a", F.explode(F.arrays_zip(lay.alias("lay"), F.col("hashes").alias("of"))).alias("x")).select("h", "k", "a", "x.lay.at", "x.lay.len", "x.of")
