@@ -73,26 +73,46 @@ CONSTRAINTS: dict[str, list[Unique | Check]] = {
 }
 
 
-def violations_of(rows: DataFrame, constraints: Sequence[Unique | Check]) -> DataFrame:
-    """Q1: (check, key, n) of all constraints of a table, from one scan and one aggregation.
-
-    Each row says which keys it claims and which checks it breaks; a key that is claimed more than once is a violation.
-    Rows without a claim or a break are not shuffled, and equal claims are added up before the shuffle.
-    """
+def _claims(rows: DataFrame, constraints: Sequence[Unique | Check], first: int) -> DataFrame:
+    """(_c, key): each row says which keys it claims and which checks it breaks; constraints are numbered from first."""
     told = []
-    for c in constraints:
+    for i, c in enumerate(constraints, first):
         if isinstance(c, Unique):
-            known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in c.keys])
-            told.append(F.when(known & F.expr(c.where), F.struct(F.lit(c.name).alias("check"), F.concat_ws(":", *[F.col(k).cast("string") for k in c.keys]).alias("key"), F.lit(False).alias("broken"))))
+            hit = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in c.keys]) & F.expr(c.where)
+            key = F.concat_ws(":", *[F.col(k).cast("string") for k in c.keys])
         else:
-            told.append(F.when(~F.expr(c.holds), F.struct(F.lit(c.name).alias("check"), F.col(c.key).cast("string").alias("key"), F.lit(True).alias("broken"))))
-    counts = rows.select(F.explode(F.array_compact(F.array(*told))).alias("x")).groupBy("x.check", "x.key").agg(F.count("*").alias("n"), F.max("x.broken").alias("_b"))
-    return counts.where("_b or n > 1").select("check", "key", "n")
+            hit, key = ~F.expr(c.holds), F.col(c.key).cast("string")
+        told.append(F.when(hit, F.struct(F.lit(i).alias("_c"), key.alias("key"))))
+    return rows.select(F.explode(F.array_compact(F.array(*told))).alias("x")).select("x._c", "x.key")
+
+
+def _violations(tables: Sequence[tuple[DataFrame, Sequence[Unique | Check]]]) -> DataFrame:
+    """Q1: (check, key, n), from one scan of each table and one shuffle and aggregation of all their claims.
+
+    A key that is claimed more than once is a violation. Nearly all claims are unlike, so that adding them up before the
+    shuffle would only hold a scan's share of rows in memory; they are dealt first, over all shuffle partitions (a number
+    that is named is not merged into fewer), and a task adds up its own.
+    """
+    every, claims = [], []
+    for rows, constraints in tables:
+        claims.append(_claims(rows, constraints, len(every)))
+        every += constraints
+    union = reduce(DataFrame.unionByName, claims)
+    parts = int(union.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = union.repartition(parts, "_c", "key").groupBy("_c", "key").agg(F.count("*").alias("n"))
+    broken = [i for i, c in enumerate(every) if isinstance(c, Check)]
+    names = F.array(*[F.lit(c.name) for c in every])
+    return counts.where((F.col("n") > 1) | F.col("_c").isin(broken)).select(F.get(names, F.col("_c")).alias("check"), "key", "n")
+
+
+def violations_of(rows: DataFrame, constraints: Sequence[Unique | Check]) -> DataFrame:
+    """Q1: (check, key, n) of all constraints of a table."""
+    return _violations([(rows, constraints)])
 
 
 def check_invariants(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Q1: the constraints of the data model, for the tables that are given."""
-    return reduce(DataFrame.unionByName, [violations_of(df, CONSTRAINTS[name]) for name, df in tables.items()])
+    return _violations([(df, CONSTRAINTS[name]) for name, df in tables.items()])
 
 
 def references(name: str, rows: DataFrame, column: str, target: DataFrame, key: str) -> DataFrame:
