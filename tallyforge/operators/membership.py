@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dealing import dealt
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -69,9 +71,11 @@ def active_contributions(contributions: DataFrame, assignments: DataFrame, batch
 
 
 def net_payments(payments: DataFrame, key: str) -> DataFrame:
-    """M2: (key, transaction_date, net): contributions less all else of a day, where that is over zero."""
+    """M2: (key, transaction_date, net): contributions less all else of a day, where that is over zero.
+
+    Payments are dealt by key, so that intervals and counts by key need no other shuffle."""
     signed = F.when(F.col("transaction_type") == "CONTRIBUTION", F.col("amount")).otherwise(-F.abs("amount"))
-    return payments.groupBy(key, "transaction_date").agg(F.sum(signed).alias("net")).where("net > 0")
+    return dealt(payments.select(key, "transaction_date", "transaction_type", "amount"), key).groupBy(key, "transaction_date").agg(F.sum(signed).alias("net")).where("net > 0")
 
 
 def payment_intervals(net: DataFrame, key: str) -> DataFrame:
@@ -88,10 +92,11 @@ def _gap_kinds(rule: Rule):
 def recurrence_counts(net: DataFrame, key: str, rule: Rule = Rule()) -> DataFrame:
     """M4 and the aggregates that M5 and M6 need; one row for each key with a net payment."""
     valid, skipped = _gap_kinds(rule)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("transaction_date")))
+    # a payment without a third one after it is of the last three; one order of a key's payments serves both columns
+    third = F.lead("transaction_date", 3).over(Window.partitionBy(key).orderBy("transaction_date"))
     return (
         payment_intervals(net, key)
-        .withColumn("_rank", rank)
+        .withColumn("_third", third)
         .groupBy(key)
         .agg(
             F.count("*").alias("n_payments"),
@@ -99,7 +104,7 @@ def recurrence_counts(net: DataFrame, key: str, rule: Rule = Rule()) -> DataFram
             F.count_if(skipped).alias("skipped_gaps"),
             F.count_if(F.col("gap").isNotNull() & ~valid & ~skipped).alias("other_gaps"),
             F.max("transaction_date").alias("last_payment"),
-            F.sum(F.when(F.col("_rank") <= 3, F.col("net"))).alias("last_three"),
+            F.sum(F.when(F.col("_third").isNull(), F.col("net"))).alias("last_three"),
             F.transform(F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("transaction_date", "gap")))), lambda x: x["gap"]).alias("interval_days"),
         )
         .withColumn("is_recurring", F.col("valid_gaps") + F.col("skipped_gaps") >= rule.min_recurring_payments - 1)

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dealing import dealt
+
 
 @dataclass(frozen=True)
 class Unique:
@@ -90,16 +92,14 @@ def _violations(tables: Sequence[tuple[DataFrame, Sequence[Unique | Check]]]) ->
     """Q1: (check, key, n), from one scan of each table and one shuffle and aggregation of all their claims.
 
     A key that is claimed more than once is a violation. Nearly all claims are unlike, so that adding them up before the
-    shuffle would only hold a scan's share of rows in memory; they are dealt first, over all shuffle partitions (a number
-    that is named is not merged into fewer), and a task adds up its own.
+    shuffle would only hold a scan's share of rows in memory; they are dealt first, and a task adds up its own.
     """
     every, claims = [], []
     for rows, constraints in tables:
         claims.append(_claims(rows, constraints, len(every)))
         every += constraints
     union = reduce(DataFrame.unionByName, claims)
-    parts = int(union.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = union.repartition(parts, "_c", "key").groupBy("_c", "key").agg(F.count("*").alias("n"))
+    counts = dealt(union, "_c", "key").groupBy("_c", "key").agg(F.count("*").alias("n"))
     broken = [i for i, c in enumerate(every) if isinstance(c, Check)]
     names = F.array(*[F.lit(c.name) for c in every])
     return counts.where((F.col("n") > 1) | F.col("_c").isin(broken)).select(F.get(names, F.col("_c")).alias("check"), "key", "n")

@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dealing import dealt
 from ..sources.versions import Versioned
 from . import membership
 
@@ -32,16 +33,20 @@ def memberships(entities: DataFrame, payments: DataFrame, rule: membership.Rule,
 
 
 def refresh_patterns(store: Versioned, changed: DataFrame, clusters: DataFrame, payments: DataFrame, rule: membership.Rule, run: int) -> list[int]:
-    """Patterns of the changed clusters, merged into the store; a cluster that is gone loses its row."""
+    """Patterns of the changed clusters, merged into the store; a cluster that is gone loses its row.
+
+    Payments are dealt before they meet the keys: a deal after that join is left out by Spark, as one by the same key, and
+    a semi join would be moved ahead of it. The keys are distinct."""
     keys = changed.select("cluster_id").distinct()
-    new = patterns(clusters.join(keys, "cluster_id", "left_semi"), payments.join(keys, "cluster_id", "left_semi"), rule)
+    new = patterns(clusters.join(keys, "cluster_id", "left_semi"), dealt(payments, "cluster_id").join(keys, "cluster_id"), rule)
     return store.merge(keys, new, run)
 
 
 def refresh_memberships(store: Versioned, changed: DataFrame, entities: DataFrame, payments: DataFrame, rule: membership.Rule, coverage: membership.Coverage, day: date, run: int) -> list[int]:
-    """Memberships of the changed entities, merged into the store; an entity that is gone loses its row."""
+    """Memberships of the changed entities, merged into the store; an entity that is gone loses its row. Payments are dealt
+    as in refresh_patterns()."""
     keys = changed.select("entity_id").distinct()
-    new = memberships(entities.join(keys, "entity_id", "left_semi"), payments.join(keys, "entity_id", "left_semi"), rule, coverage, day)
+    new = memberships(entities.join(keys, "entity_id", "left_semi"), dealt(payments, "entity_id").join(keys, "entity_id"), rule, coverage, day)
     return store.merge(keys, new, run)
 
 

@@ -58,7 +58,7 @@ class Versioned:
         return self._read({p: r for p, r in self._pointers(before=run).items() if p in parts}, schema).drop("part", "run")
 
     def _publish(self, rows: DataFrame, run: int, touched: list[int], pointers: dict[int, int]) -> None:
-        dealt = rows.withColumns({"part": self.part(), "run": F.lit(run).cast("long")}).repartition(max(1, min(len(touched), self.parts)), "part")
+        dealt = rows.withColumns({"part": self.part(), "run": F.lit(run).cast("long")}).hint("rebalance", "part")  # a large part is several tasks
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "part").parquet(f"{self.path}/rows")
         new = pointers | dict.fromkeys(touched, run)
         self.spark.createDataFrame([(p, r, run) for p, r in new.items()], "part int, run long, at long").coalesce(1).write.mode("overwrite").option(

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.operators import quality
+from datetime import date, timedelta
+from decimal import Decimal
+from glob import glob
+
+from pyspark.sql import functions as F
+
+from tallyforge.operators import membership, quality, reevaluation
+from tallyforge.sources.versions import Versioned
 
 
 def plan_of(df) -> str:
@@ -16,11 +23,48 @@ def test_constraints_are_added_up_once_after_their_claims_are_dealt(spark):
     amendments = spark.createDataFrame([(1, 4, 4), (2, 4, 5), (3, 4, 5), (4, None, 5), (5, None, 5)], "amendment_id long, original_contribution_id long, replacement_contribution_id long")
     patterns = spark.createDataFrame([(1,), (2,), (2,), (2,), (None,), (None,)], "cluster_id long")
     found = quality.check_invariants({"raw_rows": raw, "amendments": amendments, "patterns": patterns})
+    plan = plan_of(found)
     assert sorted(map(tuple, found.collect())) == [
         ("amendment is not of itself", "1", 1), ("one amendment for a pair", "4:5", 2), ("one pattern for a cluster", "2", 3), ("one row for a place in a batch", "1:1", 2),
     ]
     assert found.columns == ["check", "key", "n"]
     # a scan holds no keys: nothing is added up before the shuffle, and its number of parts is named, so that it stays
-    exchanges = [line for line in plan_of(found).splitlines() if "Exchange" in line]
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]
-    assert "HashAggregate" not in plan_of(found).split("Exchange", 1)[1]
+    assert "HashAggregate" not in plan.split("Exchange", 1)[1]
+
+
+def test_payments_of_changed_entities_are_dealt_before_they_meet_the_keys(spark, tmp_path, monkeypatch):
+    entities = spark.createDataFrame([(i, "INDIVIDUAL", "VERIFIED") for i in range(6)], "entity_id long, entity_type string, verification_status string")
+    pays = [(i, i % 6, date(2024, 1, 1) + timedelta(31 * (i // 6)), Decimal(10 + i), "CONTRIBUTION") for i in range(30)]
+    payments = spark.createDataFrame(pays, "contribution_id long, entity_id long, transaction_date date, amount decimal(12,2), transaction_type string")
+    rule, coverage, day = membership.Rule(), membership.Coverage(date(2024, 6, 1)), date(2024, 6, 1)
+    store, plans = Versioned(spark, str(tmp_path), "entity_id", 4), []
+    store.load(reevaluation.memberships(entities, payments, rule, coverage, day), 1)
+    seen = Versioned.merge
+    monkeypatch.setattr(Versioned, "merge", lambda self, keys, rows, run: plans.append(plan_of(rows)) or seen(self, keys, rows, run))
+    left = payments.where("contribution_id < 24")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        reevaluation.refresh_memberships(store, entities.where("entity_id < 3"), entities, left, rule, coverage, day, 2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r["entity_id"]: r for r in store.current(reevaluation.memberships(entities, payments, rule, coverage, day).schema).collect()}
+    # the last three of four and of five payments, 31 days apart
+    assert {k: (r["positive_count"], r["recurring_amount"], r["interval_days"]) for k, r in got.items()} == {
+        i: (4, Decimal(22 + i), [31] * 3) if i < 3 else (5, Decimal(28 + i), [31] * 4) for i in range(6)
+    }
+    dealt = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(entity_id" in line and "REPARTITION_BY_NUM" in line]
+    assert dealt and plans[0].count("Window") == 1
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        store = Versioned(spark, str(tmp_path), "k", 2)
+        store.load(rows.repartition(8), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(glob(f"{tmp_path}/rows/run=1/part=*/*.parquet")) > 2
+    assert sorted(r["k"] for r in store.current(rows.schema).collect()) == list(range(3000))
