@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name
 from ..functions.parsing import pad_zip, parse_amount, parse_date, raw_address, row_hash
+from ..sources.scratch import keep
 
 # Target fields of a mapping, and statuses.
 FIELDS = {
@@ -73,36 +74,41 @@ def flag_exact_duplicates(rows: DataFrame, history: DataFrame | None = None) ->
     return rows.join(spread, "row_hash", "left").withColumn("exact_duplicate", F.col("exact_duplicate") | seen).drop("_lo", "_hi")
 
 
-def _earlier(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """How many earlier rows of the batch have these keys."""
-    return rows.withColumn(name, F.count("*").over(_order(*keys).rowsBetween(Window.unboundedPreceding, -1)))
+def _earlier(rows: DataFrame, keys: list[str], counts: Column, name: str) -> DataFrame:
+    """How many earlier rows of the batch have these keys; the keys of a row that does not count are its own."""
+    own = F.when(~counts, F.col("row_number"))
+    return rows.withColumn("_own", own).withColumn(name, F.count("*").over(_order(*keys, "_own").rowsBetween(Window.unboundedPreceding, -1))).drop("_own")
 
 
 def flag_duplicates(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """validation_status of validated rows with exact_duplicate.
 
-    history: contributions of completed batches (txn, amount, transaction_date, normalized_name, zip). Only rows with a
-    transaction number enter the window by that number, so that the many blank ones share no key there."""
-    base = rows.withColumn("_ok", ~F.col("exact_duplicate") & (F.col("validation_message") == ""))
-    bad = base.where("not _ok").withColumns({"_hist_txn": F.lit(False), "_status": F.when(F.col("exact_duplicate"), "EXACT_DUPLICATE").otherwise("VALIDATION_FAILURE")})
-    bad = bad.withColumn("validation_message", F.when(F.col("exact_duplicate"), "Exact row hash already imported.").otherwise(F.col("validation_message")))
-    good = _earlier(base.where("_ok"), ["amount", "transaction_date", "normalized_name", "zip"], "_n_like")
-    keys = {"txn": ["txn"], "same": ["txn", "amount", "transaction_date"], "like": ["amount", "transaction_date", "normalized_name", "zip"]}
+    history: contributions of completed batches (txn, amount, transaction_date, normalized_name, zip). Rows go through
+    one after the other of these windows once, so that nothing is parsed twice. In a window that a row has no part in
+    (a bad one in any, one without a transaction number in those by number) it is alone, so that the many blank numbers
+    share no key."""
+    txn = F.coalesce("txn", F.lit(""))
+    good, numbered = F.col("_ok"), F.col("_ok") & (txn != "")
+    out = rows.withColumn("_ok", ~F.col("exact_duplicate") & (F.col("validation_message") == ""))
+    out = _earlier(out, ["amount", "transaction_date", "normalized_name", "zip"], good, "_n_like")
+    keys = {"like": ["amount", "transaction_date", "normalized_name", "zip"], "txn": ["txn"], "same": ["txn", "amount", "transaction_date"]}
     for name, on in keys.items():
         if history is None:
-            good = good.withColumn(f"_h_{name}", F.lit(False))
+            out = out.withColumn(f"_h_{name}", F.lit(False))
         else:
             known = history.where("txn != ''") if "txn" in on else history
-            good = good.join(known.select(*on).distinct().withColumn(f"_h_{name}", F.lit(True)), on, "left").withColumn(f"_h_{name}", F.coalesce(f"_h_{name}", F.lit(False)))
-    numbered = _earlier(_earlier(good.where("txn != ''"), ["txn"], "_n_txn"), ["txn", "amount", "transaction_date"], "_n_same")
-    numbered = numbered.withColumn(
-        "_status",
-        F.when((F.col("_n_same") > 0) | F.col("_h_same"), "POSSIBLE_DUPLICATE").when((F.col("_n_txn") > 0) | F.col("_h_txn"), "POSSIBLE_AMENDMENT").otherwise("ACCEPTED"),
+            out = out.join(known.select(*on).distinct().withColumn(f"_h_{name}", F.lit(True)), on, "left").withColumn(f"_h_{name}", F.col("_ok") & F.coalesce(f"_h_{name}", F.lit(False)))
+    out = _earlier(_earlier(out, ["txn"], numbered, "_n_txn"), ["txn", "amount", "transaction_date"], numbered, "_n_same")
+    status = (
+        F.when(F.col("exact_duplicate"), "EXACT_DUPLICATE")
+        .when(~F.col("_ok"), "VALIDATION_FAILURE")
+        .when(txn == "", F.when((F.col("_n_like") > 0) | F.col("_h_like"), "POSSIBLE_DUPLICATE").otherwise("ACCEPTED"))
+        .when((F.col("_n_same") > 0) | F.col("_h_same"), "POSSIBLE_DUPLICATE")
+        .when((F.col("_n_txn") > 0) | F.col("_h_txn"), "POSSIBLE_AMENDMENT")
+        .otherwise("ACCEPTED")
     )
-    blank = good.where("txn = ''").withColumn("_status", F.when((F.col("_n_like") > 0) | F.col("_h_like"), "POSSIBLE_DUPLICATE").otherwise("ACCEPTED"))
-    own = [*rows.columns, F.col("_status").alias("validation_status"), F.col("_h_txn").alias("txn_in_history")]
-    out = numbered.select(*own).unionByName(blank.select(*own))
-    return out.unionByName(bad.select(*rows.columns, F.col("_status").alias("validation_status"), F.col("_hist_txn").alias("txn_in_history")))
+    message = F.when(F.col("exact_duplicate"), "Exact row hash already imported.").otherwise(F.col("validation_message"))
+    return out.withColumn("validation_message", message).select(*rows.columns, status.alias("validation_status"), F.col("_h_txn").alias("txn_in_history"))
 
 
 def classify_transaction_type(rows: DataFrame) -> DataFrame:
@@ -203,9 +209,12 @@ def reprocess_batches(parsed: DataFrame, statuses: DataFrame, batches: DataFrame
     """
     ids = batch_ids.select("import_batch_id").distinct()
     done = batches.where("status = 'COMPLETED'").select("import_batch_id").join(ids, "import_batch_id", "left_anti")
-    stored = parsed.join(statuses.select("import_batch_id", "row_number", "validation_status"), ["import_batch_id", "row_number"]).join(done, "import_batch_id", "left_semi")
+    told = statuses.where(F.col("validation_status").isin(IMPORTED)).select("import_batch_id", "row_number", "validation_status")
+    own = parsed.select("import_batch_id", "row_number", "row_hash", "txn", "amount", "transaction_date", "normalized_name", "zip")
+    # four joins read this
+    stored = keep(own.join(told, ["import_batch_id", "row_number"]).join(done, "import_batch_id", "left_semi"), "stored")
     hashes = stored.where("validation_status = 'ACCEPTED'").select("row_hash", "import_batch_id")
-    history = stored.where(F.col("validation_status").isin(IMPORTED)).select("txn", "amount", "transaction_date", "normalized_name", "zip")
+    history = stored.select("txn", "amount", "transaction_date", "normalized_name", "zip")
     fresh = parsed.join(ids, "import_batch_id", "left_semi")
     again = flag_duplicates(flag_exact_duplicates(validate_rows(fresh), hashes), history)
     kept = statuses.join(ids, "import_batch_id", "left_anti")

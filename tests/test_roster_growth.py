@@ -8,7 +8,8 @@ from glob import glob
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import membership, quality, reevaluation
+from tallyforge.operators import ingest, membership, quality, reevaluation
+from tallyforge.plans import catalogue, queries
 from tallyforge.sources.versions import Versioned
 
 
@@ -68,3 +69,45 @@ def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(glob(f"{tmp_path}/rows/run=1/part=*/*.parquet")) > 2
     assert sorted(r["k"] for r in store.current(rows.schema).collect()) == list(range(3000))
+
+
+def test_rows_are_scanned_once_where_duplicates_are_flagged(spark):
+    day = date(2024, 1, 1)
+    rows = [
+        (1, 1, "A", Decimal(5), day, "X", "1", False, ""), (1, 2, "A", Decimal(5), day, "X", "1", False, ""), (1, 3, "A", Decimal(6), day, "X", "1", False, ""),
+        (1, 4, "", Decimal(5), day, "X", "1", False, ""), (1, 5, "", Decimal(7), day, "Y", "1", False, ""), (1, 6, None, Decimal(7), day, "Y", "1", False, ""),
+        (1, 7, "B", Decimal(9), day, "Z", "1", True, ""), (1, 8, "B", Decimal(9), day, "Z", "1", False, ""), (1, 9, "C", None, day, "Z", "1", False, "bad"), (1, 10, "C", Decimal(1), day, "Z", "1", False, ""),
+        (2, 11, "A", Decimal(5), day, "X", "1", False, ""), (1, 12, "", Decimal(9), day, "Z", "1", True, ""), (1, 13, "H", Decimal(2), day, "V", "1", False, ""),
+    ]
+    df = spark.createDataFrame(rows, "import_batch_id long, row_number long, txn string, amount decimal(12,2), transaction_date date, normalized_name string, zip string, exact_duplicate boolean, validation_message string")
+    history = spark.createDataFrame([("H", Decimal("9.00"), day, "OLD", "1")], "txn string, amount decimal(12,2), transaction_date date, normalized_name string, zip string")
+    flagged = ingest.flag_duplicates(df)
+    assert plan_of(flagged).count("Scan ExistingRDD") == 1
+    assert {r["row_number"]: r["validation_status"] for r in flagged.collect()} == {
+        1: "ACCEPTED", 2: "POSSIBLE_DUPLICATE", 3: "POSSIBLE_AMENDMENT", 4: "POSSIBLE_DUPLICATE", 5: "ACCEPTED", 6: "POSSIBLE_DUPLICATE", 7: "EXACT_DUPLICATE", 8: "ACCEPTED", 9: "VALIDATION_FAILURE", 10: "ACCEPTED",
+        11: "ACCEPTED", 12: "EXACT_DUPLICATE", 13: "ACCEPTED",
+    }
+    got = {r["row_number"]: (r["validation_status"], r["txn_in_history"]) for r in ingest.flag_duplicates(df, history).collect()}
+    assert len(got) == 13 and got[13] == ("POSSIBLE_AMENDMENT", True) and not any(h for k, (_, h) in got.items() if k != 13)
+
+
+def test_names_are_parsed_once(spark, tmp_path, monkeypatch):
+    cells = "import_batch_id long, row_number long, name string, amount_text string, date_text string, txn string, zip string, city string, state string, street string, employer string, occupation string"
+    raw = spark.createDataFrame([(i % 7, i, ["Lee, Kim", "Ann Poe"][i % 2], "5", "2024-01-01", f"T{i}", "90001", "X", "CA", "", "Emp", "") for i in range(30)], cells)
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    raw = raw.coalesce(1).mapInArrow(told, raw.schema)
+    for name in ("identity_clusters", "identity_entities", "identity_locations", "ingest_reprocess", "ingest_reprocessed_contributions", "reports_dashboard"):
+        before = seen.value
+        monkeypatch.setattr(queries, "view", lambda spark, folder, view: raw if view == "raw_rows" else own[view])
+        own = {
+            "entities": spark.createDataFrame([("INDIVIDUAL",)], "entity_type string"), "batches": spark.createDataFrame([(1, "COMPLETED")], "import_batch_id long, status string"),
+            "payments": spark.createDataFrame([(1, Decimal(5), "ACTIVE")], "import_batch_id long, amount decimal(12,2), status string"),
+        }
+        assert catalogue.QUERIES[name](spark, "").collect()
+        assert seen.value - before == 30, name
