@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, parsing
 from ..operators import chapters, geography, identity, ingest, membership, reports
+from ..sources import scratch
 from .queries import _GEO, _LATEST, _NAME, _RES, _RESULT, DAY, GEO, QUERIES, RESULT, SQL, _resolved, _results, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -34,9 +35,11 @@ def ingest_provenance(payments):
 
 
 def _people(rows):
-    """Parsed rows, in clusters of equal names that have the id of their first row."""
+    """Parsed rows, in clusters of equal names that have the id of their first row. Names are parsed once and kept: what
+    follows reads the rows several times."""
     p = ingest.parse_rows(rows).withColumn("entity_type", names.entity_type(F.col("name")))
     p = p.select(F.col("row_number").alias("contribution_id"), "entity_type", "normalized_name", "person.first", "person.middle", "person.last", "person.suffix", "street", "city", "state", "zip", "transaction_date")
+    p = scratch.keep(p, "people")
     return p, p.join(p.groupBy("normalized_name").agg(F.min("contribution_id").alias("cluster_id")), "normalized_name").select("contribution_id", "cluster_id")
 
 
