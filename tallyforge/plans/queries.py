@@ -187,10 +187,11 @@ def ingest_new_files(batches):
 
 @query("raw_rows")
 def identity_clusters(rows):
-    """The fold depends on the order of rows, so that tests hold it against brute force on random blocks."""
+    """The fold depends on the order of rows, so that tests hold it against brute force on random blocks. Parsed
+    rows and clusters are both read twice, and kept."""
     parsed = ingest.parse_rows(rows).withColumn("entity_type", names.entity_type(F.col("name")))
     own = parsed.select(F.col("row_number").cast("string").alias("contribution_id"), F.col("row_number").alias("row_order"), "entity_type", "normalized_name", "zip5", "person.suffix", "person.middle", "employer", "occupation")
-    clustered = identity.cluster_contributions(own)
+    clustered = scratch.keep(identity.cluster_contributions(scratch.keep(own, "rows")), "clustered")
     return clustered.join(identity.cluster_confidence(clustered), "cluster_id")
 
 
