@@ -40,10 +40,13 @@ _AGAIN = f"""{_STATUS},
 
 
 def _stored(rows):
-    """Statuses of each batch by itself, of which batch 6 is rolled back and 3 is to be processed again."""
-    done = ingest.flag_duplicates(ingest.flag_exact_duplicates(ingest.validate_rows(_parsed(rows)))).select("import_batch_id", "row_number", "validation_status", "validation_message")
+    """Statuses of each batch by itself, of which batch 6 is rolled back and 3 is to be processed again. Rows are parsed
+    once, and the statuses are stored."""
+    parsed = scratch.keep(_parsed(rows).drop("person", "zip5", "employer", "occupation"), "parsed")
+    done = ingest.flag_duplicates(ingest.flag_exact_duplicates(ingest.validate_rows(parsed)))
+    done = scratch.keep(done.select("import_batch_id", "row_number", "validation_status", "validation_message"), "statuses")
     batches = rows.sparkSession.createDataFrame([(b, "ROLLED_BACK" if b == 6 else "COMPLETED") for b in range(7)], "import_batch_id long, status string")
-    return ingest.reprocess_batches(_parsed(rows), done, batches, _ids(rows, 3))
+    return ingest.reprocess_batches(parsed, done, batches, _ids(rows, 3))
 
 
 @query(
