@@ -9,13 +9,16 @@ order is that of the numbers, which is as good as any: equal prefixes stand side
    each of its two shifts by the bytes before the first name, two names and the bytes behind them: `WIDTH` bytes in all.
 4. Neighbours in a list that agree in all of these are places of a repeated window.
 
-Sorting is by ranges; what a task holds is a batch and the rows of a few hundred neighbouring places.
+A triple, or an entry of a list, is sorted by one 64-bit number made of its parts. Pieces lie in units of a MB. A unit
+sends its different numbers, in order, to the ranges of numbers they fall into, where they are sorted among those of all
+units and answered by their names; places stay in the unit. So a number that very many places share is one of each unit.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,141 +31,209 @@ _STEP = 42
 _SECOND = 2 * _STEP + _FIRST
 #: Distance of the second name from the first, by shift: the last multiple of 3 that keeps it inside the window.
 _NEXT = (60, 57, 57)
-_NONE = 256
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a unit, and numbers that a range has from one unit to all.
+_UNIT_BYTES = 1 << 20
+_RANGE = 2_000_000
 
 
-def _triples(pieces: DataFrame) -> DataFrame:
-    """(x1, x2, x3, rid, at, near) of the sampled places in pieces (rid, lo, n, begin, bytes): places lo to lo + n of the
-    text whose bytes from `begin` on are given. near: the two bytes before and two behind 140 bytes, 256 if none."""
-    schema = pa.schema([("x1", pa.int64()), ("x2", pa.int64()), ("x3", pa.int64()), ("rid", pa.int64()), ("at", pa.int32()), ("near", pa.int64())])
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes, then all second ones, compressed: in order, the high ones hardly take room."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
-    def scan(batches):
-        roll = rolling()
-        for batch in slices(batches, 64):
-            for rid, lo, n, begin, content in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "n", "begin", "bytes")), strict=True):
-                buffer = np.frombuffer(content, dtype=np.uint8)
-                at = np.arange(lo, min(lo + n, begin + len(buffer) - _FIRST + 1))
-                at = at[at % 3 > 0]
-                if not len(at):
-                    continue
-                prefix = roll.prefix(buffer)
-                p = at - begin
-                letters = [mix64(roll.of(prefix, p + k * _APART, _LETTER)).view(np.int64) for k in range(3)]
-                padded = np.concatenate([np.full(2, _NONE), buffer, np.full(_SECOND + 2, _NONE)]).astype(np.int64)
-                near = (padded[p] << 27) | (padded[p + 1] << 18) | (padded[p + 2 + _SECOND] << 9) | padded[p + 3 + _SECOND]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*letters, np.full(len(at), rid), at, near), schema.types, strict=True)], schema=schema)
-
-    return pieces.mapInArrow(scan, "x1 long, x2 long, x3 long, rid long, at int, near long")
-
-
-def _named(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """(carried, name) of the rows whose keys are not alone; names rise with the keys."""
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, *carried, F.spark_partition_id().cast("long").alias("part"))
-
-    def scan(batches):
-        held, before, base = None, False, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, *carried, "part")]
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-            equal = np.logical_and.reduce([x[1:] == x[:-1] for x in cols[: len(keys)]])
-            both = np.append(before, equal)
-            many = both[:-1] | equal
-            index = base + np.append(0, np.cumsum(~equal))
-            yield named(cols, index, many)
-            held, before, base = [x[-1:] for x in cols], bool(both[-1]), int(index[-1])
-        if held:
-            yield named(held, np.array([base]), np.array([before]), 1)
-
-    def named(cols, index, many, n=None):
-        n = len(index) - 1 if n is None else n
-        keep = np.flatnonzero(many[:n])
-        name = (cols[-1][keep] << 40) + index[keep]
-        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in cols[len(keys) : -1]), pa.array(name, pa.int64())], names=[*carried, "name"])
 
-    types = dict(rows.dtypes)
-    return ordered.mapInArrow(scan, ", ".join([*(f"{c} {types[c]}" for c in carried), "name long"]))
+def _numbers(packed: bytes, kind) -> np.ndarray:
+    data = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
-def _by_place(rows: DataFrame, ahead: int, make, schema: str) -> DataFrame:
-    """make(rid, at, near, name, find) over rows in order of place; find(d) gives for each row that d places later, or -1.
-
-    Rows are made once, when all rows up to `ahead` places later are there.
-    """
-
-    def scan(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "at", "near", "name")]
-            held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
-            open_ = (held[0] == held[0][-1]) & (held[1] >= held[1][-1] - ahead)
-            yield of(held, len(open_) - int(open_.sum()))
-            held = [x[open_] for x in held]
-        if held:
-            yield of(held, len(held[0]))
-
-    def of(cols, n):
-        rid, at = cols[:2]
-        text = np.cumsum(np.append(0, rid[1:] != rid[:-1])) << 32
-        place = text + at
+def _joined(*parts: np.ndarray) -> np.ndarray:
+    """One number of several, in their order."""
+    out = mix64(parts[0])
+    for x in parts[1:]:
+        out = mix64(out * _MULTIPLIER + x)
+    return out
 
-        def find(d):
-            j = np.minimum(np.searchsorted(place, place[:n] + d), len(place) - 1)
-            return np.where(place[j] == place[:n] + d, j, -1)
 
-        return make(*cols, n, find)
+class _Unit:
+    """Some pieces one after the other; places are those in their joined bytes."""
 
-    return rows.repartition("rid").sortWithinPartitions("rid", "at").mapInArrow(scan, schema)
+    def __init__(self, about: bytes, data: bytes):
+        self.rid, self.lo, self.n, self.begin, size = np.frombuffer(about, dtype=np.int64).reshape(5, -1)
+        self.bytes = np.frombuffer(data, dtype=np.uint8)
+        self.start = np.cumsum(size) - size
+        piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = np.arange(len(self.bytes), dtype=np.int32)
+        #: Of each place: where it is in its text, and how many bytes its piece has from there.
+        self.at = place + (self.begin - self.start).astype(np.int32)[piece]
+        self.room = (self.start + size).astype(np.int32)[piece] - place
+        self.own = (self.at >= self.lo.astype(np.int32)[piece]) & (self.at < (self.lo + self.n).astype(np.int32)[piece])
+        self.piece = piece
 
+    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled places and the numbers of their triples of letters."""
+        place = np.flatnonzero((self.at % 3 > 0) & (self.room >= _FIRST))
+        roll = rolling()
+        letters = roll.all(roll.prefix(self.bytes), _LETTER) if len(place) else np.zeros(0, dtype=np.uint64)
+        return place, _joined(letters[place], letters[place + _APART], letters[place + 2 * _APART])
+
+    def triples_of_names(self, place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places with a name, to whose distances names stand too, and the numbers of these three."""
+        of = self._by_place(place, name)
+        place = place[(name > 0) & (self.room[place] >= _SECOND)]
+        place = place[(of[place + _STEP] > 0) & (of[place + 2 * _STEP] > 0)]
+        return place, _joined(of[place], of[place + _STEP], of[place + 2 * _STEP])
+
+    def merge_lists(self, place: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows by the shift to a sampled place: places, and the numbers of list, bytes that names leave out, and names."""
+        of, places, numbers = self._by_place(place, name), [], []
+        for shift, distance in enumerate(_NEXT):
+            at = np.flatnonzero(self.own & (self.room >= WIDTH))
+            at = at[(of[at + shift] > 0) & (of[at + shift + distance] > 0)]
+            told = np.full(len(at), shift, dtype=np.uint64)
+            for k in (*range(shift), *range(shift + distance + _SECOND, WIDTH)):
+                told = (told << np.uint64(8)) | self.bytes[at + k].astype(np.uint64)
+            places.append(at.astype(np.int32))
+            numbers.append(_joined(told, of[at + shift], of[at + shift + distance]))
+        return np.concatenate(places), np.concatenate(numbers)
+
+    def _by_place(self, place: np.ndarray, name: np.ndarray) -> np.ndarray:
+        of = np.zeros(len(self.bytes), dtype=np.uint64)
+        of[place] = name
+        return of
+
+    def spans(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rid, s, e) of runs of neighbouring windows at these places."""
+        place = np.unique(place)
+        new = np.append(True, (place[1:] != place[:-1] + 1) | (self.piece[place[1:]] != self.piece[place[:-1]]))[: len(place)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(place))[: len(first)] - 1
+        return self.rid[self.piece[place[first]]], self.at[place[first]], self.at[place[last]] + WIDTH
+
+
+def _units(pieces: DataFrame) -> DataFrame:
+    """(unit, about, bytes, places) of pieces (rid, lo, n, begin, bytes); places: how many bytes."""
+    schema = pa.schema([("unit", pa.int64()), ("about", pa.binary()), ("bytes", pa.binary()), ("places", pa.int64())])
 
-def _triples_of_names(names: DataFrame) -> DataFrame:
-    def make(rid, at, near, name, n, find):
-        b, c = find(_STEP), find(2 * _STEP)
-        i = np.flatnonzero((b >= 0) & (c >= 0))
-        cols = (name[i], name[b[i]], name[c[i]], rid[i], at[i], near[i])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["x1", "x2", "x3", "rid", "at", "near"])
-
-    return _by_place(names, 2 * _STEP, make, "x1 long, x2 long, x3 long, rid long, at int, near long")
-
+    def scan(batches):
+        made, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-def _merge_lists(names: DataFrame) -> DataFrame:
-    """(list, x1, x2, rid, at): each window by the shift to its first sampled place, with the bytes that names leave out."""
+        def unit():
+            about = np.array([[*x[:4], len(x[4])] for x in held], dtype=np.int64).T.tobytes()
+            row = [made, about, b"".join(x[4] for x in held), size]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
-    def make(rid, at, near, name, n, find):
-        out = []
-        for shift, distance in enumerate(_NEXT):
-            j = find(distance)
-            i = np.flatnonzero(j >= 0)
-            j = j[i]
-            a, b, c, d = near[i] >> 27, (near[i] >> 18) & 511, (near[j] >> 9) & 511, near[j] & 511
-            none = np.full(len(i), 0)
-            told = ((none, none, none), (b, c, d), (a, b, c))[shift]
-            ok = np.maximum.reduce(told) < _NONE
-            key = (shift << 24) | (told[0] << 16) | (told[1] << 8) | told[2]
-            out.append([x[ok] for x in (key, name[i], name[j], rid[i], at[i] - shift)])
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["list", "x1", "x2", "rid", "at"])
-
-    return _by_place(names, max(_NEXT), make, "list int, x1 long, x2 long, rid long, at int")
-
-
-def _spans(places: DataFrame) -> DataFrame:
+        for batch in slices(batches, 64):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "n", "begin", "bytes")), strict=True):
+                held.append(row)
+                size += len(row[4])
+                if size >= _UNIT_BYTES:
+                    yield unit()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield unit()
+
+    return pieces.mapInArrow(scan, "unit long, about binary, bytes binary, places long")
+
+
+def _different(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different numbers in order, whether each is there more than once, and the order with the place of each in it."""
+    order = np.argsort(numbers)
+    ordered = numbers[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+    first = np.flatnonzero(new)
+    return ordered[first], np.diff(np.append(first, len(ordered))) > 1, order, np.cumsum(new) - 1
+
+
+def _answered(numbers: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """For each number the answer to it; answers are those to the different numbers in order."""
+    _, _, order, at = _different(numbers)
+    out = np.empty(len(numbers), dtype=answers.dtype)
+    out[order] = answers[at]
+    return out
+
+
+def _names(asked: list[dict]) -> np.ndarray:
+    """Names from the ranges' answers, which come in order of the ranges: they rise over all ranges, and 0 is none."""
+    out = []
+    for x in asked:
+        rank = _numbers(x["names"], np.uint32).astype(np.uint64)
+        out.append(np.where(rank > 0, (np.uint64(x["range"]) << np.uint64(32)) + rank, np.uint64(0)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def _numbers_of(unit: _Unit, first, second):
+    """Places and numbers of the round that the answers so far lead to."""
+    place, numbers = unit.triples()
+    for answers, following in ((first, unit.triples_of_names), (second, unit.merge_lists)):
+        if answers is None:
+            break
+        place, numbers = following(place, _answered(numbers, _names(answers)))
+    return place, numbers
+
+
+def _ask(units: DataFrame, answers: list[DataFrame], ranges: int, only_whether: bool = False) -> DataFrame:
+    """(unit, asked array<struct<range, names>>): the names of each unit's different numbers of this round."""
+    edges = np.array([(r << 64) // ranges for r in range(ranges)], dtype=np.uint64)
+    schema = pa.schema([("range", pa.int32()), ("unit", pa.int64()), ("numbers", pa.binary()), ("many", pa.binary())])
+    rounds = len(answers)
+
+    def deal(batches):
+        for unit, row in _opened(batches, rounds):
+            found, many, _, _ = _different(_numbers_of(unit, *row["answers"])[1])
+            cuts = np.append(np.searchsorted(found, edges), len(found)).tolist()
+            for at in range(0, ranges, 64):
+                own = [(r, slice(cuts[r], cuts[r + 1])) for r in range(at, min(at + 64, ranges)) if cuts[r + 1] > cuts[r]]
+                if own:
+                    cols = [[r for r, _ in own], [row["unit"]] * len(own), [_packed(found[x]) for _, x in own], [np.packbits(many[x]).tobytes() for _, x in own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    def name(table: pa.Table) -> pa.Table:
+        asked = [_numbers(x, np.uint64) for x in table.column("numbers").to_pylist()]
+        times = [1 + np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(x)) for m, x in zip(table.column("many").to_pylist(), asked, strict=True)]
+        numbers, times = np.concatenate(asked), np.concatenate(times)
+        order = np.argsort(numbers)
+        numbers, times = numbers[order], times[order]
+        first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+        kept = (np.diff(np.append(first, len(numbers))) > 1) | (times[first] > 1)
+        names = np.where(kept, 1 if only_whether else np.cumsum(kept), 0).astype(np.uint32)
+        found = numbers[first]
+        replies = [_packed(names[np.searchsorted(found, x)]) for x in asked]
+        return pa.table({"unit": table.column("unit"), "range": table.column("range"), "names": pa.array(replies, pa.binary())})
+
+    dealt = _with(units, answers).mapInArrow(deal, "range int, unit long, numbers binary, many binary")
+    named = dealt.groupBy("range").applyInArrow(name, "unit long, range int, names binary")
+    return named.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("range", "names"))).alias("asked"))
+
+
+def _with(units: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    out = units.select("unit", "about", "bytes")
+    for k, x in enumerate(answers):
+        out = out.join(x.withColumnRenamed("asked", f"asked{k}"), "unit")
+    return out
+
+
+def _opened(batches, rounds: int):
+    """Units with their number and answers; the first two rounds' lead to numbers, None where there is none yet."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+            asked = [row[f"asked{i}"] for i in range(rounds)]
+            yield _Unit(row["about"], row["bytes"]), {"unit": row["unit"], "answers": [*asked, None, None][:2], "last": asked[-1] if asked else None}
+
+
+def _spans(units: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """(rid, s, e) of runs of neighbouring windows."""
+    rounds = len(answers)
 
     def scan(batches):
-        for batch in batches:
-            if batch.num_rows:
-                rid, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "at"))
-                new = np.append(True, (rid[1:] != rid[:-1]) | (at[1:] > at[:-1] + 1))
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(at)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array(at[first]), pa.array((at[last] + WIDTH).astype(np.int32))], names=["rid", "s", "e"])
+        for unit, row in _opened(batches, rounds):
+            place, numbers = _numbers_of(unit, *row["answers"])
+            rid, s, e = unit.spans(place[_answered(numbers, _names(row["last"])) > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["rid", "s", "e"])
 
-    return places.repartition("rid").sortWithinPartitions("rid", "at").mapInArrow(scan, "rid long, s int, e int")
+    return _with(units, answers).mapInArrow(scan, "rid long, s int, e int")
 
 
 def repeated_windows(pieces: DataFrame) -> DataFrame:
@@ -172,21 +243,15 @@ def repeated_windows(pieces: DataFrame) -> DataFrame:
     behind the last place, or to the text's end. A saved table of spans is returned; no pieces give none.
     """
     spark = pieces.sparkSession
-    first = save(_named(_triples(pieces), ["x1", "x2", "x3"], ["rid", "at", "near"]), "names-56")
-    release(spark)
-    triples = save(_triples_of_names(first), "triples-of-names")
-    drop(first)
-    release(spark)
-    second = save(_named(triples, ["x1", "x2", "x3"], ["rid", "at", "near"]), "names-140")
-    drop(triples)
-    release(spark)
-    lists = save(_merge_lists(second), "merge-lists")
-    drop(second)
-    release(spark)
-    places = save(_named(lists, ["list", "x1", "x2"], ["rid", "at"]).select("rid", "at"), "places")
-    drop(lists)
+    units = save(_units(pieces), "units")
     release(spark)
-    spans = save(_spans(places), "windows-repeated")
-    drop(places)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(units.agg(F.sum("places")).first()[0] or 0) // _RANGE))
+    answers: list[DataFrame] = []
+    for name in ("names-56", "names-140", "merged"):
+        # a unit without an answer has no numbers left
+        answers.append(save(_ask(units, answers, ranges, only_whether=name == "merged"), name))
+        release(spark)
+    spans = save(_spans(units, answers), "windows-repeated")
+    drop(units, *answers)
     release(spark)
     return spans
