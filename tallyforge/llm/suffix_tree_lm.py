@@ -114,9 +114,12 @@ class SuffixTree:
             if not len(contexts):
                 break
             own = _context(codes[alive], k)
-            c = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-            hit = contexts[c] == own
-            alive, c, own = alive[hit], c[hit], own[hit]
+            # codes are in order, so that equal contexts are neighbours; each is looked up once
+            first = _firsts(own)
+            times = np.diff(np.append(first, len(own)))
+            c = np.minimum(np.searchsorted(contexts, own[first]), len(contexts) - 1)
+            hit = np.repeat(contexts[c] == own[first], times)
+            alive, c, own = alive[hit], np.repeat(c, times)[hit], own[hit]
             pair = (own << np.uint64(8)) | (codes[alive] & np.uint64(255))
             q = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
             n = np.where(pairs[q] == pair, counts[q], 0)
@@ -131,9 +134,11 @@ class SuffixTree:
         return np.add.reduceat(self.log10(found)[at], first)
 
 
-def _level(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Contexts, totals, kinds, pairs and counts of one depth, of pairs that may repeat."""
-    pairs, counts = _summed(pairs, counts.astype(np.float64))
+def _level(pairs: np.ndarray, counts: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, ...]:
+    """Contexts, totals, kinds, pairs and counts of one depth, of pairs that may repeat, or `ordered` are different and in order."""
+    counts = counts.astype(np.float64)
+    if not ordered:
+        pairs, counts = _summed(pairs, counts)
     own = pairs >> np.uint64(8)
     first = _firsts(own)
     totals = np.add.reduceat(counts, first) if len(own) else counts
@@ -141,20 +146,20 @@ def _level(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def grow(codes: np.ndarray, counts: np.ndarray, low: SuffixTree | None = None) -> SuffixTree:
-    """The tree of codes; given the whole depths below SURE as `low`, codes need only be all those of some contexts of
+    """The tree of codes, which are different and in order; given the whole depths below SURE as `low`, codes need only be all those of some contexts of
     SURE bytes, since deeper contexts are tested against their own suffixes alone."""
     levels = list(zip(low.contexts, low.totals, low.kinds, low.pairs, low.counts, strict=True)) if low else []
     start, deep = len(levels), {}
     pairs, n = _pair(codes, DEPTH), counts
     for k in range(DEPTH, start - 1, -1):
-        deep[k] = _level(pairs, n)
+        deep[k] = _level(pairs, n, ordered=k == DEPTH)
         pairs, n = _up(deep[k][3]), deep[k][4]
     levels += [deep[k] for k in range(start, DEPTH + 1)]
     longer = np.zeros(0, dtype=np.uint64)
     for k in range(DEPTH, max(start, SURE) - 1, -1):
         contexts, totals, kinds, pairs, n = levels[k]
         up_contexts, up_totals, _, up_pairs, up_n = levels[k - 1]
-        own = np.searchsorted(contexts, pairs >> np.uint64(8))
+        own = np.repeat(np.arange(len(contexts)), kinds.astype(np.int64))
         up_pair = _up(pairs)
         above = up_n[np.searchsorted(up_pairs, up_pair)] / up_totals[np.searchsorted(up_contexts, up_pair >> np.uint64(8))]
         gain = np.bincount(own, weights=n * np.log(n / totals[own] / above), minlength=len(contexts))
@@ -315,9 +320,11 @@ def _short_contexts(units: DataFrame) -> tuple[SuffixTree, np.ndarray, np.ndarra
     def count(batches):
         for trains, packed in _rows(batches, "trains", "streams"):
             streams = _opened(packed)
-            found = [(False, *_counted(_context(_codes(streams)[0], SURE).astype(np.uint32)))]
-            if own := _trained(trains, streams):
-                found.append((True, *_counted(_pair(_codes(own)[0], SURE - 1).astype(np.uint32))))
+            codes, _ = _codes(streams)
+            found = [(False, *_counted(_context(codes, SURE).astype(np.uint32)))]
+            own = codes[np.repeat(np.frombuffer(trains, dtype=np.int8) > 0, [len(s) for s in streams])]
+            if len(own):
+                found.append((True, *_counted(_pair(own, SURE - 1).astype(np.uint32))))
             for low, key, n in found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), low)), pa.array(key.astype(np.int64)), pa.array(n)], names=["low", "key", "n"])
 
@@ -377,7 +384,7 @@ def score_rows(rows: DataFrame, symbols_at_once: int = 3_000_000, words_at_once:
         tree = SuffixTree(*(list(x) for x in (lambda t: (t.contexts, t.totals, t.kinds, t.pairs, t.counts))(shared.value[0])))
         model = pdf[pdf["unit"] < 0].sort_values("unit", ascending=False)
         for pairs, counts in zip(model["keys"], model["counts"], strict=True):
-            for have, new in zip((tree.contexts, tree.totals, tree.kinds, tree.pairs, tree.counts), _level(_numbers(pairs, "u8"), _numbers(counts, "i8")), strict=True):
+            for have, new in zip((tree.contexts, tree.totals, tree.kinds, tree.pairs, tree.counts), _level(_numbers(pairs, "u8"), _numbers(counts, "i8"), ordered=True), strict=True):
                 have.append(new)
         pdf = pdf[pdf["unit"] >= 0]
         asked = [_numbers(x, "u8") for x in pdf["keys"]]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tallyforge.llm import difference_cover
+from tallyforge.llm import difference_cover, suffix_tree_lm
 
 pytest.importorskip("pyspark")
 
@@ -38,3 +39,28 @@ def test_repeated_windows_send_no_row_for_each_place(spark, monkeypatch):
     want = {(rid, i) for rid, t in enumerate((text, other)) for i in range(len(t) - width + 1) if times[bytes(t[i : i + width])] > 1}
     assert {(r["rid"], i) for r in found for i in range(r["s"], r["e"] - width + 1)} == want and len(want) > 100_000
     assert sum(rows) < 1000
+
+
+def test_a_context_is_looked_up_once(monkeypatch):
+    rng = random.Random(5)
+    streams = [suffix_tree_lm.symbols(bytes(rng.choice(b"abcdef   ") for _ in range(3000))) for _ in range(5)]
+    codes, counts = suffix_tree_lm._counted(suffix_tree_lm._codes(streams)[0])
+    tree = suffix_tree_lm.grow(codes, counts)
+    asked, search = [], np.searchsorted
+    with monkeypatch.context() as m:
+        m.setattr(np, "searchsorted", lambda a, v, *x, **y: (asked.append(len(v)), search(a, v, *x, **y))[1])
+        got = tree.log10(codes)
+    levels = list(zip(tree.contexts, tree.totals, tree.kinds, tree.pairs, tree.counts, strict=True))
+    want = []
+    for code in codes.tolist():
+        p = 1 / 256
+        for k, (contexts, totals, kinds, pairs, n) in enumerate(levels):
+            own = code >> (64 - 8 * k) if k else 0
+            at = np.flatnonzero(contexts == own)
+            if not len(at):
+                break
+            seen = n[pairs == (own << 8 | code & 255)].sum()
+            p = (seen + kinds[at[0]] * p) / (totals[at[0]] + kinds[at[0]])
+        want.append(np.log10(p))
+    assert np.allclose(got, want)
+    assert sum(asked) < 1.6 * sum(asked[1::2])  # contexts, pairs, contexts, pairs, ...
