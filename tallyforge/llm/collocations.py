@@ -16,7 +16,6 @@ it, so that counts are exact whatever the size of the tables.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -294,18 +293,28 @@ def _reached_slots(step: int, slots: int):
 
 
 def _reached_counts(shards: int):
+    """A part's phrases that have reached the minimum, in one row."""
+
     def run(batches):
         for batch in batches:
-            for row in batch.select(["h", "t", "c"]).to_pylist():
+            for row in batch.select(["part", "h", "t", "c"]).to_pylist():
                 h, t = _unpacked(row["h"]), np.frombuffer(row["t"], dtype=np.uint8)
                 a = _values(row["c"], np.int64).reshape(shards, -1).sum(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(h[t != _NEVER].view(np.int64)), pa.array(a[t != _NEVER])], ["h", "a"])
+                cols = [pa.array([row["part"]], pa.int32()), pa.array([_packed(h[t != _NEVER])], pa.binary()), pa.array([_planes(a[t != _NEVER])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "h", "a"])
 
     return run
 
 
+def _count_rows(batches):
+    """A row for each phrase and its count."""
+    for batch in batches:
+        for row in batch.select(["h", "a"]).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(row["h"]).view(np.int64)), pa.array(_values(row["a"], np.int64))], ["h", "a"])
+
+
 def count_phrases(tokens: list[DataFrame], words: int, minimum: int, longest: int = LONGEST, slots: int = 1 << 22) -> tuple[DataFrame, Reached]:
-    """Exact counts (h, a) of all phrases of up to `longest` words with at least `minimum` occurrences.
+    """Exact counts (part, h, a) of all phrases of up to `longest` words with at least `minimum` occurrences, a part in a row.
 
     tokens: one table for each shard; words: how many they hold. The tables of reached phrases hold `slots` (a power of
     two) entries of two bytes whatever the input is; with more phrases than slots more is counted than need be, with the
@@ -333,7 +342,7 @@ def count_phrases(tokens: list[DataFrame], words: int, minimum: int, longest: in
         if shared is not None:
             shared.destroy()
         step += 1
-    reached = save(state.mapInArrow(_reached_counts(shards), "h long, a long"), "counted")
+    reached = save(state.mapInArrow(_reached_counts(shards), "part int, h binary, a binary"), "counted")
     drop(state)
     return reached, held
 
@@ -341,11 +350,6 @@ def count_phrases(tokens: list[DataFrame], words: int, minimum: int, longest: in
 _TOLD = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("told", pa.binary())])
 
 
-def _places(k: int) -> list[tuple[int, int]]:
-    """First word and length of each contiguous part of a phrase of k words, itself included."""
-    return [(i, n) for i in range(k) for n in range(1, k - i + 1)]
-
-
 def _spelled(held, longest: int, parts: int):
     """(lang, text) -> (part, lang, told): each known phrase once a task, those of a part and language in one piece. Only
     the words are sent, in order, since hashes follow from them and hardly compress."""
@@ -406,35 +410,49 @@ def _lines(told: bytes) -> list[bytes]:
     return pa.decompress(told[8:], decompressed_size=int.from_bytes(told[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
 
 
-def _told_once(found: pa.Table) -> pa.Table:
-    """Of what tasks have told of a part, each phrase once, with the hashes of its parts in the order of _places()."""
+_CANDIDATE = pa.schema(
+    [("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("a", pa.int64()), ("firsts", pa.list_(pa.int64())), ("rests", pa.list_(pa.int64()))]
+)
+
+
+def _candidates(found: pa.Table, reached: pa.Table) -> pa.Table:
+    """Of what tasks have told of a part, each phrase that has reached the minimum once, with its count and, for each cut,
+    the hashes of its first words and of the rest. What only shares a slot with such a phrase goes here."""
     phrases, of = [], []
     for lang, told in zip(found.column("lang").to_pylist(), found.column("told").to_pylist(), strict=True):
         lines = _lines(told)
         phrases += lines
         of += [lang] * len(lines)
     once = list(dict.fromkeys(zip(of, phrases, strict=True)))
+    if not once or not reached.num_rows:
+        return _CANDIDATE.empty_table()
     of, phrases = [lang for lang, _ in once], [phrase for _, phrase in once]
+    (row,) = reached.select(["h", "a"]).to_pylist()
+    known, counts = _unpacked(row["h"]), _values(row["a"], np.int64)
     _, _, _, words, _, firsts = _words(phrases, of)
     k_of, out = np.diff(firsts), []
     langs, texts = pa.array(of, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())
     for k in np.unique(k_of).tolist():
         own = np.flatnonzero(k_of == k)
         inside = {}
-        for i, n in _places(k):
-            word = words[firsts[own] + i + n - 1]
-            inside[i, n] = word if n == 1 else _grown(inside[i, n - 1], word)
-        flat = np.stack([inside[x] for x in _places(k)], axis=1)
-        hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(np.ascontiguousarray(flat).reshape(-1).view(np.int64)))
-        columns = [pa.array(inside[0, k].view(np.int64)), langs.take(pa.array(own)), texts.take(pa.array(own)), pa.array(np.full(len(own), k), pa.int32()), hashes]
-        out.append(pa.Table.from_arrays(columns, ["h", "lang", "phrase", "k", "hashes"]))
+        for i in range(k):
+            for n in range(1, k - i + 1):
+                word = words[firsts[own] + i + n - 1]
+                inside[i, n] = word if n == 1 else _grown(inside[i, n - 1], word)
+        at = np.minimum(np.searchsorted(known, inside[0, k]), max(len(known) - 1, 0))
+        true = np.flatnonzero(known[at] == inside[0, k]) if len(known) else np.zeros(0, dtype=np.int64)
+
+        def parts_of(places, true=true, k=k, inside=inside):
+            flat = np.stack([inside[x][true] for x in places], axis=1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(true) + 1) * (k - 1), pa.int32()), pa.array(np.ascontiguousarray(flat).reshape(-1).view(np.int64)))
+
+        rows = pa.array(own[true])
+        cut = [parts_of([(0, j) for j in range(1, k)]), parts_of([(j, k - j) for j in range(1, k)])]
+        columns = [pa.array(inside[0, k][true].view(np.int64)), langs.take(rows), texts.take(rows), pa.array(np.full(len(true), k), pa.int32()), pa.array(counts[at[true]]), *cut]
+        out.append(pa.Table.from_arrays(columns, schema=_CANDIDATE))
     return pa.concat_tables(out)
 
 
-def _laid(k: int):
-    return F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("len")) for i, n in _places(k)])
-
-
 def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: int = 2000, shards: int = 3, longest: int = LONGEST, slots: int = 1 << 22) -> DataFrame:
     """The strongest phrases of each language: (lang, rank, phrase, a, l, r, n, score).
 
@@ -457,27 +475,25 @@ def collocations(docs: DataFrame, minimum: int = 100, share: int = 100, best: in
     counts, held = count_phrases([scanned.where(F.col("shard") == j).select("tokens") for j in range(shards)], words, minimum, longest, slots)
     drop(scanned)
     shared = spark.sparkContext.broadcast(held)
-    kinds = "h long, lang string, phrase string, k int, hashes array<long>"
+    kinds = "h long, lang string, phrase string, k int, a long, firsts array<long>, rests array<long>"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // _PART_WORDS), 1)
-    spelled = given.mapInArrow(_spelled(shared, longest, parts), "part int, lang string, told binary").groupBy("part").applyInArrow(_told_once, kinds)
-    found = save(spelled.join(counts.select("h", "a"), "h"), "candidates")
-    lay = reduce(lambda out, k: out.when(F.col("k") == k, _laid(k)), range(3, longest + 1), F.when(F.col("k") == 2, _laid(2)))
-    parts = found.select("h", "k", "a", F.explode(F.arrays_zip(lay.alias("lay"), F.col("hashes").alias("of"))).alias("x")).select("h", "k", "a", "x.lay.at", "x.lay.len", "x.of")
-    inside = parts.where("len between 2 and k - 1").groupBy(F.col("of").alias("h")).agg(F.max("a").alias("longer"))
-    sizes = counts.select(F.col("h").alias("of"), F.col("a").alias("size"))
-    halves = parts.where("len < k and (at = 0 or at + len = k)").join(sizes, "of")
-    # the cut after `cut` words: its first part begins at 0, its rest ends with the phrase
-    cuts = halves.groupBy("h", F.when(F.col("at") == 0, F.col("len")).otherwise(F.col("at")).alias("cut")).agg(
-        F.max(F.when(F.col("at") == 0, F.col("size"))).alias("l"), F.max(F.when(F.col("at") > 0, F.col("size"))).alias("r")
-    )
+    spelled = given.mapInArrow(_spelled(shared, longest, parts), "part int, lang string, told binary")
+    found = save(spelled.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_candidates, kinds), "candidates")
+    # a phrase between two others occurs as often as the longer one at least, so that those longer by one word tell all
+    around = F.array(F.element_at("firsts", -1), F.element_at("rests", 1))
+    inside = found.where("k > 2").select(F.explode(around).alias("h"), "a").groupBy("h").agg(F.max("a").alias("longer"))
+    sizes = counts.select("h", "a").mapInArrow(_count_rows, "h long, a long")
+    cut = F.posexplode(F.arrays_zip("firsts", "rests")).alias("cut", "x")
+    cuts = found.select("h", "lang", "a", cut).select("h", "lang", "a", "cut", F.col("x.firsts").alias("first"), F.col("x.rests").alias("rest"))
     wide = "decimal(38,0)"
     scored = (
-        cuts.join(found.select("h", "lang", "phrase", "a"), "h")
+        cuts.join(sizes.select(F.col("h").alias("first"), F.col("a").alias("l")), "first")
+        .join(sizes.select(F.col("h").alias("rest"), F.col("a").alias("r")), "rest")
         .join(totals, "lang")
         .withColumn("score", F.expr(f"(cast(1000 as {wide}) * cast(a as {wide}) * cast(n as {wide})) div (cast(l as {wide}) * cast(r as {wide}))"))
     )
-    weakest = scored.groupBy("h").agg(F.min(F.struct("score", "cut", "l", "r", "lang", "phrase", "a", "n")).alias("x")).select("h", "x.*")
-    free = weakest.join(inside, "h", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
+    weakest = scored.groupBy("h").agg(F.min(F.struct("score", "cut", "l", "r", "n")).alias("x")).select("h", "x.*")
+    free = weakest.join(found.select("h", "lang", "phrase", "a"), "h").join(inside, "h", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     return free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 

@@ -6,9 +6,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyforge.llm import difference_cover, suffix_tree_lm
+from tallyforge.llm import collocations, difference_cover, suffix_tree_lm
 
 pytest.importorskip("pyspark")
 
@@ -64,3 +65,22 @@ def test_a_context_is_looked_up_once(monkeypatch):
         want.append(np.log10(p))
     assert np.allclose(got, want)
     assert sum(asked) < 1.6 * sum(asked[1::2])  # contexts, pairs, contexts, pairs, ...
+
+
+def test_a_phrase_that_only_shares_a_slot_is_no_candidate():
+    told, lang = [b"a b", b"a b c", b"b c"], "en"
+    hashes = {}
+    _, _, _, words, _, firsts = collocations._words(told, [lang] * 3)
+    for phrase, begin, end in zip(told, firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+        h = words[begin]
+        for word in words[begin + 1 : end]:
+            h = collocations._grown(np.array([h]), np.array([word]))[0]
+        hashes[phrase] = h
+    known = np.sort(np.array([hashes[b"a b c"], hashes[b"b c"]], dtype=np.uint64))
+    counts = np.where(known == hashes[b"b c"], 200, 150).astype(np.int64)
+    found = pa.table({"part": [0, 0], "lang": [lang, lang], "told": [collocations._line(told), collocations._line(told[:1])]})
+    reached = pa.table({"part": [0], "h": [collocations._packed(known)], "a": [collocations._planes(counts)]})
+    rows = {r["phrase"]: r for r in collocations._candidates(found, reached).to_pylist()}
+    assert {p: (r["k"], r["a"]) for p, r in rows.items()} == {"a b c": (3, 150), "b c": (2, 200)}
+    assert np.uint64(rows["a b c"]["firsts"][1] % (1 << 64)) == hashes[b"a b"] and np.uint64(rows["a b c"]["rests"][0] % (1 << 64)) == hashes[b"b c"]
+    assert collocations._candidates(found, reached.slice(0, 0)).num_rows == 0
