@@ -339,6 +339,46 @@ def test_compact_windows_cover_every_long_run_once():
                     assert sum(1 for a, b, d in zip(l, c, r) if a <= i <= b <= j <= d) == 1
 
 
+def test_equal_shingles_have_few_windows():
+    """A word or line said over and over: each long run is covered once, by about as many windows as in other text."""
+    rng = np.random.default_rng(34)
+    for period in (1, 3, 12, 40):
+        s = np.concatenate([rng.integers(0, 2**63, 50), np.tile(rng.integers(0, 2**63, period), 400 // period), rng.integers(0, 2**63, 50)]).astype(np.uint64)
+        text, l, c, r, _ = compact_windows.compact_windows([s], 46, 0)
+        assert len(text) < 60
+        for i in range(len(s) - 45):
+            for j in range(i + 45, len(s), 7):
+                assert sum(1 for a, b, d in zip(l, c, r) if a <= i <= b <= j <= d) == 1
+                assert s[[b for a, b, d in zip(l, c, r) if a <= i <= b <= j <= d][0]] in s[i : j + 1]
+
+
+def test_texts_that_repeat_one_word_or_line_meet(spark):
+    rng = np.random.default_rng(35)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line = " ".join(f"line{k}" for k in range(9)) + " "
+    texts = [f"{word(40)} {said}{word(20 + 30 * k)}" for said in ("is " * 90, line * 12) for k in range(2)] + [word(100)]
+    assert passage_links(spark, texts) == {frozenset((0, 1)), frozenset((2, 3))}
+
+
+def test_texts_with_only_a_line_in_common_are_not_all_compared(spark, monkeypatch):
+    """Pairs that are compared grow with the texts of a common line, not with their square; a passage around it is found."""
+    rng = np.random.default_rng(36)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line = " ".join(f"line{k}" for k in range(28))
+    passage = f"{word(30)} {line} {word(30)}"
+    texts = [f"{word(24)} {line} {word(24)}" for _ in range(150)] + [f"{word(20)} {passage} {word(20)}" for _ in range(2)]
+    compared, save = [], compact_windows.save
+
+    def counted(df, name):
+        out = save(df, name)
+        compared.append(out.count() if name == "passage-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(compact_windows, "save", counted)
+    assert passage_links(spark, texts) == {frozenset((150, 151))}
+    assert sum(compared) < 20 * len(texts)
+
+
 def test_decontamination(spark, docs, texts, nothing):
     items = [(1, " ".join(tokens(texts[2])[10:50])), (2, " ".join(tokens(texts[3])[5:35]) + ". The answer."), (3, "unseen question words here. And an answer"), (4, None), (5, ""), (None, "x y")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
