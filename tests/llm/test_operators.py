@@ -379,6 +379,49 @@ def test_texts_with_only_a_line_in_common_are_not_all_compared(spark, monkeypatc
     assert sum(compared) < 20 * len(texts)
 
 
+def test_passages_are_found_in_a_fixed_number_of_steps(spark, monkeypatch):
+    """Groups of twelve near passages and a line that all other texts have in common: as many tables are saved as for any other input,
+    and each text of a group has rows of its own."""
+    rng = np.random.default_rng(37)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    line, texts = [f"line{k}" for k in range(40)], []
+    for _ in range(12):
+        base = words(70)
+        for _ in range(12):
+            own = list(base)
+            own[int(rng.integers(70))] = words(1)[0]
+            texts.append(" ".join(words(int(rng.integers(0, 60))) + own + words(int(rng.integers(0, 60)))))
+    texts += [" ".join(words(30) + line + words(30)) for _ in range(150)]
+    saved, save = [], compact_windows.save
+    monkeypatch.setattr(compact_windows, "save", lambda df, name: (saved.append(name), save(df, name))[1])
+    rows = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["doc_id"] // 12 == r["class_doc_id"] // 12 and r["doc_id"] < 144 for r in rows)
+    assert len({r["doc_id"] for r in rows}) >= 0.95 * 144
+    assert len(saved) == len(set(saved)) <= 5
+
+
+def test_windows_of_a_large_key_meet_as_by_comparing_all(monkeypatch):
+    """Windows that share a line, some of them a passage: rare shingles lead to the same pairs, and these do not grow with the square."""
+    rng = np.random.default_rng(38)
+    near = rng.integers(1, 1 << 16, (400, 91)).astype(np.uint16)
+    near[:, 30:67] = near[0, 30:67]
+    for k in range(0, 60, 3):
+        near[k : k + 3] = near[k]
+        near[k : k + 3, ::30] = rng.integers(1, 1 << 16, (3, 4))
+    near = near[rng.permutation(400)]
+    sets = np.sort(near, axis=1)
+    sets[:, 1:][sets[:, 1:] == sets[:, :-1]] = 0
+    fewest = compact_windows._fewest_shared(near, sets, 46)
+    found = []
+    for many in (0, 1000):
+        monkeypatch.setattr(compact_windows, "_MANY", many)
+        pairs = compact_windows._alike(np.arange(400), near, sets, fewest, 46, 40, np.zeros(1 << 16, dtype=bool))
+        found.append({(int(a), int(b)) for i, j in pairs for a, b in zip(i, j, strict=True)})
+    assert found[0] == found[1] and len(found[0]) < 80  # a few share some shingles by chance
+    common = {(a, b) for a in range(400) for b in range(a) if len(np.intersect1d(near[a], near[b])) >= 80}
+    assert len(common) == 60 and {a for a, _ in common} <= {a for a, _ in found[0]}
+
+
 def test_decontamination(spark, docs, texts, nothing):
     items = [(1, " ".join(tokens(texts[2])[10:50])), (2, " ".join(tokens(texts[3])[5:35]) + ". The answer."), (3, "unseen question words here. And an answer"), (4, None), (5, ""), (None, "x y")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
